@@ -51,7 +51,7 @@ class Scratch:
         finally:
             with contextlib.suppress(Exception):
                 self.spark.conf.set(_CLEANUP, old)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
     def drop(self, name: str = "") -> None:
         """Delete a table that no later step reads."""

@@ -47,4 +47,38 @@ s as (select conv_id, count(*) n_turns, string_agg(role || chr(10) || text || ch
   sum(length(role) + length(escaped) + 24) formatted_chars from e group by conv_id)
 select conv_id, n_turns, sha256(turns) turns_sha256, length(loss)::bigint loss_chars, sha256(loss) loss_sha256, formatted_chars::bigint formatted_chars from s"""
 
-ORACLES = {"op2_quality_rules": OP2, "op3_chat_formatting": OP3}
+OP6 = r"""
+with recursive p as (
+  select row_number() over () rid, page_id, url, html, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') host,
+    coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') path,
+    case when contains(url, '://') then translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2)
+      || regexp_extract(url, '(?s)^.*?://[^?#]*(\?[^#]*)', 1) end node from pages),
+l as (select host, path, node a, unnest([regexp_extract(regexp_extract(html, '(?is)(<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>)', 1), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
+  regexp_extract(regexp_extract(html, '(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>)', 1), '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1)]) link from p),
+t as (select a, case when contains(link, '://') then link when starts_with(link, '//') then 'http:' || link when starts_with(link, '/') then 'http://' || host || link
+  else 'http://' || host || regexp_replace(path, '[^/]*$', '') || link end u from l where a is not null and link <> ''),
+e as (select a, translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(u, '(?s)^.*?://([^/?#]*)([^?#]*)', 2)
+  || regexp_extract(u, '(?s)^.*?://[^?#]*(\?[^#]*)', 1) b from t),
+w as (select a, b from e union select b, a from e),
+r as (select a, b from w union select r.a, w.b from r join w on r.b = w.a),
+rules(h, x, v) as (values ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
+n as (select a, regexp_extract('http://' || b, '(?s)^.*?://([^/?#]*)([^?#]*)', 1) host, regexp_extract('http://' || b, '(?s)^.*?://([^/?#]*)([^?#]*)', 2) path, b from (select a, b from r union select a, a from r)),
+nv as (select a, b, arg_max(v, (length(h || x), v = 'allow')) v from n join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, x) group by a, b),
+c as (select a, case when bool_or(v = 'allow') then 'allow' when bool_or(v = 'block') then 'block' end v from nv group by a),
+o as (select rid, arg_max(h || x, (length(h || x), v = 'allow')) rule, arg_max(v, (length(h || x), v = 'allow')) v from p join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, x) group by rid)
+select page_id, host, path, rule, coalesce(o.v, c.v, 'allow') verdict from p left join o using (rid) left join c on c.a = p.node"""
+
+OP7 = r"""
+with recursive w as (select row_number() over () rid, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents),
+s as (select distinct rid, doc_id, list_slice(w, i, i + 4) g from (select rid, doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) i from w where len(w) > 0)),
+c as (select rid, doc_id, count(*) n from s group by all),
+d as (select g from s group by g having count(*) > 1),
+f as (select g, rid from s semi join d using (g)),
+o as (select x.rid a, y.rid b, count(*) k from f x join f y on x.g = y.g and x.rid < y.rid group by all),
+e as (select distinct p.doc_id a, q.doc_id b from o join c p on p.rid = o.a join c q on q.rid = o.b where 100 * k >= 75 * (p.n + q.n - k)),
+u as (select a, b from e union select b, a from e),
+r as (select a, b from u union select r.a, u.b from r join u on r.b = u.a),
+m as (select a, min(b) b from r group by a)
+select w.doc_id, coalesce(c.n, 0) n_shingles, least(w.doc_id, coalesce(m.b, w.doc_id)) component_id from w left join c using (rid) left join m on m.a = w.doc_id"""
+
+ORACLES = {"op6_url_filters": OP6, "op7_jaccard_join": OP7, "op2_quality_rules": OP2, "op3_chat_formatting": OP3}

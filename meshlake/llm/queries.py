@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat_format, quality_classifier, quality_rules, secret_scan, token_output
+from . import byte_bpe, chat_format, decontaminate, jaccard_join, quality_classifier, quality_rules, secret_scan, suffix_dedup, token_output, url_filter
 from .common import table
 from .oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_digests(spark, table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(spark, table(spark, sf_dir, "documents"))
 
@@ -30,6 +34,18 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_pages(spark, table(spark, sf_dir, "pages"))
+
+
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_documents(spark, table(spark, sf_dir, "documents"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -39,8 +55,14 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.bpe_digests(table(spark, sf_dir, "documents"), path)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_quality_rules, op3_chat_formatting, op4_token_output, op5_secret_scans, op9_quality_classifier, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_quality_rules, op3_chat_formatting, op4_token_output, op5_secret_scans, op6_url_filters, op7_jaccard_join, op8_decontamination, op9_quality_classifier, op10_byte_bpe, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
