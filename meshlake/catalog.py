@@ -1,11 +1,14 @@
-"""All queries for the reference's operators, and their SQL twins."""
+"""All queries for the engine's own operators, and their SQL twins."""
 
 from __future__ import annotations
 
+from .plans import line_queries, scalar_queries  # noqa: F401
+from .plans.registry import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
