@@ -185,36 +185,6 @@ def hermite(t, y0, y1, d0, d1) -> Column:
     return y0 * (2 * t * t * t - 3 * t * t + 1) + y1 * (3 * t * t - 2 * t * t * t) + d0 * (t * t * t - 2 * t * t + t) + d1 * (t * t * t - t * t)
 
 
-def inverse_in_tetragon(x, y, sw: tuple, se: tuple, nw: tuple, ne: tuple, lat0, lat1, lon0, lon1) -> Column:
-    """Latitude and longitude whose bilinear image in the cell is (x, y): the row fraction solves a quadratic,
-    of whose roots one in (0, 1) is preferred, then one in [0, 1]; a parallelogram has a linear equation.
-    Null outside."""
-    x, y, lat0, lat1, lon0, lon1 = map(col, (x, y, lat0, lat1, lon0, lon1))
-    (ax, ay), (bx, by), (cx, cy), (dx, dy) = [tuple(map(col, p)) for p in (sw, se, nw, ne)]
-
-    def cross(px, py, qx, qy):
-        return px * qy - py * qx
-
-    # a point at row fraction t lies on the line from L(t) = sw + t (nw - sw) to R(t) = se + t (ne - se)
-    lx, ly, rx, ry = cx - ax, cy - ay, (dx - bx) - (cx - ax), (dy - by) - (cy - ay)
-    ex, ey, px, py = bx - ax, by - ay, x - ax, y - ay
-    a = cross(rx, ry, -lx, -ly)
-    b = cross(rx, ry, px, py) + cross(ex, ey, -lx, -ly)
-    c = cross(ex, ey, px, py)
-    root = F.sqrt(F.when(b * b - 4 * a * c >= 0, b * b - 4 * a * c))
-    flat = F.abs(a) <= 1e-12 * (F.abs(b) + F.abs(c))
-    one = F.when(flat, F.try_divide(-c, b)).otherwise(F.try_divide(-b + root, 2 * a))
-    two = F.when(flat, F.try_divide(-c, b)).otherwise(F.try_divide(-b - root, 2 * a))
-    t = (
-        F.when((one > 0) & (one < 1), one).when((two > 0) & (two < 1), two)
-        .when((one >= 0) & (one <= 1), one).when((two >= 0) & (two <= 1), two)
-    )
-    wx, wy = ex + t * rx, ey + t * ry
-    s = F.when(F.abs(wx) >= F.abs(wy), F.try_divide(px - t * lx, wx)).otherwise(F.try_divide(py - t * ly, wy))
-    ok = (s >= 0) & (s <= 1)
-    return F.struct(F.when(ok, lat0 + t * (lat1 - lat0)).alias("lat"), F.when(ok, lon0 + s * (lon1 - lon0)).alias("lon"))
-
-
 def rounded(c: Column, digits: int = 6) -> Column:
     """For comparisons: rounded, without a negative zero."""
     return F.round(c, digits) + F.lit(0.0)

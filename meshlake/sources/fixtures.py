@@ -20,11 +20,11 @@ def lon_of(k: Column) -> Column:
 
 
 def lat_sql(k: str) -> str:
-    return f"((({k}::bigint * 7919) % 1799) / 10e0 - 89.953e0)"
+    return f"(((({k})::bigint * 7919) % 1799) / 10e0 - 89.953e0)"
 
 
 def lon_sql(k: str) -> str:
-    return f"((({k}::bigint * 104729) % 3599) / 10e0 - 179.953e0)"
+    return f"(((({k})::bigint * 104729) % 3599) / 10e0 - 179.953e0)"
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
