@@ -31,13 +31,7 @@ def load_coastlines(shapes: DataFrame, reduction: int = 2) -> DataFrame:
 
 def project_features(features: DataFrame, mesh: DataFrame, polygons: DataFrame, rows: int, columns: int) -> DataFrame:
     """Vertices ``..., lat, lon`` with ``section, x, y`` by the last section that contains them; null outside all."""
-    rings = polygon.section_literals(polygons)
-    if rings is None:
-        raise ValueError("sections have too many edges for one expression")
-    keyed = features.withColumn("_key", F.struct("feature_id", "line", "seq"))
-    section = polygon.last_section(keyed.select("_key", "lat", "lon"), polygons, ["_key"])
-    d = keyed.join(section, "_key", "left").drop("_key")
-    return interpolation.project_bilinear(d, mesh, rows, columns)
+    return interpolation.project_bilinear(polygon.last_section(features, polygons), mesh, rows, columns)
 
 
 def nest(vertices: DataFrame) -> DataFrame:

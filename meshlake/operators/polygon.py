@@ -93,24 +93,32 @@ def first_section(points: DataFrame, polygons: DataFrame, keys: list[str]) -> Da
     return points.join(inside, keys, "left")
 
 
-def contains(points: DataFrame, polygons: DataFrame, keys: list[str], tolerance: float = 1e-9) -> DataFrame:
-    """``keys, h, inside`` by planar crossing parity of (lat, lon); clockwise rings mean their outside.
-    Points within the tolerance of an edge count as inside."""
+def _rings(polygons: DataFrame) -> dict[int, list[tuple[float, float]]]:
     rings = section_literals(polygons)
     if rings is None:
         raise ValueError(f"more than {LITERAL_EDGES} edges: use inside_region")
-    each = []
-    x, y = F.col("lon"), F.col("lat")
-    for h, ring in sorted(rings.items()):
-        odd, near = F.lit(0), F.lit(False)
-        for (lat0, lon0), (lat1, lon1) in zip([ring[-1], *ring], ring):
-            n = (lon1 - lon0) ** 2 + (lat1 - lat0) ** 2
-            t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - lon0) * (lon1 - lon0) + (y - lat0) * (lat1 - lat0)) / n)) if n else F.lit(0.0)
-            near = near | (F.hypot(x - lon0 - t * (lon1 - lon0), y - lat0 - t * (lat1 - lat0)) <= tolerance)
-            if lat1 != lat0:
-                crosses = ((F.lit(lat0) <= y) != (F.lit(lat1) <= y)) & (x < (y - lat0) / (lat1 - lat0) * (lon1 - lon0) + lon0)
-                odd = odd + crosses.cast("int")
-        each.append(F.struct(F.lit(h).alias("h"), (near | ((odd % 2 == 1) == F.lit(signed_area(ring) > 0))).alias("inside")))
+    return rings
+
+
+def contains_ring(lat: Column, lon: Column, ring: list[tuple[float, float]], tolerance: float = 1e-9) -> Column:
+    """Planar crossing parity; a clockwise ring means its outside. Points within the tolerance of an edge
+    are inside."""
+    odd, near = F.lit(0), F.lit(False)
+    for (lat0, lon0), (lat1, lon1) in zip([ring[-1], *ring], ring):
+        size = ((lon1 - lon0) ** 2 + (lat1 - lat0) ** 2) ** 0.5
+        if size:
+            off = F.abs((lon - lon0) * (lat1 - lat0) - (lat - lat0) * (lon1 - lon0)) <= tolerance * size
+            beside = lon.between(min(lon0, lon1) - tolerance, max(lon0, lon1) + tolerance) & lat.between(min(lat0, lat1) - tolerance, max(lat0, lat1) + tolerance)
+            near = near | (off & beside)
+        if lat1 != lat0:
+            crosses = ((F.lit(lat0) <= lat) != (F.lit(lat1) <= lat)) & (lon < (lat - lat0) / (lat1 - lat0) * (lon1 - lon0) + lon0)
+            odd = odd + crosses.cast("int")
+    return near | ((odd % 2 == 1) == F.lit(signed_area(ring) > 0))
+
+
+def contains(points: DataFrame, polygons: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, h, inside`` for each point ``keys, lat, lon`` and section, in the plane of (lat, lon)."""
+    each = [F.struct(F.lit(h).alias("h"), contains_ring(F.col("lat"), F.col("lon"), ring).alias("inside")) for h, ring in sorted(_rings(polygons).items())]
     return points.select(*keys, F.explode(F.array(*each)).alias("s")).select(*keys, "s.h", "s.inside")
 
 
@@ -118,10 +126,10 @@ def signed_area(ring: list[tuple[float, float]]) -> float:
     return sum(lon0 * lat1 - lat0 * lon1 for (lat0, lon0), (lat1, lon1) in zip([ring[-1], *ring], ring)) / 2
 
 
-def last_section(points: DataFrame, polygons: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys, section``: the last section that contains a point, or null."""
-    inside = contains(points, polygons, keys)
-    return inside.groupBy(*keys).agg(F.max(F.when(F.col("inside"), F.col("h"))).alias("section"))
+def last_section(points: DataFrame, polygons: DataFrame) -> DataFrame:
+    """Points with ``section``: the last section that contains them, or null. No row is moved."""
+    hits = [F.when(contains_ring(F.col("lat"), F.col("lon"), ring), h) for h, ring in sorted(_rings(polygons).items(), reverse=True)]
+    return points.select("*", F.coalesce(*hits).alias("section"))
 
 
 def orientation(polygons: DataFrame) -> DataFrame:

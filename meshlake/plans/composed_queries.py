@@ -37,13 +37,21 @@ def l13_skeleton(spark, sf):
     return plan.skeleton(cells.enumerate_nodes(mesh(spark))[0], 2.0, ROWS, COLUMNS)
 
 
-_PROJECTED = f"""(select f.*, s.section from (select feature_id * 1000000000 + line * 10 + seq id, * from {_FEATURES}) f join
-  (select id, max(case when inside then h end) section from {planar_sql('(select feature_id * 1000000000 + line * 10 + seq id, lat, lon from ' + _FEATURES + ')', sections_sql('example'))} group by id) s using (id))"""
+_INNER = f"(select * replace (lat * 0.97e0 as lat, lon * 0.97e0 as lon) from {_FEATURES})"
+
+
+def _inner(spark, sf):
+    """Features whose vertices are on no edge of a section."""
+    return features.load_features(_shapes(spark, sf)).withColumn("lat", F.col("lat") * 0.97).withColumn("lon", F.col("lon") * 0.97)
+
+
+_PROJECTED = f"""(select f.*, s.section from (select feature_id * 1000000000 + line * 10 + seq id, * from {_INNER}) f join
+  (select id, max(case when inside then h end) section from {planar_sql('(select feature_id * 1000000000 + line * 10 + seq id, lat, lon from ' + _INNER + ')', sections_sql('example'))} group by id) s using (id))"""
 
 
 @query(bilinear_sql(_PROJECTED, "feature_id, line, seq, section"))
 def i06_project_features(spark, sf):
-    d = features.project_features(features.load_features(_shapes(spark, sf)), mesh(spark), sections(spark, "example"), ROWS, COLUMNS)
+    d = features.project_features(_inner(spark, sf), mesh(spark), sections(spark, "example"), ROWS, COLUMNS)
     return d.select("feature_id", "line", "seq", "section", R(F.col("x")).alias("x"), R(F.col("y")).alias("y"))
 
 
@@ -53,7 +61,7 @@ k as (select *, sum(jump) over (partition by feature_id, line order by seq) piec
 m as (select *, count(*) over (partition by feature_id, line, piece) n from k)
 select feature_id, line, piece, row_number() over (partition by feature_id, line, piece order by seq) piece_seq, x, y, ((category % 8) + 8) % 8 color, width from m where n > 1 or jumps = 0""")
 def i07_create_map(spark, sf):
-    d = features.create_map(features.load_features(_shapes(spark, sf)), mesh(spark), sections(spark, "example"), ROWS, COLUMNS, 8)
+    d = features.create_map(_inner(spark, sf), mesh(spark), sections(spark, "example"), ROWS, COLUMNS, 8)
     return d.withColumn("x", R(F.col("x"))).withColumn("y", R(F.col("y")))
 
 
@@ -63,4 +71,4 @@ _EVENTS = f"(select event_id id, event_id, ts, value, {lat_sql('user_id')} lat,
 @query(f"""select date_trunc('hour', ts) "start", section, count(*) n, round(sum(value), 4) + 0 total from {_EVENTS} e left join (select id, min(h) section from {region_sql(_EVENTS, sections_sql('example'), 'id')} where inside group by id) s using (id) group by 1, 2""")
 def x01_event_windows(spark, sf):
     d = projection.windowed_counts(projection.project_events(table(spark, sf, "events"), mesh(spark), sections(spark, "example"), ROWS, COLUMNS))
-    return d.withColumn("total", R(F.col("total"), 4))
+    return d.withColumn("total", R(F.col("total"), 4)).withColumn("start", F.col("start").cast("timestamp_ntz"))

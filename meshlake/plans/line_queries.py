@@ -146,7 +146,7 @@ def j04_first_section(spark, sf):
 
 @query(f"select id, max(case when inside then h end) section from {planar_sql(POINTS, sections_sql('example'))} group by id")
 def j05_last_section(spark, sf):
-    return polygon.last_section(points(spark, sf), sections(spark, "example"), ["id"])
+    return polygon.last_section(points(spark, sf), sections(spark, "example")).select("id", "section")
 
 
 @query(f"select id from {POINTS} where not ({_ISLES})")

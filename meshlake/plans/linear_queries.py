@@ -119,11 +119,12 @@ def t09_index_of_pair(spark, sf):
 
 # multi-part shapes out of the orders and their lines
 _SHAPES = f"""(select o_custkey feature_id, case when o_custkey % 3 <> 0 then o_custkey % 20 end biome, case when o_custkey % 4 <> 0 then (o_custkey % 9)::double end strokeweig, l_orderkey part, l_linenumber seq,
-  {lat_sql('l_partkey + l_linenumber')} * 1.02e0 lat, {lon_sql('l_partkey')} * 1.02e0 lon from lineitem join orders on l_orderkey = o_orderkey)"""
+  {lat_sql('l_partkey + l_linenumber')} * 1.02e0 lat, {lon_sql('l_partkey')} * 1.02e0 lon from (select l_orderkey, l_linenumber, min(l_partkey) l_partkey from lineitem group by 1, 2) join orders on l_orderkey = o_orderkey)"""
 
 
 def _shapes(spark, sf):
-    d = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"))
+    d = lines.join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     k = F.col("o_custkey")
     return d.select(k.alias("feature_id"), F.when(k % 3 != 0, k % 20).alias("biome"), F.when(k % 4 != 0, (k % 9).cast("double")).alias("strokeweig"), F.col("l_orderkey").alias("part"), F.col("l_linenumber").alias("seq"), (lat_of(F.col("l_partkey") + F.col("l_linenumber")) * 1.02).alias("lat"), (lon_of(F.col("l_partkey")) * 1.02).alias("lon"))
 

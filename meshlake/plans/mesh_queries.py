@@ -37,8 +37,7 @@ def bilinear_sql(src: str, cols: str, fill: str | None = None) -> str:
 
 
 def _in_sections(spark, sf):
-    p = points(spark, sf)
-    return p.join(polygon.last_section(p, sections(spark, "example"), ["id"]), "id")
+    return polygon.last_section(points(spark, sf), sections(spark, "example"))
 
 
 def _xy(d, *keys):

@@ -11,7 +11,7 @@ from ..sources.fixtures import lat_of, lon_of
 
 def project_events(events: DataFrame, mesh: DataFrame, polygons: DataFrame, rows: int, columns: int) -> DataFrame:
     """Events ``event_id, ts, user_id, value`` with the ``section, x, y`` of their user's place."""
-    e = events.select("event_id", "ts", "user_id", "value", lat_of(F.col("user_id")).alias("lat"), lon_of(F.col("user_id")).alias("lon"))
+    e = events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "value", lat_of(F.col("user_id")).alias("lat"), lon_of(F.col("user_id")).alias("lon"))
     return interpolation.project_bilinear(polygon.first_section(e, polygons, ["event_id"]), mesh, rows, columns)
 
 
