@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .textnum import release
+
 #: The white space that separates words.
 WORD_BREAKS = r"[\x20\x09-\x0D]+"
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a step runs: its shuffle files go with it, and batches of texts sent to Python stay small.
+_STEP = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +35,12 @@ def shared_dir(spark: SparkSession) -> str:
     return shared_dir.own
 
 
+def few(df: DataFrame) -> DataFrame:
+    """No more tasks in the last step than the cluster has cores, so that what it writes isn't cut into more
+    files than its writers call for. With fewer partitions than cores nothing changes."""
+    return df.coalesce(max(6, df.sparkSession.sparkContext.defaultParallelism))
+
+
 class Scratch:
     """Tables written to the shared folder, so that lost executors cost no more than the
     step at hand and no plan is computed twice. Shuffle files of a step are dropped once
@@ -41,16 +49,19 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
-    def write(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-        path, old = f"{self.root}/{name}", self.spark.conf.get(_CLEANUP, "false")
-        with contextlib.suppress(Exception):
-            self.spark.conf.set(_CLEANUP, "true")
+    def write(self, df: DataFrame, name: str, partition_by: str | None = None, compression: str = "zstd", few_files: bool = True) -> DataFrame:
+        """``few_files``: see below."""
+        path, conf = f"{self.root}/{name}", self.spark.conf
+        before = {k: conf.get(k, None) for k in _STEP}
+        for k, v in _STEP.items():
+            conf.set(k, v)
         try:
-            out = df.write.option("compression", "zstd")
+            rows = few(df) if few_files else df
+            out = rows.write.option("compression", compression)
             (out.partitionBy(partition_by) if partition_by else out).parquet(path)
         finally:
-            with contextlib.suppress(Exception):
-                self.spark.conf.set(_CLEANUP, old)
+            for k, v in before.items():
+                conf.unset(k) if v is None else conf.set(k, v)
         return self.spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
     def drop(self, name: str = "") -> None:
@@ -103,3 +114,73 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, name: st
         out = hook.join(up, "up", "left").select("node", F.coalesce("component", "up").alias("component"))
         out = scratch.write(out, f"{name}-c{i}")
     return out
+
+
+#: Bits of an id filter: 8 MB at most, whatever the input.
+FILTER_BITS = 1 << 26
+
+
+def maybe_in(ids: DataFrame, column: str = "doc_id"):
+    """A filter for rows whose id may be among ``ids``: a bitmap of fixed size of hashed ids, built by partial
+    aggregation. It keeps all that are, and some that aren't, so an exact join must follow; what it saves is
+    to shuffle the rest. It loses its effect, not its rightness, when ids fill the bitmap."""
+    import numpy as np
+    import pyarrow as pa
+
+    bit = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+    words = ids.select(bit.alias("b")).groupBy(F.shiftright("b", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("bits"))
+    got: pa.Table = words.toArrow()  # at most FILTER_BITS / 64 rows
+    bitmap = np.zeros(FILTER_BITS // 64, np.int64)
+    bitmap[got["word"].to_numpy()] = got["bits"].to_numpy()
+    shared = ids.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def test(hashed):  # pandas Series in, pandas Series out
+        b = hashed.to_numpy()
+        import pandas as pd
+
+        return pd.Series(shared.value[b >> 6] >> (b & 63) & 1 == 1)
+
+    return test(bit)
+
+
+#: Rows that a row operator holds beside its batch.
+SLICE = 256
+
+
+def filter_texts(docs: DataFrame, good) -> DataFrame:
+    """The rows for whose texts ``good(list of texts)`` is true, with all their columns, where they are read."""
+    import pyarrow as pa
+
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, SLICE):
+                part = b.slice(i, SLICE)
+                yield part.filter(pa.array(good(part.column(at).to_pylist()), pa.bool_()))
+        release()
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def map_texts(docs: DataFrame, change) -> DataFrame:
+    """The rows with texts ``change(text)``, nulls kept; ``n_chars``, where there is one, is counted anew."""
+    import pyarrow as pa
+
+    names = docs.columns
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, SLICE):
+                part = b.slice(i, SLICE)
+                texts = [t if t is None else change(t) for t in part.column(names.index("text")).to_pylist()]
+                columns = list(part.columns)
+                columns[names.index("text")] = pa.array(texts, columns[names.index("text")].type)
+                if "n_chars" in names:
+                    k = names.index("n_chars")
+                    columns[k] = pa.array([t if t is None else len(t) for t in texts], columns[k].type)
+                yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
+        release()
+
+    return docs.mapInArrow(run, docs.schema)

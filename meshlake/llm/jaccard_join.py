@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import signature_tree
-from .common import Scratch, components, parts
-from .textnum import pack_planes, unpack_planes, windows, word_hashes
+from .common import Scratch, components, maybe_in, parts
+from .textnum import pack_planes, release, unpack_planes, windows, word_hashes
 
 #: Similarity as a fraction, words of a shingle, bits of a fingerprint, shingles of a packed batch.
-NUM, DEN, WORDS, PRINT_BITS, BATCH = 3, 4, 5, 44, 3_000_000
+NUM, DEN, WORDS, PRINT_BITS, BATCH = 3, 4, 5, 44, 2_000_000
 #: Members and shingles of a block of a candidate group.
 BLOCK, BLOCK_TOKENS = 512, 1_000_000
 
@@ -78,6 +78,7 @@ def pack_prints(docs: DataFrame, buckets: int) -> DataFrame:
             null = np.array([i is None for i in ids], np.uint8)
             rows.append((None, batch, 0, len(sets), None, None, np.array([i or 0 for i in ids], "<i8").tobytes() + null.tobytes(), size.astype("<i8").tobytes()))
             ids, sets, held = [], [], 0
+            release()
             kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 4)
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[x.split()[0] for x in _PACKED.split(", ")])
 
@@ -122,6 +123,8 @@ def count_shared(packed: DataFrame, buckets: int) -> DataFrame:
                 rows.append((batch, docs, pack_planes(count, 4), None, None))
                 at += n
             held.clear()
+            del prints, order, again, shared
+            release()
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
         for b in batches:
@@ -221,7 +224,10 @@ def tree_links(grouped: DataFrame, keys: list[str]) -> DataFrame:
         def flush():
             got = signature_tree.links(sets, NUM, DEN, np.array(comps))
             out = pa.RecordBatch.from_arrays([pa.array([reps[i] for i, _ in got], pa.int64()), pa.array([reps[j] for _, j in got], pa.int64())], names=["a", "b"])
+            large = len(reps) > 100
             reps.clear(), comps.clear(), sets.clear()
+            if large:
+                release()
             return out
 
         for b in batches:
@@ -246,7 +252,7 @@ def _blocks(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def group_links(spark: SparkSession, classes: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFrame:
-    member = classes.join(groups.withColumnsRenamed({"node": "rep", "component": "g"}), "rep").select("g", "rep", "n", "tokens")
+    member = classes.join(groups.withColumnsRenamed({"node": "rep", "component": "g"}).hint("merge"), "rep").select("g", "rep", "n", "tokens")
     member = scratch.write(_blocks(member, ["g"]), "members")
     found = scratch.write(tree_links(member.withColumn("comp", F.col("rep")), ["g", "block"]), "links-1")
     large = member.where("blocks > 1").drop("block", "blocks")
@@ -284,13 +290,15 @@ def join_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     has any text without a partner. Rows with one doc_id are one node: its component is the smallest
     doc_id reachable from any of them. A null doc_id is linked with nothing and has no component."""
     scratch, n = Scratch(spark, "jaccard"), parts(spark)
-    buckets = max(n, 8)
+    buckets = 2 * max(n, 8)
     sizes = scratch.write(doc_sizes(count_shared(pack_prints(docs, buckets), buckets), n), "sizes")
     ids = sizes.where("candidate").select("doc_id").distinct()
-    sets = scratch.write(with_sets(docs.select("doc_id", "text").where("doc_id is not null").join(ids, "doc_id", "left_semi")), "sets").where("n > 0")
+    # the bitmap keeps most texts out of the shuffle; joins that carry texts or sets shuffle at every size
+    rest = docs.select("doc_id", "text").where("doc_id is not null").where(maybe_in(ids))
+    sets = scratch.write(with_sets(rest.join(ids.hint("merge"), "doc_id", "left_semi")), "sets").where("n > 0")
     by_set = scratch.write(sets.groupBy("set_id").agg(F.min("doc_id").alias("rep")), "by-set")
     member = sets.select("doc_id", "set_id").join(by_set, "set_id")
-    first = sets.join(by_set.withColumnRenamed("set_id", "s"), (F.col("set_id") == F.col("s")) & (F.col("doc_id") == F.col("rep")))
+    first = sets.join(by_set.withColumnRenamed("set_id", "s").hint("merge"), (F.col("set_id") == F.col("s")) & (F.col("doc_id") == F.col("rep")))
     # a doc_id may stand for several sets, so a class is a node of its own
     node = scratch.write(first.dropDuplicates(["set_id"]).select(F.xxhash64("set_id").alias("rep"), "n", "tokens", "set_id"), "classes")
     groups = candidate_groups(spark, node, scratch)

@@ -5,7 +5,11 @@ number modulo 2**64, so that any substring's hash comes from two prefix sums."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
+import pyarrow as pa
 import zstandard
 
 _RNG = np.random.default_rng(20240131)
@@ -13,8 +17,18 @@ BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(
 BASE = int(_RNG.integers(2**61, 2**62)) * 2 + 1
 _INVERSE = pow(BASE, -1, 2**64)
 _powers: dict[str, np.ndarray] = {}
+_LIBC = ctypes.CDLL(None)
+
+
+def release() -> None:
+    """Gives freed memory back to the system, which workers that live on would keep."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError):  # not every C library has it
+        _LIBC.malloc_trim(0)
+
+
 #: Bytes of text that are worked on at once; longer texts come in overlapping segments.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
