@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, parts
-from .textnum import CHUNK, chunked, hash_spans, mix, pack_planes, powers, prefix_sums, unpack_planes
+from .textnum import CHUNK, chunked, hash_spans, mix, pack_planes, powers, prefix_sums, release, unpack_planes
 
 #: Bytes of a match, bytes of an anchor, runs of a packed array, distinct runs of an anchor kept in arrays, batches of documents.
-LEAST, GRAM, ARRAY, HOT, BATCHES = 50, 24, 2_000_000, 256, 4
+LEAST, GRAM, ARRAY, HOT, BATCHES = 50, 24, 1_000_000, 256, 4
 _SPAN = LEAST - GRAM + 1
 INDEX, CUT, ASK = 0, 1, 2
 _FIELDS = (("hashes", 8), ("checks", 4), ("docs", 8), ("tags", 2), ("starts", 5), ("lengths", 5), ("asked", 1))
@@ -180,6 +180,8 @@ def suffix_arrays(docs: DataFrame, buckets: int) -> DataFrame:
                 rows.append(_joined_spans(runs.take(cut)).row(CUT, some))
             if hot.any():
                 rows.append(runs.take(hot).row(ASK, some))
+            del runs, keep
+            release()
             return _batch(rows)
 
         for b in batches:
@@ -215,6 +217,8 @@ def merge_scan(packed: DataFrame, buckets: int) -> DataFrame:
                     rows.append(runs.take(which).row(kind, now))
             if cut.any():
                 rows.append(_joined_spans(runs.take(cut)).row(CUT, now))
+            del runs
+            release()
             return _batch(rows) if rows else None
 
         for b in batches:
@@ -317,32 +321,78 @@ def _gathered(spans: DataFrame) -> DataFrame:
     return spans.groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
-def window_cuts(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """``doc_id, tag, spans`` of windows of the asked runs that a document with a smaller doc_id has too."""
+#: Windows that a task compares with each other before it sends them on.
+WINDOWS = 1_000_000
+
+
+def _run_windows(raw: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places of the windows of asked runs; long texts in segments."""
+    runs = np.unique(spans)
+    lo, n = runs >> 32, runs & 0xFFFFFFFF
+    at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+    keys, places = [], []
+    for s in range(0, len(raw), CHUNK):
+        own = at[(at >= s) & (at < s + CHUNK)]
+        if len(own):
+            keys.append(hash_spans(prefix_sums(raw[s : s + CHUNK + LEAST]), own - s, own - s + LEAST))
+            places.append(own)
+    return np.concatenate(keys).view(np.int64), np.concatenate(places)
+
+
+def asked_windows(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """``key, doc_id, tag, at``: windows of the asked runs, of each task's batch only the smallest document's
+    for each key; ``key`` is null where a window of the batch has a smaller doc_id already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
+
+        def flush():
+            nonlocal held, size
+            key, doc, tag, at = (np.concatenate(c) for c in zip(*held))
+            held, size = [], 0
+            order = np.lexsort((doc, key))
+            key, doc, tag, at = key[order], doc[order], tag[order], at[order]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            least = np.repeat(doc[first], np.diff(np.append(first, len(key))))
+            return pa.RecordBatch.from_arrays([pa.array(key, pa.int64(), mask=doc > least), pa.array(doc), pa.array(tag), pa.array(at)], names=["key", "doc_id", "tag", "at"])
+
         for b in batches:
             for k in range(b.num_rows):
                 raw = np.frombuffer(b.column(2)[k].as_py().encode(), np.uint8)
-                run_ = np.unique(b.column(3)[k].values.to_numpy(zero_copy_only=False))
-                lo, n = run_ >> 32, run_ & 0xFFFFFFFF
-                at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-                keys = []
-                for s in range(0, len(raw), CHUNK):
-                    own = at[(at >= s) & (at < s + CHUNK)]
-                    if len(own):
-                        keys.append(hash_spans(prefix_sums(raw[s : s + CHUNK + LEAST]), own - s, own - s + LEAST))
-                at = np.concatenate([at[(at >= s) & (at < s + CHUNK)] for s in range(0, len(raw), CHUNK)])
-                key = np.concatenate(keys).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(at), b.column(0)[k].as_py())), pa.array(np.full(len(at), b.column(1)[k].as_py(), np.int32)), pa.array(at)], names=["key", "doc_id", "tag", "at"])
-
-    rows = docs.select("doc_id", "tag", "text").join(_gathered(asked), ["doc_id", "tag"]).mapInArrow(run, "key long, doc_id long, tag int, at long")
-    return rows
-
-
-def earlier_windows(rows: DataFrame) -> DataFrame:
-    least = rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("key", "least")
-    cut = rows.join(least, "key").where("doc_id > least")
+                key, at = _run_windows(raw, b.column(3)[k].values.to_numpy(zero_copy_only=False))
+                held.append((key, np.full(len(at), b.column(0)[k].as_py()), np.full(len(at), b.column(1)[k].as_py(), np.int32), at))
+                size += len(at)
+                if size >= WINDOWS:
+                    yield flush()
+        if held:
+            yield flush()
+
+    return docs.select("doc_id", "tag", "text").join(_gathered(asked), ["doc_id", "tag"]).mapInArrow(run, "key long, doc_id long, tag int, at long")
+
+
+def earlier_windows(rows: DataFrame, n_parts: int) -> DataFrame:
+    """``doc_id, tag, spans`` of windows that a document with a smaller doc_id has too. A key's rows are a
+    stream in order of doc_id: however many, only the first's doc_id is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, least = None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            doc, tag, at = (b.column(i).to_numpy() for i in (1, 2, 3))
+            key = b.column(0).to_numpy()
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            head = doc[first]
+            if last == key[0]:
+                head[0] = least
+            last, least = key[-1], head[-1]
+            cut = doc > np.repeat(head, np.diff(np.append(first, len(key))))
+            yield pa.RecordBatch.from_arrays([pa.array(doc[cut]), pa.array(tag[cut]), pa.array(at[cut])], names=["doc_id", "tag", "at"])
+
+    schema = "doc_id long, tag int, at long"
+    met = rows.where("key is not null").repartition(n_parts, "key").sortWithinPartitions("key", "doc_id").mapInArrow(run, schema)
+    cut = met.unionByName(rows.where("key is null").select("doc_id", "tag", "at"))
     return cut.groupBy("doc_id", "tag").agg(F.collect_list(F.shiftleft("at", 32).bitwiseOR(F.lit(LEAST).cast("long"))).alias("spans"))
 
 
@@ -363,7 +413,7 @@ def dedup(spark: SparkSession, docs: DataFrame, batches: int = BATCHES) -> DataF
     Null texts count as empty; texts under 50 bytes lose nothing; a document never removes its own bytes,
     nor do rows with the same doc_id those of each other; a null doc_id is not smaller than any and loses
     nothing. Batches are ranges of doc_id of about equal size. Only integers (range bounds) reach the driver."""
-    scratch, buckets = Scratch(spark, "suffix"), parts(spark, 8)
+    scratch, buckets = Scratch(spark, "suffix"), 2 * parts(spark, 8)
     own = _tagged(spark, docs)
     known = own.where("doc_id is not null")
     bounds = sorted(set(known.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01)))
@@ -376,10 +426,10 @@ def dedup(spark: SparkSession, docs: DataFrame, batches: int = BATCHES) -> DataF
             part = part.where(F.col("doc_id") <= int(hi))
         index.add(part)
     index.close()
-    windows = scratch.write(window_cuts(known, index.spans(ASK)), "windows")
-    spans = index.spans(CUT).unionByName(earlier_windows(windows))
-    spans = scratch.write(_gathered(spans), "spans")
+    windows = scratch.write(asked_windows(known, index.spans(ASK)), "windows")
+    met = scratch.write(earlier_windows(windows, parts(spark)), "met")
     scratch.drop("windows")
+    spans = scratch.write(_gathered(index.spans(CUT).unionByName(met)), "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
