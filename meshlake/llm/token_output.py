@@ -9,12 +9,14 @@ ascend by doc_id."""
 from __future__ import annotations
 
 import functools
+import itertools
+import re
+import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import public_tokenizers
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,69 +24,126 @@ from pyspark.sql import functions as F
 from .common import Scratch, parts
 
 #: Longest code in bits, ids of a block (at least one document), ids between bit offsets.
-LIMIT, BLOCK, STEP = 20, 1 << 16, 128
+LIMIT, BLOCK, STEP = 20, 1 << 18, 128
 END_ID = 0
-MEMO = 300_000
+#: Words whose ids are kept; beyond that the older half stays, which holds the frequent ones.
+WORDS = 1_200_000
 _LONG = 64
+# white space other than single blanks and line ends
+_ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
-class PieceEncoder:
-    """The tokenizers library, asked once for each distinct piece of its own pre-tokenizer's pattern."""
+class WordEncoder:
+    """The tokenizers library, asked once for each distinct word.
+
+    The ids of a word between single blanks, with the blank before it, don't depend on what surrounds it:
+    of the pre-tokenizer's pieces only runs of white space are cut by what follows. Texts with such runs at
+    a blank, or other white space than blanks and line ends, are encoded whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.find = regex.compile(public_tokenizers.PATTERN).findall
         self.memo: dict[str, bytes] = {}
+        self.marks = {c: array("I", self.tokenizer.encode(c, add_special_tokens=False).ids).tobytes() for c in ".,;:!?"}
+        (self.line,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+
+    @staticmethod
+    def _plain(t: str) -> bool:
+        return bool(t) and t[0] not in " \n" and t[-1] not in " \n" and not ("  " in t or " \n" in t or "\n " in t or _ODD.search(t))
+
+    def _words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Words, a blank before each, with their ids; a few thousand in one call, between line ends, which are
+        an id of their own and are in no id of a word without one."""
+        odd, even = [w for w in words if "\n" in w], [w for w in words if "\n" not in w]
+        groups = [even[k : k + 4096] for k in range(0, len(even), 4096)]
+        encode = self.tokenizer.encode_batch_fast
+        for group, e in zip(groups, encode(["\n".join([" " + w for w in g]) for g in groups], add_special_tokens=False)):
+            ids = array("I", e.ids)
+            ends = [*(4 * np.flatnonzero(np.frombuffer(ids, "<u4") == self.line)).tolist(), 4 * len(ids)]
+            if len(ends) != len(group):
+                raise ValueError("line ends don't part words in this vocabulary")
+            raw = ids.tobytes()
+            yield from zip(group, [raw[a:z] for a, z in zip([0, *(z + 4 for z in ends)], ends)])
+        yield from zip(odd, (array("I", e.ids).tobytes() for e in encode([" " + w for w in odd], add_special_tokens=False)))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split, memo = [self.find(t) for t in texts], self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        new = list({p for s in split for p in s if p not in memo})
-        own = dict(zip(new, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False))))
-        memo.update((p, x) for p, x in own.items() if len(p) <= _LONG)
-        own = {p: x for p, x in own.items() if len(p) > _LONG}
-        get = memo.__getitem__
-        return [b"".join(map(get, s)) if not own else b"".join([own[p] if p in own else memo[p] for p in s]) for s in split]
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        memo = self.memo
+        if len(memo) > WORDS:
+            for k in list(itertools.islice(memo, WORDS // 2, None)):
+                del memo[k]
+        # per text its start (or all of it), and the ids of words that follow a blank; one look-up a word
+        heads, tails, missing = [], [], {}
+        get = memo.get
+        for t in texts:
+            first, *rest = t.split(" ") if self._plain(t) else (t,)
+            got = list(map(get, rest))
+            if None in got:
+                missing[len(heads)] = [(k, rest[k]) for k, x in enumerate(got) if x is None]
+            heads.append(first)
+            tails.append(got)
+        words = {w for m in missing.values() for _, w in m}
+        # between a letter and a final mark pieces are always cut, so the word without it will do
+        marked = {w for w in words if w[-1:] in self.marks and w[-2:-1].isalpha()}
+        stems = {w[:-1] for w in marked}
+        fresh = {w: memo[w] for w in stems if w in memo}
+        new = [w for w in (words - marked) | stems if w not in fresh]
+        ids = [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(heads, add_special_tokens=False)]
+        fresh.update(self._words(new))
+        fresh.update((w, fresh[w[:-1]] + self.marks[w[-1]]) for w in marked)
+        for i, m in missing.items():
+            got = tails[i]
+            for k, w in m:
+                got[k] = fresh[w]
+        memo.update((w, x) for w, x in fresh.items() if len(w) <= _LONG)
+        return [h + b"".join(t) for h, t in zip(ids, tails)]
 
 
 @functools.lru_cache(2)
-def piece_encoder(path: str) -> PieceEncoder:
+def word_encoder(path: str) -> WordEncoder:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return PieceEncoder(path)
+    return WordEncoder(path)
 
 
-_RAW = "shard int, block int, base long, doc_ids binary, sizes binary, ids binary"
+_RAW = "shard int, block int, base long, doc_ids binary, sizes binary, ids binary, counts binary"
 
 
 def tokenize(docs: DataFrame, path: str, n_parts: int) -> DataFrame:
-    """Blocks of raw ids, each document followed by END_ID; sorted by doc_id, ties by text, nulls first."""
+    """Blocks of raw ids, each document followed by END_ID; sorted by doc_id, ties by text, nulls first.
+    A shard's last row (block null) has the counts of its ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, shard = piece_encoder(path), TaskContext.get().partitionId()
+        encode, shard = word_encoder(path), TaskContext.get().partitionId()
         end = np.array([END_ID], "<u4").tobytes()
         keys: list[int | None] = []
         ids: list[bytes] = []
         size = base = block = 0
+        total = np.zeros(0, np.int64)
+        kinds, names = (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4), [x.split()[0] for x in _RAW.split(", ")]
 
         def close():
-            nonlocal keys, ids, size, base, block
+            nonlocal keys, ids, size, base, block, total
+            flat = np.frombuffer(b"".join(ids), "<u4")
+            count = np.bincount(flat, minlength=len(total))
+            count[: len(total)] += total
+            total = count
+            # two bytes an id where that is enough: the sizes tell
+            flat = flat.astype("<u2") if flat.max() < 1 << 16 else flat
             sizes = np.array([len(x) // 4 for x in ids], "<u4")
             nulls = np.array([k is None for k in keys], np.uint8)
             packed = np.array([k or 0 for k in keys], "<i8").tobytes() + nulls.tobytes()
-            row = [[shard], [block], [base], [packed], [sizes.tobytes()], [b"".join(ids)]]
-            out = pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["shard", "block", "base", "doc_ids", "sizes", "ids"])
+            row = [[shard], [block], [base], [packed], [sizes.tobytes()], [flat.tobytes()], [None]]
+            out = pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, kinds)], names=names)
             base, block, keys, ids, size = base + size, block + 1, [], [], 0
             return out
 
         for b in batches:
-            for i in range(0, b.num_rows, 128):
-                part = b.slice(i, 128)
+            for i in range(0, b.num_rows, 512):
+                part = b.slice(i, 512)
                 for k, x in zip(part.column(0).to_pylist(), encode([t or "" for t in part.column(1).to_pylist()])):
                     keys.append(k)
                     ids.append(x + end)
@@ -93,25 +152,25 @@ def tokenize(docs: DataFrame, path: str, n_parts: int) -> DataFrame:
                         yield close()
         if keys:
             yield close()
+        if len(total):
+            row = [[shard], [None], [base], [None], [None], [None], [total.astype("<i8").tobytes()]]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, kinds)], names=names)
 
     rows = docs.select("doc_id", "text").repartitionByRange(n_parts, "doc_id").sortWithinPartitions("doc_id", "text")
     return rows.mapInArrow(run, _RAW)
 
 
 def count_ids(raw: DataFrame) -> DataFrame:
-    """``id, n`` over all blocks; each task sends one row per id it has seen."""
+    """``id, n`` over all shards; each shard sends one row per id it has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
         for b in batches:
             for x in b.column(0).to_pylist():
-                c = np.bincount(np.frombuffer(x, "<u4"), minlength=len(total))
-                c[: len(total)] += total
-                total = c
-        ids = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(total[ids], pa.int64())], names=["id", "n"])
+                total = np.frombuffer(x, "<i8")
+                ids = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(total[ids], pa.int64())], names=["id", "n"])
 
-    return raw.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return raw.where("block is null").select("counts").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -161,17 +220,29 @@ def decode_table(lengths: np.ndarray) -> np.ndarray:
     return np.concatenate([table, np.full((1 << LIMIT) - len(table), 1, np.int64)])
 
 
+#: Ids packed at once: arrays that stay in a core's cache.
+_PACKED = 1 << 15
+
+
 def pack(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[bytes, np.ndarray]:
     """The bits, most significant first, and the bit offset of every STEP-th id."""
-    width = lengths[ids].astype(np.int64)
-    ends = np.cumsum(width)
-    at = ends - width
-    word, room = at >> 5, 64 - (at & 31) - width
-    placed = codes[ids].astype(np.uint64) << room.astype(np.uint64)
-    n = int((ends[-1] if len(ids) else 0) + 31 >> 5) + 2
-    # codes share no bit, so sums (exact below 2**53) are unions
-    bits = np.bincount(word, (placed >> np.uint64(32)).astype(np.float64), n) + np.bincount(word + 1, (placed & np.uint64(0xFFFFFFFF)).astype(np.float64), n)
-    return bits.astype(np.uint32).astype(">u4").tobytes(), at[::STEP].astype("<u4")
+    table = (codes << 8) | lengths
+    total = int(lengths[ids].sum(dtype=np.int64))
+    bits, offsets, base = np.zeros((total + 31 >> 5) + 2, np.uint64), [], 0
+    for k in range(0, len(ids), _PACKED):
+        entry = table[ids[k : k + _PACKED]]
+        width = entry & 255
+        ends = np.cumsum(width) + base
+        at = ends - width
+        word = at >> 5
+        placed = (entry >> 8).astype(np.uint64) << (64 - (at & 31) - width).astype(np.uint64)
+        first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        # codes share no bit, so a word's codes are joined, and what runs over goes to the next
+        bits[word[first]] |= np.bitwise_or.reduceat(placed >> np.uint64(32), first)
+        bits[word[first] + 1] |= np.bitwise_or.reduceat(placed & np.uint64(0xFFFFFFFF), first)
+        offsets.append(at[::STEP])
+        base = int(ends[-1])
+    return bits.astype(">u4").tobytes(), np.concatenate(offsets or [np.zeros(0)]).astype("<u4")
 
 
 def unpack(payload: bytes, offsets: np.ndarray, n: int, table: np.ndarray) -> np.ndarray:
@@ -197,12 +268,13 @@ def huffman_blocks(raw: DataFrame, lengths: np.ndarray) -> DataFrame:
         for b in batches:
             for i in range(b.num_rows):
                 part = b.slice(i, 1)
-                ids = np.frombuffer(part.column(5)[0].as_py(), "<u4")
+                raw_ids, n = part.column(5)[0].as_py(), int(np.frombuffer(part.column(4)[0].as_py(), "<u4").sum(dtype=np.int64))
+                ids = np.frombuffer(raw_ids, "<u2" if len(raw_ids) == 2 * n else "<u4")
                 payload, offsets = pack(ids, lengths, codes)
                 more = [pa.array([len(ids)], pa.int64()), part.column(3), part.column(4), pa.array([offsets.tobytes()], pa.binary()), pa.array([payload], pa.binary())]
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], *more], names=[x.split()[0] for x in _BLOCKS.split(", ")])
 
-    return raw.mapInArrow(run, _BLOCKS)
+    return raw.where("block is not null").drop("counts").mapInArrow(run, _BLOCKS)
 
 
 def write_ids(spark: SparkSession, docs: DataFrame, path: str, scratch: Scratch) -> tuple[DataFrame, np.ndarray]:
@@ -210,19 +282,20 @@ def write_ids(spark: SparkSession, docs: DataFrame, path: str, scratch: Scratch)
 
     Texts are tokenized once: raw ids are written first and deleted when the codes are. The driver gets
     a count per id of the vocabulary and no more."""
-    raw = scratch.write(tokenize(docs, path, parts(spark)), "raw")
+    raw = scratch.write(tokenize(docs, path, parts(spark)), "raw", compression="snappy", few_files=False)  # a shard is a task
     got = count_ids(raw).collect()  # at most one row per id
     counts = np.zeros(max([r.id for r in got], default=0) + 1, np.int64)
     counts[[r.id for r in got]] = [r.n for r in got]
     lengths = code_lengths(counts)
-    blocks = scratch.write(huffman_blocks(raw, lengths), "blocks")
+    blocks = scratch.write(huffman_blocks(raw, lengths), "blocks", compression="none")
     scratch.write(spark.createDataFrame([(bytes(lengths), LIMIT, STEP)], "lengths binary, code_limit int, step int"), "codes")
     scratch.drop("raw")
     return blocks, lengths
 
 
-def read_ids(blocks: DataFrame, lengths: np.ndarray) -> DataFrame:
-    """``doc_id, start, n_tokens, ids``: the ids of each document, decoded."""
+def read_ids(blocks: DataFrame, lengths: np.ndarray, digest: bool = False) -> DataFrame:
+    """``doc_id, start, n_tokens, ids``: the ids of each document, decoded, as little-endian unsigned 32-bit
+    integers; with ``digest`` their checksum ``ids_crc32`` in place of ids."""
     # a sum per shard; there are as many shards as shuffle partitions
     sums = sorted((r.shard, r.n) for r in blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")).collect())
     first, total = {}, 0
@@ -238,10 +311,12 @@ def read_ids(blocks: DataFrame, lengths: np.ndarray) -> DataFrame:
                 ends = np.cumsum(size)
                 key = np.frombuffer(keys, "<i8", len(size))
                 null = np.frombuffer(keys, np.uint8, len(size), 8 * len(size)).astype(bool)
-                data = [ids[a:z].tobytes() for a, z in zip(ends - size, ends)]
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64(), mask=null), pa.array(first[shard] + base + ends - size, pa.int64()), pa.array(size, pa.int64()), pa.array(data, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
+                each = zip((ends - size).tolist(), ends.tolist())
+                data = pa.array([zlib.crc32(ids[a:z]) for a, z in each], pa.int64()) if digest else pa.array([ids[a:z].tobytes() for a, z in each], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64(), mask=null), pa.array(first[shard] + base + ends - size, pa.int64()), pa.array(size, pa.int64()), data], names=["doc_id", "start", "n_tokens", name])
 
-    return blocks.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    name = "ids_crc32" if digest else "ids"
+    return blocks.mapInArrow(run, f"doc_id long, start long, n_tokens long, {name} {'long' if digest else 'binary'}")
 
 
 def id_digests(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
@@ -250,4 +325,4 @@ def id_digests(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
     Null and empty texts have the end id alone; rows with equal doc_ids follow each other by text;
     null doc_ids come first; an empty table gives no rows."""
     blocks, lengths = write_ids(spark, docs, path, Scratch(spark, "ids"))
-    return read_ids(blocks, lengths).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_ids(blocks, lengths, digest=True)

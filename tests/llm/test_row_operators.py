@@ -100,6 +100,21 @@ def test_token_files(spark, docs, empty):
     assert token_output.id_digests(spark, empty, path).count() == 0
 
 
+def test_words_and_pieces(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, other = token_output.WordEncoder(path), Tokenizer.from_file(path)
+    other.encode_special_tokens = True
+    monkeypatch.setattr(token_output, "WORDS", 20)
+    rng = np.random.default_rng(6)
+    parts = ["a", "the", "the,", "it's.", "..", "a1,", "é!", "-x:", "\n", " ", "  ", "\t", "'s", "don't", "12", "!?", "é", "\u00a0", "\u2028", "<|endoftext|>", "x" * 80, "\n\n", ".\nThe"]
+    texts = ["", *filter(None, PAIN), *("".join(rng.choice(parts, rng.integers(1, 30))) for _ in range(300)), *(" ".join(rng.choice(parts, rng.integers(1, 30))) for _ in range(300))]
+    for i in range(0, len(texts), 7):
+        for t, got in zip(texts[i : i + 7], own(texts[i : i + 7])):
+            assert np.frombuffer(got, "<u4").tolist() == other.encode(t, add_special_tokens=False).ids
+
+
 def test_huffman_codes():
     rng = np.random.default_rng(1)
     for counts in (np.array([5]), np.array([0, 3, 4]), 2 ** np.arange(40), rng.zipf(1.3, 5000), np.zeros(3, int)):
