@@ -11,32 +11,32 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from meshlake.llm import byte_bpe, decontaminate, jaccard_join, quality_classifier, secret_scan
-from meshlake.llm.common import Scratch, table
+from meshlake.llm.common import Scratch, few, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    return quality_classifier.keep_good(spark, docs, table(spark, sf_dir, "labels"))
+    return few(quality_classifier.keep_good(spark, docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
-    return jaccard_join.keep_one(spark, docs)
+    return few(jaccard_join.keep_one(spark, docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a benchmark item go."""
-    return decontaminate.drop_leaks(spark, docs, table(spark, sf_dir, "benchmark"))
+    return few(decontaminate.drop_leaks(spark, docs, table(spark, sf_dir, "benchmark")))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced in the texts; the documents stay."""
-    return secret_scan.redact(docs)
+    return few(secret_scan.redact(docs))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, ids``: the ids of what is left, as little-endian unsigned 32-bit integers."""
-    return byte_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return few(byte_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

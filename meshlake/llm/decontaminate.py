@@ -19,8 +19,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from .common import filter_texts
 from .textnum import NOT_ALNUM, mix, windows, word_hashes
 
 #: Least words of an item that is searched; share of edits; aimed recall; walks; sampled places; most repetitions a walk.
@@ -231,14 +231,10 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> Da
         if not items.ids:
             continue
 
-        @F.pandas_udf("boolean")
-        def clean(texts, items=items):  # pandas Series in, pandas Series out
-            import pandas as pd
+        def clean(texts: list[str | None], items=items) -> np.ndarray:
+            ok = np.ones(len(texts), bool)
+            ok[[t for t, _, _, _ in items.find(texts)]] = False
+            return ok
 
-            values, ok = texts.tolist(), np.ones(len(texts), bool)
-            for i in range(0, len(values), 1024):
-                ok[[i + t for t, _, _, _ in items.find(values[i : i + 1024])]] = False
-            return pd.Series(ok)
-
-        out = out.where(clean("text"))
+        out = filter_texts(out, clean)
     return out

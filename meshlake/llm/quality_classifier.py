@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
-from .textnum import windows, word_hashes
+from .common import Scratch, filter_texts
+from .textnum import release, windows, word_hashes
 
 #: Random features, kernel width in standard deviations, ridge, seed, bins of raw scores for calibration.
 FEATURES, WIDTH, RIDGE, SEED, BINS = 192, 3.0, 1.0, 7, 2000
@@ -71,6 +71,7 @@ def with_stats(docs: DataFrame) -> DataFrame:
                 part = b.slice(i, 512)
                 stats = text_stats([t or "" for t in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(stats.astype(np.float64)), pa.list_(pa.float64()))], names=["doc_id", "stats"])
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, stats array<double>")
 
@@ -215,13 +216,4 @@ def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFr
     where the text is read, so texts are not shuffled."""
     _, model = train_and_score(spark, docs, labels, Scratch(spark, "quality"))
 
-    @F.pandas_udf("boolean")
-    def good(texts):  # pandas Series in, pandas Series out
-        import pandas as pd
-
-        values, out = [t or "" for t in texts], []
-        for i in range(0, len(values), 512):
-            out.append(model.score(text_stats(values[i : i + 512])) >= THRESHOLD)
-        return pd.Series(np.concatenate(out) if out else np.zeros(0, bool))
-
-    return docs.where(good("text"))
+    return filter_texts(docs, lambda texts: model.score(text_stats([t or "" for t in texts])) >= THRESHOLD)

@@ -16,6 +16,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import map_texts
+
 #: Kinds in the order in which spans that start together are listed.
 KINDS = ("assign", "access", "hex", "pem", "jwt", "key64", "keyhex")
 # The base patterns. Letters of either case are spelt out, as case folding would also take non-ASCII letters.
@@ -138,24 +140,17 @@ def scan_documents(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
+def clean_text(text: str) -> str:
+    """The text with each run of overlapping spans replaced."""
+    out, at = [], 0
+    for _, a, b in scan_text(text):
+        if a >= at:
+            out += [text[at:a], "[SECRET]"]
+        at = max(at, b)
+    return "".join([*out, text[at:]]) if out else text
+
+
 def redact(docs: DataFrame) -> DataFrame:
     """The documents' own columns; each maximal run of overlapping spans in ``text`` becomes ``[SECRET]``
-    and ``n_chars``, where there is one, is counted anew. Texts without spans stay as they are."""
-    from pyspark.sql import functions as F
-
-    @F.pandas_udf("string")
-    def clean(texts):  # pandas Series in, pandas Series out
-        def one(t):
-            if t is None or not (spans := scan_text(t)):
-                return t
-            out, at = [], 0
-            for _, a, b in spans:
-                if a >= at:
-                    out += [t[at:a], "[SECRET]"]
-                at = max(at, b)
-            return "".join([*out, t[at:]])
-
-        return texts.map(one, na_action="ignore")
-
-    out = docs.withColumn("text", clean("text"))
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    and ``n_chars``, where there is one, is counted anew. Null texts stay null."""
+    return map_texts(docs, clean_text)
