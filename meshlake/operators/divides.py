@@ -110,3 +110,23 @@ def bottleneck(spark, elevation: DataFrame, starts: DataFrame, columns: int, rou
             break
         label = nxt.drop("changed")
     return label.select("i", "j", "z")
+
+
+def drainage_divides(z: dict[tuple[int, int], float], ends: list[tuple[int, int]], columns: int, blocked: set[tuple[int, int, int, int]] = frozenset()) -> list[list[tuple[int, int]]]:
+    """Cuts over a cropped lattice from ends: the highest path from the second end to the first, from the third to
+    the nearest place on it (where all cuts meet), and from each further one to there. Cuts run outward from
+    the meeting point and leave out the water at their far end."""
+    first = highest_path(z, ends[1], {ends[0]}, columns, blocked)
+    if len(ends) == 2:
+        return [first]
+    second = highest_path(z, ends[2], set(first), columns, blocked)
+    meet = second[-1]
+    k = first.index(meet)
+    out = [first[: k + 1][::-1], first[k:], second[::-1]]
+    out += [highest_path(z, e, {meet}, columns, blocked)[::-1] for e in ends[3:]]
+    return [_ashore(cut, z) for cut in out]
+
+
+def _ashore(cut: list[tuple[int, int]], z: dict[tuple[int, int], float]) -> list[tuple[int, int]]:
+    last = max((k for k, p in enumerate(cut) if z[p] > 0), default=0)
+    return cut[: max(2, last + 1)]

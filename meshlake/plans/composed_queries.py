@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..operators import features
 from ..sources import resources, text_files
-from ..sources.fixtures import lat_sql, lon_sql, mesh, table
+from ..sources.fixtures import MESH, lat_sql, lon_sql, mesh, table
 from ..streaming import projection
 from . import build_mesh as plan
 from .line_queries import region_sql, sections, sections_sql
@@ -72,3 +72,59 @@ _EVENTS = f"(select event_id id, event_id, ts, value, {lat_sql('user_id')} lat,
 def x01_event_windows(spark, sf):
     d = projection.windowed_counts(projection.project_events(table(spark, sf, "events"), mesh(spark), sections(spark, "example"), ROWS, COLUMNS))
     return d.withColumn("total", R(F.col("total"), 4)).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+_MAPS = {"one": "0,0.25,0.5\n1,1,0.75", "two": "0.125,0,1"}
+_LABELS = """{"en": {"title": "Map", "units": "km"}, "es": {"title": "Mapa"}}"""
+
+
+@query("select name, (k - 1)::int seq, split_part(line, ',', 1)::double r, split_part(line, ',', 2)::double g, split_part(line, ',', 3)::double b from (select name, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) k from (values " + ", ".join(f"('{k}', '{v}')" for k, v in _MAPS.items()) + ") f(name, text))")
+def s14_colormaps(spark, sf):
+    return text_files.parse_colormaps(text_files.texts(spark, _MAPS))
+
+
+@query(f"""select lang, key "key", json_extract_string(j, '$.' || lang || '.' || key) "value" from (select lang, unnest(json_keys(j, '$.' || lang)) key, j from (select unnest(json_keys(j)) lang, j from (select '{_LABELS}'::json j)))""")
+def s15_languages(spark, sf):
+    return text_files.parse_languages(text_files.texts(spark, {"lang": _LABELS}))
+
+
+def _borders(spark):
+    cuts = text_files.parse_cuts(text_files.texts(spark, {"example": resources.CUTS["example"]})).drop("name")
+    return plan.section_borders(cuts)
+
+
+@query()
+def g07_section_borders(spark, sf):
+    return _borders(spark)
+
+
+@query()
+def u02_cells_shared_by(spark, sf):
+    from ..operators import raster
+
+    b = _borders(spark)
+    return raster.cells_shared_by(b.where("part = 'glue'").drop("part"), b.where("part = 'cut'").drop("part"), 8)
+
+
+@query()
+def p10_near_straits(spark, sf):
+    from ..sources.fixtures import polylines
+
+    return plan.near_straits(polylines(spark, sf).withColumnRenamed("feature_id", "h"), 24)
+
+
+@query(f"select h, i, j, sum(case when x is not null then 1 else 0 end) over (partition by h order by i, j) - 1 \"index\" from {MESH}")
+def w02_running_reindex(spark, sf):
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy("h").orderBy("i", "j").rowsBetween(W.unboundedPreceding, 0)
+    return mesh(spark).select("h", "i", "j", (F.sum(F.col("x").isNotNull().cast("int")).over(w) - 1).alias("index"))
+
+
+@query()
+def l11_fit_mesh(spark, sf):
+    from .fit import fit_mesh
+    from .mesh_queries import _weights
+
+    fitted, _ = fit_mesh(spark, mesh(spark, sections=1), _weights(spark).where("h = 0"), 22.5, 22.5, 1e-6, 30)
+    return fitted.select("h", "i", "j", R(F.col("x"), 1).alias("x"), R(F.col("y"), 1).alias("y"))

@@ -56,14 +56,22 @@ def closed_sections(cuts: DataFrame) -> DataFrame:
     return d.select("name", "h", F.posexplode(ring).alias("seq", "p")).select("name", "h", "seq", "p.lat", "p.lon")
 
 
-def read_colormaps(spark: SparkSession, path: str) -> DataFrame:
+def parse_colormaps(files: DataFrame) -> DataFrame:
     """``name, seq, r, g, b``."""
-    rows = read_whole(spark, path).select("name", F.posexplode(F.filter(F.split("text", r"\r?\n"), lambda s: F.trim(s) != "")).alias("seq", "line"))
+    rows = files.select("name", F.posexplode(F.filter(F.split("text", r"\r?\n"), lambda s: F.trim(s) != "")).alias("seq", "line"))
     v = F.split("line", ",")
     return rows.select("name", "seq", *[v[k].cast("double").alias(c) for k, c in enumerate("rgb")])
 
 
-def read_languages(spark: SparkSession, path: str) -> DataFrame:
+def read_colormaps(spark: SparkSession, path: str) -> DataFrame:
+    return parse_colormaps(read_whole(spark, path))
+
+
+def parse_languages(files: DataFrame) -> DataFrame:
     """``lang, key, value`` of a nested JSON file; values that are no strings stay JSON."""
-    rows = read_whole(spark, path).select(F.explode(F.from_json("text", "map<string, map<string, string>>")).alias("lang", "labels"))
+    rows = files.select(F.explode(F.from_json("text", "map<string, map<string, string>>")).alias("lang", "labels"))
     return rows.select("lang", F.explode("labels").alias("key", "value"))
+
+
+def read_languages(spark: SparkSession, path: str) -> DataFrame:
+    return parse_languages(read_whole(spark, path))

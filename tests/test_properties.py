@@ -240,3 +240,21 @@ def test_event_stream(spark, tmp_path):
 
 def test_planar_orientation():
     assert polygon.signed_area([(0, 0), (0, 1), (1, 1), (1, 0)]) > 0
+
+
+def test_fit_lowers_the_energy(spark):
+    from meshlake.plans.fit import fit_mesh
+    from meshlake.plans.mesh_queries import _weights
+
+    start = fixtures.mesh(spark, sections=1)
+    fitted, log = fit_mesh(spark, start, _weights(spark).where("h = 0"), 22.5, 22.5, 1e-6, 30)
+    assert len(log) > 2 and all(b <= a for a, b in zip(log, log[1:])) and log[-1] < 0.5 * log[0]
+    assert fitted.count() == start.count() and fitted.where("x is null").count() == 0
+
+
+def test_drainage_divides_meet():
+    rng = np.random.default_rng(6)
+    z = {(i, j): float(v) for (i, j), v in np.ndenumerate(rng.integers(1, 50, (9, 12)))}
+    cuts = divides.drainage_divides(z, [(1, 1), (7, 2), (2, 9), (7, 9)], 12)
+    assert len(cuts) == 4 and len({c[0] for c in cuts}) == 1
+    assert {c[-1] for c in cuts} >= {(7, 9), (2, 9)}
