@@ -103,17 +103,21 @@ def _rings(polygons: DataFrame) -> dict[int, list[tuple[float, float]]]:
 def contains_ring(lat: Column, lon: Column, ring: list[tuple[float, float]], tolerance: float = 1e-9) -> Column:
     """Planar crossing parity; a clockwise ring means its outside. Points within the tolerance of an edge
     are inside."""
-    odd, near = F.lit(0), F.lit(False)
-    for (lat0, lon0), (lat1, lon1) in zip([ring[-1], *ring], ring):
-        size = ((lon1 - lon0) ** 2 + (lat1 - lat0) ** 2) ** 0.5
-        if size:
-            off = F.abs((lon - lon0) * (lat1 - lat0) - (lat - lat0) * (lon1 - lon0)) <= tolerance * size
-            beside = lon.between(min(lon0, lon1) - tolerance, max(lon0, lon1) + tolerance) & lat.between(min(lat0, lat1) - tolerance, max(lat0, lat1) + tolerance)
-            near = near | (off & beside)
-        if lat1 != lat0:
-            crosses = ((F.lit(lat0) <= lat) != (F.lit(lat1) <= lat)) & (lon < (lat - lat0) / (lat1 - lat0) * (lon1 - lon0) + lon0)
-            odd = odd + crosses.cast("int")
-    return near | ((odd % 2 == 1) == F.lit(signed_area(ring) > 0))
+    each = [(a, b) for a, b in zip([ring[-1], *ring], ring) if a != b]
+    edge = F.array(*[F.struct(*[F.lit(float(v)).alias(k) for k, v in zip(("y0", "x0", "y1", "x1"), (*a, *b))]) for a, b in each])
+
+    def beside(e: Column) -> Column:
+        dx, dy = e["x1"] - e["x0"], e["y1"] - e["y0"]
+        off = F.abs((lon - e["x0"]) * dy - (lat - e["y0"]) * dx) <= tolerance * F.hypot(dx, dy)
+        across = lon.between(F.least(e["x0"], e["x1"]) - tolerance, F.greatest(e["x0"], e["x1"]) + tolerance)
+        return off & across & lat.between(F.least(e["y0"], e["y1"]) - tolerance, F.greatest(e["y0"], e["y1"]) + tolerance)
+
+    def crosses(e: Column) -> Column:
+        at = (lat - e["y0"]) / (e["y1"] - e["y0"]) * (e["x1"] - e["x0"]) + e["x0"]
+        return F.when((e["y0"] <= lat) != (e["y1"] <= lat), lon < at).otherwise(False)
+
+    odd = F.size(F.filter(edge, crosses)) % 2 == 1
+    return F.exists(edge, beside) | (odd == F.lit(signed_area(ring) > 0))
 
 
 def contains(points: DataFrame, polygons: DataFrame, keys: list[str]) -> DataFrame:
