@@ -57,9 +57,9 @@ def i06_project_features(spark, sf):
 
 @query(f"""with p as ({bilinear_sql(_PROJECTED, 'feature_id, line, seq, category, width')}), q as (select * from p where x is not null),
 j as (select *, case when sqrt(pow(x - lag(x) over w, 2) + pow(y - lag(y) over w, 2)) > 1000 then 1 else 0 end jump from q window w as (partition by feature_id, line order by seq)),
-k as (select *, sum(jump) over (partition by feature_id, line order by seq) piece, sum(jump) over (partition by feature_id, line) jumps from j),
+k as (select *, (sum(jump) over (partition by feature_id, line order by seq))::bigint piece, sum(jump) over (partition by feature_id, line) jumps from j),
 m as (select *, count(*) over (partition by feature_id, line, piece) n from k)
-select feature_id, line, piece, row_number() over (partition by feature_id, line, piece order by seq) piece_seq, x, y, ((category % 8) + 8) % 8 color, width from m where n > 1 or jumps = 0""")
+select feature_id, line, piece, (row_number() over (partition by feature_id, line, piece order by seq))::int piece_seq, x, y, ((category % 8) + 8) % 8 color, width from m where n > 1 or jumps = 0""")
 def i07_create_map(spark, sf):
     d = features.create_map(_inner(spark, sf), mesh(spark), sections(spark, "example"), ROWS, COLUMNS, 8)
     return d.withColumn("x", R(F.col("x"))).withColumn("y", R(F.col("y")))
@@ -113,7 +113,7 @@ def p10_near_straits(spark, sf):
     return plan.near_straits(polylines(spark, sf).withColumnRenamed("feature_id", "h"), 24)
 
 
-@query(f"select h, i, j, sum(case when x is not null then 1 else 0 end) over (partition by h order by i, j) - 1 \"index\" from {MESH}")
+@query(f"select h, i, j, (sum(case when x is not null then 1 else 0 end) over (partition by h order by i, j) - 1)::bigint \"index\" from {MESH}")
 def w02_running_reindex(spark, sf):
     from pyspark.sql import Window as W
 

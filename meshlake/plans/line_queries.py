@@ -163,8 +163,8 @@ def w03_segment_lengths(spark, sf):
 _JUMPS = f"(select *, case when sqrt(pow(x - lag(x) over w, 2) + pow(y - lag(y) over w, 2)) > 1000 then 1 else 0 end jump from {STEPS} window w as (partition by feature_id order by seq))"
 
 
-@query(f"""select feature_id, seq, piece, row_number() over (partition by feature_id, piece order by seq) piece_seq from (
-  select *, count(*) over (partition by feature_id, piece) n, sum(jump) over (partition by feature_id) jumps from (select *, sum(jump) over (partition by feature_id order by seq) piece from {_JUMPS})) where n > 1 or jumps = 0""")
+@query(f"""select feature_id, seq, piece, (row_number() over (partition by feature_id, piece order by seq))::int piece_seq from (
+  select *, count(*) over (partition by feature_id, piece) n, sum(jump) over (partition by feature_id) jumps from (select *, (sum(jump) over (partition by feature_id order by seq))::bigint piece from {_JUMPS})) where n > 1 or jumps = 0""")
 def w04_split_open_lines(spark, sf):
     return paths.split_lines(steps(spark, sf), ["feature_id"]).select("feature_id", "seq", "piece", "piece_seq")
 
@@ -173,14 +173,14 @@ def w04_split_open_lines(spark, sf):
   window w as (partition by feature_id order by seq), u as (partition by feature_id order by seq rows between unbounded preceding and unbounded following)),
 b as (select *, min(case when jump then rn end) over (partition by feature_id) f, count(*) filter (jump) over (partition by feature_id) jumps from a),
 c as (select *, case when f is null then rn else (rn - f + n) % n end pos from b),
-d as (select *, case when f is null then 0 else sum(jump::int) over (partition by feature_id order by pos) - 1 end piece from c),
+d as (select *, (case when f is null then 0 else sum(jump::int) over (partition by feature_id order by pos) - 1 end)::bigint piece from c),
 e as (select *, count(*) over (partition by feature_id, piece) m from d)
-select feature_id, seq, piece, row_number() over (partition by feature_id, piece order by pos) piece_seq from e where m > 1 or jumps = 0""")
+select feature_id, seq, piece, (row_number() over (partition by feature_id, piece order by pos))::int piece_seq from e where m > 1 or jumps = 0""")
 def w04_split_closed_lines(spark, sf):
     return paths.split_lines(steps(spark, sf), ["feature_id"], closed=True).select("feature_id", "seq", "piece", "piece_seq")
 
 
-@query(f"select feature_id, seq, sum(jump) over (partition by feature_id order by seq) piece from (select *, case when abs(lon - lag(lon) over (partition by feature_id order by seq)) > 180 then 1 else 0 end jump from {LINES})")
+@query(f"select feature_id, seq, (sum(jump) over (partition by feature_id order by seq))::bigint piece from (select *, case when abs(lon - lag(lon) over (partition by feature_id order by seq)) > 180 then 1 else 0 end jump from {LINES})")
 def w05_longitude_pieces(spark, sf):
     return paths.longitude_pieces(polylines(spark, sf), ["feature_id"]).select("feature_id", "seq", "piece")
 

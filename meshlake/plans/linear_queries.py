@@ -231,7 +231,7 @@ n as (select *, unnest(generate_series(floor(least(ai, bi))::int, ceil(greatest(
 m as (select *, unnest(generate_series(floor(least(aj, bj))::int, ceil(greatest(aj, bj))::int)) j from n),
 d as (select *, (ai - bi) * -dj + (aj - bj) * di den from m, (values (-1), (0), (1)) x(di), (values (-1), (0), (1)) y(dj) where di <> 0 or dj <> 0),
 h as (select i, j, di, dj from d where den <> 0 and ((ai - i) * -dj + (aj - j) * di) / den between 0 and 1 and ((ai - i) * (aj - bj) - (aj - j) * (ai - bi)) / den between 0 and 1)
-select i, j, di, dj from h union select i + di, j + dj, -di, -dj from h)"""
+select i::int i, j::int j, di, dj from h union select (i + di)::int, (j + dj)::int, -di, -dj from h)"""
 
 
 @query(f"select i, j, di, dj from {_BLOCKED}")

@@ -201,7 +201,7 @@ def j13_nearest_defined(spark, sf):
     return grid.nearest_defined(mesh(spark), ["h", "i"], "j", F.col("x").isNotNull(), True, "east").select("h", "i", "j", "east_ref", "east_distance")
 
 
-_IDS = f"(with p as (select x, y, row_number() over (order by x, y) - 1 node_id from (select distinct x, y from {_SEAM} where x is not null)) select h, i, j, node_id, m.x, m.y from {_SEAM} m left join p using (x, y))"
+_IDS = f"(with p as (select x, y, (row_number() over (order by x, y) - 1)::int node_id from (select distinct x, y from {_SEAM} where x is not null)) select h, i, j, node_id, m.x, m.y from {_SEAM} m left join p using (x, y))"
 
 
 @query(f"select h, i, j, node_id from {_IDS}")
