@@ -10,35 +10,38 @@ from __future__ import annotations
 
 import functools
 import itertools
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, parts
 
 #: Longest code in bits, ids of a block (at least one document), ids between bit offsets.
-LIMIT, BLOCK, STEP = 20, 1 << 18, 128
+LIMIT, BLOCK, STEP = 20, 1 << 16, 128
 END_ID = 0
+NULL_SHARD = -(2**63)
 #: Words whose ids are kept; beyond that the older half stays, which holds the frequent ones.
-WORDS = 1_200_000
+WORDS = 900_000
 _LONG = 64
-# white space other than single blanks and line ends
-_ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Stands before a text's first word, which no blank precedes.
+_FIRST = "\x01"
+# texts that aren't words between single blanks and line ends alone: white space at an end, or runs of it at a
+# blank, or of another kind; and the mark itself
+_ODD = r"^$|^[ \n]|[ \n]$|  | \n|\n |[\x01\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 class WordEncoder:
     """The tokenizers library, asked once for each distinct word.
 
     The ids of a word between single blanks, with the blank before it, don't depend on what surrounds it:
-    of the pre-tokenizer's pieces only runs of white space are cut by what follows. Texts with such runs at
-    a blank, or other white space than blanks and line ends, are encoded whole."""
+    of the pre-tokenizer's pieces only runs of white space are cut by what follows. Texts with other white
+    space are encoded whole. Splitting, finding distinct words and joining their ids are Arrow kernels."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -49,9 +52,8 @@ class WordEncoder:
         self.marks = {c: array("I", self.tokenizer.encode(c, add_special_tokens=False).ids).tobytes() for c in ".,;:!?"}
         (self.line,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
 
-    @staticmethod
-    def _plain(t: str) -> bool:
-        return bool(t) and t[0] not in " \n" and t[-1] not in " \n" and not ("  " in t or " \n" in t or "\n " in t or _ODD.search(t))
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
         """Words, a blank before each, with their ids; a few thousand in one call, between line ends, which are
@@ -66,39 +68,51 @@ class WordEncoder:
                 raise ValueError("line ends don't part words in this vocabulary")
             raw = ids.tobytes()
             yield from zip(group, [raw[a:z] for a, z in zip([0, *(z + 4 for z in ends)], ends)])
-        yield from zip(odd, (array("I", e.ids).tobytes() for e in encode([" " + w for w in odd], add_special_tokens=False)))
+        yield from zip(odd, self._whole([" " + w for w in odd]))
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
+    def _new(self, words: set[str]) -> dict[str, bytes]:
+        memo = self.memo
+        heads = [w for w in words if w[:1] == _FIRST]
+        words = words.difference(heads)
+        # between a letter and a final mark pieces are always cut, so the word without it will do
+        marked = {w for w in words if w[-1:] in self.marks and w[-2:-1].isalpha()}
+        stems = {w[:-1] for w in marked}
+        out = {w: memo[w] for w in stems if w in memo}
+        out.update(self._words([w for w in (words - marked) | stems if w not in out]))
+        out.update((w, out[w[:-1]] + self.marks[w[-1]]) for w in marked)
+        out.update(zip(heads, self._whole([w[1:] for w in heads])))
+        return out
+
+    def __call__(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         memo = self.memo
         if len(memo) > WORDS:
             for k in list(itertools.islice(memo, WORDS // 2, None)):
                 del memo[k]
-        # per text its start (or all of it), and the ids of words that follow a blank; one look-up a word
-        heads, tails, missing = [], [], {}
-        get = memo.get
-        for t in texts:
-            first, *rest = t.split(" ") if self._plain(t) else (t,)
-            got = list(map(get, rest))
-            if None in got:
-                missing[len(heads)] = [(k, rest[k]) for k, x in enumerate(got) if x is None]
-            heads.append(first)
-            tails.append(got)
-        words = {w for m in missing.values() for _, w in m}
-        # between a letter and a final mark pieces are always cut, so the word without it will do
-        marked = {w for w in words if w[-1:] in self.marks and w[-2:-1].isalpha()}
-        stems = {w[:-1] for w in marked}
-        fresh = {w: memo[w] for w in stems if w in memo}
-        new = [w for w in (words - marked) | stems if w not in fresh]
-        ids = [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(heads, add_special_tokens=False)]
-        fresh.update(self._words(new))
-        fresh.update((w, fresh[w[:-1]] + self.marks[w[-1]]) for w in marked)
-        for i, m in missing.items():
-            got = tails[i]
-            for k, w in m:
-                got[k] = fresh[w]
-        memo.update((w, x) for w, x in fresh.items() if len(w) <= _LONG)
-        return [h + b"".join(t) for h, t in zip(ids, tails)]
+        texts = texts.fill_null("").cast(pa.large_string())
+        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+        out: list[bytes] = [b""] * len(texts)
+        which = np.flatnonzero(odd)
+        for k, ids in zip(which.tolist(), self._whole(texts.take(pa.array(which)).to_pylist())):
+            out[k] = ids
+        which = np.flatnonzero(~odd)
+        if not len(which):
+            return out
+        text = lambda t: pa.scalar(t, pa.large_string())
+        split = pc.split_pattern(pc.binary_join_element_wise(text(_FIRST), texts.take(pa.array(which)), text("")), " ")
+        flat = split.flatten().dictionary_encode()
+        words = flat.dictionary.to_numpy(zero_copy_only=False).tolist()
+        got = list(map(memo.get, words))
+        if None in got:
+            fresh = self._new({w for w, x in zip(words, got) if x is None})
+            got = [fresh[w] if x is None else x for w, x in zip(words, got)]
+            memo.update((w, x) for w, x in fresh.items() if len(w) <= _LONG and w[:1] != _FIRST)
+        ids = pa.array(got, pa.large_binary()).take(flat.indices)
+        at = np.frombuffer(ids.buffers()[1], np.int64)[split.offsets.to_numpy()].tolist()
+        data = memoryview(ids.buffers()[2] or b"")
+        for k, a, z in zip(which.tolist(), at, at[1:]):
+            out[k] = bytes(data[a:z])
+        return out
 
 
 @functools.lru_cache(2)
@@ -109,21 +123,22 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-_RAW = "shard int, block int, base long, doc_ids binary, sizes binary, ids binary, counts binary"
+_RAW = "shard long, block int, base long, doc_ids binary, sizes binary, ids binary, counts binary"
 
 
 def tokenize(docs: DataFrame, path: str, n_parts: int) -> DataFrame:
     """Blocks of raw ids, each document followed by END_ID; sorted by doc_id, ties by text, nulls first.
-    A shard's last row (block null) has the counts of its ids."""
+    A shard is a range of doc_id, named by its first (the least integer for null). Its last row (block null)
+    has the counts of its ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, shard = word_encoder(path), TaskContext.get().partitionId()
+        encode, shard = word_encoder(path), None
         end = np.array([END_ID], "<u4").tobytes()
         keys: list[int | None] = []
         ids: list[bytes] = []
         size = base = block = 0
         total = np.zeros(0, np.int64)
-        kinds, names = (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4), [x.split()[0] for x in _RAW.split(", ")]
+        kinds, names = (pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 4), [x.split()[0] for x in _RAW.split(", ")]
 
         def close():
             nonlocal keys, ids, size, base, block, total
@@ -142,9 +157,12 @@ def tokenize(docs: DataFrame, path: str, n_parts: int) -> DataFrame:
             return out
 
         for b in batches:
-            for i in range(0, b.num_rows, 512):
-                part = b.slice(i, 512)
-                for k, x in zip(part.column(0).to_pylist(), encode([t or "" for t in part.column(1).to_pylist()])):
+            for i in range(0, b.num_rows, 1024):
+                part = b.slice(i, 1024)
+                if shard is None:
+                    shard = part.column(0)[0].as_py()
+                    shard = NULL_SHARD if shard is None else shard
+                for k, x in zip(part.column(0).to_pylist(), encode(part.column(1))):
                     keys.append(k)
                     ids.append(x + end)
                     size += len(x) // 4 + 1
@@ -259,7 +277,7 @@ def unpack(payload: bytes, offsets: np.ndarray, n: int, table: np.ndarray) -> np
     return out.T.reshape(-1)[:n]
 
 
-_BLOCKS = "shard int, block int, base long, n_ids long, doc_ids binary, sizes binary, offsets binary, payload binary"
+_BLOCKS = "shard long, block int, base long, n_ids long, doc_ids binary, sizes binary, offsets binary, payload binary"
 
 
 def huffman_blocks(raw: DataFrame, lengths: np.ndarray) -> DataFrame:
@@ -282,7 +300,7 @@ def write_ids(spark: SparkSession, docs: DataFrame, path: str, scratch: Scratch)
 
     Texts are tokenized once: raw ids are written first and deleted when the codes are. The driver gets
     a count per id of the vocabulary and no more."""
-    raw = scratch.write(tokenize(docs, path, parts(spark)), "raw", compression="snappy", few_files=False)  # a shard is a task
+    raw = scratch.write(tokenize(docs, path, parts(spark)), "raw", compression="snappy")
     got = count_ids(raw).collect()  # at most one row per id
     counts = np.zeros(max([r.id for r in got], default=0) + 1, np.int64)
     counts[[r.id for r in got]] = [r.n for r in got]
@@ -324,5 +342,6 @@ def id_digests(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
 
     Null and empty texts have the end id alone; rows with equal doc_ids follow each other by text;
     null doc_ids come first; an empty table gives no rows."""
-    blocks, lengths = write_ids(spark, docs, path, Scratch(spark, "ids"))
-    return read_ids(blocks, lengths, digest=True)
+    scratch = Scratch(spark, "ids")
+    blocks, lengths = write_ids(spark, docs, path, scratch)
+    return scratch.write(read_ids(blocks, lengths, digest=True), "digests")

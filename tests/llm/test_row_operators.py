@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from meshlake.llm import byte_bpe, chat_format, quality_classifier, quality_rules, secret_scan, token_output
@@ -108,10 +109,10 @@ def test_words_and_pieces(monkeypatch):
     other.encode_special_tokens = True
     monkeypatch.setattr(token_output, "WORDS", 20)
     rng = np.random.default_rng(6)
-    parts = ["a", "the", "the,", "it's.", "..", "a1,", "é!", "-x:", "\n", " ", "  ", "\t", "'s", "don't", "12", "!?", "é", "\u00a0", "\u2028", "<|endoftext|>", "x" * 80, "\n\n", ".\nThe"]
+    parts = ["a", "the", "the,", "it's.", "..", "a1,", "é!", "-x:", "\n", " ", "  ", "\t", "'s", "don't", "12", "!?", "é", "\u00a0", "\u2028", "<|endoftext|>", "x" * 80, "\x01", "\n\n", ".\nThe"]
     texts = ["", *filter(None, PAIN), *("".join(rng.choice(parts, rng.integers(1, 30))) for _ in range(300)), *(" ".join(rng.choice(parts, rng.integers(1, 30))) for _ in range(300))]
     for i in range(0, len(texts), 7):
-        for t, got in zip(texts[i : i + 7], own(texts[i : i + 7])):
+        for t, got in zip(texts[i : i + 7], own(pa.array(texts[i : i + 7], pa.string()))):
             assert np.frombuffer(got, "<u4").tolist() == other.encode(t, add_special_tokens=False).ids
 
 
