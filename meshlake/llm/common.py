@@ -12,8 +12,10 @@ from .textnum import release
 
 #: The white space that separates words.
 WORD_BREAKS = r"[\x20\x09-\x0D]+"
-#: While a step runs: its shuffle files go with it, and batches of texts sent to Python stay small.
-_STEP = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+#: Batches of texts and packed rows between Spark and Python: 1000 rows or 16 MB.
+_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20), "spark.sql.parquet.columnarReaderBatchSize": "256"}
+#: A step's shuffle files go with it.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,10 +37,18 @@ def shared_dir(spark: SparkSession) -> str:
     return shared_dir.own
 
 
+#: Shuffle partitions that share a writing task, and so a file.
+PARTS_A_FILE = 4
+
+
 def few(df: DataFrame) -> DataFrame:
-    """No more tasks in the last step than the cluster has cores, so that what it writes isn't cut into more
-    files than its writers call for. With fewer partitions than cores nothing changes."""
-    return df.coalesce(max(6, df.sparkSession.sparkContext.defaultParallelism))
+    """Fewer, larger files: several shuffle partitions to a writing task, one after another, though never
+    fewer tasks than the cluster has cores. The number grows with the session's partitions, so with the data.
+    The session keeps small batches for Python from here on, as the caller runs what is returned."""
+    spark = df.sparkSession
+    for k, v in _BATCHES.items():
+        spark.conf.set(k, v)
+    return df.coalesce(max(6, spark.sparkContext.defaultParallelism, parts(spark) // PARTS_A_FILE))
 
 
 class Scratch:
@@ -49,19 +59,15 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
-    def write(self, df: DataFrame, name: str, partition_by: str | None = None, compression: str = "zstd", few_files: bool = True) -> DataFrame:
-        """``few_files``: see below."""
+    def write(self, df: DataFrame, name: str, partition_by: str | None = None, compression: str = "zstd") -> DataFrame:
         path, conf = f"{self.root}/{name}", self.spark.conf
-        before = {k: conf.get(k, None) for k in _STEP}
-        for k, v in _STEP.items():
-            conf.set(k, v)
+        before = conf.get(_CLEANUP, None)
+        conf.set(_CLEANUP, "true")
         try:
-            rows = few(df) if few_files else df
-            out = rows.write.option("compression", compression)
+            out = few(df).write.option("compression", compression)
             (out.partitionBy(partition_by) if partition_by else out).parquet(path)
         finally:
-            for k, v in before.items():
-                conf.unset(k) if v is None else conf.set(k, v)
+            conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
     def drop(self, name: str = "") -> None:
@@ -96,10 +102,10 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, name: st
     while not live.isEmpty():
         k += 1
         both = live.select(F.col("a").alias("node"), F.col("b").alias("to")).unionByName(live.select(F.col("b").alias("node"), F.col("a").alias("to")))
-        hook = scratch.write(both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("up")), f"{name}-h{k}")
+        hook = both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("up"))
         # a hook may itself be hooked: one more step shortens the chains
         top = hook.select(F.col("node").alias("up"), F.col("up").alias("up2"))
-        hook = scratch.write(hook.join(top, "up", "left").select("node", F.coalesce("up2", "up").alias("up")), f"{name}-g{k}")
+        hook = scratch.write(hook.join(top, "up", "left").select("node", F.coalesce("up2", "up").alias("up")), f"{name}-h{k}")
         ha, hb = hook.select(F.col("node").alias("a"), F.col("up").alias("a2")), hook.select(F.col("node").alias("b"), F.col("up").alias("b2"))
         live = scratch.write(
             live.join(ha, "a").join(hb, "b").where(F.col("a2") != F.col("b2")).select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct(),

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, filter_texts
+from .common import Scratch, filter_texts, parts
 from .textnum import release, windows, word_hashes
 
 #: Random features, kernel width in standard deviations, ridge, seed, bins of raw scores for calibration.
@@ -93,8 +93,7 @@ def _summed(df: DataFrame, column: str, fold) -> bytes | None:
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["x"])
 
-    n = df.rdd.getNumPartitions()
-    middle = max(1, math.isqrt(n))
+    middle = max(1, math.isqrt(parts(df.sparkSession)))
     out = df.mapInArrow(fold, "x binary").repartition(middle).mapInArrow(run, "x binary").coalesce(1).mapInArrow(run, "x binary").collect()
     return bytes(out[0].x) if out else None
 
@@ -201,8 +200,7 @@ def train_and_score(spark: SparkSession, docs: DataFrame, labels: DataFrame, scr
     twice counts twice; rows with equal or null doc_ids are scored each."""
     stats = scratch.write(with_stats(docs), "stats")
     rows = labels.where(F.col("quality").isNotNull() & ~held_out()).select("doc_id", "quality")
-    labelled = scratch.write(stats.join(rows, "doc_id").select("stats", "quality"), "labelled")
-    model = fit(labelled)
+    model = fit(stats.join(rows, "doc_id").select("stats", "quality"))
     return score_stats(stats, model), model
 
 
