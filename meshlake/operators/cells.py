@@ -103,10 +103,9 @@ def blend_seams(mesh: DataFrame, shared: Column) -> DataFrame:
 def identify_poles(mesh: DataFrame, shared: Column) -> DataFrame:
     """Nodes of a pole's row are one point: the mean over all sections if any node of the row is shared, else
     per section. The last column repeats the first; missing nodes stay missing."""
-    last_i, last_j = F.max("i").over(W.partitionBy()), F.max("j").over(W.partitionBy("h", "i"))
+    last_j = F.max("j").over(W.partitionBy("h", "i"))
     rows = mesh.select("i").agg(F.max("i").alias("top"))
     d = mesh.crossJoin(F.broadcast(rows))  # one row
-    del last_i
     pole = (F.col("i") == 0) | (F.col("i") == F.col("top"))
     row, own = W.partitionBy("i"), W.partitionBy("h", "i")
     d = d.withColumn("any_shared", F.max(shared).over(row))
