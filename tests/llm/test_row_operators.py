@@ -11,7 +11,6 @@ import pyarrow as pa
 import pytest
 
 from meshlake.llm import byte_bpe, chat_format, quality_classifier, quality_rules, secret_scan, token_output
-from meshlake.llm.common import Scratch
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, ids int"
 PAIN = [
@@ -200,4 +199,3 @@ def test_classifier(spark, docs, empty):
 def test_isotonic():
     at, value = quality_classifier.isotonic(np.arange(5.0), np.array([1.0, 0, 3, 2, 5]), np.array([5.0] * 5))
     assert (np.diff(value) >= 0).all() and np.isclose(value, [0.1, 0.5, 1.0]).all() and (np.diff(at) > 0).all()
-    assert Scratch is not None
