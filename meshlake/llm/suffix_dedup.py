@@ -13,7 +13,9 @@ differ (at the ends of shared passages) are compared window by window: their win
 aggregated to the smallest document. Runs and windows are compared by hashes of 96 and 64 bits.
 
 Each task keeps one row per distinct run of its batch, so that copies shrink before the shuffle; of an anchor
-with very many different runs only ``HOT`` go to the arrays and all are compared window by window."""
+with very many different runs only ``HOT`` go to the arrays and all are compared window by window. A run in an
+array that was asked about marks its anchor: whatever else has that anchor is asked about too, as some of its runs
+are in no array."""
 
 from __future__ import annotations
 
@@ -118,7 +120,8 @@ class Runs:
 
 def resolve(runs: Runs) -> tuple[Runs, np.ndarray, np.ndarray, np.ndarray]:
     """The runs sorted by hash; which an earlier document has whole; which share their anchor with a
-    different run of another document; which exceed ``HOT`` runs of an anchor."""
+    different run of another document, or with more than ``HOT`` or with any asked about; which exceed ``HOT``
+    runs of an anchor."""
     runs = runs.take(np.argsort(runs.hashes, kind="stable"))
     n, h = len(runs.docs), runs.hashes
     cut, differs, hot = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, bool)
@@ -138,6 +141,7 @@ def resolve(runs: Runs) -> tuple[Runs, np.ndarray, np.ndarray, np.ndarray]:
         starts = np.flatnonzero(fresh)
         kinds = np.add.reduceat(new.astype(np.int64), starts)
         many = (kinds > 1) & (np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts))
+        many |= (kinds > HOT) | (np.maximum.reduceat(runs.asked[at], starts) > 0)
         differs[at] = many[anchor] & (doc == least)
         hot[at] = (first - first[starts][anchor] >= HOT) & (doc == least)
     return runs, cut, differs, hot
@@ -171,6 +175,9 @@ def suffix_arrays(docs: DataFrame, buckets: int) -> DataFrame:
             nonlocal held, size
             runs, cut, _, hot = resolve(Runs.join(held))
             held, size = [], 0
+            # no later array tells that these anchors have more runs, so all of them are asked about here
+            ask = ~cut & np.isin(runs.hashes, runs.hashes[hot]) if hot.any() else hot
+            runs.asked[ask] = 1
             keep = runs.take(~cut & ~hot)
             edge = np.searchsorted(keep.hashes, (np.arange(buckets, dtype=np.float64) * (2.0**64 / buckets)).astype(np.uint64))
             edge = np.append(edge, len(keep.hashes))
@@ -178,8 +185,8 @@ def suffix_arrays(docs: DataFrame, buckets: int) -> DataFrame:
             some = int(runs.docs[0] % buckets)
             if cut.any():
                 rows.append(_joined_spans(runs.take(cut)).row(CUT, some))
-            if hot.any():
-                rows.append(runs.take(hot).row(ASK, some))
+            if ask.any():
+                rows.append(runs.take(ask).row(ASK, some))
             del runs, keep
             release()
             return _batch(rows)

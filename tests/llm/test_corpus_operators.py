@@ -99,6 +99,30 @@ def test_hot_anchors_stay_exact(monkeypatch):
     assert cut.tolist() == [False, True, False, False, False, False] and differs.sum() == 5 and hot.sum() == 3
 
 
+def hot_corpus():
+    """A long text with one anchor in 1500 contexts, and a short one that shares a piece of one."""
+    rng = np.random.default_rng(0)
+    letters = lambda k: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), k))
+    some = letters(200_000)
+    sums, (_, down) = textnum.prefix_sums(np.frombuffer(some.encode(), np.uint8)), textnum.powers(len(some) + 1)
+    least = int(np.argmin(textnum.mix((sums[24:] - sums[:-24]) * down[: len(some) - 23])))
+    blocks = [letters(30) + some[least : least + 24] + letters(30) for _ in range(1500)]
+    return "".join(blocks), letters(20) + blocks[2][12:72] + letters(20)
+
+
+@pytest.mark.parametrize("ids", [(1, 2), (2, 1)])
+def test_hot_anchors_of_one_long_document(spark, ids):
+    rows = [*zip(ids, hot_corpus()), *[(d, f"text {d}") for d in range(100, 120)]]  # both in the first batch
+    got = Counter(map(tuple, suffix_dedup.dedup_digests(spark, frame(spark, rows).coalesce(1)).collect()))
+    assert got == Counter(brute_suffixes(rows)) and any(r[0] == 2 and r[2] > 0 for r in got)
+
+
+def test_an_asked_anchor_asks_for_the_rest():
+    n = 2  # both of one document, the first kept of an anchor whose hot runs are in no array
+    runs = suffix_dedup.Runs(hashes=np.full(n, 7, np.uint64), checks=np.array([1, 2], np.uint64), docs=np.array([1, 1]), tags=np.array([1, 2], np.uint64), starts=np.zeros(n, np.int64), lengths=np.ones(n, np.int64), asked=np.array([1, 0], np.uint64), old=np.zeros(n, bool))
+    assert suffix_dedup.resolve(runs)[2].all()
+
+
 def shingles(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
