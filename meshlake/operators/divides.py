@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 import heapq
+import itertools
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -92,12 +93,13 @@ def highest_path(z: dict[tuple[int, int], float], start: tuple[int, int], ends:
     raise ValueError("no path leads to the end")
 
 
-def bottleneck(spark, elevation: DataFrame, starts: DataFrame, columns: int, rounds: int = 50, blocked: DataFrame | None = None, checkpoint=None) -> DataFrame:
+def bottleneck(spark, elevation: DataFrame, starts: DataFrame, columns: int, rounds: int | None = None, blocked: DataFrame | None = None, checkpoint=None) -> DataFrame:
     """``i, j, z``: the greatest least elevation of any path from the starts to each node: labels spread to
-    neighbours and only rise, until none changes. Each round is written by ``checkpoint(df, name)`` if given."""
+    neighbours and only rise, until none changes, a cell a round. Labels that still rise after ``rounds``, if given, are an error. Each
+    round is written by ``checkpoint(df, name)`` if given."""
     label = elevation.join(starts.select("i", "j", F.lit(True).alias("s")), ["i", "j"], "left").select("i", "j", F.col("z").alias("own"), F.when(F.col("s"), F.col("z")).alias("z"))
     move = F.explode(F.array(*[F.struct(F.lit(a).alias("di"), F.lit(b).alias("dj")) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b])).alias("m")
-    for k in range(rounds):
+    for k in itertools.count():
         sent = label.where("z is not null").select("i", "j", "z", move).select("i", "j", "z", "m.di", "m.dj")
         if blocked is not None:
             sent = sent.join(blocked, ["i", "j", "di", "dj"], "left_anti")
@@ -108,6 +110,8 @@ def bottleneck(spark, elevation: DataFrame, starts: DataFrame, columns: int, rou
         nxt = checkpoint(nxt, f"round-{k}") if checkpoint else nxt.checkpoint()
         if nxt.where("changed").isEmpty():
             break
+        if k + 1 == rounds:
+            raise RuntimeError(f"labels still rise after {rounds} rounds")
         label = nxt.drop("changed")
     return label.select("i", "j", "z")
 

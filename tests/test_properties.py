@@ -200,6 +200,18 @@ def test_highest_path_has_the_best_bottleneck(spark):
     assert min(z[p] for p in path) == reach[6, 6]
 
 
+def test_bottleneck_follows_long_paths(spark):
+    # a ring of 70 cells with a low one beside the start: the best path to those behind it goes round, 64 steps
+    z = [1.0 if j == 5 else 100.0 - j for j in range(70)]
+    ring = spark.createDataFrame([(0, j, v) for j, v in enumerate(z)], "i int, j int, z double").coalesce(1)
+    start = spark.createDataFrame([(0, 0)], "i int, j int")
+    write = lambda df, _: df.localCheckpoint()
+    got = {r.j: r.z for r in divides.bottleneck(spark, ring, start, 70, checkpoint=write).collect()}
+    assert got == {j: max(min(z[: j + 1]), min([z[0], *z[j:]])) for j in range(70)}
+    with pytest.raises(RuntimeError):
+        divides.bottleneck(spark, ring, start, 70, rounds=5, checkpoint=write)
+
+
 def test_round_trips(spark, tmp_path):
     m, ring = fixtures.mesh(spark), spark.createDataFrame([(0, 0, 1.0, 2.0)], "h int, seq int, lat double, lon double")
     sinks.save_mesh(m, ring, f"{tmp_path}/mesh")
