@@ -264,6 +264,17 @@ def test_fit_lowers_the_energy(spark):
     assert fitted.count() == start.count() and fitted.where("x is null").count() == 0
 
 
+def test_fit_reports_what_is_not_fitted(spark):
+    from meshlake.plans.fit import Infeasible, fit_mesh
+    from meshlake.plans.mesh_queries import _weights
+
+    start, w = fixtures.mesh(spark, sections=1), _weights(spark).where("h = 0")
+    with pytest.raises(Infeasible):  # mirrored, so all areas are negative
+        fit_mesh(spark, start.withColumn("x", -F.col("x")), w, 22.5, 22.5, 1e-6, 1)
+    with pytest.raises(optimize.TooManySteps):
+        fit_mesh(spark, start, w, 22.5, 22.5, 1e-12, 3)
+
+
 def test_drainage_divides_meet():
     rng = np.random.default_rng(6)
     z = {(i, j): float(v) for (i, j), v in np.ndenumerate(rng.integers(1, 50, (9, 12)))}
