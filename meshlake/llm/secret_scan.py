@@ -25,9 +25,14 @@ _WORDS = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w)
 ASSIGN = re.compile(rf"""(?:{_WORDS})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # runs are maximal, so shorter ones drop as they would later
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----([A-Za-z0-9+/=\s]{16,}?)-----END \1-----")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----((?:[A-Za-z0-9+/=\s]|\\[nr]){16,}?)-----END \1-----")
 JWT = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*")
-BASE64 = re.compile(r"[A-Za-z0-9+/]{64,}={0,2}")
+# Candidates for keys: hex of either case, and base64 of either alphabet over lines, whose ends may be escaped.
+KEYHEX = re.compile(r"[0-9A-Fa-f]{32,}")
+_STARTS = ("MI", "MC", "MD", "ME", "MF", "MG", "MH", "b3")
+_BREAK = r"(?:\r?\n|(?:\\r)?\\n)[\x20\t]*"
+KEY64 = [re.compile(rf"(?<!{c})(?={'|'.join(_STARTS)}){c}{{64,}}(?:{_BREAK}{c}+)*={{0,2}}") for c in ("[A-Za-z0-9+/]", "[A-Za-z0-9_-]")]
+_BLANK = re.compile(r"\\[nr]|\s")
 
 
 def _der_items(data: bytes, at: int, end: int, depth: int) -> int | None:
@@ -76,7 +81,7 @@ def is_openssh(data: bytes) -> bool:
 
 
 def _decode64(text: str, urlsafe: bool = False) -> bytes | None:
-    text = "".join(text.split()).rstrip("=")
+    text = _BLANK.sub("", text).rstrip("=")
     try:
         return (base64.urlsafe_b64decode if urlsafe else base64.b64decode)(text + "=" * (-len(text) % 4))
     except (binascii.Error, ValueError):
@@ -87,6 +92,25 @@ def _is_key(data: bytes | None) -> bool:
     return bool(data) and (is_der(data) or is_openssh(data))
 
 
+def _key_end(text: str, urlsafe: bool) -> int | None:
+    """Where a key that starts a candidate ends: at one of its line ends, the last that fits."""
+    ends = [len(text), *[m.start() for m in re.finditer(_BREAK, text)][::-1]]
+    if text.startswith("b3") and not (_decode64(text[:20], urlsafe) or b"").startswith(b"openssh-key-v1"):
+        return None
+    if text.startswith("M") and len(ends) > 1:  # the header of a DER key tells how many letters it takes
+        head = _decode64(text[:8], urlsafe) or b""
+        width = head[1] & 0x7F if head[1] & 0x80 else 0
+        need = (2 + width + (int.from_bytes(head[2 : 2 + width], "big") if width else head[1])) * 4
+        left, at = -(-need // 3), 0
+        for m in re.finditer(rf"{_BREAK}|.", text):
+            left -= len(m[0]) == 1 and not m[0].isspace()
+            if left == 0:
+                at = m.end()
+                break
+        ends = [at + len(text[at : at + 2]) - len(text[at : at + 2].lstrip("="))] if at else []
+    return next((z for z in ends if _is_key(_decode64(text[:z], urlsafe))), None)
+
+
 def _json_object(part: str) -> dict | None:
     try:
         got = json.loads(_decode64(part, True) or b"")
@@ -108,14 +132,15 @@ def scan_text(text: str) -> list[tuple[str, int, int]]:
     out += [("access", *m.span()) for m in ACCESS.finditer(text) if len(m[0]) >= 16]
     for m in HEX.finditer(text):
         out.append(("hex", *m.span()))
-        if len(m[0]) % 2 == 0 and _is_key(bytes.fromhex(m[0])):
-            out.append(("keyhex", *m.span()))
+    spans = {m.span() for p in (HEX, KEYHEX) for m in p.finditer(text)}
+    out += [("keyhex", a, z) for a, z in spans if (z - a) % 2 == 0 and _is_key(bytes.fromhex(text[a:z]))]
     if "-----BEGIN " in text:
         out += [("pem", *m.span()) for m in PEM.finditer(text) if _is_key(_decode64(m[2]))]
     if "eyJ" in text:
         out += [("jwt", *m.span()) for m in JWT.finditer(text) if is_signed_token(m[0])]
-    out += [("key64", *m.span()) for m in BASE64.finditer(text) if m[0][:2] in ("MI", "MC", "MD", "ME", "MF", "MG", "MH", "b3") and _is_key(_decode64(m[0]))]
-    out.sort(key=lambda s: (s[1], KINDS.index(s[0])))
+    keys = {(m.start(), m.start() + z) for k, p in enumerate(KEY64) for m in p.finditer(text) if (k == 0 or "-" in m[0] or "_" in m[0]) and (z := _key_end(m[0], k == 1)) is not None}
+    out += [("key64", a, z) for a, z in keys]
+    out.sort(key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
     return out
 
 

@@ -127,6 +127,26 @@ def test_huffman_codes():
             assert (token_output.unpack(payload, offsets, len(ids), token_output.decode_table(lengths)) == ids).all()
 
 
+def test_keys_in_other_spellings():
+    import base64
+
+    der = b"\x30\x82\x01\x01" + b"\x04\x7c" + b"\xff\xfe\xfb\xef" * 31 + b"\x04\x81\x80" + b"\xfb\xff" * 64
+    der = der[:2] + (len(der) - 4).to_bytes(2, "big") + der[4:]
+    assert secret_scan.is_der(der)
+    flat, url = base64.b64encode(der).decode(), base64.urlsafe_b64encode(der).decode()
+    wrap = lambda k, by: by.join(flat[i : i + k] for i in range(0, len(flat), k))
+    pem = lambda by: by.join(["-----BEGIN PRIVATE KEY-----", wrap(64, by), "-----END PRIVATE KEY-----"])
+    cases = [("keyhex", der.hex()), ("keyhex", der.hex().upper()), ("key64", flat), ("key64", url), ("key64", url.rstrip("=")), *(("key64", wrap(k, by)) for k in (64, 76) for by in ("\n", "\r\n", "\\n", "\n  ")), *(("pem", pem(by)) for by in ("\n", "\\n", "\\r\\n"))]
+    for kind, key in cases:
+        for tail in (" end", "\nword\nmore"):
+            text = f'see "{key}' + tail
+            assert (kind, 5, 5 + len(key)) in secret_scan.scan_text(text), (kind, key)
+            assert secret_scan.clean_text(text) == 'see "[SECRET]' + tail
+    magic = b"openssh-key-v1\0" + (b"\0\0\0\x04none" * 2) + bytes(4) + bytes(range(150))
+    key = "\n".join(base64.b64encode(magic).decode()[i : i + 70] for i in range(0, 248, 70))
+    assert ("key64", 0, len(key)) in secret_scan.scan_text(key + " end")
+
+
 def test_secrets(spark, docs, empty):
     import base64
     import json
