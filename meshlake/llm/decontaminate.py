@@ -8,8 +8,10 @@ window that a quarter of n edits turns into it. Steps:
 2. Window and item are embedded by the CGK random walk, which maps edit distance to Hamming distance:
    three steps a word, each writes the current word and moves on if a random bit of (step, word) says so.
 3. Bit sampling: the pair goes on if it agrees on all ``SAMPLE`` sampled places in one of the repetitions,
-   over several walks. The repetitions are set when fitting, on edited copies of the items at the
-   very threshold, so that the target recall is reached.
+   over several walks. Blanks after a text's end count as places that agree, so unrelated windows often
+   go on too; they cost time in step 4 and no result. The repetitions are set when fitting, on edited copies
+   of at most 500 items of a pass at the very threshold, so that the target recall is reached on these; if
+   no number of repetitions reaches it, all windows go on.
 4. The edit distance is computed exactly, bit-parallel, over the windows' surroundings."""
 
 from __future__ import annotations
@@ -100,8 +102,8 @@ class Items:
         self.places = np.random.default_rng(5).random((WALKS, MOST, SAMPLE))
         self.repeats = self._calibrate()
 
-    def _calibrate(self) -> int:
-        """Repetitions that reach the recall on items edited up to the threshold."""
+    def _calibrate(self) -> int | None:
+        """Repetitions that reach the recall on 500 items at most, edited up to the threshold; none if none do."""
         rng = np.random.default_rng(9)
         own = [int(i) for i in rng.permutation(len(self.ids))[:500]]
         copies = []
@@ -116,10 +118,13 @@ class Items:
         for repeats in (4, 8, 16, 32, MOST):
             if self.agree(flat, first[:-1], first[:-1], first[1:], item, repeats).mean() >= RECALL:
                 return repeats
-        return MOST
+        return None
 
     def agree(self, h, start, low, high, item, repeats: int | None = None) -> np.ndarray:
         """Which windows agree with their item in some repetition of some walk."""
+        repeats = repeats or self.repeats
+        if repeats is None:
+            return np.ones(len(item), bool)
         out = np.zeros(len(item), bool)
         n = self.n[item]
         for k in range(WALKS):
@@ -127,7 +132,7 @@ class Items:
             if not len(rest):
                 break
             walk = embed(h, start[rest], low[rest], high[rest], n[rest], k, int(3 * n[rest].max())).astype(np.uint32)
-            for r in range(repeats or self.repeats):
+            for r in range(repeats):
                 hit = np.ones(len(rest), bool)
                 for u in self.places[k, r]:
                     j = (u * 3 * n[rest]).astype(np.int64)

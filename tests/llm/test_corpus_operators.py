@@ -217,6 +217,13 @@ def edit_distance(a, b):
     return min(row)
 
 
+def test_all_windows_go_on_if_the_recall_is_not_reached(monkeypatch):
+    monkeypatch.setattr(decontaminate, "SAMPLE", 60)
+    items = decontaminate.Items([(k, " ".join(f"w{k}x{j}" for j in range(40))) for k in range(30)])
+    h, n = np.concatenate(items.words[::-1]), np.arange(30) * 40
+    assert items.agree(h, n, n, n + 40, np.arange(30)).all()
+
+
 def test_decontamination(spark):
     rng = np.random.default_rng(4)
     words = ["".join(rng.choice(list("abcdefg"), rng.integers(1, 7))) for _ in range(150)]
