@@ -1,54 +1,5 @@
-"""A training-data pipeline over ``documents``: five stages, each written as Parquet and read again.
+"""The training-data pipeline over ``documents``; its stages are in ``meshlake.llm.pipeline``."""
 
-Stages take ``(spark, docs, sf_dir)``; all but the last return the columns of documents. The classifier
-learns from all labelled documents outside the held-out fifth."""
+from meshlake.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
-
-from meshlake.llm import byte_bpe, decontaminate, jaccard_join, quality_classifier, secret_scan
-from meshlake.llm.common import Scratch, few, table
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
-    return few(quality_classifier.keep_good(spark, docs, table(spark, sf_dir, "labels")))
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return few(jaccard_join.keep_one(spark, docs))
-
-
-def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a benchmark item go."""
-    return few(decontaminate.drop_leaks(spark, docs, table(spark, sf_dir, "benchmark")))
-
-
-def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced in the texts; the documents stay."""
-    return few(secret_scan.redact(docs))
-
-
-def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, ids``: the ids of what is left, as little-endian unsigned 32-bit integers."""
-    return few(byte_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")))
-
-
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("quality classifier", quality), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", decontamination), ("secret scans", secrets), ("byte-level BPE", tokens),
-]
-
-#: The classifier and the tokenizer have no SQL form; tests compare the stages with plain versions.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scratch, docs = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = scratch.write(stage(spark, docs, sf_dir), f"stage-{k}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,39 +39,53 @@ def shared_dir(spark: SparkSession) -> str:
     return shared_dir.own
 
 
-#: Shuffle partitions that share a writing task, and so a file.
-PARTS_A_FILE = 4
-
-
-def few(df: DataFrame) -> DataFrame:
-    """Fewer, larger files: several shuffle partitions to a writing task, one after another, though never
-    fewer tasks than the cluster has cores. The number grows with the session's partitions, so with the data.
-    The session keeps small batches for Python from here on, as the caller runs what is returned."""
-    spark = df.sparkSession
-    for k, v in _BATCHES.items():
-        spark.conf.set(k, v)
-    return df.coalesce(max(6, spark.sparkContext.defaultParallelism, parts(spark) // PARTS_A_FILE))
+@contextlib.contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings for a while; the caller's come back."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 class Scratch:
     """Tables written to the shared folder, so that lost executors cost no more than the
     step at hand and no plan is computed twice. Shuffle files of a step are dropped once
-    its table is written."""
+    its table is written. Tables that no later step reads are dropped with ``drop`` or ``keep``; those that
+    a returned DataFrame reads stay, until ``release`` drops them for a caller that has written the result."""
+
+    made: list[Scratch] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.names: list[str] = []
+        Scratch.made.append(self)
 
     def write(self, df: DataFrame, name: str, partition_by: str | None = None, compression: str = "zstd") -> DataFrame:
-        path, conf = f"{self.root}/{name}", self.spark.conf
-        before = conf.get(_CLEANUP, None)
-        conf.set(_CLEANUP, "true")
-        try:
-            out = few(df).write.option("compression", compression)
+        path = f"{self.root}/{name}"
+        self.names.append(name)
+        with settings(self.spark, **{_CLEANUP: "true"}, **_BATCHES):
+            out = df.write.option("compression", compression)
             (out.partitionBy(partition_by) if partition_by else out).parquet(path)
-        finally:
-            conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
+    def keep(self, *names: str) -> None:
+        """Drop all tables but these."""
+        for name in [n for n in self.names if n not in names]:
+            self.drop(name)
+            self.names.remove(name)
+
+    @staticmethod
+    def release(since: int) -> None:
+        """Drop all tables of those made since ``len(Scratch.made)`` was ``since``."""
+        for one in Scratch.made[since:]:
+            one.drop()
+        del Scratch.made[since:]
+
     def drop(self, name: str = "") -> None:
         """Delete a table that no later step reads."""
         jvm = self.spark.sparkContext._jvm
@@ -86,15 +102,22 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def by_bytes(df: DataFrame, each: int) -> int:
+    """How many parts of ``each`` bytes a scanned table has by its files' size; 0 where that isn't known."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return -(-size // each) if size < 1 << 56 else 0
+
+
 def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
     """``(node, component)`` for every end of the edges ``(a, b)``: the smallest node reachable.
 
-    Contraction: each round every node hooks to its smallest neighbour or itself, edges are
-    mapped to the hooks, and loops and repeats go. Only minima are aggregated (partial sums
-    first, so a hub that a third of the edges share is no large group) and joins are plain
-    equi-joins that adaptive execution may split. Each round is written to the shared folder;
-    rounds grow with the logarithm of the longest path. Hooks of all rounds are then composed
-    from the last to the first."""
+    Contraction: each round every node hooks to its smallest neighbour or itself, hooks are followed to
+    their ends by doubling, edges are mapped to the ends, and loops and repeats go. A node that nobody hooks to and
+    that hooks to nobody lies, in the next round, beside a smaller one and hooks to that, so two rounds halve the
+    nodes at least: rounds grow with the logarithm of the nodes and doublings with that of the longest chain,
+    whatever the labels. Only minima are aggregated (partial sums first, so a hub that a third of the
+    edges share is no large group); joins read written tables, so adaptive execution may split hot keys. Hooks of
+    all rounds are then composed from the last to the first."""
     live = scratch.write(
         edges.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-e0"
     )
@@ -102,41 +125,51 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, name: st
     while not live.isEmpty():
         k += 1
         both = live.select(F.col("a").alias("node"), F.col("b").alias("to")).unionByName(live.select(F.col("b").alias("node"), F.col("a").alias("to")))
-        hook = both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("up"))
-        # a hook may itself be hooked: one more step shortens the chains
-        top = hook.select(F.col("node").alias("up"), F.col("up").alias("up2"))
-        hook = scratch.write(hook.join(top, "up", "left").select("node", F.coalesce("up2", "up").alias("up")), f"{name}-h{k}")
-        ha, hb = hook.select(F.col("node").alias("a"), F.col("up").alias("a2")), hook.select(F.col("node").alias("b"), F.col("up").alias("b2"))
-        live = scratch.write(
-            live.join(ha, "a").join(hb, "b").where(F.col("a2") != F.col("b2")).select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct(),
-            f"{name}-e{k}",
-        )
-        hooks.append(hook)
+        own = f"{name}-h{k}"
+        hook = scratch.write(both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("up")), own)
+        doubled = 0
+        while True:
+            inner = hook.where("node <> up").select(F.col("node").alias("up"), F.col("up").alias("up2"))
+            if hook.where("node <> up").join(inner, "up", "left_semi").isEmpty():
+                break
+            doubled += 1
+            further = scratch.write(hook.join(inner, "up", "left").select("node", F.coalesce("up2", "up").alias("up")), f"{name}-h{k}-{doubled}")
+            scratch.drop(own)
+            hook, own = further, f"{name}-h{k}-{doubled}"
+        moved = hook.where("node <> up")
+        ma, mb = moved.select(F.col("node").alias("a"), F.col("up").alias("a2")), moved.select(F.col("node").alias("b"), F.col("up").alias("b2"))
+        a, b = F.coalesce("a2", "a"), F.coalesce("b2", "b")
+        mapped = live.join(ma, "a", "left").join(mb, "b", "left").select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+        live = scratch.write(mapped.where("a <> b").distinct(), f"{name}-e{k}")
+        scratch.drop(f"{name}-e{k - 1}")
+        hooks.append((hook, own))
     if not hooks:
         return edges.select(F.col("a").alias("node"), F.col("a").alias("component")).where("false")
-    out = hooks[-1].select("node", F.col("up").alias("component"))
-    for i, hook in reversed(list(enumerate(hooks[:-1]))):
+    out, last = hooks[-1][0].select("node", F.col("up").alias("component")), hooks[-1][1]
+    for i, (hook, own) in reversed(list(enumerate(hooks[:-1]))):
         up = out.select(F.col("node").alias("up"), "component")
-        out = hook.join(up, "up", "left").select("node", F.coalesce("component", "up").alias("component"))
-        out = scratch.write(out, f"{name}-c{i}")
+        out = scratch.write(hook.join(up, "up", "left").select("node", F.coalesce("component", "up").alias("component")), f"{name}-c{i}")
+        scratch.drop(own), scratch.drop(last)
+        last = f"{name}-c{i}"
     return out
 
 
-#: Bits of an id filter: 8 MB at most, whatever the input.
-FILTER_BITS = 1 << 26
+#: Bits of an id filter: 16 an id, from 128 kB up to 128 MB, which is what a task ever holds of it.
+LEAST_BITS, MOST_BITS = 20, 30
 
 
 def maybe_in(ids: DataFrame, column: str = "doc_id"):
-    """A filter for rows whose id may be among ``ids``: a bitmap of fixed size of hashed ids, built by partial
-    aggregation. It keeps all that are, and some that aren't, so an exact join must follow; what it saves is
-    to shuffle the rest. It loses its effect, not its rightness, when ids fill the bitmap."""
+    """A filter for rows whose id may be among ``ids``: a bitmap of hashed ids, built by partial
+    aggregation and sized by their number. It keeps all that are, and some that aren't, so an exact join must follow;
+    what it saves is to shuffle the rest. Beyond some 10^9 ids it fills: it then loses its effect, not its rightness."""
     import numpy as np
     import pyarrow as pa
 
-    bit = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+    bits = 1 << min(MOST_BITS, max(LEAST_BITS, (16 * ids.count()).bit_length()))
+    bit = F.pmod(F.xxhash64(column), F.lit(bits))
     words = ids.select(bit.alias("b")).groupBy(F.shiftright("b", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("bits"))
-    got: pa.Table = words.toArrow()  # at most FILTER_BITS / 64 rows
-    bitmap = np.zeros(FILTER_BITS // 64, np.int64)
+    got: pa.Table = words.toArrow()  # at most bits / 64 rows
+    bitmap = np.zeros(bits // 64, np.int64)
     bitmap[got["word"].to_numpy()] = got["bits"].to_numpy()
     shared = ids.sparkSession.sparkContext.broadcast(bitmap)
 

@@ -1,6 +1,7 @@
 """Benchmark decontamination: documents with a window within a word edit distance of an item.
 
-Texts are lower-cased and cut into runs of letters and digits. An item of n words is found in every
+Texts are lower-cased and cut into runs of letters and digits; in scripts that put no blanks between words each
+character is a word. An item of n words is found in every
 window that a quarter of n edits turns into it. Steps:
 
 1. Windows as long as the item are placed wherever the document shares three consecutive words with it
@@ -11,11 +12,13 @@ window that a quarter of n edits turns into it. Steps:
    over several walks. Blanks after a text's end count as places that agree, so unrelated windows often
    go on too; they cost time in step 4 and no result. The repetitions are set when fitting, on edited copies
    of at most 500 items of a pass at the very threshold, so that the target recall is reached on these; if
-   no number of repetitions reaches it, all windows go on.
+   no number of repetitions reaches it, all windows go on (``Items.recall`` tells which). Items are walked by length class,
+   so that a long one doesn't lengthen the others' walks.
 4. The edit distance is computed exactly, bit-parallel, over the windows' surroundings."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,11 +32,20 @@ from .textnum import NOT_ALNUM, mix, windows, word_hashes
 LEAST_WORDS, EDITS, RECALL, WALKS, SAMPLE, MOST = 5, 0.25, 0.99, 4, 2, 64
 #: Bytes of item texts sent to the tasks at once; more items are searched in further passes.
 PASS_BYTES = 8 << 20
+#: Places of windows' walks at once.
+WALK_PLACES = 1 << 22
 _STEP_KEYS = np.random.default_rng(11).integers(1, 2**63, (WALKS, 1 << 16), dtype=np.uint64)
 
 
+# Blocks of scripts without blanks between words: Thai, Lao, Tibetan, Myanmar, Khmer, kana, Han.
+_UNSPACED = re.compile("([\u0e00-\u0eff\u0f00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U000323af])")
+
+
 def _normal(text: str | None) -> bytes:
-    return (text or "").lower().encode("utf-8", "replace")
+    text = (text or "").lower()
+    if not text.isascii():
+        text = _UNSPACED.sub(r" \1 ", text)
+    return text.encode("utf-8", "replace")
 
 
 def embed(h: np.ndarray, start: np.ndarray, low: np.ndarray, high: np.ndarray, n: np.ndarray, walk: int, steps: int) -> np.ndarray:
@@ -95,15 +107,23 @@ class Items:
                 self.seeds[q] = seed[order], item[order], place[order], sieve
         if not self.ids:
             return
-        self.steps = int(3 * self.n.max())
-        flat, self.first = np.concatenate(self.words), np.concatenate([[0], np.cumsum(self.n)])
-        # as 32 bits a place, items of a pass take a few times their text
-        self.walks = [embed(flat, self.first[:-1], self.first[:-1], self.first[1:], self.n, k, self.steps).astype(np.uint32) for k in range(WALKS)]
+        # items of a class differ by less than a factor of two in length, so with 32 bits a place the walks of all
+        # take some 24 bytes a word and walk
+        self.cls = np.array([int(n).bit_length() for n in self.n])
+        self.row, self.walks = np.zeros(len(self.n), np.int64), {}
+        for c in np.unique(self.cls):
+            own = np.flatnonzero(self.cls == c)
+            self.row[own] = np.arange(len(own))
+            flat, first = np.concatenate([self.words[i] for i in own]), np.concatenate([[0], np.cumsum(self.n[own])])
+            steps = int(3 * self.n[own].max())
+            self.walks[int(c)] = [embed(flat, first[:-1], first[:-1], first[1:], self.n[own], k, steps).astype(np.uint32) for k in range(WALKS)]
         self.places = np.random.default_rng(5).random((WALKS, MOST, SAMPLE))
+        self.recall, self.repeats = 0.0, None
         self.repeats = self._calibrate()
 
     def _calibrate(self) -> int | None:
-        """Repetitions that reach the recall on 500 items at most, edited up to the threshold; none if none do."""
+        """Repetitions that reach the recall on 500 items at most, edited up to the threshold; none if none do, as then
+        every window is verified. ``recall`` is what was measured."""
         rng = np.random.default_rng(9)
         own = [int(i) for i in rng.permutation(len(self.ids))[:500]]
         copies = []
@@ -116,8 +136,10 @@ class Items:
         flat, first = np.concatenate(copies), np.concatenate([[0], np.cumsum([len(w) for w in copies])])
         item = np.array(own)
         for repeats in (4, 8, 16, 32, MOST):
-            if self.agree(flat, first[:-1], first[:-1], first[1:], item, repeats).mean() >= RECALL:
+            self.recall = float(self.agree(flat, first[:-1], first[:-1], first[1:], item, repeats).mean())
+            if self.recall >= RECALL:
                 return repeats
+        self.recall = 1.0
         return None
 
     def agree(self, h, start, low, high, item, repeats: int | None = None) -> np.ndarray:
@@ -126,7 +148,14 @@ class Items:
         if repeats is None:
             return np.ones(len(item), bool)
         out = np.zeros(len(item), bool)
-        n = self.n[item]
+        for c in np.unique(self.cls[item]):
+            own = np.flatnonzero(self.cls[item] == c)
+            out[own] = self._agree(h, start[own], low[own], high[own], item[own], repeats, self.walks[int(c)])
+        return out
+
+    def _agree(self, h, start, low, high, item, repeats: int, walks: list[np.ndarray]) -> np.ndarray:
+        """For items of one class, whose walks are given."""
+        out, n, row = np.zeros(len(item), bool), self.n[item], self.row[item]
         for k in range(WALKS):
             rest = np.flatnonzero(~out)
             if not len(rest):
@@ -136,7 +165,7 @@ class Items:
                 hit = np.ones(len(rest), bool)
                 for u in self.places[k, r]:
                     j = (u * 3 * n[rest]).astype(np.int64)
-                    hit &= walk[j, np.arange(len(rest))] == self.walks[k][j, item[rest]]
+                    hit &= walk[j, np.arange(len(rest))] == walks[k][j, row[rest]]
                 out[rest[hit]] = True
         return out
 
@@ -149,8 +178,11 @@ class Items:
                 continue
             text, item, start = (np.concatenate(x) for x in zip(*got))
             key = np.unique(np.stack([text, item, start]), axis=1)
-            for a in range(0, key.shape[1], 1 << 14):
-                text, item, start = key[:, a : a + (1 << 14)]
+            # so many windows at once that their walks take WALK_PLACES places
+            ends = np.cumsum(3 * self.n[key[1]]) // WALK_PLACES
+            edges = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), key.shape[1]]
+            for a, z in zip(edges, edges[1:]):
+                text, item, start = key[:, a:z]
                 ok = self.agree(h, start, cut[text], cut[text + 1], item)
                 self._verify(h, cut, text[ok], item[ok], start[ok], first, found)
         return [(t, i, *v) for (t, i), v in sorted(found.items())]
@@ -203,19 +235,25 @@ def passes(benchmark: DataFrame) -> Iterator[Items]:
         yield Items(rows)
 
 
+def sent(spark: SparkSession, benchmark: DataFrame) -> Iterator:
+    """The passes, each broadcast from a file; the driver holds one at a time."""
+    for items in passes(benchmark):
+        if items.ids:
+            yield spark.sparkContext.broadcast(items)
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, item_id, edits, item_words, end_word``: each document and each item found in it.
 
     Whole texts are searched. Null and empty texts and documents without a match give no row; items
     under five words are not searched; repeated rows give repeated rows. One scan of the documents for
-    each pass of items, no shuffle."""
+    each pass of items (8 MB of texts, so most benchmarks are one pass), no shuffle."""
     schema = "doc_id long, item_id long, edits int, item_words int, end_word int"
     out = None
-    for items in passes(benchmark):
-        if not items.ids:
-            continue
+    for shared in sent(docs.sparkSession, benchmark):
 
-        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            items = shared.value
             for b in batches:
                 for i in range(0, b.num_rows, 1024):
                     part = b.slice(i, 1024)
@@ -232,13 +270,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no item is found, with their own columns; judged where the text is read."""
     out = docs
-    for items in passes(benchmark):
-        if not items.ids:
-            continue
+    for shared in sent(spark, benchmark):
 
-        def clean(texts: list[str | None], items=items) -> np.ndarray:
+        def clean(texts: list[str | None], shared=shared) -> np.ndarray:
             ok = np.ones(len(texts), bool)
-            ok[[t for t, _, _, _ in items.find(texts)]] = False
+            ok[[t for t, _, _, _ in shared.value.find(texts)]] = False
             return ok
 
         out = filter_texts(out, clean)

@@ -8,13 +8,15 @@
    first; linked classes share one in the prefix that a link cannot spare. Connected components over
    shared prefix shingles hold all links.
 4. Within a group, signature trees find the links (signature_tree.py). A large group is cut into blocks:
-   first each block by itself, then one member of each block's components, then all pairs of blocks that are
-   not yet one component. No pair of classes in different components is left out.
+   first each block by itself, then one member of each block's components, then pairs of blocks that are
+   not yet one component, hold sets of sizes that can link and share a prefix shingle. No pair of classes that can
+   link and is in different components is left out.
 
 Links are kept as a spanning forest, which gives the components."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,13 +26,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import signature_tree
-from .common import Scratch, components, maybe_in, parts
+from .common import Scratch, by_bytes, components, maybe_in, parts
 from .textnum import pack_planes, release, unpack_planes, windows, word_hashes
 
 #: Similarity as a fraction, words of a shingle, bits of a fingerprint, shingles of a packed batch.
 NUM, DEN, WORDS, PRINT_BITS, BATCH = 3, 4, 5, 44, 2_000_000
+#: Fingerprints have so many bits more than a table's size in bytes, if that is more than PRINT_BITS: few collide at any size.
+SPARE_BITS = 10
 #: Members and shingles of a block of a candidate group.
 BLOCK, BLOCK_TOKENS = 512, 1_000_000
+#: Blocks that share a shingle, up to which their pairs are listed shingle by shingle.
+COMMON = 32
+#: Bytes of a table for each bucket of fingerprints: a worker holds a bucket.
+BUCKET_BYTES = 64 << 20
 
 
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
@@ -51,12 +59,12 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
 _PACKED = "bucket int, batch long, n int, docs int, prints binary, owners binary, ids binary, sizes binary"
 
 
-def pack_prints(docs: DataFrame, buckets: int) -> DataFrame:
+def pack_prints(docs: DataFrame, buckets: int, bits: int = PRINT_BITS) -> DataFrame:
     """Per batch of texts: a row for each bucket with fingerprints and whose they are, and a row (bucket
     null) with the texts' ids and sizes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq = TaskContext.get().partitionId(), 0
+        part, seq, width = TaskContext.get().partitionId(), 0, -(-bits // 8)
         ids: list[int | None] = []
         sets: list[np.ndarray] = []
         held = 0
@@ -66,15 +74,16 @@ def pack_prints(docs: DataFrame, buckets: int) -> DataFrame:
             batch, seq = (part << 24) | seq, seq + 1
             size = np.array([len(s) for s in sets], np.int64)
             owner = np.repeat(np.arange(len(sets)), size)
-            prints = np.concatenate(sets) >> np.uint64(64 - PRINT_BITS)
+            prints = np.concatenate(sets) >> np.uint64(64 - bits)
             order = np.argsort(prints, kind="stable")
             prints, owner = prints[order], owner[order]
-            edge = np.searchsorted(prints, (np.arange(buckets + 1, dtype=np.float64) * (2.0**PRINT_BITS / buckets)).astype(np.uint64))
+            edge = np.searchsorted(prints, (np.arange(1, buckets, dtype=np.float64) * (2.0**bits / buckets)).astype(np.uint64))
+            edge = np.concatenate([[0], edge, [len(prints)]])
             rows = []
             for b in range(buckets):
                 p, o = prints[edge[b] : edge[b + 1]], owner[edge[b] : edge[b + 1]]
                 if len(p):
-                    rows.append((b, batch, len(p), len(sets), pack_planes(np.diff(p, prepend=np.uint64(0)), 6), pack_planes(o, 4), None, None))
+                    rows.append((b, batch, len(p), len(sets), pack_planes(np.diff(p, prepend=np.uint64(0)), width), pack_planes(o, 4), None, None))
             null = np.array([i is None for i in ids], np.uint8)
             rows.append((None, batch, 0, len(sets), None, None, np.array([i or 0 for i in ids], "<i8").tobytes() + null.tobytes(), size.astype("<i8").tobytes()))
             ids, sets, held = [], [], 0
@@ -100,7 +109,7 @@ def pack_prints(docs: DataFrame, buckets: int) -> DataFrame:
 _COUNTED = "batch long, docs int, shared binary, ids binary, sizes binary"
 
 
-def count_shared(packed: DataFrame, buckets: int) -> DataFrame:
+def count_shared(packed: DataFrame, buckets: int, bits: int = PRINT_BITS) -> DataFrame:
     """Per bucket and batch: how many of each text's fingerprints another text has too. Rows without a
     bucket pass through. A bucket's batches arrive one after another and are merged when it is complete."""
 
@@ -110,7 +119,7 @@ def count_shared(packed: DataFrame, buckets: int) -> DataFrame:
         now, held = None, []
 
         def merged():
-            prints = np.concatenate([np.cumsum(unpack_planes(p, n, 6)) for _, n, _, p, _ in held])
+            prints = np.concatenate([np.cumsum(unpack_planes(p, n, -(-bits // 8))) for _, n, _, p, _ in held])
             order = np.argsort(prints, kind="stable")  # merges sorted runs
             prints = prints[order]
             again = np.zeros(len(prints) + 1, bool)
@@ -191,8 +200,9 @@ def with_sets(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, tokens binary, set_id binary")
 
 
-def candidate_groups(spark: SparkSession, classes: DataFrame, scratch: Scratch) -> DataFrame:
-    """``(node, component)`` over classes ``(rep, n, tokens)`` that share a prefix shingle."""
+def candidate_groups(spark: SparkSession, classes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """``(node, component)`` over classes ``(rep, n, tokens)`` that share a prefix shingle, and ``(rep, token)``
+    of the prefixes."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -210,7 +220,7 @@ def candidate_groups(spark: SparkSession, classes: DataFrame, scratch: Scratch)
     prefix = scratch.write(shared.where(room > 0).select("rep", F.explode(F.slice("t", F.lit(1), F.greatest(room, F.lit(1)).cast("int"))["token"]).alias("token")), "prefix")
     first = prefix.groupBy("token").agg(F.min("rep").alias("a"), F.count("*").alias("k")).where("k > 1")
     edges = prefix.join(first, "token").select("a", F.col("rep").alias("b"))
-    return components(spark, edges, scratch, "groups")
+    return components(spark, edges, scratch, "groups"), prefix
 
 
 def tree_links(grouped: DataFrame, keys: list[str]) -> DataFrame:
@@ -251,7 +261,30 @@ def _blocks(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(size, keys).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
 
 
-def group_links(spark: SparkSession, classes: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFrame:
+def block_pairs(blocks: DataFrame, prefix: DataFrame) -> DataFrame:
+    """``(g, x, y)``: the pairs of blocks ``at`` of the rows ``g, rep, at`` that can hold a link, before any set is sent.
+
+    A block has sets of one component (its pool) or of many (pool -1), of one class of sizes: linked sets are of the
+    same or of neighbouring classes, as a class spans the factor within which sizes can link. And linked sets
+    share a prefix shingle: pairs are listed by shingle where few blocks have it; blocks with a shingle that more
+    have are paired with each other, which is a pair each and not one for each such shingle."""
+    own = prefix.join(blocks.select("rep", "g", "at"), "rep").groupBy("g", "token", "at").agg(F.count("*").alias("c"))
+    inner = (F.col("c") > 1) & (F.col("at.pool") == -1)
+    own = own.select("g", "token", "at", inner.alias("inner"))
+    common = own.groupBy("g", "token").agg(F.count("*").alias("blocks"), F.max("inner").alias("any")).where("blocks > 1 or any")
+    own = own.join(common, ["g", "token"])
+    rare, often = own.where(F.col("blocks") <= COMMON), own.where(F.col("blocks") > COMMON)
+
+    def paired(rows: DataFrame, keys: list[str]) -> DataFrame:
+        x, y = rows.select(*keys, F.col("at").alias("x")), rows.select(*keys, F.col("at").alias("y"))
+        return x.join(y, keys).select("g", "x", "y")
+
+    every = paired(rare, ["g", "token"]).unionByName(paired(often.select("g", "at").distinct(), ["g"]))
+    near = F.abs(F.col("x.cls") - F.col("y.cls")) <= 1
+    return every.where("x < y or (x = y and x.pool = -1)").where("x.pool <> y.pool or x.pool = -1").where(near).distinct()
+
+
+def group_links(spark: SparkSession, classes: DataFrame, groups: DataFrame, prefix: DataFrame, scratch: Scratch) -> DataFrame:
     member = classes.join(groups.withColumnsRenamed({"node": "rep", "component": "g"}).hint("merge"), "rep").select("g", "rep", "n", "tokens")
     member = scratch.write(_blocks(member, ["g"]), "members")
     found = scratch.write(tree_links(member.withColumn("comp", F.col("rep")), ["g", "block"]), "links-1")
@@ -270,17 +303,16 @@ def group_links(spark: SparkSession, classes: DataFrame, groups: DataFrame, scra
     now = scratch.write(labelled(found, "leaders"), "labelled")
     size = now.groupBy("g", "comp").agg(F.count("*").alias("c"))
     now = now.join(size, ["g", "comp"]).withColumn("pool", F.when(F.col("c") >= BLOCK // 4, F.col("comp")).otherwise(F.lit(-1).cast("long")))
-    now = scratch.write(_blocks(now.drop("c"), ["g", "pool"]).select("g", "rep", "n", "tokens", "comp", "pool", "block"), "pools")
-    block = now.select("g", "pool", "block").distinct()
-    x, y = block.select("g", F.struct("pool", "block").alias("x")), block.select("g", F.struct("pool", "block").alias("y"))
-    pair = x.join(y, "g").where("x < y or (x = y and x.pool = -1)").where("x.pool <> y.pool or x.pool = -1")
-    pair = scratch.write(pair.select("g", "x", "y"), "pairs")
+    # sizes that link differ by DEN / NUM at most, so their classes by one at most
+    now = now.withColumn("cls", F.floor(F.log("n") / math.log(DEN / NUM) + 1e-9).cast("int"))
+    now = _blocks(now.drop("c"), ["g", "pool", "cls"]).select("g", "rep", "n", "tokens", "comp", F.struct("pool", "cls", "block").alias("at"))
+    now = scratch.write(now, "pools")
+    pair = scratch.write(block_pairs(now, prefix), "pairs")
     if pair.isEmpty():
         return found
-    own = now.withColumn("at", F.struct("pool", "block"))
     both = pair.withColumn("at", F.explode(F.array_distinct(F.array("x", "y"))))
-    sent = own.join(both, ["g", "at"]).select("g", F.col("x.pool").alias("p1"), F.col("x.block").alias("b1"), F.col("y.pool").alias("p2"), F.col("y.block").alias("b2"), "rep", "comp", "tokens")
-    return found.unionByName(scratch.write(tree_links(sent, ["g", "p1", "b1", "p2", "b2"]), "links-3"))
+    sent = now.join(both, ["g", "at"]).select("g", "x", "y", "rep", "comp", "tokens")
+    return found.unionByName(scratch.write(tree_links(sent, ["g", "x", "y"]), "links-3"))
 
 
 def join_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -290,8 +322,9 @@ def join_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     has any text without a partner. Rows with one doc_id are one node: its component is the smallest
     doc_id reachable from any of them. A null doc_id is linked with nothing and has no component."""
     scratch, n = Scratch(spark, "jaccard"), parts(spark)
-    buckets = 2 * max(n, 8)
-    sizes = scratch.write(doc_sizes(count_shared(pack_prints(docs, buckets), buckets), n), "sizes")
+    buckets = max(2 * max(n, 8), by_bytes(docs.select("text"), BUCKET_BYTES))
+    bits = min(64, max(PRINT_BITS, SPARE_BITS + by_bytes(docs.select("text"), 1).bit_length()))
+    sizes = scratch.write(doc_sizes(count_shared(pack_prints(docs, buckets, bits), buckets, bits), n), "sizes")
     ids = sizes.where("candidate").select("doc_id").distinct()
     # the bitmap keeps most texts out of the shuffle; joins that carry texts or sets shuffle at every size
     rest = docs.select("doc_id", "text").where("doc_id is not null").where(maybe_in(ids))
@@ -301,15 +334,18 @@ def join_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     first = sets.join(by_set.withColumnRenamed("set_id", "s").hint("merge"), (F.col("set_id") == F.col("s")) & (F.col("doc_id") == F.col("rep")))
     # a doc_id may stand for several sets, so a class is a node of its own
     node = scratch.write(first.dropDuplicates(["set_id"]).select(F.xxhash64("set_id").alias("rep"), "n", "tokens", "set_id"), "classes")
-    groups = candidate_groups(spark, node, scratch)
-    found = group_links(spark, node, groups, scratch)
+    groups, prefix = candidate_groups(spark, node, scratch)
+    found = group_links(spark, node, groups, prefix, scratch)
     name = node.select(F.col("rep"), "set_id").join(by_set.withColumnRenamed("rep", "doc"), "set_id").select("rep", "doc")
     a = name.select(F.col("rep").alias("a"), F.col("doc").alias("da"))
     b = name.select(F.col("rep").alias("b"), F.col("doc").alias("db"))
     link = found.join(a, "a").join(b, "b").select(F.col("da").alias("a"), F.col("db").alias("b"))
     copy = member.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     joined = components(spark, link.unionByName(copy), scratch, "result").withColumnRenamed("node", "doc_id")
-    return sizes.join(joined, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    out = sizes.join(joined, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    out = scratch.write(out, "out")
+    scratch.keep("out")
+    return out
 
 
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -2,11 +2,22 @@
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
-_FENCE = """
-  select {keys} metric, max(total) total, min(case when 4 * upto >= total then bucket end) q1, min(case when 4 * upto >= 3 * total then bucket end) q3 from (
-    select {keys} metric, bucket, sum(n) over (partition by {keys} metric order by bucket) upto, sum(n) over (partition by {keys} metric) total
+_QUANTILES = """
+  select {keys} metric, max(docs) docs, min(case when 100 * upto >= 50 * docs then bucket end) mid, min(case when 100 * upto >= (100 - tail) * docs then bucket end) low, min(case when 100 * upto >= tail * docs then bucket end) high from (
+    select {keys} metric, bucket, case metric when 'dup_line_rate' then 95 else 90 end tail, sum(n) over (partition by {keys} metric order by bucket) upto, sum(n) over (partition by {keys} metric) docs
     from (select {keys} metric, bucket, sum(n) n from sketch group by {keys} metric, bucket)) group by {keys} metric"""
 
+
+def _drawn(x: str, parent: str) -> str:
+    return ", ".join(f"(({x}.docs * {x}.{q} + 20 * {parent}.{q}) // ({x}.docs + 20))::bigint {q}" for q in ("mid", "low", "high"))
+
+
+def _within(count: str, base: str, scale: int, fence: str, low: bool = False) -> str:
+    mean = f"(greatest({fence}, 0) * {base} / {scale}e0)"
+    off = f"({mean} - {count})" if low else f"({count} - {mean})"
+    return f"coalesce({off} <= 0 or {off} * {off} <= 9 * ({mean} + 1), true)"
+
+
 OP2 = (
     rf"""
 with d as (select row_number() over () rid, doc_id, lang, source, coalesce(text, '') text, {_WORDS} w from documents),
@@ -24,16 +35,17 @@ m as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words base_failed,
   case when n_words > 0 then 100 * word_chars // n_words else 0 end word_length from b),
 v as (select coalesce(lang, chr(1)) lang, coalesce(source, chr(1)) source, unnest(['symbol_rate', 'dup_line_rate', 'word_length']) metric, unnest([symbol_rate, dup_line_rate, word_length]) x from m where not base_failed),
 sketch as (select lang, source, metric, case when x < 64 then x else (x >> (length(bin(x)) - 6)) << (length(bin(x)) - 6) end bucket, count(*) n from v group by all),
-o as ({_FENCE.format(keys="lang, source,")}),
-p as ({_FENCE.format(keys="lang,")}),
-a as ({_FENCE.format(keys="")}),
-t as (select o.lang, o.source, metric, case when o.total >= 200 then o.q1 when p.total >= 200 then p.q1 else a.q1 end q1, case when o.total >= 200 then o.q3 when p.total >= 200 then p.q3 else a.q3 end q3
-  from o join p using (lang, metric) join a using (metric)),
+o as ({_QUANTILES.format(keys="lang, source,")}),
+p as ({_QUANTILES.format(keys="lang,")}),
+a as ({_QUANTILES.format(keys="")}),
+q as (select p.lang, p.metric, {_drawn("p", "a")} from p join a using (metric)),
+t as (select o.lang, o.source, o.metric, {_drawn("o", "q")} from o join q on o.lang = q.lang and o.metric = q.metric),
 f as (select lang, source,
-  max(case when metric = 'symbol_rate' then q3 + 3 * (q3 - q1) + 200 end) s_hi, max(case when metric = 'dup_line_rate' then q3 + 3 * (q3 - q1) + 300 end) d_hi,
-  max(case when metric = 'word_length' then q3 + 3 * (q3 - q1) + 100 end) w_hi, max(case when metric = 'word_length' then q1 - 3 * (q3 - q1) - 100 end) w_lo from t group by lang, source)
+  max(case when metric = 'symbol_rate' then mid + 3 * (high - mid) end) s_hi, max(case when metric = 'dup_line_rate' then mid + 3 * (high - mid) end) d_hi,
+  max(case when metric = 'word_length' then mid + 3 * (high - mid) end) w_hi, max(case when metric = 'word_length' then mid - 3 * (mid - low) end) w_lo from t group by lang, source)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not base_failed and coalesce(symbol_rate <= s_hi, true) and coalesce(dup_line_rate <= d_hi, true) and coalesce(word_length between w_lo and w_hi, true) kept
+  not base_failed and {_within("n_symbols", "n_words", 1000, "s_hi")} and {_within("n_dup_lines", "n_lines", 1000, "d_hi")}
+  and {_within("word_chars", "n_words", 100, "w_hi")} and {_within("word_chars", "n_words", 100, "w_lo", True)} kept
 from m left join f on f.lang = coalesce(m.lang, chr(1)) and f.source = coalesce(m.source, chr(1))"""
 )
 
@@ -41,10 +53,11 @@ OP3 = r"""
 with c as (
   select conv_id::bigint conv_id, turn::bigint turn, coalesce(role, '') role, coalesce(text, '') text from conversations
   union all select -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' union all select -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
-e as (select *, case when regexp_matches(text, '<\\*\|') then regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') else text end escaped from c),
+e as (select *, regexp_matches(text, '<\|im_(start|end)\|>|<\\+\|') or regexp_matches(role, '<\|(im_start|im_end|line)\|>|<\\+\||\n') conflict from c),
+f as (select *, case when conflict then regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') else text end text2, case when conflict then replace(regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g'), chr(10), '<|line|>') else role end role2 from e),
 s as (select conv_id, count(*) n_turns, string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text) turns,
   coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn nulls first, role, text), '') loss,
-  sum(length(role) + length(escaped) + 24) formatted_chars from e group by conv_id)
+  sum(length(role2) + length(text2) + 24) formatted_chars from f group by conv_id)
 select conv_id, n_turns, sha256(turns) turns_sha256, length(loss)::bigint loss_chars, sha256(loss) loss_sha256, formatted_chars::bigint formatted_chars from s"""
 
 OP6 = r"""

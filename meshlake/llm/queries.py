@@ -7,58 +7,56 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat_format, decontaminate, jaccard_join, quality_classifier, quality_rules, secret_scan, suffix_dedup, token_output, url_filter
-from .common import few, table
+from . import byte_bpe, chat_format, decontaminate, jaccard_join, pipeline as corpus, quality_classifier, quality_rules, secret_scan, suffix_dedup, token_output, url_filter
+from .common import table
 from .oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return few(suffix_dedup.dedup_digests(spark, table(spark, sf_dir, "documents")))
+    return suffix_dedup.dedup_digests(spark, table(spark, sf_dir, "documents"))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return few(quality_rules.apply_rules(spark, table(spark, sf_dir, "documents")))
+    return quality_rules.apply_rules(spark, table(spark, sf_dir, "documents"))
 
 
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return few(chat_format.conversation_digests(spark, table(spark, sf_dir, "conversations")))
+    return chat_format.conversation_digests(spark, table(spark, sf_dir, "conversations"))
 
 
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return few(token_output.id_digests(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+    return token_output.id_digests(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return few(secret_scan.scan_documents(table(spark, sf_dir, "documents")))
+    return secret_scan.scan_documents(table(spark, sf_dir, "documents"))
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return few(url_filter.judge_pages(spark, table(spark, sf_dir, "pages")))
+    return url_filter.judge_pages(spark, table(spark, sf_dir, "pages"))
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return few(jaccard_join.join_documents(spark, table(spark, sf_dir, "documents")))
+    return jaccard_join.join_documents(spark, table(spark, sf_dir, "documents"))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return few(decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return few(quality_classifier.classify(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+    return quality_classifier.classify(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return few(byte_bpe.bpe_digests(table(spark, sf_dir, "documents"), path))
+    return byte_bpe.bpe_digests(table(spark, sf_dir, "documents"), path)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
+    return corpus.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:

@@ -1,8 +1,9 @@
 """Secret scans: pattern matches, and candidates that are reported only if their structure holds.
 
-Base64 and hex candidates are decoded and walked as key encodings: DER with nested lengths,
-the container of OpenSSH keys with its length-prefixed fields, PEM blocks around either, and
-signed tokens whose header and payload are JSON objects."""
+Base64 and hex candidates are decoded, from every place in them where a key could start, and walked as
+key encodings: DER whose nested lengths and elements are those of a private key, the container of OpenSSH keys with its
+length-prefixed fields, PEM blocks around either, and signed tokens whose header and payload are JSON objects.
+Public keys and certificates are no secrets. A key's own lengths say where it ends."""
 
 from __future__ import annotations
 
@@ -10,6 +11,7 @@ import base64
 import binascii
 import hashlib
 import json
+import math
 import re
 from collections.abc import Iterator
 
@@ -27,17 +29,28 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # runs are maximal, so shorter ones drop as they would later
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----((?:[A-Za-z0-9+/=\s]|\\[nr]){16,}?)-----END \1-----")
 JWT = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*")
-# Candidates for keys: hex of either case, and base64 of either alphabet over lines, whose ends may be escaped.
-KEYHEX = re.compile(r"[0-9A-Fa-f]{32,}")
-_STARTS = ("MI", "MC", "MD", "ME", "MF", "MG", "MH", "b3")
+# Candidates for keys: runs of hex of either case, and of base64 of both alphabets over lines, whose ends may be escaped.
+KEYHEX = re.compile(r"[0-9A-Fa-f]{72,}")
 _BREAK = r"(?:\r?\n|(?:\\r)?\\n)[\x20\t]*"
-KEY64 = [re.compile(rf"(?<!{c})(?={'|'.join(_STARTS)}){c}{{64,}}(?:{_BREAK}{c}+)*={{0,2}}") for c in ("[A-Za-z0-9+/]", "[A-Za-z0-9_-]")]
+_C64 = "[A-Za-z0-9+/_-]"
+KEY64 = re.compile(rf"(?<!{_C64}){_C64}{{48,}}(?:{_BREAK}{_C64}+)*")
 _BLANK = re.compile(r"\\[nr]|\s")
-
-
-def _der_items(data: bytes, at: int, end: int, depth: int) -> int | None:
-    """Number of elements from at to end, if lengths nest exactly."""
-    n = 0
+_LINE_END = re.compile(_BREAK)
+# How a key begins. A DER key is a SEQUENCE, so its first byte is 0x30.
+OPENSSH = b"openssh-key-v1\0"
+_START64 = re.compile("(?=M|b3BlbnNzaC1rZXktdjEA)")
+_STARTHEX = re.compile("(?=30(?:8[1-4]|[2-7][0-9a-f])|" + OPENSSH.hex() + ")")
+#: Least bytes of a key.
+LEAST_KEY = 36
+_STANDARD = str.maketrans("-_", "+/")
+# DER tags, and the object identifier of plain data in a key store.
+INTEGER, BITS, OCTETS, OID, SEQUENCE = 0x02, 0x03, 0x04, 0x06, 0x30
+STORE_DATA = bytes.fromhex("2a864886f70d010701")
+
+
+def _elements(data: bytes, at: int, end: int, depth: int = 0) -> list[tuple[int, int, int]] | None:
+    """``(tag, start, end)`` of the elements from at to end; none if lengths don't nest exactly to any depth."""
+    out = []
     while at < end:
         if end - at < 2:
             return None
@@ -49,71 +62,119 @@ def _der_items(data: bytes, at: int, end: int, depth: int) -> int | None:
                 return None
             size = int.from_bytes(data[at : at + width], "big")
             at += width
-        if size > end - at:
-            return None
-        if tag & 0x20 and (depth > 16 or _der_items(data, at, at + size, depth + 1) is None):
+        if size > end - at or (tag & 0x20 and (depth > 16 or _elements(data, at, at + size, depth + 1) is None)):
             return None
+        out.append((tag, at, at + size))
         at += size
-        n += 1
-    return n
+    return out
 
 
-def is_der(data: bytes) -> bool:
-    """One SEQUENCE that fills the data, whose elements nest exactly and number two or more."""
-    if len(data) < 16 or data[0] != 0x30 or _der_items(data, 0, len(data), 0) != 1:
+def is_private_der(data: bytes) -> bool:
+    """One SEQUENCE that fills the data and is a private key by its elements: PKCS #1 (nine integers), DSA (six), SEC 1
+    (version 1, key), PKCS #8 (version, algorithm, key), encrypted PKCS #8 (algorithm with parameters, key), or a
+    PKCS #12 store. Public keys, certificates and digests have other elements."""
+    top = _elements(data, 0, len(data)) if data[:1] == b"\x30" else None
+    if not top or len(top) != 1:
         return False
-    head = 2 + (data[1] & 0x7F if data[1] & 0x80 else 0)
-    return (_der_items(data, head, len(data), 1) or 0) >= 2
+    inner = _elements(data, *top[0][1:]) or []
+    tags = [t for t, _, _ in inner]
+    part = [data[a:z] for _, a, z in inner]
+    below = [_elements(data, a, z) or [] if t == SEQUENCE else [] for t, a, z in inner]
+    version = part[0][0] if tags[:1] == [INTEGER] and len(part[0]) == 1 else None
+    rest = lambda k: all(t & 0xC0 == 0x80 for t in tags[k:])
+    if version in (0, 1) and tags[:9] == [INTEGER] * 9 and tags[9:] in ([], [SEQUENCE]):
+        return True
+    if version == 0 and tags == [INTEGER] * 6:
+        return True
+    if version == 1 and tags[:2] == [INTEGER, OCTETS] and rest(2):
+        return True
+    if version in (0, 1) and tags[:3] == [INTEGER, SEQUENCE, OCTETS] and below[1] and below[1][0][0] == OID and rest(3):
+        return True
+    if tags == [SEQUENCE, OCTETS] and [t for t, _, _ in below[0]] == [OID, SEQUENCE]:
+        return True
+    store = version == 3 and tags[1:2] == [SEQUENCE] and below[1] and below[1][0][0] == OID
+    return bool(store and data[below[1][0][1] : below[1][0][2]] == STORE_DATA and len(tags) <= 3)
+
+
+def openssh_size(data: bytes) -> int | None:
+    """Bytes of the OpenSSH key that the data start with: the magic string, cipher, kdf and options, the number of
+    keys, so many public keys and the private part, all but the number with their lengths. None if they don't nest."""
+    if not data.startswith(OPENSSH):
+        return None
+    at = len(OPENSSH)
 
+    def skip(at: int) -> int | None:
+        end = at + 4 + int.from_bytes(data[at : at + 4], "big") if len(data) >= at + 4 else len(data) + 1
+        return end if end <= len(data) else None
 
-def is_openssh(data: bytes) -> bool:
-    """The magic string, then cipher, kdf and options as length-prefixed fields."""
-    magic = b"openssh-key-v1\0"
-    if not data.startswith(magic):
-        return False
-    at = len(magic)
     for _ in range(3):
-        size = int.from_bytes(data[at : at + 4], "big")
-        at += 4 + size
-        if at > len(data):
-            return False
-    return True
+        if (at := skip(at)) is None:
+            return None
+    keys = int.from_bytes(data[at : at + 4], "big")
+    at += 4
+    if not 1 <= keys <= 64:
+        return None
+    for _ in range(keys + 1):
+        if (at := skip(at)) is None:
+            return None
+    return at
 
 
-def _decode64(text: str, urlsafe: bool = False) -> bytes | None:
-    text = _BLANK.sub("", text).rstrip("=")
+def _decode64(text: str) -> bytes:
+    """Base64 of either alphabet; what is no whole byte at the end is left out. Empty if it isn't base64."""
+    text = text.translate(_STANDARD)
     try:
-        return (base64.urlsafe_b64decode if urlsafe else base64.b64decode)(text + "=" * (-len(text) % 4))
+        return base64.b64decode(text[: len(text) - (len(text) % 4 == 1)] + "=" * (-len(text) % 4 % 3), validate=True)
     except (binascii.Error, ValueError):
-        return None
+        return b""
 
 
-def _is_key(data: bytes | None) -> bool:
-    return bool(data) and (is_der(data) or is_openssh(data))
+def is_key(data: bytes) -> bool:
+    return is_private_der(data) or openssh_size(data) == len(data)
 
 
-def _key_end(text: str, urlsafe: bool) -> int | None:
-    """Where a key that starts a candidate ends: at one of its line ends, the last that fits."""
-    ends = [len(text), *[m.start() for m in re.finditer(_BREAK, text)][::-1]]
-    if text.startswith("b3") and not (_decode64(text[:20], urlsafe) or b"").startswith(b"openssh-key-v1"):
+def key_size(head: bytes, rest) -> int | None:
+    """Bytes of a key that starts with ``head``, by its own lengths; ``rest()`` gives all data that could be its."""
+    if head.startswith(b"openss"):
+        return openssh_size(rest())
+    if len(head) < 6 or head[0] != SEQUENCE:
+        return None
+    width = head[1] & 0x7F if head[1] & 0x80 else 0
+    if width > 4:
         return None
-    if text.startswith("M") and len(ends) > 1:  # the header of a DER key tells how many letters it takes
-        head = _decode64(text[:8], urlsafe) or b""
-        width = head[1] & 0x7F if head[1] & 0x80 else 0
-        need = (2 + width + (int.from_bytes(head[2 : 2 + width], "big") if width else head[1])) * 4
-        left, at = -(-need // 3), 0
-        for m in re.finditer(rf"{_BREAK}|.", text):
-            left -= len(m[0]) == 1 and not m[0].isspace()
-            if left == 0:
-                at = m.end()
-                break
-        ends = [at + len(text[at : at + 2]) - len(text[at : at + 2].lstrip("="))] if at else []
-    return next((z for z in ends if _is_key(_decode64(text[:z], urlsafe))), None)
+    inner = head[2 + width : 3 + width]
+    if inner and inner[0] not in (INTEGER, SEQUENCE):
+        return None
+    return 2 + width + (int.from_bytes(head[2 : 2 + width], "big") if width else head[1])
+
+
+def keys_in(run: str, start: re.Pattern, per_byte: float, decode) -> list[tuple[int, int]]:
+    """``(start, end)`` of keys in a run of digits, wherever in it they start. ``per_byte``: digits of a byte."""
+    breaks = [m.span() for m in _LINE_END.finditer(run)]
+    flat = _LINE_END.sub("", run) if breaks else run
+    places = [k for a, z in zip([0, *(z for _, z in breaks)], [*(a for a, _ in breaks), len(run)]) for k in range(a, z)] if breaks else range(len(run))
+    out, done = [], 0
+    for m in start.finditer(flat.lower() if per_byte == 2 else flat):
+        k = m.start()
+        if k < done:
+            continue
+        size = key_size(decode(flat[k : k + 16]), lambda k=k: decode(flat[k:]))
+        if size is None or size < LEAST_KEY:
+            continue
+        digits = math.ceil(size * per_byte)
+        if k + digits <= len(flat) and is_key(decode(flat[k : k + digits])[:size]):
+            done = k + digits
+            out.append((places[k], places[done - 1] + 1))
+    return out
+
+
+def _from_hex(text: str) -> bytes:
+    return bytes.fromhex(text[: len(text) // 2 * 2])
 
 
 def _json_object(part: str) -> dict | None:
     try:
-        got = json.loads(_decode64(part, True) or b"")
+        got = json.loads(_decode64(part))
     except (ValueError, RecursionError):
         return None
     return got if isinstance(got, dict) else None
@@ -132,14 +193,16 @@ def scan_text(text: str) -> list[tuple[str, int, int]]:
     out += [("access", *m.span()) for m in ACCESS.finditer(text) if len(m[0]) >= 16]
     for m in HEX.finditer(text):
         out.append(("hex", *m.span()))
-    spans = {m.span() for p in (HEX, KEYHEX) for m in p.finditer(text)}
-    out += [("keyhex", a, z) for a, z in spans if (z - a) % 2 == 0 and _is_key(bytes.fromhex(text[a:z]))]
+    for m in KEYHEX.finditer(text):
+        out += [("keyhex", m.start() + a, m.start() + z) for a, z in keys_in(m[0], _STARTHEX, 2, _from_hex)]
     if "-----BEGIN " in text:
-        out += [("pem", *m.span()) for m in PEM.finditer(text) if _is_key(_decode64(m[2]))]
+        out += [("pem", *m.span()) for m in PEM.finditer(text) if is_key(_decode64(_BLANK.sub("", m[2]).rstrip("=")))]
     if "eyJ" in text:
         out += [("jwt", *m.span()) for m in JWT.finditer(text) if is_signed_token(m[0])]
-    keys = {(m.start(), m.start() + z) for k, p in enumerate(KEY64) for m in p.finditer(text) if (k == 0 or "-" in m[0] or "_" in m[0]) and (z := _key_end(m[0], k == 1)) is not None}
-    out += [("key64", a, z) for a, z in keys]
+    for m in KEY64.finditer(text):
+        for a, z in keys_in(m[0], _START64, 4 / 3, _decode64):
+            z += m.start()
+            out.append(("key64", m.start() + a, z + len(text[z : z + 2]) - len(text[z : z + 2].lstrip("="))))
     out.sort(key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
     return out
 

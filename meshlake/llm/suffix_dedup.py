@@ -26,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, parts
+from .common import Scratch, by_bytes, parts
 from .textnum import CHUNK, chunked, hash_spans, mix, pack_planes, powers, prefix_sums, release, unpack_planes
 
 #: Bytes of a match, bytes of an anchor, runs of a packed array, distinct runs of an anchor kept in arrays, batches of documents.
 LEAST, GRAM, ARRAY, HOT, BATCHES = 50, 24, 1_000_000, 256, 4
+#: Bytes of a table for each bucket of the arrays: a worker holds a bucket of all levels.
+BUCKET_BYTES = 64 << 20
 _SPAN = LEAST - GRAM + 1
 INDEX, CUT, ASK = 0, 1, 2
 _FIELDS = (("hashes", 8), ("checks", 4), ("docs", 8), ("tags", 2), ("starts", 5), ("lengths", 5), ("asked", 1))
@@ -269,7 +271,9 @@ def merge_levels(packed: DataFrame, buckets: int) -> DataFrame:
 
 
 class SuffixIndex:
-    """The family of indexes. Batches are added in ascending order of doc_id."""
+    """The family of indexes. Batches are added in ascending order of doc_id. ``save`` writes it to a folder from which
+    ``load`` takes it up, so that later batches need not read earlier documents again but for the windows at
+    the ends of shared passages."""
 
     def __init__(self, spark: SparkSession, scratch: Scratch, buckets: int):
         self.spark, self.scratch, self.buckets = spark, scratch, buckets
@@ -298,11 +302,36 @@ class SuffixIndex:
         self.found.append(got.where(F.col("kind") != INDEX))
         self.levels.append((1, f"{name}/kind={INDEX}", got.where(F.col("kind") == INDEX)))
 
+    def save(self, path: str) -> None:
+        """Writes the levels, and a row for each of them."""
+        rows = [(size, k, self.buckets, self.count) for k, (size, _, _) in enumerate(self.levels)]
+        for k, (_, _, level) in enumerate(self.levels):
+            level.write.mode("overwrite").parquet(f"{path}/level-{k}")
+        # runs that were asked about are no longer asked about, and hot ones are in no level
+        self._found().where(F.col("kind") == ASK).write.mode("overwrite").parquet(f"{path}/asked")
+        self.spark.createDataFrame(rows, "size int, level int, buckets int, batches int").coalesce(1).write.mode("overwrite").parquet(f"{path}/levels")
+
+    @staticmethod
+    def load(spark: SparkSession, scratch: Scratch, path: str) -> SuffixIndex:
+        rows = sorted(spark.read.parquet(f"{path}/levels").collect(), key=lambda r: r.level)  # logarithmically many
+        index = SuffixIndex(spark, scratch, rows[0].buckets)
+        index.count = rows[0].batches
+        index.found = [spark.read.parquet(f"{path}/asked")]
+        # names of no table in this scratch: what a merge drops is not the saved folder
+        index.levels = [(r.size, f"loaded-{r.level}", spark.read.parquet(f"{path}/level-{r.level}")) for r in rows]
+        return index
+
     def close(self) -> None:
         for _, name, _ in self.levels:
             self.scratch.drop(name)
         self.levels = []
 
+    def _found(self) -> DataFrame:
+        out = self.found[0]
+        for more in self.found[1:]:
+            out = out.unionByName(more)
+        return out
+
     def spans(self, kind: int) -> DataFrame:
         """``doc_id, tag, spans``: per array the starts and lengths found in a document, as start * 2**32 + length."""
 
@@ -316,10 +345,7 @@ class SuffixIndex:
                     lists = pa.ListArray.from_arrays(pa.array(np.append(first, n), pa.int32()), pa.array(value.view(np.int64)))
                     yield pa.RecordBatch.from_arrays([pa.array(docs[first].view(np.int64)), pa.array(tags[first].astype(np.int32)), lists], names=["doc_id", "tag", "spans"])
 
-        out = self.found[0]
-        for more in self.found[1:]:
-            out = out.unionByName(more)
-        packed = out.where(F.col("kind") == kind).select("n", "docs", "tags", "starts", "lengths")
+        packed = self._found().where(F.col("kind") == kind).select("n", "docs", "tags", "starts", "lengths")
         return packed.mapInArrow(run, "doc_id long, tag int, spans array<long>")
 
 
@@ -413,18 +439,24 @@ def _tagged(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return own.join(again, "doc_id", "left").select("doc_id", tag.alias("tag"), "text")
 
 
-def dedup(spark: SparkSession, docs: DataFrame, batches: int = BATCHES) -> DataFrame:
+def dedup(spark: SparkSession, docs: DataFrame, batches: int = BATCHES, index_path: str | None = None, earlier: DataFrame | None = None) -> DataFrame:
     """``doc_id, n_bytes, starts, ends, kept``: the bytes to remove from each whole text, as maximal spans, and
     the bytes that stay.
 
     Null texts count as empty; texts under 50 bytes lose nothing; a document never removes its own bytes,
     nor do rows with the same doc_id those of each other; a null doc_id is not smaller than any and loses
-    nothing. Batches are ranges of doc_id of about equal size. Only integers (range bounds) reach the driver."""
-    scratch, buckets = Scratch(spark, "suffix"), 2 * parts(spark, 8)
+    nothing. Batches are ranges of doc_id of about equal size. Only integers (range bounds) reach the driver.
+
+    ``index_path``: a folder where the index is kept for later. ``earlier``: the documents that are in it
+    already, with smaller doc_ids than ``docs``; they are read for the ends of passages only and get no rows."""
+    scratch = Scratch(spark, "suffix")
     own = _tagged(spark, docs)
     known = own.where("doc_id is not null")
     bounds = sorted(set(known.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01)))
-    index = SuffixIndex(spark, scratch, buckets)
+    if earlier is not None:
+        index = SuffixIndex.load(spark, scratch, index_path)
+    else:
+        index = SuffixIndex(spark, scratch, max(2 * parts(spark, 8), by_bytes(docs.select("text"), BUCKET_BYTES)))
     for lo, hi in zip([None, *bounds], [*bounds, None]):
         part = known
         if lo is not None:
@@ -432,11 +464,16 @@ def dedup(spark: SparkSession, docs: DataFrame, batches: int = BATCHES) -> DataF
         if hi is not None:
             part = part.where(F.col("doc_id") <= int(hi))
         index.add(part)
+    if index_path is not None:
+        index.save(index_path if earlier is None else f"{index_path}-next")
     index.close()
+    if earlier is not None:
+        known = known.unionByName(_tagged(spark, earlier).where("doc_id is not null"))
     windows = scratch.write(asked_windows(known, index.spans(ASK)), "windows")
     met = scratch.write(earlier_windows(windows, parts(spark)), "met")
     scratch.drop("windows")
     spans = scratch.write(_gathered(index.spans(CUT).unionByName(met)), "spans")
+    scratch.keep("spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -17,15 +18,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, parts
+from .common import Scratch, by_bytes, parts, text_of
 
 #: Longest code in bits, ids of a block (at least one document), ids between bit offsets.
 LIMIT, BLOCK, STEP = 20, 1 << 16, 128
+#: Code points of a text that tell ranges of one doc_id apart, bytes of texts of a range at least.
+HEAD, RANGE_BYTES = 16, 64 << 20
 END_ID = 0
-NULL_SHARD = -(2**63)
 #: Words whose ids are kept; beyond that the older half stays, which holds the frequent ones.
 WORDS = 900_000
 _LONG = 64
@@ -41,13 +44,15 @@ class WordEncoder:
 
     The ids of a word between single blanks, with the blank before it, don't depend on what surrounds it:
     of the pre-tokenizer's pieces only runs of white space are cut by what follows. Texts with other white
-    space are encoded whole. Splitting, finding distinct words and joining their ids are Arrow kernels."""
+    space, or with an added token as ``<|endoftext|>``, are encoded whole. Splitting, finding distinct words and joining their ids are Arrow kernels."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # texts that spell an added token are the library's to split, whole
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = "|".join([_ODD, *added])
         self.memo: dict[str, bytes] = {}
         self.marks = {c: array("I", self.tokenizer.encode(c, add_special_tokens=False).ids).tobytes() for c in ".,;:!?"}
         (self.line,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
@@ -90,7 +95,7 @@ class WordEncoder:
             for k in list(itertools.islice(memo, WORDS // 2, None)):
                 del memo[k]
         texts = texts.fill_null("").cast(pa.large_string())
-        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
         out: list[bytes] = [b""] * len(texts)
         which = np.flatnonzero(odd)
         for k, ids in zip(which.tolist(), self._whole(texts.take(pa.array(which)).to_pylist())):
@@ -128,11 +133,11 @@ _RAW = "shard long, block int, base long, doc_ids binary, sizes binary, ids bina
 
 def tokenize(docs: DataFrame, path: str, n_parts: int) -> DataFrame:
     """Blocks of raw ids, each document followed by END_ID; sorted by doc_id, ties by text, nulls first.
-    A shard is a range of doc_id, named by its first (the least integer for null). Its last row (block null)
-    has the counts of its ids."""
+    A shard is a range of doc_id and of the texts' first code points, so that rows of one doc_id are no single task's,
+    and has its range's number. Its last row (block null) has the counts of its ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, shard = word_encoder(path), None
+        encode, shard = word_encoder(path), TaskContext.get().partitionId()
         end = np.array([END_ID], "<u4").tobytes()
         keys: list[int | None] = []
         ids: list[bytes] = []
@@ -159,9 +164,6 @@ def tokenize(docs: DataFrame, path: str, n_parts: int) -> DataFrame:
         for b in batches:
             for i in range(0, b.num_rows, 1024):
                 part = b.slice(i, 1024)
-                if shard is None:
-                    shard = part.column(0)[0].as_py()
-                    shard = NULL_SHARD if shard is None else shard
                 for k, x in zip(part.column(0).to_pylist(), encode(part.column(1))):
                     keys.append(k)
                     ids.append(x + end)
@@ -174,7 +176,9 @@ def tokenize(docs: DataFrame, path: str, n_parts: int) -> DataFrame:
             row = [[shard], [None], [base], [None], [None], [None], [total.astype("<i8").tobytes()]]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, kinds)], names=names)
 
-    rows = docs.select("doc_id", "text").repartitionByRange(n_parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    # null and empty texts are the same
+    rows = docs.select("doc_id", text_of().alias("text"))
+    rows = rows.repartitionByRange(n_parts, F.col("doc_id").asc(), F.substring("text", 1, HEAD).asc()).sortWithinPartitions("doc_id", "text")
     return rows.mapInArrow(run, _RAW)
 
 
@@ -295,26 +299,31 @@ def huffman_blocks(raw: DataFrame, lengths: np.ndarray) -> DataFrame:
     return raw.where("block is not null").drop("counts").mapInArrow(run, _BLOCKS)
 
 
-def write_ids(spark: SparkSession, docs: DataFrame, path: str, scratch: Scratch) -> tuple[DataFrame, np.ndarray]:
-    """Writes blocks to the shared folder; returns them as read from there, and the code lengths.
+def write_ids(spark: SparkSession, docs: DataFrame, path: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Writes blocks and their code to the shared folder; returns both as read from there.
 
     Texts are tokenized once: raw ids are written first and deleted when the codes are. The driver gets
     a count per id of the vocabulary and no more."""
-    raw = scratch.write(tokenize(docs, path, parts(spark)), "raw", compression="snappy")
+    raw = scratch.write(tokenize(docs, path, max(parts(spark), by_bytes(docs, RANGE_BYTES))), "raw", compression="snappy")
     got = count_ids(raw).collect()  # at most one row per id
     counts = np.zeros(max([r.id for r in got], default=0) + 1, np.int64)
     counts[[r.id for r in got]] = [r.n for r in got]
     lengths = code_lengths(counts)
     blocks = scratch.write(huffman_blocks(raw, lengths), "blocks", compression="none")
-    scratch.write(spark.createDataFrame([(bytes(lengths), LIMIT, STEP)], "lengths binary, code_limit int, step int"), "codes")
+    codes = scratch.write(spark.createDataFrame([(bytes(lengths), LIMIT, STEP)], "lengths binary, code_limit int, step int"), "codes")
     scratch.drop("raw")
-    return blocks, lengths
-
-
-def read_ids(blocks: DataFrame, lengths: np.ndarray, digest: bool = False) -> DataFrame:
-    """``doc_id, start, n_tokens, ids``: the ids of each document, decoded, as little-endian unsigned 32-bit
-    integers; with ``digest`` their checksum ``ids_crc32`` in place of ids."""
-    # a sum per shard; there are as many shards as shuffle partitions
+    return blocks, codes
+
+
+def read_ids(blocks: DataFrame, codes: DataFrame, digest: bool = False) -> DataFrame:
+    """``doc_id, start, n_tokens, ids``: the ids of each document, decoded by the code file alone, as little-endian
+    unsigned 32-bit integers; with ``digest`` their checksum ``ids_crc32`` in place of ids. It is an error if the code
+    was written with another limit or step."""
+    code = codes.first()
+    if (code.code_limit, code.step) != (LIMIT, STEP):
+        raise ValueError(f"the files have codes of {code.code_limit} bits and offsets every {code.step} ids")
+    lengths = np.frombuffer(code.lengths, np.uint8)
+    # a sum per shard; there are as many shards as ranges of documents
     sums = sorted((r.shard, r.n) for r in blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")).collect())
     first, total = {}, 0
     for shard, n in sums:
@@ -343,5 +352,6 @@ def id_digests(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
     Null and empty texts have the end id alone; rows with equal doc_ids follow each other by text;
     null doc_ids come first; an empty table gives no rows."""
     scratch = Scratch(spark, "ids")
-    blocks, lengths = write_ids(spark, docs, path, scratch)
-    return scratch.write(read_ids(blocks, lengths, digest=True), "digests")
+    out = scratch.write(read_ids(*write_ids(spark, docs, path, scratch), digest=True), "digests")
+    scratch.keep("digests")
+    return out

@@ -117,6 +117,29 @@ def test_hot_anchors_of_one_long_document(spark, ids):
     assert got == Counter(brute_suffixes(rows)) and any(r[0] == 2 and r[2] > 0 for r in got)
 
 
+def test_hot_anchors_of_a_repeated_doc_id(spark):
+    """Two rows of one doc_id in tasks of their own, with more runs of one anchor than the arrays keep."""
+    rng = np.random.default_rng(1)
+    letters = lambda k: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), k))
+    long, _ = hot_corpus()
+    blocks = [long[i : i + 84] for i in range(0, 84 * 300, 84)]
+    rows = [(5, "".join(blocks[:150])), (5, "".join(blocks[150:])), *[(d, letters(80)) for d in range(100, 140)], (900, letters(10) + " ".join(b[10:74] for b in blocks))]
+    docs = frame(spark, rows).repartition(len(rows))
+    got = Counter(map(tuple, suffix_dedup.dedup_digests(spark, docs).collect()))
+    assert got == Counter(brute_suffixes(rows)) and any(r[0] == 900 and r[2] > 15_000 for r in got)
+
+
+def test_later_batches_meet_the_saved_index(spark, tmp_path):
+    rows = [r for r in corpus(7) if r[0] is not None]
+    first, later = [r for r in rows if r[0] < 100], [r for r in rows if r[0] >= 100]
+    old = frame(spark, first)
+    suffix_dedup.dedup(spark, old, index_path=str(tmp_path / "index")).count()
+    got = suffix_dedup.dedup(spark, frame(spark, later), index_path=str(tmp_path / "index"), earlier=old).collect()
+    want = Counter(r for r in brute_suffixes(rows) if r[0] >= 100)
+    assert Counter((r.doc_id, r.n_bytes, sum(r.ends) - sum(r.starts), len(r.starts), hashlib.sha256(r.kept).hexdigest()) for r in got) == want
+    assert any(r[2] > 0 for r in want)
+
+
 def test_an_asked_anchor_asks_for_the_rest():
     n = 2  # both of one document, the first kept of an anchor whose hot runs are in no array
     runs = suffix_dedup.Runs(hashes=np.full(n, 7, np.uint64), checks=np.array([1, 2], np.uint64), docs=np.array([1, 1]), tags=np.array([1, 2], np.uint64), starts=np.zeros(n, np.int64), lengths=np.ones(n, np.int64), asked=np.array([1, 0], np.uint64), old=np.zeros(n, bool))
@@ -206,6 +229,28 @@ def test_components(spark):
     assert components(spark, spark.createDataFrame([], "a long, b long"), Scratch(spark, "t")).count() == 0
 
 
+def test_components_of_an_ascending_chain(spark):
+    """Labels that ascend along a chain: doublings, not rounds, grow with its length, and only with its logarithm."""
+    n = 4000
+    scratch = Scratch(spark, "chain")
+    got = components(spark, spark.range(n).selectExpr("id a", "id + 1 b"), scratch)
+    assert got.where("component = 0").count() == got.count() == n + 1
+    assert len([x for x in scratch.names if "-e" in x]) <= 3 and len(scratch.names) <= 20
+
+
+def test_blocks_of_one_giant_group_are_pruned(spark):
+    """Blocks are paired only if they share a prefix shingle and their sizes can link."""
+    rows, prefix = [], []
+    for k in range(200):  # a shingle that all have, one that every tenth has, two sizes that can't link
+        rows.append((1, k, (-1, k % 2 * 5, k)))
+        prefix += [(k, 7)] if k < 100 else []
+        prefix += [(k, 1000 + k % 10)]
+    blocks = spark.createDataFrame(rows, "g long, rep long, at struct<pool:long,cls:int,block:int>")
+    got = {(r.x.block, r.y.block) for r in jaccard_join.block_pairs(blocks, spark.createDataFrame(prefix, "rep long, token long")).collect()}
+    want = {(a, b) for a in range(200) for b in range(a + 1, 200) if a % 2 == b % 2 and (a % 10 == b % 10 or (a < 100 and b < 100))}
+    assert {p for p in got if p[0] != p[1]} == {(a, b) if (a % 2 * 5, a) < (b % 2 * 5, b) else (b, a) for a, b in want}
+
+
 def edit_distance(a, b):
     """Least edits from a to any stretch of b."""
     row = [0] * (len(b) + 1)
@@ -259,6 +304,22 @@ def test_decontamination(spark):
     assert decontaminate.find_leaks(frame(spark, rows), bench.where("false")).count() == 0
 
 
+def test_items_in_scripts_without_blanks(spark):
+    item = "数据清洗需要在训练之前删除基准测试中的所有题目与答案"
+    docs = frame(spark, [(1, "前文很长很长。" + item + "后文"), (2, "完全不同的内容没有关系" * 5), (3, "intro " + item[:3] + "x" + item[4:] + " outro")])
+    got = {(r.doc_id, r.edits) for r in decontaminate.find_leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert got == {(1, 0), (3, 1)}
+
+
+def test_walks_take_room_by_length():
+    few = [(k, " ".join(f"w{k}x{j}" for j in range(20))) for k in range(50)]
+    short, mixed = decontaminate.Items(few), decontaminate.Items([*few, (99, " ".join(f"z{j}" for j in range(3000)))])
+    size = lambda items: sum(w.nbytes for walks in items.walks.values() for w in walks)
+    assert size(mixed) <= size(short) + 3 * 3000 * 4 * decontaminate.WALKS and mixed.recall >= decontaminate.RECALL
+    text = "before " + " ".join(f"z{j}" for j in range(3000) if j % 10) + " " + few[3][1]
+    assert {(i, e) for _, i, e, _ in mixed.find([text * 3])} == {(3, 0), (50, 300)}
+
+
 def test_url_filter(spark):
     canon = lambda u: f'<head><LINK rel="canonical" href="{u}"></head>'
     refresh = lambda u: f"<meta http-equiv='refresh' content='0; url={u}'>"
