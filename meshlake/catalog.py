@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import composed_queries, line_queries, linear_queries, mesh_queries, scalar_queries  # noqa: F401
+from .plans import composed_queries, line_queries, linear_queries, mesh_queries, raster_queries, scalar_queries, shape_queries  # noqa: F401
 from .plans.registry import QUERIES, SQL
 
 

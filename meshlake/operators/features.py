@@ -56,20 +56,46 @@ def load_rivers(shapes: DataFrame, canal: str = "運河") -> DataFrame:
     return d.select("river_id", "part", "seq", grid.fractional_index(F.col("lat"), -90.0, 0.1, 1801).alias("i"), grid.fractional_index(F.col("lon"), -180.0, 0.1, 3600).alias("j"))
 
 
-def thin_coast(vertices: DataFrame, precision: float) -> DataFrame:
+def thin_coast(vertices: DataFrame, precision: float, n_parts: int | None = None) -> DataFrame:
     """``source, shape_id, seq, lat, lon`` kept: each more than the precision from the last one kept, by shapes in
-    order. The choice runs through a source from its start, so a source is one group."""
-    import numpy as np
-
-    def run(pdf):  # pandas DataFrame in, pandas DataFrame out
-        pdf = pdf.sort_values(["shape_id", "seq"])
-        lat, lon, keep, last = pdf["lat"].to_numpy(), pdf["lon"].to_numpy(), np.zeros(len(pdf), bool), None
-        for k in range(len(pdf)):
-            if last is None or np.hypot(lat[k] - lat[last], (lon[k] - lon[last]) * np.cos(np.radians((lat[k] + lat[last]) / 2))) > precision:
-                keep[k], last = True, k
-        return pdf[keep]
+    order. The choice runs through a source from its start, so a source is one task's; it streams in Spark's order, which
+    spills, and only the last vertex kept is held."""
+    import math
 
     names = ["source", "shape_id", "seq", "lat", "lon"]
+
+    def run(batches):  # pandas DataFrames in, pandas DataFrames out
+        now, last = None, None
+        for pdf in batches:
+            keep = []
+            for source, lat, lon in zip(pdf["source"].tolist(), pdf["lat"].tolist(), pdf["lon"].tolist()):
+                if source != now:
+                    now, last = source, None
+                far = last is None or math.hypot(lat - last[0], (lon - last[1]) * math.cos(math.radians((lat + last[0]) / 2))) > precision
+                keep.append(far)
+                last = (lat, lon) if far else last
+            yield pdf[keep]
+
     rows = vertices.select(*names)
-    kept = rows.groupBy("source").applyInPandas(run, rows.schema)
+    n = n_parts or int(vertices.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kept = rows.repartition(n, "source").sortWithinPartitions("source", "shape_id", "seq").mapInPandas(run, rows.schema)
     return kept.where(~polygon.uninhabited(F.col("lat"), F.col("lon")))
+
+
+def project_section_boundaries(borders: DataFrame, mesh: DataFrame, rows: int, columns: int, resolution: float) -> DataFrame:
+    """``h, seq, part, lat, lon, x, y``: the closed borders ``h, seq, lat, lon``, turned so that they start and end at a
+    shared point (their third last vertex), without vertices that move along a pole, refined and projected by their
+    own section. ``paths.simplified`` then drops what neighbours retrace."""
+    from pyspark.sql import Window as W
+
+    from . import grid
+
+    whole = W.partitionBy("h")
+    n = F.max("seq").over(whole) + 1
+    d = borders.select("h", "seq", "lat", "lon", n.alias("n"))
+    # the last three vertices, then those from the second up to the third last
+    place = F.explode(F.filter(F.array(F.when(F.col("seq") >= F.col("n") - 3, F.col("seq") - F.col("n") + 3), F.when(F.col("seq").between(1, F.col("n") - 3), F.col("seq") + 2)), lambda p: p.isNotNull()))
+    d = d.select("h", place.alias("seq"), "lat", "lon").withColumn("off", F.abs("lat") != 90)
+    d = grid.dilate(d, ["h"], "seq", "off", 1).select("h", "seq", "off").join(d.drop("off"), ["h", "seq"]).where("off").drop("off")
+    fine = paths.refine(d, ["h"], resolution).withColumn("section", F.col("h"))
+    return interpolation.project_hermite(fine, mesh, rows, columns).drop("section")

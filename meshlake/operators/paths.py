@@ -92,7 +92,8 @@ def resolve(lines: DataFrame, keys: list[str], resolution: float) -> DataFrame:
 
 def refine(lines: DataFrame, keys: list[str], resolution: float, period: float = 360.0) -> DataFrame:
     """Segments halved until none is longer than the resolution; those that jump by more than half a period stay."""
-    halvings = F.array(*[F.lit(2**k) for k in range(0, 25)])
+    halvings = F.array(*[F.lit(2**k) for k in range(0, 31)])
+    # 2^30 pieces are more than a row's array can hold, so a finer resolution is an error there
     n = F.element_at(F.filter(halvings, lambda p: _length() / p <= resolution), 1)
     jump = F.abs(F.col("lon") - F.col("plon")) > period / 2
     return _divided(lines, keys, F.when(jump, 1).otherwise(n), keep_jump=True)
@@ -123,8 +124,12 @@ def around_pole(lines: DataFrame, keys: list[str]) -> DataFrame:
 # Operators that look at a vertex in the light of those kept before it: a line at a time, in numpy.
 
 
-def decimated(path: np.ndarray, resolution: float) -> np.ndarray:
-    """Indices kept by Ramer, Douglas and Peucker."""
+def decimated(path: np.ndarray, resolution: float, wrap: bool = False) -> np.ndarray:
+    """Indices kept by Ramer, Douglas and Peucker. With ``wrap`` the second coordinate is a longitude, and what lies
+    between jumps of more than 180 degrees is a path of its own."""
+    if wrap:
+        edges = [0, *(np.flatnonzero(np.abs(np.diff(path[:, 1])) > 180) + 1).tolist(), len(path)]
+        return np.concatenate([a + decimated(path[a:z], resolution) for a, z in zip(edges, edges[1:])])
     keep, stack = {0, len(path) - 1}, [(0, len(path) - 1)]
     while stack:
         a, z = stack.pop()
@@ -197,14 +202,16 @@ def convex_hull(points: np.ndarray) -> np.ndarray:
     return np.array(half(order)[:-1] + half(order[::-1])[:-1] or [int(order[0])])
 
 
-def per_line(lines: DataFrame, keys: list[str], columns: tuple[str, str], kept) -> DataFrame:
-    """The vertices ``keys, seq, columns`` whose indices ``kept(path)`` returns. A line is one group, as each
-    choice depends on the ones before it; groups are lines, not the table."""
+def per_line(lines: DataFrame, keys: list[str], columns: tuple[str, str], kept, renumber: bool = False) -> DataFrame:
+    """The vertices ``keys, seq, columns`` whose indices ``kept(path)`` returns; with ``renumber`` seq is their place in
+    that order, which is a hull's own. A line is one group, as each choice depends on the ones before it; groups are
+    lines, not the table."""
     schema = ", ".join([*(f"{k} {lines.schema[k].dataType.simpleString()}" for k in keys), f"seq {lines.schema['seq'].dataType.simpleString()}", *(f"{c} double" for c in columns)])
 
     def run(pdf):  # pandas DataFrame in, pandas DataFrame out
         pdf = pdf.sort_values("seq")
-        return pdf.iloc[kept(pdf[list(columns)].to_numpy(float))]
+        out = pdf.iloc[kept(pdf[list(columns)].to_numpy(float))]
+        return out.assign(seq=range(len(out))) if renumber else out
 
     return lines.select(*keys, "seq", *columns).groupBy(*keys).applyInPandas(run, schema)
 

@@ -1,9 +1,10 @@
 """Containment on the globe and in the plane.
 
-Polygons are rows ``h, seq, lat, lon``. ``inside_region`` has two plans: with few edges, an expression per
-section that stays in code generation and moves no row; with many, edges are dealt to one-degree columns
-of longitude and points look up their column by an equi-join. Edge sets are broadcast only below
-``EDGE_LIMIT`` rows, which is checked."""
+Polygons are rows ``h, seq, lat, lon``. Containment has two plans: with few edges, an expression per
+section that stays in code generation and moves no row; with many, edges are dealt to one-degree bands
+(of longitude on the globe, of latitude in the plane) and points look up their band by an equi-join. Only hits move; sections
+without a hit have a default, which a point takes from an array of sections. Edge sets and that array are
+broadcast only below ``EDGE_LIMIT`` rows, which is checked."""
 
 from __future__ import annotations
 
@@ -66,21 +67,74 @@ def inside_region(points: DataFrame, polygons: DataFrame, keys: list[str], perio
     if rings is not None:
         each = [F.struct(F.lit(h).alias("h"), inside_ring(F.col("lat"), F.col("lon"), ring, period).alias("inside")) for h, ring in sorted(rings.items())]
         return points.select(*keys, F.explode(F.array(*each)).alias("s")).select(*keys, "s.h", "s.inside")
+    return _filled(points, *_region_hits(points, polygons, keys, period), keys)
+
+
+def _side(live: DataFrame) -> DataFrame:
+    """Edges by band, broadcast if they are few; else the join on bands shuffles."""
+    return F.broadcast(live) if live.limit(EDGE_LIMIT + 1).count() <= EDGE_LIMIT else live
+
+
+def _region_hits(points: DataFrame, polygons: DataFrame, keys: list[str], period: float = 360.0) -> tuple[DataFrame, DataFrame]:
+    """``keys, h, inside`` where an edge lies above or below the point, and ``h, default`` for all sections."""
     e = edges(polygons)
     step = F.col("lon1") - F.col("lon0")
     middle = (F.col("lat0") + F.col("lat1")) / 2
     default = e.groupBy("h").agg(F.max_by(F.when(F.abs(step) == period, -step).otherwise(step) > 0, F.struct(middle, -F.col("k"))).alias("default"))
     live = e.where((step != 0) & (F.abs(step) <= period / 2))
-    live = live.withColumn("band", F.explode(F.sequence(F.floor(F.least("lon0", "lon1")), F.floor(F.greatest("lon0", "lon1")))))
-    # checked size: else the join on bands shuffles
-    side = F.broadcast(live) if live.limit(EDGE_LIMIT + 1).count() <= EDGE_LIMIT else live
-    p = points.select(*keys, "lat", "lon", F.floor("lon").alias("band"))
-    hit = p.join(side, "band").where((F.col("lon0") <= F.col("lon")) != (F.col("lon1") <= F.col("lon")))
-    cross = (F.col("lon") - F.col("lon0")) / step * (F.col("lat1") - F.col("lat0")) + F.col("lat0")
-    flag = (step > 0) != (cross > F.col("lat"))
-    found = hit.groupBy(*keys, "h").agg(F.min(F.struct(F.abs(cross - F.col("lat")).alias("gap"), (-F.col("k")).alias("k"), flag.alias("inside"))).alias("m"))
-    every = points.select(*keys).crossJoin(F.broadcast(default))  # a row per section
-    return every.join(found, [*keys, "h"], "left").select(*keys, "h", F.coalesce("m.inside", "default").alias("inside"))
+    side = _side(live.withColumn("band", F.explode(F.sequence(F.floor(F.least("lon0", "lon1")), F.floor(F.greatest("lon0", "lon1"))))))
+    p = points.select(*keys, F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.floor("lon").alias("band"))
+    hit = p.join(side, "band").where((F.col("lon0") <= F.col("_lon")) != (F.col("lon1") <= F.col("_lon")))
+    cross = (F.col("_lon") - F.col("lon0")) / step * (F.col("lat1") - F.col("lat0")) + F.col("lat0")
+    flag = (step > 0) != (cross > F.col("_lat"))
+    found = hit.groupBy(*keys, "h").agg(F.min(F.struct(F.abs(cross - F.col("_lat")).alias("gap"), (-F.col("k")).alias("k"), flag.alias("inside"))).alias("m"))
+    return found.select(*keys, "h", "m.inside"), default
+
+
+def _planar_hits(points: DataFrame, polygons: DataFrame, keys: list[str], tolerance: float = 1e-9) -> tuple[DataFrame, DataFrame]:
+    """The same in the plane: where a ray from the point meets an edge, or the point lies on one."""
+    w = W.partitionBy("h").orderBy("seq")
+    here = F.struct(F.col("lat").alias("y"), F.col("lon").alias("x"))
+    e = polygons.select("h", here.alias("b"), F.coalesce(F.lag(here).over(w), F.last(here).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("a")).where("a <> b")
+    e = e.select("h", F.col("a.y").alias("y0"), F.col("a.x").alias("x0"), F.col("b.y").alias("y1"), F.col("b.x").alias("x1"))
+    turn = e.groupBy("h").agg((F.sum(F.col("x0") * F.col("y1") - F.col("y0") * F.col("x1")) > 0).alias("ccw"))
+    side = _side(e.withColumn("band", F.explode(F.sequence(F.floor(F.least("y0", "y1") - tolerance), F.floor(F.greatest("y0", "y1") + tolerance)))))
+    p = points.select(*keys, F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.floor("lat").alias("band"))
+    edge = {k: F.col(k) for k in ("y0", "x0", "y1", "x1")}
+    beside, crosses = _beside(F.col("_lat"), F.col("_lon"), edge, tolerance), _crosses(F.col("_lat"), F.col("_lon"), edge)
+    hit = p.join(side, "band").select(*keys, "h", beside.alias("beside"), crosses.alias("crosses")).where("beside or crosses")
+    found = hit.groupBy(*keys, "h").agg(F.max("beside").alias("beside"), (F.sum(F.col("crosses").cast("int")) % 2 == 1).alias("odd")).join(turn, "h")
+    return found.select(*keys, "h", (F.col("beside") | (F.col("odd") == F.col("ccw"))).alias("inside")), turn.select("h", (~F.col("ccw")).alias("default"))
+
+
+def _sections(default: DataFrame, entry: Column) -> DataFrame:
+    """One row with an array of the sections' entries, small enough to broadcast."""
+    if default.limit(EDGE_LIMIT + 1).count() > EDGE_LIMIT:
+        raise ValueError(f"more than {EDGE_LIMIT} sections")
+    return F.broadcast(default.agg(F.sort_array(F.collect_list(entry)).alias("_every")))
+
+
+def _filled(points: DataFrame, found: DataFrame, default: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, h, inside`` for each point and section; what isn't found has the section's default."""
+    per = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("h", "inside"))).alias("_met"))
+    d = points.select(*keys).join(per, keys, "left").crossJoin(_sections(default, F.struct("h", "default")))
+    s = F.transform("_every", lambda x: F.struct(x["h"].alias("h"), F.coalesce(F.try_element_at("_met", x["h"]), x["default"]).alias("inside")))
+    return d.select(*keys, F.explode(s).alias("s")).select(*keys, "s.h", "s.inside")
+
+
+def _containing(points: DataFrame, found: DataFrame, default: DataFrame, keys: list[str]) -> DataFrame:
+    """Points with ``_hs``: the sections that contain them. A point meets its hits and the sections that contain
+    what no edge is near, not all sections."""
+    per = found.groupBy(*keys).agg(F.collect_list(F.when(F.col("inside"), F.col("h"))).alias("_in"), F.collect_list("h").alias("_met"))
+    d = points.join(per, keys, "left").crossJoin(_sections(default.where("default"), F.col("h")))
+    hs = F.when(F.col("_met").isNull(), F.col("_every")).otherwise(F.concat("_in", F.array_except("_every", "_met")))
+    return d.withColumn("_hs", hs).drop("_in", "_met", "_every")
+
+
+def containing(points: DataFrame, polygons: DataFrame, keys: list[str], planar: bool = False) -> DataFrame:
+    """``keys, h`` of the sections that contain each point, on the globe or in the plane."""
+    hits = _planar_hits if planar else _region_hits
+    return _containing(points.select(*keys), *hits(points, polygons, keys), keys).select(*keys, F.explode("_hs").alias("h"))
 
 
 def first_section(points: DataFrame, polygons: DataFrame, keys: list[str]) -> DataFrame:
@@ -89,15 +143,20 @@ def first_section(points: DataFrame, polygons: DataFrame, keys: list[str]) -> Da
     if rings is not None:
         section = F.coalesce(*[F.when(inside_ring(F.col("lat"), F.col("lon"), ring), h) for h, ring in sorted(rings.items())])
         return points.select("*", section.alias("section"))
-    inside = inside_region(points, polygons, keys).where("inside").groupBy(*keys).agg(F.min("h").alias("section"))
-    return points.join(inside, keys, "left")
+    d = _containing(points, *_region_hits(points, polygons, keys), keys)
+    return d.withColumn("section", F.array_min("_hs")).drop("_hs")
 
 
-def _rings(polygons: DataFrame) -> dict[int, list[tuple[float, float]]]:
-    rings = section_literals(polygons)
-    if rings is None:
-        raise ValueError(f"more than {LITERAL_EDGES} edges: use inside_region")
-    return rings
+def _beside(lat: Column, lon: Column, e, tolerance: float) -> Column:
+    dx, dy = e["x1"] - e["x0"], e["y1"] - e["y0"]
+    off = F.abs((lon - e["x0"]) * dy - (lat - e["y0"]) * dx) <= tolerance * F.hypot(dx, dy)
+    across = lon.between(F.least(e["x0"], e["x1"]) - tolerance, F.greatest(e["x0"], e["x1"]) + tolerance)
+    return off & across & lat.between(F.least(e["y0"], e["y1"]) - tolerance, F.greatest(e["y0"], e["y1"]) + tolerance)
+
+
+def _crosses(lat: Column, lon: Column, e) -> Column:
+    at = (lat - e["y0"]) / (e["y1"] - e["y0"]) * (e["x1"] - e["x0"]) + e["x0"]
+    return F.when((e["y0"] <= lat) != (e["y1"] <= lat), lon < at).otherwise(False)
 
 
 def contains_ring(lat: Column, lon: Column, ring: list[tuple[float, float]], tolerance: float = 1e-9) -> Column:
@@ -106,23 +165,16 @@ def contains_ring(lat: Column, lon: Column, ring: list[tuple[float, float]], tol
     each = [(a, b) for a, b in zip([ring[-1], *ring], ring) if a != b]
     edge = F.array(*[F.struct(*[F.lit(float(v)).alias(k) for k, v in zip(("y0", "x0", "y1", "x1"), (*a, *b))]) for a, b in each])
 
-    def beside(e: Column) -> Column:
-        dx, dy = e["x1"] - e["x0"], e["y1"] - e["y0"]
-        off = F.abs((lon - e["x0"]) * dy - (lat - e["y0"]) * dx) <= tolerance * F.hypot(dx, dy)
-        across = lon.between(F.least(e["x0"], e["x1"]) - tolerance, F.greatest(e["x0"], e["x1"]) + tolerance)
-        return off & across & lat.between(F.least(e["y0"], e["y1"]) - tolerance, F.greatest(e["y0"], e["y1"]) + tolerance)
-
-    def crosses(e: Column) -> Column:
-        at = (lat - e["y0"]) / (e["y1"] - e["y0"]) * (e["x1"] - e["x0"]) + e["x0"]
-        return F.when((e["y0"] <= lat) != (e["y1"] <= lat), lon < at).otherwise(False)
-
-    odd = F.size(F.filter(edge, crosses)) % 2 == 1
-    return F.exists(edge, beside) | (odd == F.lit(signed_area(ring) > 0))
+    odd = F.size(F.filter(edge, lambda e: _crosses(lat, lon, e))) % 2 == 1
+    return F.exists(edge, lambda e: _beside(lat, lon, e, tolerance)) | (odd == F.lit(signed_area(ring) > 0))
 
 
 def contains(points: DataFrame, polygons: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, h, inside`` for each point ``keys, lat, lon`` and section, in the plane of (lat, lon)."""
-    each = [F.struct(F.lit(h).alias("h"), contains_ring(F.col("lat"), F.col("lon"), ring).alias("inside")) for h, ring in sorted(_rings(polygons).items())]
+    rings = section_literals(polygons)
+    if rings is None:
+        return _filled(points, *_planar_hits(points, polygons, keys), keys)
+    each = [F.struct(F.lit(h).alias("h"), contains_ring(F.col("lat"), F.col("lon"), ring).alias("inside")) for h, ring in sorted(rings.items())]
     return points.select(*keys, F.explode(F.array(*each)).alias("s")).select(*keys, "s.h", "s.inside")
 
 
@@ -131,8 +183,15 @@ def signed_area(ring: list[tuple[float, float]]) -> float:
 
 
 def last_section(points: DataFrame, polygons: DataFrame) -> DataFrame:
-    """Points with ``section``: the last section that contains them, or null. No row is moved."""
-    hits = [F.when(contains_ring(F.col("lat"), F.col("lon"), ring), h) for h, ring in sorted(_rings(polygons).items(), reverse=True)]
+    """Points with ``section``: the last section that contains them, or null. With few edges no row is moved; else each
+    distinct place is looked up once."""
+    rings = section_literals(polygons)
+    if rings is None:
+        places = points.select("lat", "lon").where("lat is not null and lon is not null").distinct()
+        found = _containing(places, *_planar_hits(places, polygons, ["lat", "lon"]), ["lat", "lon"])
+        found = found.select("lat", "lon", F.array_max("_hs").alias("section"))
+        return points.join(found, ["lat", "lon"], "left").select(*points.columns, "section")
+    hits = [F.when(contains_ring(F.col("lat"), F.col("lon"), ring), h) for h, ring in sorted(rings.items(), reverse=True)]
     return points.select("*", F.coalesce(*hits).alias("section"))
 
 

@@ -30,3 +30,15 @@ def calculate_weights(grid: DataFrame, coast: DataFrame, rings: DataFrame, polyg
     own = polygon.inside_region(own.select("key", "lat", "lon").distinct(), polygons, ["key"]).where("inside").select("h", "key.lat", "key.lon")
     d = inside.join(land, ["i", "j"]).join(coast_distance(grid, own), ["h", "i", "j"], "left")
     return d.select("h", "i", "j", geo.importance(F.col("inside") & F.col("wanted"), "distance").alias("value"))
+
+
+def calculate_rasters(grid: DataFrame, coast: DataFrame, rings: DataFrame, sets: dict[str, tuple[DataFrame, bool]]) -> DataFrame:
+    """``cut_set, kind, crop, h, i, j, value``: the rasters of all cut sets ``name: (polygons, whether land counts)``, with
+    and without Antarctica (not where the sea counts), in one plan."""
+    out = None
+    for name, (polygons, land) in sets.items():
+        for crop in (False, True) if land else (False,):
+            own = calculate_weights(grid, coast, rings, polygons, land, crop)
+            own = own.select(F.lit(name).alias("cut_set"), F.lit("land" if land else "sea").alias("kind"), F.lit(crop).alias("crop"), "h", "i", "j", "value")
+            out = own if out is None else out.unionByName(own)
+    return out

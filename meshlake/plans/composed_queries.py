@@ -30,13 +30,6 @@ def w14_dilate_mesh(spark, sf):
     return plan.dilate_mesh(mesh(spark))
 
 
-@query()
-def l13_skeleton(spark, sf):
-    from ..operators import cells
-
-    return plan.skeleton(cells.enumerate_nodes(mesh(spark))[0], 2.0, ROWS, COLUMNS)
-
-
 _INNER = f"(select * replace (lat * 0.97e0 as lat, lon * 0.97e0 as lon) from {_FEATURES})"
 
 
@@ -88,31 +81,6 @@ def s15_languages(spark, sf):
     return text_files.parse_languages(text_files.texts(spark, {"lang": _LABELS}))
 
 
-def _borders(spark):
-    cuts = text_files.parse_cuts(text_files.texts(spark, {"example": resources.CUTS["example"]})).drop("name")
-    return plan.section_borders(cuts)
-
-
-@query()
-def g07_section_borders(spark, sf):
-    return _borders(spark)
-
-
-@query()
-def u02_cells_shared_by(spark, sf):
-    from ..operators import raster
-
-    b = _borders(spark)
-    return raster.cells_shared_by(b.where("part = 'glue'").drop("part"), b.where("part = 'cut'").drop("part"), 8)
-
-
-@query()
-def p10_near_straits(spark, sf):
-    from ..sources.fixtures import polylines
-
-    return plan.near_straits(polylines(spark, sf).withColumnRenamed("feature_id", "h"), 24)
-
-
 @query(f"select h, i, j, (sum(case when x is not null then 1 else 0 end) over (partition by h order by i, j) - 1)::bigint \"index\" from {MESH}")
 def w02_running_reindex(spark, sf):
     from pyspark.sql import Window as W

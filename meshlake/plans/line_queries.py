@@ -102,7 +102,7 @@ def rings(spark, sf):
 
 @query("select id, h from " + region_sql(POINTS, _RINGS, "id") + " where inside")
 def p02_inside_many_regions(spark, sf):
-    return polygon.inside_region(points(spark, sf), rings(spark, sf), ["id"]).where("inside").select("id", "h")
+    return polygon.containing(points(spark, sf), rings(spark, sf), ["id"])
 
 
 def planar_sql(pts: str, polys: str) -> str:
@@ -232,16 +232,6 @@ def w09_simplify_path(spark, sf):
     return paths.per_line(polylines(spark, sf), ["feature_id"], ("lat", "lon"), paths.simplified)
 
 
-@query()
-def w10_decimate_path(spark, sf):
-    return paths.per_line(polylines(spark, sf), ["feature_id"], ("lat", "lon"), lambda p: paths.decimated(p, 20.0))
-
-
-@query()
-def t05_convex_hull(spark, sf):
-    return paths.per_line(steps(spark, sf), ["feature_id"], ("x", "y"), paths.convex_hull)
-
-
 @query()
 def j14_merge_closed_pieces(spark, sf):
     pieces = paths.split_lines(steps(spark, sf), ["feature_id"], closed=True).withColumn("line", F.lit(0))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import divides, features, optimize, raster, sparse, weights
+from ..operators import divides, features, sparse, weights
 from ..sources import sinks
+from ..sources.scratch import drop_path, shared_path
 from ..sources.fixtures import MESH, POINTS, lat_of, lat_sql, lon_of, lon_sql, mesh, points, table
 from .line_queries import _GRID, _ISLES, _RINGS, grid, region_sql, rings, sections, sections_sql
 from .registry import query
@@ -19,18 +19,19 @@ def r(sql: str, digits: int = 6) -> str:
     return f"round({sql}, {digits}) + 0"
 
 
-A_SQL = "(select o_custkey % 50 \"row\", o_orderkey % 40 col, sum((o_orderkey % 7 - 3)::double) val from orders where o_orderkey % 3 = 0 group by 1, 2 having sum(o_orderkey % 7 - 3) <> 0)"
-B_SQL = "(select o_orderkey % 40 \"row\", o_custkey % 30 col, sum((o_custkey % 5 - 2)::double) val from orders where o_orderkey % 4 = 1 group by 1, 2 having sum(o_custkey % 5 - 2) <> 0)"
+# sparse matrices of all orders
+A_SQL = "(select o_custkey % 2000 \"row\", o_orderkey % 1600 col, sum((o_orderkey % 7 - 3)::double) val from orders group by 1, 2 having sum(o_orderkey % 7 - 3) <> 0)"
+B_SQL = "(select o_orderkey % 1600 \"row\", o_custkey % 1200 col, sum((o_custkey % 5 - 2)::double) val from orders group by 1, 2 having sum(o_custkey % 5 - 2) <> 0)"
 
 
 def _a(spark, sf):
-    o = table(spark, sf, "orders").where("o_orderkey % 3 = 0")
-    return sparse.from_coordinates(o.select((F.col("o_custkey") % 50).alias("row"), (F.col("o_orderkey") % 40).alias("col"), (F.col("o_orderkey") % 7 - 3).cast("double").alias("val")))
+    o = table(spark, sf, "orders")
+    return sparse.from_coordinates(o.select((F.col("o_custkey") % 2000).alias("row"), (F.col("o_orderkey") % 1600).alias("col"), (F.col("o_orderkey") % 7 - 3).cast("double").alias("val")))
 
 
 def _b(spark, sf):
-    o = table(spark, sf, "orders").where("o_orderkey % 4 = 1")
-    return sparse.from_coordinates(o.select((F.col("o_orderkey") % 40).alias("row"), (F.col("o_custkey") % 30).alias("col"), (F.col("o_custkey") % 5 - 2).cast("double").alias("val")))
+    o = table(spark, sf, "orders")
+    return sparse.from_coordinates(o.select((F.col("o_orderkey") % 1600).alias("row"), (F.col("o_custkey") % 1200).alias("col"), (F.col("o_custkey") % 5 - 2).cast("double").alias("val")))
 
 
 @query(f"select * from {A_SQL}")
@@ -60,18 +61,18 @@ def l03_matmul(spark, sf):
 
 @query(f"select \"row\", sum(val * col / 4e0) val from {A_SQL} group by 1")
 def l03_matvec(spark, sf):
-    x = spark.range(40).select(F.col("id").alias("index"), (F.col("id") / 4.0).alias("x"))
+    x = spark.range(1600).select(F.col("id").alias("index"), (F.col("id") / 4.0).alias("x"))
     return sparse.matvec(_a(spark, sf), x)
 
 
-@query(f"select \"row\", a.col * 30 + b.col col, a.val * b.val val from {A_SQL} a join {B_SQL} b using (\"row\")")
+@query(f"select \"row\", a.col * 1200 + b.col col, a.val * b.val val from {A_SQL} a join {B_SQL} b using (\"row\")")
 def l04_outer(spark, sf):
-    return sparse.outer(_a(spark, sf), _b(spark, sf), 30)
+    return sparse.outer(_a(spark, sf), _b(spark, sf), 1200)
 
 
-@query(f"select \"row\" + k * 50 \"row\", col + k * 40 col, val from {A_SQL}, (values (0), (1), (2)) t(k)")
+@query(f"select \"row\" + k * 2000 \"row\", col + k * 1600 col, val from {A_SQL}, (values (0), (1), (2)) t(k)")
 def l05_repeat_diagonally(spark, sf):
-    return sparse.repeat_diagonally(_a(spark, sf), 3, 50, 40)
+    return sparse.repeat_diagonally(_a(spark, sf), 3, 2000, 1600)
 
 
 @query(f"select a.col \"row\", b.col col, sum(a.val * b.val) val from {A_SQL} a join {A_SQL} b using (\"row\") group by 1, 2 having sum(a.val * b.val) <> 0")
@@ -79,14 +80,14 @@ def l06_transpose_matmul_self(spark, sf):
     return sparse.gram(_a(spark, sf))
 
 
-@query(f"select (\"row\" * 40 + col) // 25 \"row\", (\"row\" * 40 + col) % 25 col, val from {A_SQL}")
+@query(f"select (\"row\" * 1600 + col) // 1000 \"row\", (\"row\" * 1600 + col) % 1000 col, val from {A_SQL}")
 def l06_reshape(spark, sf):
-    return sparse.reshape(_a(spark, sf), 40, 25)
+    return sparse.reshape(_a(spark, sf), 1600, 1000)
 
 
-@query(f"select \"row\" - 10 \"row\", col, val from {A_SQL} where \"row\" between 10 and 19 union all select \"row\" + 10, col, val from {B_SQL} union all select k + 50, k, 1e0 from range(5) t(k)")
+@query(f"select \"row\" - 10 \"row\", col, val from {A_SQL} where \"row\" between 10 and 19 union all select \"row\" + 10, col, val from {B_SQL} union all select k + 1610, k, 1e0 from range(5) t(k)")
 def l06_slice_and_stack(spark, sf):
-    return sparse.stack([(sparse.take_rows(_a(spark, sf), 10, 20), 10), (_b(spark, sf), 40), (sparse.identity(spark, 5), 5)])
+    return sparse.stack([(sparse.take_rows(_a(spark, sf), 10, 20), 10), (_b(spark, sf), 1600), (sparse.identity(spark, 5), 5)])
 
 
 @query(f"select \"row\" \"index\", val from {A_SQL} where \"row\" = col")
@@ -94,9 +95,9 @@ def l06_diagonal(spark, sf):
     return sparse.diagonal(_a(spark, sf))
 
 
-@query(f"select \"row\", sum(val) total, case when count(*) < 40 then least(min(val), 0) else min(val) end least, case when count(*) < 40 then greatest(max(val), 0) else max(val) end most, {r('sqrt(sum(val * val))')} norm from {A_SQL} group by 1")
+@query(f"select \"row\", sum(val) total, case when count(*) < 1600 then least(min(val), 0) else min(val) end least, case when count(*) < 1600 then greatest(max(val), 0) else max(val) end most, {r('sqrt(sum(val * val))')} norm from {A_SQL} group by 1")
 def a19_sparse_reductions(spark, sf):
-    return sparse.reduce_rows(_a(spark, sf), 40).withColumn("norm", R(F.col("norm")))
+    return sparse.reduce_rows(_a(spark, sf), 1600).withColumn("norm", R(F.col("norm")))
 
 
 @query(f"select col, sum(val) total from {A_SQL} group by col")
@@ -153,14 +154,6 @@ def s09_load_rivers(spark, sf):
     return features.load_rivers(d).withColumn("i", R(F.col("i"))).withColumn("j", R(F.col("j")))
 
 
-@query()
-def s05_load_coast_vertices(spark, sf):
-    o = table(spark, sf, "orders")
-    k = F.col("o_orderkey")
-    d = o.select((F.col("o_custkey") % 10).cast("string").alias("source"), F.col("o_custkey").alias("shape_id"), k.alias("seq"), lat_of(k).alias("lat"), lon_of(k).alias("lon"))
-    return features.thin_coast(d, 25.0)
-
-
 _TILE = "(select tile, r::int \"row\", c::int col, ((r * 7919 + c * 104729 + length(tile)) % 4001) - 500e0 z from (values ('gt30e020n40'), ('gt30w100s10'), ('gt30e020n90')) t(tile), range(25) a(r), range(20) b(c))"
 
 
@@ -196,15 +189,14 @@ def l15_bottleneck(spark, sf):
 
 
 def _checkpoint(spark):
-    """Rounds are written below the folder that the cluster shares."""
-    import tempfile
-    import uuid
-
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    root = f"{root.rstrip('/')}/rounds-{uuid.uuid4().hex}"
+    """Rounds are written below the folder that the cluster shares; a round goes when the next but one is written."""
+    root, names = shared_path(spark, "rounds"), []
 
     def write(df, name):
         df.write.parquet(f"{root}/{name}")
+        names.append(name)
+        if len(names) > 2:
+            drop_path(spark, f"{root}/{names[-3]}")
         return spark.read.parquet(f"{root}/{name}")
 
     return write
@@ -217,11 +209,11 @@ def p08_on_water(spark, sf):
     return divides.on_water(p, _elevation(spark), 12, 18, 0.1).select("id", "water")
 
 
-_RIVERS = "(select c_custkey river_id, k seq, 1 + ((c_custkey * 7 + k * 5) % 97) / 10e0 + 0.033e0 i, 1 + ((c_custkey * 11 + k * 3) % 143) / 10e0 + 0.047e0 j from customer, (values (1), (2), (3)) t(k) where c_custkey % 40 = 1)"
+_RIVERS = "(select c_custkey river_id, k seq, 1 + ((c_custkey * 7 + k * 5) % 97) / 10e0 + 0.033e0 i, 1 + ((c_custkey * 11 + k * 3) % 143) / 10e0 + 0.047e0 j from customer, (values (1), (2), (3)) t(k))"
 
 
 def _rivers(spark, sf):
-    c = table(spark, sf, "customer").where("c_custkey % 40 = 1").select(F.col("c_custkey").alias("river_id"), F.lit(0).alias("part"), F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("seq"))
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("river_id"), F.lit(0).alias("part"), F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("seq"))
     k, s = F.col("river_id"), F.col("seq")
     return c.select("river_id", "part", "seq", ((k * 7 + s * 5) % 97 / 10.0 + 1.033).alias("i"), ((k * 11 + s * 3) % 143 / 10.0 + 1.047).alias("j"))
 
@@ -283,47 +275,3 @@ def k03_cut_lines(spark, sf):
 @query(f"select h, i, string_agg(printf('%9.2f,%9.2f', coalesce(x, 'nan'::double), coalesce(y, 'nan'::double)), ',' order by j) \"value\" from {MESH} where h <> 1 group by h, i")
 def k05_projection_lines(spark, sf):
     return sinks.projection_lines(mesh(spark).where("h <> 1"))
-
-
-@query()
-def g01_cells_touched_by(spark, sf):
-    return raster.cells_touched_by(sections(spark, "example"), 8)
-
-
-@query()
-def g03_cells_approached_by(spark, sf):
-    return raster.cells_approached_by(sections(spark, "example"), 8)
-
-
-@query()
-def u01_cells_inside_of(spark, sf):
-    return raster.cells_inside_of(sections(spark, "example"), 8)
-
-
-@query()
-def g04_trim_to_grid(spark, sf):
-    from ..sources.fixtures import polylines
-
-    return raster.trim_to_grid(polylines(spark, sf).withColumnRenamed("feature_id", "h"), 8)
-
-
-@query("select k::int row_count, (k::double) expected from (values (9), (21), (49)) t(k)")
-def l14_schedule_rows(spark, sf):
-    """The passes of a fit end with the full mesh: the last factor is none, so rows stay as they are."""
-    rows = [(k, float(k) if optimize.schedule(max(k, 10))[-1] == (0, 1, True) else -1.0) for k in (9, 21, 49)]
-    return spark.createDataFrame(rows, "row_count int, expected double")
-
-
-@query()
-def l10_minimize(spark, sf):
-    """A quadratic whose coefficients are Spark aggregates, minimised by damped Newton steps."""
-    p = points(spark, sf).agg(F.avg("lat").alias("a"), F.avg("lon").alias("b")).first()
-    h = np.array([[1.0, -0.9], [-0.9, 1.0]])
-    target = np.array([p.a, p.b]) / 100
-
-    def f(x):
-        d = x - target
-        return d @ h @ d / 2, h @ d, h
-
-    got = optimize.minimize(f, np.array([1.0, -1.0]), 1e-9)
-    return spark.createDataFrame([(got.reason, bool(np.allclose(got.state, target)))], "reason string, close boolean")

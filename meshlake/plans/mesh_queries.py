@@ -147,11 +147,6 @@ def t01_nearest_node(spark, sf):
     return d.select("id", "h", "i", "j", R(F.col("d2")).alias("d2"))
 
 
-@query()
-def i08_inverse_project(spark, sf):
-    return interpolation.inverse_project(_targets(spark), mesh(spark), sections(spark, "example"), ROWS, COLUMNS)
-
-
 @query("select id, round(lat, 5) + 0 lat, round(lon, 5) + 0 lon from (select k::int id, 10e0 + (k % 7) * 2e0 lat, 20e0 + (k // 7) * 3e0 lon from range(49) t(k))")
 def i09_inverse_in_tetragon(spark, sf):
     """The bilinear image of known coordinates, inverted: they come back."""
@@ -315,18 +310,6 @@ def a08_bounding_box(spark, sf):
     return cells.bounding_box(mesh(spark), ["h"])
 
 
-@query()
-def a09_center_of(spark, sf):
-    return cells.center_of(sections(spark, "example"))
-
-
-@query()
-def a17_fit_in_rectangle(spark, sf):
-    hull = paths.per_line(steps(spark, sf), ["feature_id"], ("x", "y"), paths.convex_hull)
-    d = cells.fit_in_rectangle(hull, ["feature_id"])
-    return d.select("feature_id", *[R(F.col(c)).alias(c) for c in ("rotation", "dx", "dy")])
-
-
 @query("select k i, j, round(abs(k - 4) + least(abs(j - 3), 16 - abs(j - 3)) * sin(k / 7e0 * pi()), 6) + 0 distance from (select k::int k, j::int j from range(8) a(k), range(16) b(j)) where abs(k - 4) + least(abs(j - 3), 16 - abs(j - 3)) * sin(k / 7e0 * pi()) <= 6")
 def t02_search_order(spark, sf):
     c = spark.range(128).select(F.floor(F.col("id") / 16).cast("int").alias("i"), (F.col("id") % 16).cast("int").alias("j"))

@@ -20,10 +20,11 @@ def save_weights(weights: DataFrame, path: str) -> None:
     weights.write.mode("overwrite").partitionBy("cut_set", "h", "kind", "crop").parquet(path)
 
 
-def load_weights(spark: SparkSession, path: str | None, cut_set: str = "", kind: str = "", crop: bool = False) -> DataFrame:
-    """``h, i, j, value`` of one raster set: only its partitions are read. Without a path: 1 everywhere."""
+def load_weights(spark: SparkSession, path: str | None, cut_set: str = "", kind: str = "", crop: bool = False, cells: DataFrame | None = None) -> DataFrame:
+    """``h, i, j, value`` of one raster set: only its partitions are read. Without a path the weights are uniform:
+    1 in each of ``cells`` ``h, i, j``."""
     if path is None:
-        return spark.createDataFrame([(None, None, None, 1.0)], "h int, i int, j int, value double")
+        return cells.select("h", "i", "j", F.lit(1.0).alias("value"))
     w = spark.read.parquet(path)
     return w.where((F.col("cut_set") == cut_set) & (F.col("kind") == kind) & (F.col("crop") == crop)).select("h", "i", "j", "value")
 
