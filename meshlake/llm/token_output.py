@@ -9,7 +9,6 @@ ascend by doc_id."""
 from __future__ import annotations
 
 import functools
-import itertools
 import re
 import zlib
 from array import array
@@ -29,22 +28,29 @@ LIMIT, BLOCK, STEP = 20, 1 << 16, 128
 #: Code points of a text that tell ranges of one doc_id apart, bytes of texts of a range at least.
 HEAD, RANGE_BYTES = 16, 64 << 20
 END_ID = 0
+#: Words in one call of the library, bytes of texts whose words are found together.
+GROUP, TOGETHER = 4096, 8 << 20
 #: Words whose ids are kept; beyond that the older half stays, which holds the frequent ones.
-WORDS = 900_000
-_LONG = 64
-#: Stands before a text's first word, which no blank precedes.
+WORDS = 1_500_000
+#: Stands before a text's first word, which neither a blank nor a line end precedes.
 _FIRST = "\x01"
-# texts that aren't words between single blanks and line ends alone: white space at an end, or runs of it at a
-# blank, or of another kind; and the mark itself
-_ODD = r"^$|^[ \n]|[ \n]$|  | \n|\n |[\x01\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+# texts that aren't words between single blanks and one or two line ends alone: white space at an end, or runs of it at
+# a blank, or longer, or of another kind; and the mark itself
+_ODD = r"^$|^[ \n]|[ \n]$|  | \n|\n |\n\n\n|[\x01\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def _text(t: str) -> pa.Scalar:
+    return pa.scalar(t, pa.large_string())
 
 
 class WordEncoder:
     """The tokenizers library, asked once for each distinct word.
 
-    The ids of a word between single blanks, with the blank before it, don't depend on what surrounds it:
-    of the pre-tokenizer's pieces only runs of white space are cut by what follows. Texts with other white
-    space, or with an added token as ``<|endoftext|>``, are encoded whole. Splitting, finding distinct words and joining their ids are Arrow kernels."""
+    The ids of a word between single blanks, with the blank before it, don't depend on what surrounds it, nor do
+    those of a word after a line end: of the pre-tokenizer's pieces only runs of white space are cut by what follows, and
+    a line end beside a word is a piece of its own. Texts with other white space, or with an added token as
+    ``<|endoftext|>``, are encoded whole. Splitting, finding distinct words, parting their ids and joining them
+    again are Arrow kernels and array operations, and so is the look-up of words met before; no word is a Python object."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -53,47 +59,68 @@ class WordEncoder:
         # texts that spell an added token are the library's to split, whole
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.odd = "|".join([_ODD, *added])
-        self.memo: dict[str, bytes] = {}
-        self.marks = {c: array("I", self.tokenizer.encode(c, add_special_tokens=False).ids).tobytes() for c in ".,;:!?"}
         (self.line,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.known, self.ids, self.ends = pa.array([], pa.large_string()), np.zeros(0, "<u4"), np.zeros(1, np.int64)
+        self.marks = {c: self.tokenizer.encode(c, add_special_tokens=False).ids[0] for c in ".,;:!?"}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Words, a blank before each, with their ids; a few thousand in one call, between line ends, which are
-        an id of their own and are in no id of a word without one."""
-        odd, even = [w for w in words if "\n" in w], [w for w in words if "\n" not in w]
-        groups = [even[k : k + 4096] for k in range(0, len(even), 4096)]
-        encode = self.tokenizer.encode_batch_fast
-        for group, e in zip(groups, encode(["\n".join([" " + w for w in g]) for g in groups], add_special_tokens=False)):
-            ids = array("I", e.ids)
-            ends = [*(4 * np.flatnonzero(np.frombuffer(ids, "<u4") == self.line)).tolist(), 4 * len(ids)]
-            if len(ends) != len(group):
-                raise ValueError("line ends don't part words in this vocabulary")
-            raw = ids.tobytes()
-            yield from zip(group, [raw[a:z] for a, z in zip([0, *(z + 4 for z in ends)], ends)])
-        yield from zip(odd, self._whole([" " + w for w in odd]))
-
-    def _new(self, words: set[str]) -> dict[str, bytes]:
-        memo = self.memo
-        heads = [w for w in words if w[:1] == _FIRST]
-        words = words.difference(heads)
+    def _parted(self, words: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words without line ends, end to end, and how many each has: a few thousand words in one call,
+        between line ends, which are an id of their own and in no id of a word."""
+        n = len(words)
+        if not n:
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        edges = np.append(np.arange(0, n, GROUP), n)
+        groups = pc.binary_join(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), words), _text("\n")).to_pylist()
+        ids = [np.array(array("I", e.ids), "<u4") for e in self.tokenizer.encode_batch_fast(groups, add_special_tokens=False)]
+        flat = np.concatenate([x for g in ids for x in (g, [np.uint32(self.line)])]).astype("<u4")
+        ends = np.flatnonzero(flat == self.line)
+        if len(ends) != n:
+            raise ValueError("line ends don't part words in this vocabulary")
+        return np.delete(flat, ends), np.diff(ends, prepend=-1) - 1
+
+    def _known(self, words: pa.LargeStringArray) -> np.ndarray:
+        """Where distinct words stand among the known ones; new ones are asked for and kept."""
+        if len(self.known) > WORDS:
+            half = WORDS // 2
+            self.known, self.ids, self.ends = pa.concat_arrays([self.known.slice(0, half)]), self.ids[: self.ends[half]].copy(), self.ends[: half + 1].copy()
+        at = pc.index_in(words, value_set=self.known)
+        new = pc.is_null(at).to_numpy(zero_copy_only=False)
+        ids, count = self._parted(words.filter(pa.array(new)))
+        at = at.fill_null(0).to_numpy().astype(np.int64)
+        at[new] = len(self.known) + np.arange(int(new.sum()))
+        self.known = pa.concat_arrays([self.known, words.filter(pa.array(new))])
+        self.ends = np.append(self.ends, self.ends[-1] + np.cumsum(count))
+        self.ids = np.append(self.ids, ids)
+        return at
+
+    def _words(self, words: pa.LargeStringArray) -> pa.LargeBinaryArray:
+        """The ids of distinct words, each with the blank or the line end before it."""
+        after = pc.starts_with(words, "\n").to_numpy(zero_copy_only=False)
+        bare = after | pc.starts_with(words, _FIRST).to_numpy(zero_copy_only=False)
+        words = pc.if_else(pa.array(bare), pc.utf8_slice_codeunits(words, 1), pc.binary_join_element_wise(_text(" "), words, _text("")))
         # between a letter and a final mark pieces are always cut, so the word without it will do
-        marked = {w for w in words if w[-1:] in self.marks and w[-2:-1].isalpha()}
-        stems = {w[:-1] for w in marked}
-        out = {w: memo[w] for w in stems if w in memo}
-        out.update(self._words([w for w in (words - marked) | stems if w not in out]))
-        out.update((w, out[w[:-1]] + self.marks[w[-1]]) for w in marked)
-        out.update(zip(heads, self._whole([w[1:] for w in heads])))
-        return out
+        marked = pc.match_substring_regex(words, r"\p{L}[.,;:!?]$")
+        last = pc.if_else(marked, pc.utf8_slice_codeunits(words, -1), _text("")).dictionary_encode()
+        mark = np.array([self.marks.get(c, 0) for c in last.dictionary.to_pylist()], "<u4")[last.indices.to_numpy()]
+        tail = marked.to_numpy(zero_copy_only=False).astype(np.int64)
+        stems = pc.if_else(marked, pc.utf8_slice_codeunits(words, 0, -1), words).dictionary_encode()
+        which = self._known(stems.dictionary)[stems.indices.to_numpy()]
+        start, count, ids = self.ends[which], np.diff(self.ends)[which], self.ids
+        lead = after.astype(np.int64)
+        size = lead + count + tail
+        ends = np.cumsum(size)
+        out = np.full(int(size.sum()), self.line, "<u4")
+        step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        out[np.repeat(ends - size + lead, count) + step] = ids[np.repeat(start, count) + step]
+        out[(ends - 1)[tail == 1]] = mark[tail == 1]
+        offsets = np.concatenate([[0], ends]).astype(np.int64) * 4
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(offsets), pa.py_buffer(out)])
 
     def __call__(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        memo = self.memo
-        if len(memo) > WORDS:
-            for k in list(itertools.islice(memo, WORDS // 2, None)):
-                del memo[k]
         texts = texts.fill_null("").cast(pa.large_string())
         odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
         out: list[bytes] = [b""] * len(texts)
@@ -103,16 +130,10 @@ class WordEncoder:
         which = np.flatnonzero(~odd)
         if not len(which):
             return out
-        text = lambda t: pa.scalar(t, pa.large_string())
-        split = pc.split_pattern(pc.binary_join_element_wise(text(_FIRST), texts.take(pa.array(which)), text("")), " ")
+        spaced = pc.replace_substring(pc.binary_join_element_wise(_text(_FIRST), texts.take(pa.array(which)), _text("")), "\n", " \n")
+        split = pc.split_pattern(spaced, " ")
         flat = split.flatten().dictionary_encode()
-        words = flat.dictionary.to_numpy(zero_copy_only=False).tolist()
-        got = list(map(memo.get, words))
-        if None in got:
-            fresh = self._new({w for w, x in zip(words, got) if x is None})
-            got = [fresh[w] if x is None else x for w, x in zip(words, got)]
-            memo.update((w, x) for w, x in fresh.items() if len(w) <= _LONG and w[:1] != _FIRST)
-        ids = pa.array(got, pa.large_binary()).take(flat.indices)
+        ids = self._words(flat.dictionary).take(flat.indices)
         at = np.frombuffer(ids.buffers()[1], np.int64)[split.offsets.to_numpy()].tolist()
         data = memoryview(ids.buffers()[2] or b"")
         for k, a, z in zip(which.tolist(), at, at[1:]):
@@ -131,6 +152,22 @@ def word_encoder(path: str) -> WordEncoder:
 _RAW = "shard long, block int, base long, doc_ids binary, sizes binary, ids binary, counts binary"
 
 
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of about ``TOGETHER`` bytes, of at least one row."""
+    held, size = [], 0
+    for b in batches:
+        rows = max(1, b.num_rows * TOGETHER // max(1, b.nbytes))
+        for i in range(0, b.num_rows, rows):
+            part = b.slice(i, rows)
+            held.append(part)
+            size += part.nbytes
+            if size >= TOGETHER:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def tokenize(docs: DataFrame, path: str, n_parts: int) -> DataFrame:
     """Blocks of raw ids, each document followed by END_ID; sorted by doc_id, ties by text, nulls first.
     A shard is a range of doc_id and of the texts' first code points, so that rows of one doc_id are no single task's,
@@ -161,15 +198,13 @@ def tokenize(docs: DataFrame, path: str, n_parts: int) -> DataFrame:
             base, block, keys, ids, size = base + size, block + 1, [], [], 0
             return out
 
-        for b in batches:
-            for i in range(0, b.num_rows, 1024):
-                part = b.slice(i, 1024)
-                for k, x in zip(part.column(0).to_pylist(), encode(part.column(1))):
-                    keys.append(k)
-                    ids.append(x + end)
-                    size += len(x) // 4 + 1
-                    if size >= BLOCK:
-                        yield close()
+        for part in _together(batches):
+            for k, x in zip(part.column(0).to_pylist(), encode(part.column(1))):
+                keys.append(k)
+                ids.append(x + end)
+                size += len(x) // 4 + 1
+                if size >= BLOCK:
+                    yield close()
         if keys:
             yield close()
         if len(total):

@@ -159,9 +159,10 @@ def test_words_and_pieces(monkeypatch):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     own, other = token_output.WordEncoder(path), Tokenizer.from_file(path)
+    monkeypatch.setattr(token_output, "GROUP", 5)
     monkeypatch.setattr(token_output, "WORDS", 20)
     rng = np.random.default_rng(6)
-    parts = ["a", "the", "the,", "it's.", "..", "a1,", "é!", "-x:", "\n", " ", "  ", "\t", "'s", "don't", "12", "!?", "é", "\u00a0", "\u2028", "<|endoftext|>", "x" * 80, "\x01", "\n\n", ".\nThe"]
+    parts = ["a", "the", "the,", "it's.", "..", "a1,", "é!", "-x:", "\n", " ", "  ", "\t", "'s", "don't", "12", "!?", "é", "\u00a0", "\u2028", "<|endoftext|>", "x" * 80, "\x01", "\n\n", "\n\n\n", ".\nThe", "\nThe", "x\n\ny", "\n<|endoftext|>"]
     texts = ["", *filter(None, PAIN), *("".join(rng.choice(parts, rng.integers(1, 30))) for _ in range(300)), *(" ".join(rng.choice(parts, rng.integers(1, 30))) for _ in range(300))]
     for i in range(0, len(texts), 7):
         for t, got in zip(texts[i : i + 7], own(pa.array(texts[i : i + 7], pa.string()))):
