@@ -134,3 +134,18 @@ def drainage_divides(z: dict[tuple[int, int], float], ends: list[tuple[int, int]
 def _ashore(cut: list[tuple[int, int]], z: dict[tuple[int, int], float]) -> list[tuple[int, int]]:
     last = max((k for k, p in enumerate(cut) if z[p] > 0), default=0)
     return cut[: max(2, last + 1)]
+
+
+def divide_cuts(spark, cuts: list[list[tuple[int, int]]], per_degree: float, resolution: float) -> DataFrame:
+    """``seq, cut, lat, lon`` as in a cut file: the glue point stands first (the cuts' common start), then each cut in
+    degrees, simplified to the resolution on either side of the antimeridian."""
+    import numpy as np
+
+    from . import paths
+
+    rows: list[tuple[int, float, float]] = []
+    for k, cut in enumerate(cuts, 1):
+        path = np.array(cut, float) / per_degree - [90.0, 180.0]
+        rows += [(k, float(a), float(b)) for a, b in path[paths.decimated(path, resolution, wrap=True)]]
+    rows = [(0, *rows[0][1:]), *rows]
+    return spark.createDataFrame([(s, *r) for s, r in enumerate(rows)], "seq int, cut int, lat double, lon double")

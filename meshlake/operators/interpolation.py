@@ -107,6 +107,8 @@ def apply_weights(weights: DataFrame, mesh: DataFrame) -> DataFrame:
     return d.groupBy("id").agg(*[F.when(~gone, F.sum(F.col(c) * F.col("weight"))).alias(c) for c in "xy"])
 
 
+#: Fixed value: how far from the nearest node a containing cell is looked for, in cells.
+REACH = 6
 #: How far outside a cell's edge, in fractions of it, rounding may put a point.
 SLACK = 1e-9
 
@@ -145,13 +147,39 @@ def invert_cells(rows: DataFrame, dlat: float, dlon: float) -> DataFrame:
     return d.select(*rows.columns, F.when(ok, c("clat") + c("_t") * dlat).alias("lat"), F.when(ok, c("clon") + c("_s") * dlon).alias("lon"))
 
 
-def nearest_nodes(targets: DataFrame, mesh: DataFrame) -> DataFrame:
+#: Bins of the raster that nodes are dealt to, along each axis.
+NEAR_BINS = 48
+
+
+def nearest_nodes(targets: DataFrame, mesh: DataFrame, bins: int = NEAR_BINS) -> DataFrame:
     """``id, x, y, h, i, j, d2``: of each section the nearest node to each target ``id, x, y``; the first in row
-    order on ties. Targets are the few points of an inverse raster, each against a mesh of fixed size."""
+    order on ties. A raster over the mesh's box lists, per bin and section, the nodes that can be nearest to a place in
+    the bin: no nearer end of a node's distances from the bin lies beyond the least of the farther ends. That table is made
+    from the mesh alone; targets look up their bin by an equi-join. Targets outside the box meet all nodes."""
     nodes = mesh.where("x is not null").select("h", "i", "j", F.col("x").alias("nx"), F.col("y").alias("ny"))
-    pairs = small(targets.select("id", "x", "y"), 100_000).crossJoin(nodes)
+    box = nodes.agg(F.min("nx").alias("x0"), F.max("nx").alias("x1"), F.min("ny").alias("y0"), F.max("ny").alias("y1")).first()
+    t = targets.select("id", "x", "y")
     d2 = F.pow(F.col("x") - F.col("nx"), F.lit(2.0)) + F.pow(F.col("y") - F.col("ny"), F.lit(2.0))
-    best = pairs.groupBy("id", "x", "y", "h").agg(F.min(F.struct(d2.alias("d2"), "i", "j")).alias("m"))
+    near = F.min(F.struct(d2.alias("d2"), "i", "j")).alias("m")
+    if box.x0 is None or box.x0 == box.x1 or box.y0 == box.y1:
+        pairs = t.crossJoin(small(nodes))
+    else:
+        dx, dy = (box.x1 - box.x0) / bins, (box.y1 - box.y0) / bins
+        bx, by = F.least(F.floor((F.col("x") - box.x0) / dx), F.lit(bins - 1)), F.least(F.floor((F.col("y") - box.y0) / dy), F.lit(bins - 1))
+        inside = F.col("x").between(box.x0, box.x1) & F.col("y").between(box.y0, box.y1)
+        raster = mesh.sparkSession.range(bins * bins).select(F.floor(F.col("id") / bins).alias("bx"), (F.col("id") % bins).alias("by"))
+        cx, cy = box.x0 + (F.col("bx") + 0.5) * dx, box.y0 + (F.col("by") + 0.5) * dy
+        ax, ay = F.abs(F.col("nx") - cx), F.abs(F.col("ny") - cy)
+        # a bin is taken a little larger, so that rounding at its edge loses nothing
+        hx, hy = dx * (0.5 + 1e-6), dy * (0.5 + 1e-6)
+        least = F.pow(F.greatest(ax - hx, F.lit(0.0)), F.lit(2.0)) + F.pow(F.greatest(ay - hy, F.lit(0.0)), F.lit(2.0))
+        most = F.pow(ax + hx, F.lit(2.0)) + F.pow(ay + hy, F.lit(2.0))
+        reach = raster.crossJoin(small(nodes)).select("bx", "by", "h", "i", "j", "nx", "ny", least.alias("least"), most.alias("most"))  # of the mesh's size
+        bound = reach.groupBy("bx", "by", "h").agg(F.min("most").alias("bound"))
+        listed = reach.join(bound, ["bx", "by", "h"]).where(F.col("least") <= F.col("bound")).select("bx", "by", "h", "i", "j", "nx", "ny")
+        pairs = t.where(inside).select("id", "x", "y", bx.alias("bx"), by.alias("by")).join(small(listed), ["bx", "by"]).drop("bx", "by")
+        pairs = pairs.select("id", "x", "y", "h", "i", "j", "nx", "ny").unionByName(t.where(~inside).crossJoin(small(nodes)))
+    best = pairs.groupBy("id", "x", "y", "h").agg(near)
     return best.select("id", "x", "y", "h", "m.i", "m.j", "m.d2")
 
 
@@ -174,14 +202,16 @@ def inverse_project(targets: DataFrame, mesh: DataFrame, polygons: DataFrame, ro
     guess = guess.select("id", "x", "y", "h", "i", "j", "d2", (F.col("lat") + up).alias("glat"), (F.col("lon") + over).alias("glon"))
     cells = grid.cell_corners(mesh).where("sw.x is not null and se.x is not null and nw.x is not null and ne.x is not null")
     cells = cells.select("h", F.col("i").alias("ci"), F.col("j").alias("cj"), F.col("lat").alias("clat"), F.col("lon").alias("clon"), "sw", "se", "nw", "ne")
-    pair = guess.join(small(cells), "h")
+    # only cells of rows within reach
+    around = guess.withColumn("ci", F.explode(F.sequence(F.col("i") - REACH, F.col("i") + REACH)))
+    pair = around.join(small(cells), ["h", "ci"])
     dj = F.abs(F.col("cj") - F.col("j"))
     dist = F.abs(F.col("ci") - F.col("i")) + F.least(dj, (columns - 1) - dj) * F.sin(F.col("ci") / F.lit(rows - 2.0) * F.pi())
     ring = [("ne", "nw"), ("nw", "sw"), ("sw", "se"), ("se", "ne")]
     inside = F.lit(True)
     for a, b in ring:
         inside = inside & ((F.col("x") - F.col(f"{a}.x")) * (F.col("y") - F.col(f"{b}.y")) - (F.col("x") - F.col(f"{b}.x")) * (F.col("y") - F.col(f"{a}.y")) >= 0)
-    hit = pair.withColumn("dist", dist).where((F.col("dist") <= 6) & inside)
+    hit = pair.withColumn("dist", dist).where((F.col("dist") <= REACH) & inside)
     # the nearest containing cell is chosen first, so one is inverted for each target and section
     first = hit.groupBy("id", "h").agg(F.min(F.struct("dist", "ci", "cj")).alias("m")).select("id", "h", "m.ci", "m.cj")
     best = invert_cells(hit.join(first, ["id", "h", "ci", "cj"]), 180.0 / (rows - 1), 360.0 / (columns - 1)).select("id", "h", F.struct("lat", "lon").alias("e"))

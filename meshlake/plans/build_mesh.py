@@ -16,6 +16,8 @@ from ..operators import cells, grid, paths, raster
 from ..sources import resources
 
 Point = tuple[float, float]
+#: Vertices of a cut file that are put together on the driver.
+CUT_LIMIT = 1_000_000
 
 
 def path_through(start: Point, middle: Point, end: Point) -> list[Point]:
@@ -43,6 +45,8 @@ def section_borders(cuts: DataFrame) -> DataFrame:
     """``h, part, seq, lat, lon`` of trimmed cuts ``cut, seq, lat, lon`` (cut 0: the glue point): parts ``cut``
     and ``glue``, and ``border``, both in one ring. Section h lies between cuts h-1 and h."""
     spark = cuts.sparkSession
+    if cuts.limit(CUT_LIMIT + 1).count() > CUT_LIMIT:
+        raise ValueError(f"more than {CUT_LIMIT} vertices of cuts")
     lines: dict[int, list[Point]] = {}
     for r in sorted(cuts.select("cut", "seq", "lat", "lon").collect(), key=lambda r: (r.cut, r.seq)):  # a cut file's lines
         lines.setdefault(r.cut, []).append((r.lat, r.lon))

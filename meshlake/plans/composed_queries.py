@@ -18,13 +18,6 @@ from .registry import query
 R = geo.rounded
 
 
-@query()
-def g08_build_mesh(spark, sf):
-    cuts = text_files.parse_cuts(text_files.texts(spark, {"example": resources.CUTS["example"]})).drop("name")
-    d, _ = plan.build_mesh(spark, cuts, 4)
-    return d.select("h", "i", "j", R(F.col("x"), 3).alias("x"), R(F.col("y"), 3).alias("y"))
-
-
 @query()
 def w14_dilate_mesh(spark, sf):
     return plan.dilate_mesh(mesh(spark))

@@ -153,7 +153,8 @@ def g04_trim_to_grid(spark, sf):
 
 
 # borders: two cuts and the seam between their ends
-BORDERS = f"""(with c as (select cut, seq, lat, lon from {CUT_ROWS} where name = 'example'), n as (select max(cut) n from c), g as (select lat glat, lon glon, case when lat < 0 then -1 else 1 end sg from c where cut = 0),
+def borders_sql(cuts: str) -> str:
+    return f"""(with c as (select cut, seq, lat, lon from {cuts}), n as (select max(cut) n from c), g as (select lat glat, lon glon, case when lat < 0 then -1 else 1 end sg from c where cut = 0),
 k as (select *, row_number() over (partition by cut order by seq) - 1 k from c where cut > 0),
 u as (select (cut % n)::int h, 0 part, -k ord, lat, lon from k, n where k > 0 union all select cut - 1, 1, k, lat, lon from k),
 cut as (select h, (row_number() over (partition by h order by part, ord) - 1)::int seq, lat, lon, count(*) over (partition by h) m from u),
@@ -168,6 +169,10 @@ select h, 'cut' part, seq, lat, lon from cut union all select h, 'glue', seq, la
 union all select h, 'border', seq, lat, lon from cut where seq < m - 1 union all select h, 'border', (m - 1 + seq)::int, lat, lon from glue join (select distinct h, m from cut) using (h))"""
 
 
+_CUTS = f"(select * from {CUT_ROWS} where name = 'example')"
+BORDERS = borders_sql(_CUTS)
+
+
 def _borders(spark):
     cuts = text_files.parse_cuts(text_files.texts(spark, {"example": resources.CUTS["example"]})).drop("name")
     return plan.section_borders(cuts)
@@ -178,8 +183,8 @@ def g07_section_borders(spark, sf):
     return _borders(spark)
 
 
-def _part(name: str) -> str:
-    return f"(select h, seq, lat, lon from {BORDERS} where part = '{name}')"
+def _part(name: str, borders: str = BORDERS) -> str:
+    return f"(select h, seq, lat, lon from {borders} where part = '{name}')"
 
 
 @query(f"select h, i, j from {touched_sql(_part('glue'), N, raster.MARGIN)} except select h, i, j from {touched_sql(_part('cut'), N)} except select h, i, j from {approached_sql(_part('cut'), N)}")
@@ -196,12 +201,16 @@ def _close_sql(reach: str) -> str:
     return f"abs(lat - slat) < {reach} and abs({wrap_sql('(lon - slon)')}) < {reach} / cos(radians(slat))"
 
 
-@query(f"""with a as (select *, lag(lat) over w plat, lag(lon) over w plon from {_BY_LINE} window w as (partition by h order by seq)),
+def straits_sql(src: str, n: int) -> str:
+    return f"""(with a as (select *, lag(lat) over w plat, lag(lon) over w plon from {src} window w as (partition by h order by seq)),
 b as (select *, case when plat is null then 1 when abs(lon - plon) > 180 then 0 else ceil(sqrt(pow(lat - plat, 2) + pow(lon - plon, 2)) / {_REACH}) end n from a),
 f as (select h, case when part = n or plat is null then lat else (1 - part / n::double) * plat + part / n::double * lat end lat, case when part = n or plat is null then lon else (1 - part / n::double) * plon + part / n::double * lon end lon
   from (select *, unnest(generate_series(1, n::int)) part from b where n > 0)),
 p as (select distinct h, slat, slon from f, {_STRAITS} where {_close_sql(f'({_REACH} / 2)')})
-select distinct h, i, j from p, {centers_sql(24)} where {_close_sql(_REACH)}""")
+select distinct h, i, j from p, {centers_sql(n)} where {_close_sql(_REACH)})"""
+
+
+@query(f"select h, i, j from {straits_sql(_BY_LINE, 24)}")
 def p10_near_straits(spark, sf):
     return plan.near_straits(_by_line(spark, sf), 24)
 
@@ -222,13 +231,18 @@ def w16_whole_poles(spark, sf):
     return whole.unionByName(shared.select(F.lit(-1).alias("h"), "i", "j"))
 
 
-@query(f"""with p as {_EXAMPLE}, s as (select k id, k // 48 ci, k % 48 cj, (k // 48) * 7.5e0 - 90e0 clat, (k % 48) * 7.5e0 - 180e0 clon from range(1200) t(k)),
+def center_sql(src: str) -> str:
+    """``h, lat, lon`` in degrees."""
+    return f"""(with p as (select * from {src}), s as (select k id, k // 48 ci, k % 48 cj, (k // 48) * 7.5e0 - 90e0 clat, (k % 48) * 7.5e0 - 180e0 clon from range(1200) t(k)),
 o as (select id, -clat lat, {wrap_sql('(clon + 180e0)')} lon from s), b as (select id, h from {region_sql('o', 'p', 'id')} where inside),
 v as (select distinct h, radians(lat) q, radians(lon) w from p),
 x as (select h, id, ci, cj, clat, clon, sin(a) * cos(q) * cos(w - c) - cos(a) * sin(q) x, cos(q) * sin(w - c) y, cos(a) * cos(q) * cos(w - c) + sin(a) * sin(q) z from v, (select *, radians(clat) a, radians(clon) c from s)),
 f as (select h, id, ci, cj, clat, clon, max(pi() / 2 - atan2(z, sqrt(x * x + y * y))) far from x group by all),
 m as (select h, arg_min((clat, clon), (round(far, 9), ci, cj)) m from f anti join b using (h, id) group by h)
-select h, {r('radians(m[1])', 9)} lat, {r('radians(m[2])', 9)} lon from m""")
+select h, m[1] lat, m[2] lon from m)"""
+
+
+@query(f"select h, {r('radians(lat)', 9)} lat, {r('radians(lon)', 9)} lon from {center_sql(_EXAMPLE)}")
 def a09_center_of(spark, sf):
     return cells.center_of(sections(spark, "example")).select("h", R(F.col("lat"), 9).alias("lat"), R(F.col("lon"), 9).alias("lon"))
 
@@ -266,3 +280,42 @@ def i10_project_section_boundaries(spark, sf):
     return d.select("h", "seq", "part", R(F.col("lat")).alias("lat"), R(F.col("lon")).alias("lon"), R(F.col("x"), 4).alias("x"), R(F.col("y"), 4).alias("y"))
 
 
+
+
+# a whole mesh: masks from the trimmed borders, conformal coordinates about each section's centre, blended
+_TRIMMED = f"(select 0 cut, seq, lat, lon from {_CUTS} where cut = 0 union all select h, seq, lat, lon from {trimmed_sql('(select cut h, seq, lat, lon from ' + _CUTS + ' where cut > 0)', N)})"
+_TB = "tb"
+
+
+def _bearing_sql(ref: tuple[str, str], at: tuple[str, str]) -> tuple[str, str]:
+    """Distance and bearing in radians."""
+    (a, c), (q, w) = ref, at
+    x, y, z = f"(sin({a}) * cos({q}) * cos({w} - {c}) - cos({a}) * sin({q}))", f"(cos({q}) * sin({w} - {c}))", f"(cos({a}) * cos({q}) * cos({w} - {c}) + sin({a}) * sin({q}))"
+    return f"(pi() / 2 - atan2({z}, sqrt({x} * {x} + {y} * {y})))", f"atan2({y}, {x})"
+
+
+_FAR, _TURN = _bearing_sql(("cla", "clo"), ("la", "lo"))
+_GFAR, _GTURN = _bearing_sql(("cla", "clo"), ("gla", "glo"))
+_BACK = _bearing_sql(("gla", "glo"), ("cla", "clo"))[1]
+
+
+@query(f"""with tb as materialized (select * from {borders_sql(_TRIMMED)}),
+sh as (select distinct i, j from (select h, i, j from {touched_sql(_part('glue', _TB), N, raster.MARGIN)} except select h, i, j from {touched_sql(_part('cut', _TB), N)} except select h, i, j from {approached_sql(_part('cut', _TB), N)})),
+inc as (select h, i, j from {inside_sql(_part('border', _TB), N)} union select h, i, j from {straits_sql(_part('cut', _TB), N)}),
+nodes as (select distinct h, i + a i, j + b j from inc, (values (0), (1)) s(a), (values (0), (1)) t(b)),
+share as (select distinct i + a i, unnest(case when j + b = 0 then [0, {2 * N}] when j + b = {2 * N} then [{2 * N}, 0] else [j + b] end) j from sh, (values (0), (1)) s(a), (values (0), (1)) t(b)),
+ctr as (select h, radians(lat) cla, radians(lon) clo from {center_sql(_part('border', _TB))}), g as (select radians(lat) gla, radians(lon) glo from {_CUTS} where cut = 0),
+d as (select h, i::int i, j::int j, i * {180.0 / N}e0 - 90 lat, j * {180.0 / N}e0 - 180 lon, cla, clo, gla, glo, radians(i * {180.0 / N}e0 - 90) la, radians(j * {180.0 / N}e0 - 180) lo from ctr, g, range({N + 1}) a(i), range({2 * N + 1}) b(j)),
+e as (select *, {_FAR} far, {_TURN} turn, {_GFAR} gfar, {_GTURN} gturn, {_BACK} - {_GTURN} - pi() spin from d),
+f as (select *, tan(far / 2) * sin(turn) - tan(gfar / 2) * sin(gturn) px, tan(gfar / 2) * cos(gturn) - tan(far / 2) * cos(turn) py, 3 * {geo.EARTH.a!r} * pow(cos(gfar / 2), 2) size from e),
+q as (select f.h, f.i, f.j, nodes.h is not null there, share.i is not null shared, size * (px * cos(spin) - py * sin(spin)) x, size * (px * sin(spin) + py * cos(spin)) y from f left join nodes on (nodes.h, nodes.i, nodes.j) = (f.h, f.i, f.j) left join share on (share.i, share.j) = (f.i, f.j)),
+m as (select h, i, j, shared, case when there then x end x, case when there then y end y from q),
+b as (select h, i, j, shared, case when x is not null and shared then avg(x) over (partition by i, j) else x end x, case when x is not null and shared then avg(y) over (partition by i, j) else y end y from m),
+s as (select *, bool_or(shared) over (partition by i) any_shared from b),
+p as (select *, case when i in (0, {N}) then case when any_shared then avg(x) over (partition by i) else avg(x) over (partition by h, i) end else x end nx, case when i in (0, {N}) then case when any_shared then avg(y) over (partition by i) else avg(y) over (partition by h, i) end else y end ny from s),
+z as (select *, first_value(nx) over w fx, first_value(ny) over w fy from p window w as (partition by h, i order by j))
+select h, i, j, {r(f'case when x is not null then case when j = {2 * N} then fx else nx end end', 3)} x, {r(f'case when x is not null then case when j = {2 * N} then fy else ny end end', 3)} y from z""")
+def g08_build_mesh(spark, sf):
+    cuts = text_files.parse_cuts(text_files.texts(spark, {"example": resources.CUTS["example"]})).drop("name")
+    d, _ = plan.build_mesh(spark, cuts, N // 2)
+    return d.select("h", "i", "j", R(F.col("x"), 3).alias("x"), R(F.col("y"), 3).alias("y"))

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from ..functions import geo
 from ..operators import cells, divides, features, interpolation, optimize, paths, polygon, weights
 from ..sources import shape_files, sinks
-from ..sources.fixtures import MESH, POINTS, STEPS, lat_of, lat_sql, lon_of, lon_sql, mesh, points, steps, table
+from ..sources.fixtures import LINES, MESH, POINTS, STEPS, lat_of, lat_sql, lon_of, lon_sql, mesh, points, polylines, steps, table
 from ..sources.scratch import shared_path
 from .composed_queries import _inner, _INNER
 from .line_queries import _GRID, _ISLES, _RINGS, _UNINHABITED, grid, planar_sql, region_sql, rings, sections, sections_sql
@@ -403,8 +403,15 @@ def l12_polytope_project(spark, sf):
     return d.select("id", R(F.col("lat"), 5).alias("lat"), R(F.col("lon"), 5).alias("lon"))
 
 
-@query()
-def w10_decimate_path(spark, sf):
-    from ..sources.fixtures import polylines
+# the farthest vertex of a stretch parts it, until none is far
+_PIECES = f"(select feature_id f, seq, lat, lon, sum(jump) over (partition by feature_id order by seq) piece, row_number() over (partition by feature_id order by seq) k from (select *, case when abs(lon - lag(lon) over (partition by feature_id order by seq)) > 180 then 1 else 0 end jump from {LINES}))"
+
 
+@query(f"""with recursive p as (select * from {_PIECES}), r as (select f, piece, min(k) a, max(k) z from p group by f, piece
+  union all select f, piece, unnest([a, m]) a, unnest([m, z]) z from (select f, piece, a, z, arg_max(k, (far, -k)) m, max(far) far from (
+    select r.f, r.piece, r.a, r.z, c.k, sqrt(greatest(0, pow(c.lat - s.lat, 2) + pow(c.lon - s.lon, 2) - pow(((c.lat - s.lat) * (e.lat - s.lat) + (c.lon - s.lon) * (e.lon - s.lon))
+      / case when s.lat = e.lat and s.lon = e.lon then 1 else sqrt(pow(e.lat - s.lat, 2) + pow(e.lon - s.lon, 2)) end, 2))) far
+    from r join p s on s.f = r.f and s.k = r.a join p e on e.f = r.f and e.k = r.z join p c on c.f = r.f and c.k > r.a and c.k < r.z) group by f, piece, a, z) where far >= 20e0)
+select f feature_id, seq, lat, lon from p semi join (select f, a k from r union select f, z from r) using (f, k)""")
+def w10_decimate_path(spark, sf):
     return paths.per_line(polylines(spark, sf), ["feature_id"], ("lat", "lon"), lambda p: paths.decimated(p, 20.0, wrap=True))
