@@ -220,7 +220,7 @@ def test_round_trips(spark, tmp_path):
     w = spark.createDataFrame([("basic", h, kind, crop, i, 0, float(i)) for h in (0, 1) for kind in ("land", "sea") for crop in (False, True) for i in range(3)], "cut_set string, h int, kind string, crop boolean, i int, j int, value double")
     sinks.save_weights(w, f"{tmp_path}/w")
     assert sinks.load_weights(spark, f"{tmp_path}/w", "basic", "land", True).count() == 6
-    assert sinks.load_weights(spark, None).first().value == 1.0
+    assert sinks.load_weights(spark, None, cells=w).agg(F.min("value"), F.max("value"), F.count("h")).first()[:] == (1.0, 1.0, w.count())
     line = text_files.parse_cuts(text_files.texts(spark, {"oceans": resources.CUTS["oceans"]}))
     sinks.save_cuts(line, f"{tmp_path}/cuts")
     again = text_files.parse_cuts(text_files.read_whole(spark, f"{tmp_path}/cuts/part*"))
@@ -281,3 +281,103 @@ def test_drainage_divides_meet():
     cuts = divides.drainage_divides(z, [(1, 1), (7, 2), (2, 9), (7, 9)], 12)
     assert len(cuts) == 4 and len({c[0] for c in cuts}) == 1
     assert {c[-1] for c in cuts} >= {(7, 9), (2, 9)}
+
+
+def test_fit_inside_a_size(spark):
+    from meshlake.plans import fit
+    from meshlake.plans.mesh_queries import _weights
+
+    m, w = fixtures.mesh(spark, sections=1), _weights(spark).where("h = 0")
+    ring = [(0, k, float(a), float(b)) for k, (a, b) in enumerate([*((-67.5, x) for x in range(-170, 171, 10)), *((y, 170.0) for y in range(-60, 61, 10)), *((67.5, x) for x in range(170, -171, -10)), *((y, -170.0) for y in range(60, -61, -10))])]
+    border = spark.createDataFrame(ring, "h int, seq int, lat double, lon double")
+    free, _ = fit.fit_mesh(spark, m, w, 22.5, 22.5, 1e-6, 60)
+    points = border.select("seq", F.col("h").alias("section"), "lat", "lon")
+    extent = lambda mesh: interpolation.project_bilinear(points, mesh, ROWS, COLUMNS).agg(F.max(F.abs("x")).alias("x"), F.max(F.abs("y")).alias("y"), (F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h")).first()
+    wide = extent(free)
+    size = (0.8 * wide.w, 0.8 * wide.w)  # a square, as the energy does not change when a map is turned
+    bound, _ = fit.fit_mesh(spark, m, w, 22.5, 22.5, 1e-6, 60, size=size, border=border, rest=10.0)
+    got = extent(bound)
+    assert got.x < size[0] / 2 and got.y < size[1] / 2 and max(got.w, got.h) > 0.9 * size[0]
+
+
+def test_shape_files(spark, tmp_path):
+    import io
+    import zipfile
+
+    from meshlake.sources import shape_files
+
+    rng = np.random.default_rng(3)
+    shapes = [[rng.uniform(-90, 90, (k + 3, 2)) for k in range(parts)] for parts in (1, 3, 2)]
+    names, fields = ["first", "", "third"], b"name".ljust(11, b"\0") + b"C" + bytes(4) + bytes([8]) + bytes(15)
+    table = b"\x03" + bytes(3) + (3).to_bytes(4, "little") + (65).to_bytes(2, "little") + (9).to_bytes(2, "little") + bytes(20) + fields + b"\r" + b"".join(b" " + n.encode().ljust(8) for n in names)
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        z.writestr("a.shp", shape_files.encode_shapes(shapes))
+        z.writestr("a.dbf", table)
+    (tmp_path / "some.zip").write_bytes(packed.getvalue())
+    (tmp_path / "more.shp").write_bytes(shape_files.encode_shapes(shapes[:1], shape_files.LINE))
+    got = shape_files.read_shapes(spark, str(tmp_path))
+    want = {(s, k, p, q, float(v[1]), float(v[0])) for s, own in (("some", shapes), ("more", shapes[:1])) for k, parts in enumerate(own) for p, xy in enumerate(parts) for q, v in enumerate(xy)}
+    assert {tuple(r)[:6] for r in got.collect()} == want
+    assert {(r.shape_id, r.n) for r in got.where("source = 'some'").selectExpr("shape_id", "attributes['name'] n").collect()} == {(0, "first"), (1, None), (2, "third")}
+    land = shape_files.load_land_polygons(got.where("source = 'some'"))
+    assert land.groupBy("h").agg(F.max("seq").alias("m")).orderBy("h").collect() == [(0, 2), (1, 11), (2, 6)]
+    with pytest.raises(ValueError):
+        list(shape_files.parse_shapes(bytes(120)))
+
+
+def test_both_plans_of_planar_containment(spark, monkeypatch):
+    """Points on edges and vertices, and rings of either direction."""
+    square = [(-10.0, -10.0), (-10.0, 10.0), (10.0, 10.0), (10.0, -10.0), (-10.0, -10.0)]
+    inner = [(-3.5, -3.5), (3.5, -3.5), (3.5, 3.5), (-3.5, 3.5), (-3.5, -3.5)]
+    d = spark.createDataFrame([(h, k, *p) for h, ring in ((0, square), (1, inner)) for k, p in enumerate(ring)], "h int, seq int, lat double, lon double")
+    p = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate((a, b) for a in (-11, -10, -3.5, 0, 3.5, 9, 10) for b in (-10.5, -10, -3.5, 0, 3.5, 10))], "id int, lat double, lon double")
+    few = [polygon.contains(p, d, ["id"]).orderBy("id", "h").collect(), polygon.last_section(p, d).orderBy("id").collect(), polygon.first_section(p, d, ["id"]).select("id", "section").orderBy("id").collect()]
+    monkeypatch.setattr(polygon, "section_literals", lambda *_: None)
+    assert [polygon.contains(p, d, ["id"]).orderBy("id", "h").collect(), polygon.last_section(p, d).orderBy("id").collect(), polygon.first_section(p, d, ["id"]).select("id", "section").orderBy("id").collect()] == few
+    assert {(r.id, r.h) for r in polygon.containing(p, d, ["id"], planar=True).collect()} == {(r.id, r.h) for r in few[0] if r.inside}
+
+
+def test_nearest_nodes_in_and_outside_the_box(spark):
+    rng = np.random.default_rng(5)
+    m = fixtures.mesh(spark)
+    nodes = [r for r in m.collect() if r.x is not None]
+    t = [(k, float(a), float(b)) for k, (a, b) in enumerate(rng.uniform(-16000, 16000, (300, 2)))] + [(900 + k, r.x, r.y) for k, r in enumerate(nodes[::40])]
+    got = {(r.id, r.h): r.d2 for r in interpolation.nearest_nodes(spark.createDataFrame(t, "id int, x double, y double"), m, 7).collect()}
+    for i, x, y in t:
+        for h in {n.h for n in nodes}:
+            assert math.isclose(got[i, h], min((n.x - x) ** 2 + (n.y - y) ** 2 for n in nodes if n.h == h), rel_tol=1e-12, abs_tol=1e-12)
+
+
+def test_decimation_across_the_antimeridian():
+    path = np.array([(0, 170), (0.1, 175), (0, 179), (0, -179), (5, -175), (0, -170), (0, 178)], float)
+    assert paths.decimated(path, 1.0, wrap=True).tolist() == [0, 2, 3, 4, 5, 6]
+    assert paths.decimated(path[:3], 1.0).tolist() == [0, 2]
+
+
+def test_divides_as_cut_files(spark):
+    cuts = [[(9, 13), (9, 14), (9, 15), (9, 16)], [(9, 13), (8, 12), (7, 13)]]
+    d = divides.divide_cuts(spark, cuts, 0.1, 0.5)
+    assert [tuple(r) for r in d.orderBy("seq").collect()] == [(0, 0, 0.0, -50.0), (1, 1, 0.0, -50.0), (2, 1, 0.0, -20.0), (3, 2, 0.0, -50.0), (4, 2, -10.0, -60.0), (5, 2, -20.0, -50.0)]
+
+
+def test_only_a_missing_subpackage_is_passed_over(tmp_path):
+    """Without the training-data subpackage the entry imports; without what it needs it does not."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(plan.__file__).parents[2]
+    shutil.copytree(root / "meshlake", tmp_path / "meshlake", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+
+    def runs() -> bool:
+        return subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert e.queries() and not any(k.startswith('op') for k in e.queries())"], cwd=tmp_path, capture_output=True).returncode == 0
+
+    assert runs()
+    (tmp_path / "meshlake" / "llm").mkdir()
+    (tmp_path / "meshlake" / "llm" / "__init__.py").touch()
+    assert runs()
+    (tmp_path / "meshlake" / "llm" / "queries.py").write_text("import what_is_not_there")
+    assert not runs()
