@@ -2,15 +2,17 @@
 
 **Sparse suffix arrays.** Of the suffixes, those are kept that start at an anchor: in each window of 50
 bytes, the 24-byte string with the least hash. Equal windows have equal anchors, wherever they stand, so no
-match of 50 bytes escapes. Consecutive windows with one anchor form a run; a batch's array holds a row for each
-run, sorted by the anchor's hash, then by a check over all bytes of the run.
+match of 50 bytes escapes. Consecutive windows with one anchor form a run. An array's rows are suffixes in the order
+of their bytes, to a depth of 24, each with a check over all bytes of its run. An index is an array for each bucket of a hash of the anchor:
+suffixes with a common prefix of 24 bytes are in the same bucket, and buckets are even whatever the texts begin with.
 
 **Levels.** A new batch of documents is merge-scanned against the arrays of all levels, bucket by bucket, and
 becomes a level; before that, levels of equal size are merged, so there are logarithmically many.
 
-**Matches.** A run that an earlier document has byte for byte is removed whole. Runs that share an anchor but
-differ (at the ends of shared passages) are compared window by window: their windows' hashes are
-aggregated to the smallest document. Runs and windows are compared by hashes of 96 and 64 bits.
+**Matches.** In a scan, neighbours whose common prefix is a whole anchor are compared. A run that an earlier document has
+byte for byte is removed whole. Runs that share an anchor but differ (at the ends of shared passages) are compared window by
+window: their windows' hashes are aggregated to the smallest document. Runs are compared by 24 bytes and 48 bits of hash, windows by
+64 bits of hash.
 
 Each task keeps one row per distinct run of its batch, so that copies shrink before the shuffle; of an anchor
 with very many different runs only ``HOT`` go to the arrays and all are compared window by window. A run in an
@@ -23,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +38,8 @@ LEAST, GRAM, ARRAY, HOT, BATCHES = 50, 24, 1_000_000, 256, 4
 BUCKET_BYTES = 64 << 20
 _SPAN = LEAST - GRAM + 1
 INDEX, CUT, ASK = 0, 1, 2
-_FIELDS = (("hashes", 8), ("checks", 4), ("docs", 8), ("tags", 2), ("starts", 5), ("lengths", 5), ("asked", 1))
+_KEY = f"S{GRAM}"  # bytes, compared from the first on
+_FIELDS = (("keys", GRAM), ("checks", 6), ("docs", 8), ("tags", 2), ("starts", 5), ("lengths", 5), ("asked", 1))
 _PACKED = "kind int, bucket int, n int, " + ", ".join(f"{f} binary" for f, _ in _FIELDS) + ", old boolean"
 _NAMES = [x.split()[0] for x in _PACKED.split(", ")]
 _TYPES = (pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * len(_FIELDS), pa.bool_())
@@ -43,11 +47,12 @@ _TYPES = (pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * len(_FIELDS), pa.
 
 def anchored_runs(buf: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, ...]:
     """Over the bytes of texts set end to end, ``text`` naming each byte's text: first window, number of
-    windows, anchor hash and check of each run."""
+    windows, anchor hash, check and anchor of each run."""
     n = len(buf)
     empty = np.zeros(0, np.int64)
+    none = empty, empty, empty.astype(np.uint64), empty.astype(np.uint64), empty.astype(_KEY)
     if n < LEAST:
-        return empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
+        return none
     sums = prefix_sums(buf)
     _, down = powers(n + 1)
     gram = mix((sums[GRAM:] - sums[:-GRAM]) * down[: n - GRAM + 1])
@@ -63,30 +68,31 @@ def anchored_runs(buf: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, ...]:
     anchor = (least & np.uint64((1 << 24) - 1)).astype(np.int64)
     start = np.flatnonzero(text[: n - LEAST + 1] == text[LEAST - 1 :])
     if not len(start):
-        return empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
+        return none
     a = anchor[start]
     first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (start[1:] != start[:-1] + 1)]))
     count = np.diff(np.append(first, len(start)))
     lo, at = start[first], a[first]
     whole = hash_spans(sums, lo, lo + count + LEAST - 1)
-    check = mix(whole + (at - lo).astype(np.uint64)) >> np.uint64(32)
-    return lo, count, mix(gram[at] + np.uint64(1)), check
+    check = mix(whole + (at - lo).astype(np.uint64)) >> np.uint64(16)
+    key = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(buf, GRAM)[at]).view(_KEY).ravel()
+    return lo, count, mix(gram[at] + np.uint64(1)), check, key
 
 
 def text_runs(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
-    """``text, start, windows, hash, check`` of runs; long texts in overlapping segments."""
+    """``text, start, windows, hash, check, anchor`` of runs; long texts in overlapping segments."""
     for first, last in chunked(texts):
         if last - first == 1 and len(texts[first]) > CHUNK:
             for at in range(0, len(texts[first]), CHUNK):
                 buf = np.frombuffer(texts[first][at : at + CHUNK + LEAST - 1], np.uint8)
-                lo, n, h, c = anchored_runs(buf, np.zeros(len(buf), np.int8))
-                yield np.full(len(lo), first), lo + at, n, h, c
+                lo, *rest = anchored_runs(buf, np.zeros(len(buf), np.int8))
+                yield np.full(len(lo), first), lo + at, *rest
             continue
         size = np.array([len(t) for t in texts[first:last]])
         text = np.repeat(np.arange(len(size)), size)
-        lo, n, h, c = anchored_runs(np.frombuffer(b"".join(texts[first:last]), np.uint8), text)
+        lo, *rest = anchored_runs(np.frombuffer(b"".join(texts[first:last]), np.uint8), text)
         own = text[lo] if len(lo) else lo
-        yield own + first, lo - (np.cumsum(size) - size)[own], n, h, c
+        yield own + first, lo - (np.cumsum(size) - size)[own], *rest
 
 
 class Runs:
@@ -104,28 +110,29 @@ class Runs:
 
     def row(self, kind: int, bucket: int) -> tuple:
         n = len(self.docs)
-        cols = [self.__dict__[f] for f, _ in _FIELDS]
-        if kind == INDEX:
-            cols[0] = np.diff(self.hashes, prepend=np.uint64(0))
-        else:
-            cols[0] = cols[1] = np.zeros(n, np.uint64)
-        return (kind, bucket, n, *[pack_planes(c, w) for c, (_, w) in zip(cols, _FIELDS)], False)
+        cols = [self.__dict__[f] for f, _ in _FIELDS[1:]]
+        keys = self.keys
+        if kind != INDEX:
+            keys, cols[0] = keys[:0], np.zeros(n, np.uint64)
+        # keys in order have long common prefixes, which a compressor finds
+        packed = zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(keys).tobytes())
+        return (kind, bucket, n, packed, *[pack_planes(c, w) for c, (_, w) in zip(cols, _FIELDS[1:])], False)
 
     @staticmethod
     def unpack(n: int, data: list[bytes], old: bool) -> Runs:
-        cols = {f: unpack_planes(d, n, w) for d, (f, w) in zip(data, _FIELDS)}
-        cols["hashes"] = np.cumsum(cols["hashes"])
+        cols = {f: unpack_planes(d, n, w) for d, (f, w) in zip(data[1:], _FIELDS[1:])}
+        cols["keys"] = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[0], max_output_size=n * GRAM), _KEY)
         for f in ("docs", "starts", "lengths"):
             cols[f] = cols[f].view(np.int64)
         return Runs(**cols, old=np.full(n, old))
 
 
 def resolve(runs: Runs) -> tuple[Runs, np.ndarray, np.ndarray, np.ndarray]:
-    """The runs sorted by hash; which an earlier document has whole; which share their anchor with a
+    """The runs in the order of their anchors' bytes; which an earlier document has whole; which share their anchor with a
     different run of another document, or with more than ``HOT`` or with any asked about; which exceed ``HOT``
     runs of an anchor."""
-    runs = runs.take(np.argsort(runs.hashes, kind="stable"))
-    n, h = len(runs.docs), runs.hashes
+    runs = runs.take(np.argsort(runs.keys, kind="stable"))  # merges arrays that are in order
+    n, h = len(runs.docs), runs.keys
     cut, differs, hot = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, bool)
     same = np.zeros(n + 1, bool)
     same[1:n] = h[1:] == h[:-1]
@@ -178,11 +185,11 @@ def suffix_arrays(docs: DataFrame, buckets: int) -> DataFrame:
             runs, cut, _, hot = resolve(Runs.join(held))
             held, size = [], 0
             # no later array tells that these anchors have more runs, so all of them are asked about here
-            ask = ~cut & np.isin(runs.hashes, runs.hashes[hot]) if hot.any() else hot
+            ask = ~cut & np.isin(runs.keys, runs.keys[hot]) if hot.any() else hot
             runs.asked[ask] = 1
             keep = runs.take(~cut & ~hot)
-            edge = np.searchsorted(keep.hashes, (np.arange(buckets, dtype=np.float64) * (2.0**64 / buckets)).astype(np.uint64))
-            edge = np.append(edge, len(keep.hashes))
+            keep = keep.take(np.argsort(keep.buckets, kind="stable"))
+            edge = np.searchsorted(keep.buckets, np.arange(buckets + 1))
             rows = [keep.take(slice(a, z)).row(INDEX, b) for b, (a, z) in enumerate(zip(edge, edge[1:])) if z > a]
             some = int(runs.docs[0] % buckets)
             if cut.any():
@@ -197,9 +204,10 @@ def suffix_arrays(docs: DataFrame, buckets: int) -> DataFrame:
             for i in range(0, b.num_rows, 512):
                 part = b.slice(i, 512)
                 ids, tags = part.column(0).to_numpy(), part.column(1).to_numpy()
-                for text, lo, n, h, c in text_runs([t.encode() for t in part.column(2).to_pylist()]):
+                for text, lo, n, h, c, key in text_runs([t.encode() for t in part.column(2).to_pylist()]):
                     if len(lo):
-                        held.append(Runs(hashes=h, checks=c, docs=ids[text], tags=tags[text].astype(np.uint64), starts=lo, lengths=n, asked=np.zeros(len(lo), np.uint64), old=np.zeros(len(lo), bool)))
+                        which = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint16 if buckets < 1 << 16 else np.uint32)
+                        held.append(Runs(keys=key, buckets=which, checks=c, docs=ids[text], tags=tags[text].astype(np.uint64), starts=lo, lengths=n, asked=np.zeros(len(lo), np.uint64), old=np.zeros(len(lo), bool)))
                         size += len(lo)
                 if size >= ARRAY:
                     yield flush()
@@ -256,7 +264,7 @@ def merge_levels(packed: DataFrame, buckets: int) -> DataFrame:
         def flush():
             runs = Runs.join(held)
             held.clear()
-            return _batch([runs.take(np.argsort(runs.hashes, kind="stable")).row(INDEX, now)])
+            return _batch([runs.take(np.argsort(runs.keys, kind="stable")).row(INDEX, now)])
 
         for b in batches:
             for kind, bucket, n, *data, old in zip(*[b.column(i).to_pylist() for i in range(len(_NAMES))]):

@@ -76,13 +76,34 @@ def test_suffix_levels(spark):
     assert [size for size, _, _ in index.levels] == [2, 2, 1] or [size for size, _, _ in index.levels] == [4, 1]
 
 
+def test_arrays_are_in_the_order_of_suffixes(spark):
+    """Each packed array has its suffixes in byte order, equal anchors share a bucket, and every window has its run."""
+    rows = [(d, t) for d, t in corpus(4) if d is not None and t]
+    docs = frame(spark, rows).selectExpr("doc_id", "0 tag", "text")
+    scratch = Scratch(spark, "order")
+    index = suffix_dedup.SuffixIndex(spark, scratch, 8)
+    index.add(docs.where("doc_id < 90"))
+    index.add(docs.where("doc_id >= 90"))
+    index._merge()
+    assert [size for size, _, _ in index.levels] == [2]
+    bucket, texts = {}, {}
+    for d, t in rows:
+        texts.setdefault(d, []).append(t.encode())
+    for r in index.levels[0][2].collect():
+        runs = suffix_dedup.Runs.unpack(r.n, [r[f] for f, _ in suffix_dedup._FIELDS], False)
+        assert (runs.keys[1:] >= runs.keys[:-1]).all() and len(runs.keys) == r.n
+        for key, doc, at, n in zip(runs.keys.tolist(), runs.docs.tolist(), runs.starts.tolist(), runs.lengths.tolist()):
+            assert bucket.setdefault(key, r.bucket) == r.bucket
+            assert any(key in t[at : at + n + 49] for t in texts[doc])
+
+
 def test_long_texts_in_segments(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "CHUNK", 300)
     monkeypatch.setattr(textnum, "CHUNK", 300)
     rng = np.random.default_rng(0)
     data = bytes(rng.integers(97, 100, 2500, dtype=np.uint8))
     seen = np.zeros(len(data) - 49, int)
-    for _, lo, n, _, _ in suffix_dedup.text_runs([data]):
+    for _, lo, n, *_ in suffix_dedup.text_runs([data]):
         for a, k in zip(lo, n):
             seen[a : a + k] += 1
     assert (seen == 1).all()
@@ -94,7 +115,7 @@ def test_long_texts_in_segments(monkeypatch):
 def test_hot_anchors_stay_exact(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT", 2)
     n = 6
-    runs = suffix_dedup.Runs(hashes=np.full(n, 7, np.uint64), checks=np.array([1, 1, 2, 3, 4, 5], np.uint64), docs=np.array([1, 2, 3, 4, 5, 6]), tags=np.zeros(n, np.uint64), starts=np.zeros(n, np.int64), lengths=np.ones(n, np.int64), asked=np.zeros(n, np.uint64), old=np.zeros(n, bool))
+    runs = suffix_dedup.Runs(keys=np.full(n, b"a" * 24, "S24"), checks=np.array([1, 1, 2, 3, 4, 5], np.uint64), docs=np.array([1, 2, 3, 4, 5, 6]), tags=np.zeros(n, np.uint64), starts=np.zeros(n, np.int64), lengths=np.ones(n, np.int64), asked=np.zeros(n, np.uint64), old=np.zeros(n, bool))
     runs, cut, differs, hot = suffix_dedup.resolve(runs)
     assert cut.tolist() == [False, True, False, False, False, False] and differs.sum() == 5 and hot.sum() == 3
 
@@ -142,7 +163,7 @@ def test_later_batches_meet_the_saved_index(spark, tmp_path):
 
 def test_an_asked_anchor_asks_for_the_rest():
     n = 2  # both of one document, the first kept of an anchor whose hot runs are in no array
-    runs = suffix_dedup.Runs(hashes=np.full(n, 7, np.uint64), checks=np.array([1, 2], np.uint64), docs=np.array([1, 1]), tags=np.array([1, 2], np.uint64), starts=np.zeros(n, np.int64), lengths=np.ones(n, np.int64), asked=np.array([1, 0], np.uint64), old=np.zeros(n, bool))
+    runs = suffix_dedup.Runs(keys=np.full(n, b"a" * 24, "S24"), checks=np.array([1, 2], np.uint64), docs=np.array([1, 1]), tags=np.array([1, 2], np.uint64), starts=np.zeros(n, np.int64), lengths=np.ones(n, np.int64), asked=np.array([1, 0], np.uint64), old=np.zeros(n, bool))
     assert suffix_dedup.resolve(runs)[2].all()
 
 
