@@ -217,8 +217,9 @@ def suffix_arrays(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.select("doc_id", "tag", "text").mapInArrow(run, _PACKED)
 
 
-def merge_scan(packed: DataFrame, buckets: int) -> DataFrame:
-    """Merges the arrays of each bucket, old and new; what is new in the result is cut or asked about."""
+def merge_scan(packed: DataFrame, buckets: int, level: bool = True) -> DataFrame:
+    """Merges the arrays of each bucket, old and new; what is new in the result is cut or asked about, and the rest, with
+    ``level``, is the new level's array."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -228,7 +229,7 @@ def merge_scan(packed: DataFrame, buckets: int) -> DataFrame:
             held.clear()
             rows, ask = [], differs & (runs.asked == 0)
             runs.asked[differs] = 1
-            fresh = ~cut & ~hot & ~runs.old
+            fresh = ~cut & ~hot & ~runs.old & level
             for kind, which in ((INDEX, fresh), (ASK, ask)):
                 if which.any():
                     rows.append(runs.take(which).row(kind, now))
@@ -298,17 +299,19 @@ class SuffixIndex:
                 self.scratch.drop(old)
             self.levels.append((2 * size, name, merged))
 
-    def add(self, docs: DataFrame) -> None:
-        """``docs``: ``doc_id, tag, text`` without nulls."""
+    def add(self, docs: DataFrame, level: bool = True) -> None:
+        """``docs``: ``doc_id, tag, text`` without nulls. Without ``level`` the batch is scanned, but becomes no level: no
+        other will be scanned against it."""
         self._merge()
         self.count += 1
         packed = suffix_arrays(docs, self.buckets)
         for _, _, level in self.levels:
             packed = packed.unionByName(level.withColumn("old", F.lit(True)))
         name = f"batch-{self.count}"
-        got = self.scratch.write(merge_scan(packed, self.buckets), name, partition_by="kind")
+        got = self.scratch.write(merge_scan(packed, self.buckets, level), name, partition_by="kind")
         self.found.append(got.where(F.col("kind") != INDEX))
-        self.levels.append((1, f"{name}/kind={INDEX}", got.where(F.col("kind") == INDEX)))
+        if level:
+            self.levels.append((1, f"{name}/kind={INDEX}", got.where(F.col("kind") == INDEX)))
 
     def save(self, path: str) -> None:
         """Writes the levels, and a row for each of them."""
@@ -471,7 +474,8 @@ def dedup(spark: SparkSession, docs: DataFrame, batches: int = BATCHES, index_pa
             part = part.where(F.col("doc_id") > int(lo))
         if hi is not None:
             part = part.where(F.col("doc_id") <= int(hi))
-        index.add(part)
+        # an index that nobody keeps doesn't need its last batch
+        index.add(part, level=hi is not None or index_path is not None)
     if index_path is not None:
         index.save(index_path if earlier is None else f"{index_path}-next")
     index.close()
