@@ -305,8 +305,8 @@ class SuffixIndex:
         self._merge()
         self.count += 1
         packed = suffix_arrays(docs, self.buckets)
-        for _, _, level in self.levels:
-            packed = packed.unionByName(level.withColumn("old", F.lit(True)))
+        for _, _, rows in self.levels:
+            packed = packed.unionByName(rows.withColumn("old", F.lit(True)))
         name = f"batch-{self.count}"
         got = self.scratch.write(merge_scan(packed, self.buckets, level), name, partition_by="kind")
         self.found.append(got.where(F.col("kind") != INDEX))
