@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..operators import features
-from ..sources import resources, text_files
+from ..sources import sinks, text_files
 from ..sources.fixtures import MESH, lat_sql, lon_sql, mesh, table
 from ..streaming import projection
 from . import build_mesh as plan
@@ -89,3 +89,85 @@ def l11_fit_mesh(spark, sf):
 
     fitted, _ = fit_mesh(spark, mesh(spark, sections=1), _weights(spark).where("h = 0"), 22.5, 22.5, 1e-6, 30)
     return fitted.select("h", "i", "j", R(F.col("x"), 1).alias("x"), R(F.col("y"), 1).alias("y"))
+
+
+# a language file with the templates of the text form and the names of the structured one
+_TERMS = {
+    "en": {
+        "numerals": ["0", "I", "II"], "name": "name", "descript": "about", "units": "units", "Elastic #": "Map {}", "Elastic 2 descript": "Second of the maps", "section #": "Section {}", "projection header": "Map {} of {} sections:\n",
+        "section header": "  Section {}:\n", "section boundary header": "    Border ({} vertices):\n", "section points header": "    Points ({}x{}x{}):\n", "boundary header": "  Outline ({} vertices):\n", "inverse header": "  Raster ({}x{}x{}):\n",
+        "projected boundary": "outline", "bounding box": "box", "inverse points": "raster", "boundary": "border", "projected points": "points", "Africa": "Africa", "Australia": "Australia", "America": "the Americas",
+        **{f"{k} descript": f"What {k} holds" for k in ("projected boundary", "bounding box", "inverse points", "boundary", "projected points")},
+    },
+}
+_TERMS["es"] = {k: v if isinstance(v, list) else v.replace("Map", "Mapa").replace("Section", "Secci\u00f3n").replace("Border", "Borde") for k, v in _TERMS["en"].items()}
+
+
+def _terms(spark):
+    import json
+
+    return text_files.parse_languages(text_files.texts(spark, {"lang": json.dumps(_TERMS)}))
+
+
+def _term(key: str) -> str:
+    return "case lang " + " ".join(f"when '{k}' then '{v[key]}'" for k, v in _TERMS.items()) + " end"
+
+
+def _filled_sql(key: str, *values: str) -> str:
+    parts = {k: v[key].rstrip("\n").split("{}") for k, v in _TERMS.items()}
+    one = lambda p: " || ".join([f"'{p[0]}'", *(f"({v})::varchar || '{p[k + 1]}'" for k, v in enumerate(values))])
+    return "case lang " + " ".join(f"when '{k}' then {one(p)}" for k, p in parts.items()) + " end"
+
+
+_LANG = "(values ('en'), ('es')) l(lang)"
+_RASTER = "(select a::int ix, b::int iy, -900e0 + 600e0 * a x, -300e0 + 300e0 * b y, case when (a + b) % 4 <> 1 then 10e0 * a - 7.5e0 * b end lat, case when (a + b) % 4 <> 1 then 20e0 * b - 15.5e0 * a end lon from range(4) a(a), range(3) b(b))"
+
+
+def _raster(spark):
+    a, b = F.col("id") % 4, F.floor(F.col("id") / 4)
+    there = (a + b) % 4 != 1
+    return spark.range(12).select(a.cast("int").alias("ix"), b.cast("int").alias("iy"), (600.0 * a - 900.0).alias("x"), (300.0 * b - 300.0).alias("y"), F.when(there, 10.0 * a - 7.5 * b).alias("lat"), F.when(there, 20.0 * b - 15.5 * a).alias("lon"))
+
+
+_N = "'nan'::double"
+
+
+@query(f"""with m as {MESH}, b as {sections_sql('example')}, o as (select j seq, x, y from m where h = 0 and i = 4),
+lines as (select 0 block, -1 h, 0 part, 0 seq, {_filled_sql('projection header', "'II'", '(select count(distinct h) from m)')} "value", lang from {_LANG}
+union all select 1, h, 0, 0, {_filled_sql('section header', 'h')}, lang from (select distinct h from b), {_LANG}
+union all select 1, h, 0, 1, {_filled_sql('section boundary header', 'n')}, lang from (select h, count(*) n from b group by h), {_LANG}
+union all select 1, h, 1, seq, printf('%6.1f,%6.1f', lat, lon), lang from b, {_LANG}
+union all select 1, h, 2, 0, {_filled_sql('section points header', '9', '17', '2')}, lang from (select distinct h from m), {_LANG}
+union all select 1, h, 3, i, s, lang from (select h, i, string_agg(replace(printf('%9.2f,%9.2f', coalesce(x, {_N}), coalesce(y, {_N})), 'nan', 'NaN'), ',' order by j) s from m group by h, i), {_LANG}
+union all select 2, -1, 0, 0, {_filled_sql('boundary header', '(select count(*) from o)')}, lang from {_LANG}
+union all select 2, -1, 1, seq, printf('%9.2f,%9.2f', x, y), lang from o, {_LANG}
+union all select 3, -1, 0, 0, {_filled_sql('inverse header', '3', '4', '2')}, lang from {_LANG}
+union all select 3, -1, 1, 0, printf('%9.2f,%9.2f,%9.2f,%9.2f', min(x), min(y), max(x), max(y)), lang from {_RASTER}, {_LANG} group by lang
+union all select 3, -1, 2, iy, string_agg(replace(printf('%6.1f,%6.1f', coalesce(lat, {_N}), coalesce(lon, {_N})), 'nan', 'NaN'), ',' order by ix), lang from {_RASTER}, {_LANG} group by iy, lang)
+select lang, block, h, part, seq::bigint seq, "value" from lines""")
+def k05_projection_text(spark, sf):
+    m = mesh(spark)
+    outline = m.where("h = 0 and i = 4").select(F.col("j").alias("seq"), "x", "y")
+    d = sinks.projection_text(m, sections(spark, "example"), outline, _raster(spark), _terms(spark), 2)
+    return d.select("lang", "block", "h", "place.part", "place.seq", "value")
+
+
+_NAMES = ("Africa", "Australia", "America")
+_UNITS = {"projected boundary": "km", "bounding box": "km", "inverse points": "\u00b0", "boundary": "\u00b0", "projected points": "km"}
+
+
+@query(f"""select lang, '' item, {_term('name')} attribute, {_filled_sql('Elastic #', "'II'")} "value" from {_LANG} union all select lang, '', {_term('descript')}, {_term('Elastic 2 descript')} from {_LANG}
+""" + "".join(f" union all select lang, {_term(k)}, {_term('units')}, '{u}' from {_LANG} union all select lang, {_term(k)}, {_term('descript')}, {_term(k + ' descript')} from {_LANG}" for k, u in _UNITS.items())
+    + "".join(f" union all select lang, {_filled_sql('section #', str(h))}, {_term('name')}, {_term(n)} from {_LANG}" for h, n in enumerate(_NAMES)))
+def k04_projection_attributes(spark, sf):
+    return sinks.projection_attributes(_terms(spark), spark.createDataFrame(list(enumerate(_NAMES)), "h int, name string"), 2)
+
+
+@query(f"select s.h, name, count(x) nodes from (values (0, 'Africa'), (1, 'Australia'), (2, 'America')) s(h, name) join {MESH} m using (h) group by s.h, name")
+def s13_diagram_sections(spark, sf):
+    from ..sources.scratch import shared_path
+
+    path = shared_path(spark, "projection")
+    sinks.save_projection({"mesh": mesh(spark), "border": sections(spark, "example"), "sections": spark.createDataFrame(list(enumerate(_NAMES)), "h int, name string")}, path)
+    m, _, names = sinks.load_diagram(spark, path)
+    return m.join(names, "h").groupBy("h", "name").agg(F.count("x").alias("nodes"))
