@@ -59,9 +59,9 @@ def with_gradients(mesh: DataFrame) -> DataFrame:
     return d.select(*mesh.columns, *blended)
 
 
-def project_hermite(points: DataFrame, mesh: DataFrame, rows: int, columns: int) -> DataFrame:
+def project_hermite(points: DataFrame, mesh: DataFrame, rows: int, columns: int, differentiate: int | None = None) -> DataFrame:
     """Points ``..., section, lat, lon`` with ``x, y`` by cubic interpolation of values and both derivatives
-    (without the mixed one)."""
+    (without the mixed one); with ``differentiate`` their derivatives by latitude (0) or longitude (1), in degrees."""
     from pyspark.sql import Window as W
 
     node = F.struct("x", "y", "x_lat", "y_lat", "x_lon", "y_lon")
@@ -72,11 +72,13 @@ def project_hermite(points: DataFrame, mesh: DataFrame, rows: int, columns: int)
     dlat, dlon = 180.0 / (rows - 1), 360.0 / (columns - 1)
     u, v = F.col("u"), F.col("v")
 
-    def weights(t: Column) -> tuple:
+    def weights(t: Column, step: float, axis: int) -> tuple:
+        if axis == differentiate:
+            return (6 * t * t - 6 * t) / step, (6 * t - 6 * t * t) / step, (3 * t * t - 4 * t + 1) / step, (3 * t * t - 2 * t) / step
         return 2 * t * t * t - 3 * t * t + 1, 3 * t * t - 2 * t * t * t, t * t * t - 2 * t * t + t, t * t * t - t * t
 
-    a0, a1, s0, s1 = weights(u)
-    b0, b1, t0, t1 = weights(v)
+    a0, a1, s0, s1 = weights(u, dlat, 0)
+    b0, b1, t0, t1 = weights(v, dlon, 1)
 
     def value(c: str) -> Column:
         corner = {("0", "0"): "sw", ("0", "1"): "se", ("1", "0"): "nw", ("1", "1"): "ne"}

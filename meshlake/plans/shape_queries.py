@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import geo
-from ..operators import cells, divides, features, interpolation, optimize, paths, polygon, weights
+from ..operators import cells, divides, features, interpolation, optimize, paths, polygon, sparse, weights
 from ..sources import shape_files, sinks
 from ..sources.fixtures import LINES, MESH, POINTS, STEPS, lat_of, lat_sql, lon_of, lon_sql, mesh, points, polylines, steps, table
 from ..sources.scratch import shared_path
 from .composed_queries import _inner, _INNER
 from .line_queries import _GRID, _ISLES, _RINGS, _UNINHABITED, grid, planar_sql, region_sql, rings, sections, sections_sql
-from .linear_queries import _elevation, _LATTICE
-from .mesh_queries import _BINS, _OCC, _TARGETS, _WEIGHTS, COLUMNS, ROWS, _targets, _weights, bilinear_sql
+from .linear_queries import _a, _COAST as _NEAR, _elevation, _LATTICE, A_SQL
+from .mesh_queries import _BINS, _cell, _FIRST, _GRADS, _OCC, _seam, _TARGETS, _WEIGHTS, COLUMNS, ROWS, _targets, _weights, bilinear_sql
 from .raster_queries import refined_sql
 from .registry import query
 
@@ -415,3 +415,40 @@ _PIECES = f"(select feature_id f, seq, lat, lon, sum(jump) over (partition by fe
 select f feature_id, seq, lat, lon from p semi join (select f, a k from r union select f, z from r) using (f, k)""")
 def w10_decimate_path(spark, sf):
     return paths.per_line(polylines(spark, sf), ["feature_id"], ("lat", "lon"), lambda p: paths.decimated(p, 20.0, wrap=True))
+
+
+def _slope_sql(c: str, axis: int) -> str:
+    def part(k, p, q):
+        value = {0: "(2 * {t} * {t} * {t} - 3 * {t} * {t} + 1)", 1: "(3 * {t} * {t} - 2 * {t} * {t} * {t})"}
+        slope = {0: "({t} * {t} * {t} - 2 * {t} * {t} + {t})", 1: "({t} * {t} * {t} - {t} * {t})"}
+        dvalue = {0: "((6 * {t} * {t} - 6 * {t}) / 22.5e0)", 1: "((6 * {t} - 6 * {t} * {t}) / 22.5e0)"}
+        dslope = {0: "((3 * {t} * {t} - 4 * {t} + 1) / 22.5e0)", 1: "((3 * {t} * {t} - 2 * {t}) / 22.5e0)"}
+        u, su = ((dvalue, dslope) if axis == 0 else (value, slope))
+        v, sv = ((dvalue, dslope) if axis == 1 else (value, slope))
+        u, su, v, sv = u[p].format(t="u"), su[p].format(t="u"), v[q].format(t="v"), sv[q].format(t="v")
+        return f"{u} * {v} * {k}.{c} + {su} * 22.5e0 * {v} * {k}.{c}_lat + {u} * {sv} * 22.5e0 * {k}.{c}_lon"
+
+    return " + ".join(part(k, p, q) for k, p, q in (("a", 0, 0), ("b", 0, 1), ("c", 1, 0), ("d", 1, 1)))
+
+
+@query(f"""with g as (select * from {_GRADS}) select id, section, {r(_slope_sql('x', 0), 4)} x_lat, {r(_slope_sql('y', 0), 4)} y_lat, {r(_slope_sql('x', 1), 4)} x_lon, {r(_slope_sql('y', 1), 4)} y_lon from {_cell(_FIRST)} p left join g a on (p.section, p.i, p.j) = (a.h, a.i, a.j)
+  left join g b on (p.section, p.i, p.j + 1) = (b.h, b.i, b.j) left join g c on (p.section, p.i + 1, p.j) = (c.h, c.i, c.j) left join g d on (p.section, p.i + 1, p.j + 1) = (d.h, d.i, d.j)""")
+def i03_derivatives(spark, sf):
+    p = polygon.first_section(points(spark, sf), sections(spark, "example"), ["id"])
+    by_lat, by_lon = (interpolation.project_hermite(p, _seam(spark), ROWS, COLUMNS, k) for k in (0, 1))
+    d = by_lat.select("id", "section", F.col("x").alias("x_lat"), F.col("y").alias("y_lat")).join(by_lon.select("id", F.col("x").alias("x_lon"), F.col("y").alias("y_lon")), "id")
+    return d.select("id", "section", *[R(F.col(c), 4).alias(c) for c in ("x_lat", "y_lat", "x_lon", "y_lon")])
+
+
+@query(f"select \"row\", col, val from {A_SQL} union all select \"row\" + 2000, col, -val from {A_SQL}")
+def u06_both_signs(spark, sf):
+    """Constraints from above and from below."""
+    return sparse.stack([(_a(spark, sf), 2000), (sparse.scale(_a(spark, sf), -1.0), 2000)])
+
+
+@query(f"""select h, i, j, {r('min(d)')} distance from (select h, i, j, degrees(acos(greatest(-1e0, least(1e0, cos(radians(g.lat)) * cos(radians(c.lat)) * cos(radians(g.lon - c.lon)) + sin(radians(g.lat)) * sin(radians(c.lat)))))) d from {_GRID} g, {_NEAR} c) group by h, i, j""")
+def j06_coast_distance_everywhere(spark, sf):
+    """Every pixel of every section, however far its coast."""
+    k = F.col("s_suppkey")
+    coast = table(spark, sf, "supplier").select((k % 3).alias("h"), lat_of(k).alias("lat"), lon_of(k).alias("lon"))
+    return weights.coast_distance(grid(spark), coast, 180.0).select("h", "i", "j", R(F.col("distance")).alias("distance"))
