@@ -65,7 +65,7 @@ def inside_region(points: DataFrame, polygons: DataFrame, keys: list[str], perio
     """``keys, h, inside`` for each point ``keys, lat, lon`` and section. Keys identify points."""
     rings = section_literals(polygons)
     if rings is not None:
-        each = [F.struct(F.lit(h).alias("h"), inside_ring(F.col("lat"), F.col("lon"), ring, period).alias("inside")) for h, ring in sorted(rings.items())]
+        each = [F.struct(F.lit(h).cast(polygons.schema["h"].dataType).alias("h"), inside_ring(F.col("lat"), F.col("lon"), ring, period).alias("inside")) for h, ring in sorted(rings.items())]
         return points.select(*keys, F.explode(F.array(*each)).alias("s")).select(*keys, "s.h", "s.inside")
     return _filled(points, *_region_hits(points, polygons, keys, period), keys)
 
@@ -141,7 +141,7 @@ def first_section(points: DataFrame, polygons: DataFrame, keys: list[str]) -> Da
     """``keys, section``: the first section that contains a point, or null."""
     rings = section_literals(polygons)
     if rings is not None:
-        section = F.coalesce(*[F.when(inside_ring(F.col("lat"), F.col("lon"), ring), h) for h, ring in sorted(rings.items())])
+        section = F.coalesce(*[F.when(inside_ring(F.col("lat"), F.col("lon"), ring), h) for h, ring in sorted(rings.items())]).cast(polygons.schema["h"].dataType)
         return points.select("*", section.alias("section"))
     d = _containing(points, *_region_hits(points, polygons, keys), keys)
     return d.withColumn("section", F.array_min("_hs")).drop("_hs")
@@ -174,7 +174,7 @@ def contains(points: DataFrame, polygons: DataFrame, keys: list[str]) -> DataFra
     rings = section_literals(polygons)
     if rings is None:
         return _filled(points, *_planar_hits(points, polygons, keys), keys)
-    each = [F.struct(F.lit(h).alias("h"), contains_ring(F.col("lat"), F.col("lon"), ring).alias("inside")) for h, ring in sorted(rings.items())]
+    each = [F.struct(F.lit(h).cast(polygons.schema["h"].dataType).alias("h"), contains_ring(F.col("lat"), F.col("lon"), ring).alias("inside")) for h, ring in sorted(rings.items())]
     return points.select(*keys, F.explode(F.array(*each)).alias("s")).select(*keys, "s.h", "s.inside")
 
 
@@ -192,7 +192,7 @@ def last_section(points: DataFrame, polygons: DataFrame) -> DataFrame:
         found = found.select("lat", "lon", F.array_max("_hs").alias("section"))
         return points.join(found, ["lat", "lon"], "left").select(*points.columns, "section")
     hits = [F.when(contains_ring(F.col("lat"), F.col("lon"), ring), h) for h, ring in sorted(rings.items(), reverse=True)]
-    return points.select("*", F.coalesce(*hits).alias("section"))
+    return points.select("*", F.coalesce(*hits).cast(polygons.schema["h"].dataType).alias("section"))
 
 
 def orientation(polygons: DataFrame) -> DataFrame:
