@@ -68,6 +68,18 @@ def test_suffix_dedup(spark, seed):
     assert suffix_dedup.dedup_digests(spark, frame(spark, [])).count() == 0
 
 
+def test_windows_across_segment_borders(monkeypatch):
+    rng = np.random.default_rng(6)
+    raw = rng.integers(97, 123, 4000, dtype=np.uint8)
+    runs = np.array([[k, 40] for k in range(0, 3900, 37)] + [[0, 3951]], np.int64)
+    spans = runs[:, 0] << 32 | runs[:, 1]
+    whole = suffix_dedup._run_windows(raw, spans)
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 300)
+    cut = suffix_dedup._run_windows(raw, spans)
+    assert sorted(zip(*(x.tolist() for x in whole))) == sorted(zip(*(x.tolist() for x in cut)))
+    assert len(set(whole[0].tolist())) == len(set(whole[1].tolist())) == 3951
+
+
 def test_suffix_levels(spark):
     scratch = Scratch(spark, "test")
     index = suffix_dedup.SuffixIndex(spark, scratch, 4)
@@ -325,6 +337,48 @@ def test_decontamination(spark):
     assert decontaminate.find_leaks(frame(spark, rows), bench.where("false")).count() == 0
 
 
+def test_items_in_very_long_texts(spark):
+    rng = np.random.default_rng(9)
+    word = lambda k: " ".join(f"w{x}" for x in rng.integers(0, 50_000, k))
+    items = [(1, word(40)), (2, word(12))]
+    parts = items[0][1].split(" ")
+    near = " ".join(["zz" if k % 5 == 0 else w for k, w in enumerate(parts)])
+    long = word(150_000) + " " + items[0][1] + " " + word(150_000) + " " + items[1][1]
+    rows = [(1, long), (2, word(200_000) + " " + near), (3, word(200_000)), (4, items[1][1] + " " + "x" * 2_000_000)]
+    got = {(r.doc_id, r.item_id, r.edits) for r in decontaminate.find_leaks(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(1, 1, 0), (1, 2, 0), (2, 1, 8), (4, 2, 0)}
+
+
+def test_settings_come_back(spark):
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = [spark.conf.get(n) for n in names]
+    spark.conf.set(names[0], "777")
+    try:
+        jaccard_join.join_documents(spark, frame(spark, corpus(8)[:20])).count()
+        assert [spark.conf.get(n) for n in names] == ["777", *before[1:]]
+    finally:
+        spark.conf.unset(names[0])
+
+
+def test_scans_keep_their_tasks(spark):
+    """Plans without a shuffle have as many tasks as their input, and scratch tables go."""
+    import os
+
+    from meshlake.llm import byte_bpe, secret_scan
+
+    many = frame(spark, corpus(8)).repartition(13)
+    import public_tokenizers
+
+    for out in (secret_scan.scan_documents(many), secret_scan.redact(many), byte_bpe.encode_documents(many, public_tokenizers.path("byte_bpe_50k.tiktoken"))):
+        assert out.rdd.getNumPartitions() == 13
+    since = len(Scratch.made)
+    out = jaccard_join.join_documents(spark, many)
+    (own,) = Scratch.made[since:]
+    assert os.listdir(own.root) == ["out"] and out.count() == many.count()
+    Scratch.release(since)
+    assert not os.path.exists(own.root)
+
+
 def test_items_in_scripts_without_blanks(spark):
     item = "数据清洗需要在训练之前删除基准测试中的所有题目与答案"
     docs = frame(spark, [(1, "前文很长很长。" + item + "后文"), (2, "完全不同的内容没有关系" * 5), (3, "intro " + item[:3] + "x" + item[4:] + " outro")])
