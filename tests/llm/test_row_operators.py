@@ -307,6 +307,8 @@ def test_bpe_is_exact(spark, docs, empty):
     want = Counter((r.doc_id, len(i), hashlib.sha256(np.array(i, "<u4").tobytes()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()) for r in docs.collect() for i in [other.encode_ordinary(r.text or "")])
     assert Counter(map(tuple, got.elements())) == want
     assert byte_bpe.bpe_digests(empty, path).count() == 0
+    apart = byte_bpe.decode_documents(byte_bpe.encode_documents(docs, path), path)
+    assert Counter(map(tuple, apart.collect())) == Counter(map(tuple, byte_bpe.round_trip(docs, path).collect()))
 
 
 def test_classifier(spark, docs, empty):
