@@ -115,7 +115,7 @@ class Runs:
         if kind != INDEX:
             keys, cols[0] = keys[:0], np.zeros(n, np.uint64)
         # keys in order have long common prefixes, which a compressor finds
-        packed = zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(keys).tobytes())
+        packed = zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(keys).tobytes())
         return (kind, bucket, n, packed, *[pack_planes(c, w) for c, (_, w) in zip(cols, _FIELDS[1:])], False)
 
     @staticmethod
