@@ -94,7 +94,7 @@ def l11_fit_mesh(spark, sf):
 # a language file with the templates of the text form and the names of the structured one
 _TERMS = {
     "en": {
-        "numerals": ["0", "I", "II"], "name": "name", "descript": "about", "units": "units", "Elastic #": "Map {}", "Elastic 2 descript": "Second of the maps", "section #": "Section {}", "projection header": "Map {} of {} sections:\n",
+        "numerals": ["0", "I", "II"], "name": "name", "descript": "about", "units": "units", "title #": "Map {}", "title 2 descript": "Second of the maps", "section #": "Section {}", "projection header": "Map {} of {} sections:\n",
         "section header": "  Section {}:\n", "section boundary header": "    Border ({} vertices):\n", "section points header": "    Points ({}x{}x{}):\n", "boundary header": "  Outline ({} vertices):\n", "inverse header": "  Raster ({}x{}x{}):\n",
         "projected boundary": "outline", "bounding box": "box", "inverse points": "raster", "boundary": "border", "projected points": "points", "Africa": "Africa", "Australia": "Australia", "America": "the Americas",
         **{f"{k} descript": f"What {k} holds" for k in ("projected boundary", "bounding box", "inverse points", "boundary", "projected points")},
@@ -156,7 +156,7 @@ _NAMES = ("Africa", "Australia", "America")
 _UNITS = {"projected boundary": "km", "bounding box": "km", "inverse points": "\u00b0", "boundary": "\u00b0", "projected points": "km"}
 
 
-@query(f"""select lang, '' item, {_term('name')} attribute, {_filled_sql('Elastic #', "'II'")} "value" from {_LANG} union all select lang, '', {_term('descript')}, {_term('Elastic 2 descript')} from {_LANG}
+@query(f"""select lang, '' item, {_term('name')} attribute, {_filled_sql('title #', "'II'")} "value" from {_LANG} union all select lang, '', {_term('descript')}, {_term('title 2 descript')} from {_LANG}
 """ + "".join(f" union all select lang, {_term(k)}, {_term('units')}, '{u}' from {_LANG} union all select lang, {_term(k)}, {_term('descript')}, {_term(k + ' descript')} from {_LANG}" for k, u in _UNITS.items())
     + "".join(f" union all select lang, {_filled_sql('section #', str(h))}, {_term('name')}, {_term(n)} from {_LANG}" for h, n in enumerate(_NAMES)))
 def k04_projection_attributes(spark, sf):

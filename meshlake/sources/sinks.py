@@ -130,12 +130,13 @@ def save_projection_text(lines: DataFrame, path: str) -> None:
     lines.repartition(1).sortWithinPartitions("lang", "block", "h", "place").select("lang", "value").write.mode("overwrite").partitionBy("lang").text(path)
 
 
-def projection_attributes(labels: DataFrame, names: DataFrame, number: int) -> DataFrame:
+def projection_attributes(labels: DataFrame, names: DataFrame, number: int, title: str = "title") -> DataFrame:
     """``lang, item, attribute, value``: what the structured form says about its tables in each language: title and
-    description, units, and the sections' names (``names``: ``h, name``, where the name is a key of the language)."""
+    description, units, and the sections' names (``names``: ``h, name``, where the name is a key of the language). ``title``: what
+    the language's keys of the title's template and of the descriptions begin with."""
     lang, t = _by_language(labels), lambda key: F.col("t")[key]
     units = [("projected boundary", "km"), ("bounding box", "km"), ("inverse points", "\u00b0"), ("boundary", "\u00b0"), ("projected points", "km")]
-    rows = [F.struct(F.lit("").alias("item"), t("name").alias("attribute"), filled(t("Elastic #"), _numeral(number)).alias("value")), F.struct(F.lit("").alias("item"), t("descript").alias("attribute"), t(f"Elastic {number} descript").alias("value"))]
+    rows = [F.struct(F.lit("").alias("item"), t("name").alias("attribute"), filled(t(f"{title} #"), _numeral(number)).alias("value")), F.struct(F.lit("").alias("item"), t("descript").alias("attribute"), t(f"{title} {number} descript").alias("value"))]
     for key, unit in units:
         rows += [F.struct(t(key).alias("item"), t("units").alias("attribute"), F.lit(unit).alias("value")), F.struct(t(key).alias("item"), t("descript").alias("attribute"), t(f"{key} descript").alias("value"))]
     own = lang.select("lang", F.explode(F.array(*rows)).alias("r")).select("lang", "r.*")
