@@ -5,6 +5,7 @@ from __future__ import annotations
 import bisect
 import heapq
 import itertools
+import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -66,33 +67,49 @@ def adjacent(pairs: DataFrame, blocked: DataFrame, rows: int, columns: int) -> D
     return d.select(*pairs.columns, ok.alias("adjacent"))
 
 
+#: Fixed order of the eight moves: of paths alike in heights and bends, the one found last goes on.
+MOVES = [(di, dj) for di in (0, -1, 1) for dj in (0, -1, 1) if di or dj]
+
+
 def highest_path(z: dict[tuple[int, int], float], start: tuple[int, int], ends: set[tuple[int, int]], columns: int, blocked: set[tuple[int, int, int, int]] = frozenset()) -> list[tuple[int, int]]:
-    """The path of king's moves over a cropped lattice whose sorted elevations are greatest in order from the
-    lowest, then with the fewest bends. Best first: each node is settled by the best path that reaches it."""
-    first = [z[start]]
-    # the heap yields the greatest path first, so its keys are negated
-    heap = [(tuple(-v for v in first), 0, 0, [start], first)]
+    """The path of king's moves over a cropped lattice with the greatest elevations, compared in order from the
+    lowest; a path that has another's and more is greater; then the one with the fewest bends of indices. Best first: each
+    node is settled by the best path that reaches it. A path takes no detour: it doesn't step to a node that an open move
+    joins with the node before its last. Paths share what they have in common, as links back to the start."""
+    heap = [((-z[start], math.inf), 0, 0, (start, None), [z[start]])]  # least first, so elevations are negated; inf: the end
     settled, count = set(), 0
     while heap:
-        _, kinks, _, path, heights = heapq.heappop(heap)
-        here = path[-1]
+        _, bends, _, link, heights = heapq.heappop(heap)
+        here, behind = link[0], link[1] and link[1][0]
+        if here in ends:
+            path = []
+            while link:
+                path.append(link[0])
+                link = link[1]
+            return path[::-1]
         if here in settled:
             continue
         settled.add(here)
-        if here in ends:
-            return path
-        for di in (-1, 0, 1):
-            for dj in (-1, 0, 1):
-                there = here[0] + di, (here[1] + dj) % columns
-                if (di or dj) and there in z and there not in settled and (*here, di, dj) not in blocked:
-                    grown = list(heights)
-                    bisect.insort(grown, z[there])
-                    bend = len(path) > 1 and (here[0] - path[-2][0], (here[1] - path[-2][1] + 1) % columns - 1) != (di, dj)
-                    count += 1
-                    heapq.heappush(heap, (tuple(-v for v in grown), kinks + bend, count, [*path, there], grown))
+        for di, dj in MOVES:
+            there = here[0] + di, (here[1] + dj) % columns
+            if there not in z or there in settled or (*here, di, dj) in blocked or (behind and _joined(there, behind, columns, blocked)):
+                continue
+            grown = list(heights)
+            bisect.insort(grown, z[there])
+            bend = behind is not None and (2 * here[0] - behind[0], 2 * here[1] - behind[1]) != there
+            count -= 1
+            heapq.heappush(heap, ((*(-v for v in grown), math.inf), bends + bend, count, (there, link), grown))
     raise ValueError("no path leads to the end")
 
 
+def _joined(a: tuple[int, int], b: tuple[int, int], columns: int, blocked: set[tuple[int, int, int, int]]) -> bool:
+    """Whether an open move leads from a to b."""
+    di, dj = b[0] - a[0], b[1] - a[1]
+    if abs(dj) == columns - 1:
+        dj = -1 if dj > 0 else 1
+    return abs(di) <= 1 and abs(dj) <= 1 and (di, dj) != (0, 0) and (*a, di, dj) not in blocked
+
+
 def bottleneck(spark, elevation: DataFrame, starts: DataFrame, columns: int, rounds: int | None = None, blocked: DataFrame | None = None, checkpoint=None) -> DataFrame:
     """``i, j, z``: the greatest least elevation of any path from the starts to each node: labels spread to
     neighbours and only rise, until none changes, a cell a round. Labels that still rise after ``rounds``, if given, are an error. Each
@@ -118,34 +135,42 @@ def bottleneck(spark, elevation: DataFrame, starts: DataFrame, columns: int, rou
 
 def drainage_divides(z: dict[tuple[int, int], float], ends: list[tuple[int, int]], columns: int, blocked: set[tuple[int, int, int, int]] = frozenset()) -> list[list[tuple[int, int]]]:
     """Cuts over a cropped lattice from ends: the highest path from the second end to the first, from the third to
-    the nearest place on it (where all cuts meet), and from each further one to there. Cuts run outward from
-    the meeting point and leave out the water at their far end."""
+    the nearest place on it (where all cuts meet), and from each further one to there. Cuts run outward from the meeting
+    point to the ends in their order, without their nodes on water (elevations of 0 or less); a cut with no land is
+    empty. Of two ends the one path is the cut."""
     first = highest_path(z, ends[1], {ends[0]}, columns, blocked)
-    if len(ends) == 2:
-        return [first]
-    second = highest_path(z, ends[2], set(first), columns, blocked)
-    meet = second[-1]
-    k = first.index(meet)
-    out = [first[: k + 1][::-1], first[k:], second[::-1]]
-    out += [highest_path(z, e, {meet}, columns, blocked)[::-1] for e in ends[3:]]
-    return [_ashore(cut, z) for cut in out]
-
-
-def _ashore(cut: list[tuple[int, int]], z: dict[tuple[int, int], float]) -> list[tuple[int, int]]:
-    last = max((k for k, p in enumerate(cut) if z[p] > 0), default=0)
-    return cut[: max(2, last + 1)]
-
-
-def divide_cuts(spark, cuts: list[list[tuple[int, int]]], per_degree: float, resolution: float) -> DataFrame:
-    """``seq, cut, lat, lon`` as in a cut file: the glue point stands first (the cuts' common start), then each cut in
-    degrees, simplified to the resolution on either side of the antimeridian."""
+    out = [first]
+    if len(ends) > 2:
+        second = highest_path(z, ends[2], set(first), columns, blocked)
+        meet = second[-1]
+        k = first.index(meet)
+        out = [first[k:], first[: k + 1][::-1], second[::-1]]
+        out += [highest_path(z, e, {meet}, columns, blocked)[::-1] for e in ends[3:]]
+    return [[p for p in cut if z[p] > 0] for cut in out]
+
+
+def _unwrapped(path: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """A vertex at -180 degrees beside one of the eastern half stands at 180 degrees, too, next to that one."""
+    out = []
+    for k, (lat, lon) in enumerate(path):
+        after = k + 1 < len(path) and path[k + 1][1] > 0
+        before = k > 0 and path[k - 1][1] > 0
+        ends = [(lat, 180.0), (lat, lon)] if before and not after else [(lat, lon), (lat, 180.0)]
+        out += ends if lon == -180 and (before or after) else [(lat, lon)]
+    return out
+
+
+def divide_cuts(spark, cuts: list[list[tuple[int, int]]], per_degree: float, resolution: float | None = None, glue: tuple[float, float] = (-90.0, 0.0)) -> DataFrame:
+    """``seq, cut, lat, lon`` as in a cut file: the glue point stands first, then each cut in degrees, simplified to the
+    resolution (if not given, a lattice cell's diagonal) on either side of the antimeridian. Empty cuts have no rows."""
     import numpy as np
 
     from . import paths
 
-    rows: list[tuple[int, float, float]] = []
+    rows: list[tuple[int, float, float]] = [(0, *glue)]
     for k, cut in enumerate(cuts, 1):
-        path = np.array(cut, float) / per_degree - [90.0, 180.0]
-        rows += [(k, float(a), float(b)) for a, b in path[paths.decimated(path, resolution, wrap=True)]]
-    rows = [(0, *rows[0][1:]), *rows]
+        path = np.array(_unwrapped([(i / per_degree - 90.0, j / per_degree - 180.0) for i, j in cut])).reshape(-1, 2)
+        if len(path):
+            kept = paths.decimated(path, math.sqrt(2) / per_degree if resolution is None else resolution, wrap=True)
+            rows += [(k, float(a), float(b)) for a, b in path[kept]]
     return spark.createDataFrame([(s, *r) for s, r in enumerate(rows)], "seq int, cut int, lat double, lon double")

@@ -284,9 +284,9 @@ def g10_calculate_rasters(spark, sf):
   union select e.i, e.j, least(e.z, r.z) from r join e on abs(e.i - r.i) <= 1 and (abs(e.j - r.j) <= 1 or abs(e.j - r.j) = 17) and (e.i <> r.i or e.j <> r.j))
 select 0 cut, 9 i0, 13 j0, 2 i1, 3 j1, max(z) lowest from r where i = 2 and j = 3""")
 def l16_drainage_divides(spark, sf):
-    z = {(x.i, x.j): x.z for x in _elevation(spark).collect()}  # a cropped lattice of 216 nodes
+    z = {(x.i, x.j): x.z + 501.0 for x in _elevation(spark).collect()}  # a cropped lattice of 216 nodes, lifted above water
     cuts = divides.drainage_divides(z, [(2, 3), (9, 13)], 18)
-    rows = [(k, *c[0], *c[-1], float(min(z[p] for p in c))) for k, c in enumerate(cuts)]
+    rows = [(k, *c[0], *c[-1], float(min(z[p] for p in c)) - 501.0) for k, c in enumerate(cuts)]
     return spark.createDataFrame(rows, "cut int, i0 int, j0 int, i1 int, j1 int, lowest double")
 
 

@@ -200,12 +200,16 @@ def test_highest_path_has_the_best_bottleneck(spark):
     assert min(z[p] for p in path) == reach[6, 6]
 
 
-def test_bottleneck_follows_long_paths(spark):
+def test_bottleneck_follows_long_paths(spark, tmp_path):
     # a ring of 70 cells with a low one beside the start: the best path to those behind it goes round, 64 steps
     z = [1.0 if j == 5 else 100.0 - j for j in range(70)]
     ring = spark.createDataFrame([(0, j, v) for j, v in enumerate(z)], "i int, j int, z double").coalesce(1)
     start = spark.createDataFrame([(0, 0)], "i int, j int")
-    write = lambda df, _: df.localCheckpoint()
+
+    def write(df, name):
+        df.write.mode("overwrite").parquet(f"{tmp_path}/{name}")
+        return spark.read.parquet(f"{tmp_path}/{name}")
+
     got = {r.j: r.z for r in divides.bottleneck(spark, ring, start, 70, checkpoint=write).collect()}
     assert got == {j: max(min(z[: j + 1]), min([z[0], *z[j:]])) for j in range(70)}
     with pytest.raises(RuntimeError):
@@ -280,7 +284,29 @@ def test_drainage_divides_meet():
     z = {(i, j): float(v) for (i, j), v in np.ndenumerate(rng.integers(1, 50, (9, 12)))}
     cuts = divides.drainage_divides(z, [(1, 1), (7, 2), (2, 9), (7, 9)], 12)
     assert len(cuts) == 4 and len({c[0] for c in cuts}) == 1
-    assert {c[-1] for c in cuts} >= {(7, 9), (2, 9)}
+    assert [c[-1] for c in cuts] == [(1, 1), (7, 2), (2, 9), (7, 9)]  # in the order of the ends
+    wet = {p: 0.0 if p in {cuts[0][1], cuts[2][-1]} else v for p, v in z.items()}
+    assert all(wet[p] > 0 for c in divides.drainage_divides(wet, [(1, 1), (7, 2), (2, 9), (7, 9)], 12) for p in c)
+    assert divides.drainage_divides(dict.fromkeys(z, 0.0), [(1, 1), (7, 2)], 12) == [[]]
+
+
+def test_highest_paths_take_no_detours():
+    plain = {(i, j): 1.0 for i in range(5) for j in range(7)}
+    # a longer path has all of a shorter one's heights and more, so only the rule against detours keeps it from winding
+    path = divides.highest_path(plain, (2, 1), {(2, 5)}, 100)
+    assert path[0] == (2, 1) and path[-1] == (2, 5)
+    assert all(max(abs(a[0] - b[0]), abs(a[1] - b[1])) > 1 for a, b in zip(path, path[2:]))
+    # higher ground beside the way is no detour if the direct move is shut
+    z = {(0, 0): 5.0, (0, 1): 5.0, (1, 0): 9.0, (1, 1): 9.0}
+    assert divides.highest_path(z, (0, 0), {(0, 1)}, 100) == [(0, 0), (0, 1)]
+    shut = {(0, 0, 0, 1), (0, 1, 0, -1)}
+    assert divides.highest_path(z, (0, 0), {(0, 1)}, 100, shut) in ([(0, 0), (1, 0), (0, 1)], [(0, 0), (1, 1), (0, 1)])
+    # one path's heights and more are the greater ones
+    z = {(0, 0): 3.0, (0, 1): 7.0, (0, 2): 3.0, (1, 0): 8.0, (2, 1): 8.0, (1, 2): 8.0}
+    shut = {(0, 1, 1, -1), (1, 0, -1, 1), (0, 1, 1, 1), (1, 2, -1, -1)}
+    assert divides.highest_path(z, (0, 0), {(0, 2)}, 100, shut) == [(0, 0), (1, 0), (2, 1), (1, 2), (0, 2)]
+    with pytest.raises(ValueError):
+        divides.highest_path({(0, 0): 1.0, (0, 2): 1.0}, (0, 0), {(0, 2)}, 100)
 
 
 def test_fit_inside_a_size(spark):
@@ -356,9 +382,12 @@ def test_decimation_across_the_antimeridian():
 
 
 def test_divides_as_cut_files(spark):
-    cuts = [[(9, 13), (9, 14), (9, 15), (9, 16)], [(9, 13), (8, 12), (7, 13)]]
+    cuts = [[(9, 13), (9, 14), (9, 15), (9, 16)], [(9, 13), (8, 12), (7, 13)], []]
     d = divides.divide_cuts(spark, cuts, 0.1, 0.5)
-    assert [tuple(r) for r in d.orderBy("seq").collect()] == [(0, 0, 0.0, -50.0), (1, 1, 0.0, -50.0), (2, 1, 0.0, -20.0), (3, 2, 0.0, -50.0), (4, 2, -10.0, -60.0), (5, 2, -20.0, -50.0)]
+    assert [tuple(r) for r in d.orderBy("seq").collect()] == [(0, 0, -90.0, 0.0), (1, 1, 0.0, -50.0), (2, 1, 0.0, -20.0), (3, 2, 0.0, -50.0), (4, 2, -10.0, -60.0), (5, 2, -20.0, -50.0)]
+    # over the antimeridian, either way: the vertex at its border stands on both sides
+    d = divides.divide_cuts(spark, [[(9, 34), (9, 35), (9, 0), (9, 1)], [(9, 1), (9, 0), (9, 35)]], 0.1, 0.5, glue=(0.0, 0.0))
+    assert [(r.cut, r.lon) for r in d.orderBy("seq").collect()] == [(0, 0.0), (1, 160.0), (1, 180.0), (1, -180.0), (1, -170.0), (2, -170.0), (2, -180.0), (2, 180.0), (2, 170.0)]
 
 
 def test_only_a_missing_subpackage_is_passed_over(tmp_path):
