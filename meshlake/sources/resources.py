@@ -24,3 +24,13 @@ ISLANDS = [
 ]
 DESERTS = [(23.0, 8.0, 7.0, 20.0), (-24.0, 132.0, 7.0, 15.0), (90.0, -90.0, 35.0, 50.0)]
 NORTH_LIMIT, SOUTH_LIMIT = 78.0, -56.0
+
+# The elevation tiles that the drainage divides are searched on.
+ELEVATION_TILES = (
+    "gt30w180n90", "gt30w140n40", "gt30w140n90",
+    "gt30w100s10", "gt30w100n40", "gt30w020s10",
+    "gt30e020s10", "gt30e020n40", "gt30e020n90",
+    "gt30e060n40", "gt30e060n90",
+    "gt30e100s10", "gt30e100n40", "gt30e100n90",
+    "gt30e140s10", "gt30e140n40", "gt30e140n90",
+)

@@ -410,3 +410,44 @@ def test_only_a_missing_subpackage_is_passed_over(tmp_path):
     assert runs()
     (tmp_path / "meshlake" / "llm" / "queries.py").write_text("import what_is_not_there")
     assert not runs()
+
+
+@pytest.mark.parametrize("kind", ["<i2", "<u1", "<f4", "<i4"])
+def test_rasters_come_back(kind):
+    from meshlake.sources import raster_files
+
+    rng = np.random.default_rng(8)
+    image = rng.integers(0, 200, (50, 37)).astype(kind)
+    for order in "<>":
+        for form in ({}, {"strip_rows": 50}, {"tile": (16, 32)}):
+            for deflate in (False, True):
+                for differences in (False, True)[: 1 if kind == "<f4" else 2]:
+                    data = raster_files.encode_raster(image, deflate=deflate, differences=differences, order=order, **form)
+                    assert (raster_files.parse_raster(data) == image).all()
+    for bad in (b"", b"GIF89a", b"II\x2b\0" + bytes(8)):
+        with pytest.raises(ValueError):
+            raster_files.parse_raster(bad)
+
+
+def test_elevation_from_files(spark, tmp_path):
+    from pyspark.errors import AnalysisException
+
+    from meshlake.sources import raster_files
+
+    rng = np.random.default_rng(9)
+    tiles = {f"gt30{n}": rng.integers(-400, 4000, (100, 80)).astype("<i2") for n in ("e020n40", "w100s10")}
+    for name, image in tiles.items():
+        (tmp_path / f"{name}.tif").write_bytes(raster_files.encode_raster(image, deflate=name.endswith("10")))
+    pixels = raster_files.read_elevation(spark, str(tmp_path), tuple(tiles))
+    assert raster_files.read_rasters(spark, str(tmp_path)).count() == pixels.count()
+    with pytest.raises(AnalysisException):
+        raster_files.read_elevation(spark, str(tmp_path))
+    assert pixels.count() == 2 * 100 * 80 and {tuple(r) for r in pixels.select("tile", "n_rows", "n_cols").distinct().collect()} == {(n, 100, 80) for n in tiles}
+    got = {(r.i, r.j): r.z for r in divides.load_elevation(pixels, 181, 360, 1).collect()}
+    want: dict = {}
+    for name, image in tiles.items():
+        north, west = (40.0, 20.0) if name.endswith("n40") else (-10.0, -100.0)
+        for (i, j), z in np.ndenumerate(image):
+            k = int(np.floor(north - (i + 0.5) / 2 + 90.5)), int(np.floor(west + (j + 0.5) / 2 + 180.5)) % 360
+            want[k] = min(want.get(k, np.inf), max(0.0, float(z)))
+    assert got == want
