@@ -11,6 +11,8 @@ CUTS = {
 }
 # Options files.
 OPTIONS = {
+    "continents": "number: 1\ncuts: oceans\nshape_weights: land\nscale_weights: land\nsize: inf,inf\nsection_names: America,Africa,Australia",
+    "oceans": "number: 2\ncuts: mountains\nshape_weights: sea\nscale_weights: sea\nsize: inf,inf\nsection_names: Indian,Atlantic,Pacific",
     "countries": "number: 3\ncuts: basic\nshape_weights: land\nscale_weights: land_sinATA\nsize: 24_000,14_000\nsection_names: west,east",
     "example": "number: 4\ncuts: example\nshape_weights: land\nscale_weights: land\nsize: inf,inf\nsection_names: Africa,Australia,America",
 }
