@@ -49,6 +49,18 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 from m left join f on f.lang = coalesce(m.lang, chr(1)) and f.source = coalesce(m.source, chr(1))"""
 )
 
+OP1 = r"""
+with d as (select row_number() over () rid, doc_id, hex(encode(coalesce(text, ''))) h from documents),
+c as (select rid, doc_id, o, substr(h, 2 * o + 1, 610) h from (select rid, doc_id, h, unnest(range(0, length(h) // 2 - 49, 256)) o from d)),
+w as (select rid, doc_id, o + p p, unhex(substr(h, 2 * p + 1, 100)) s from (select rid, doc_id, o, h, unnest(range(length(h) // 2 - 49)) p from c)),
+f as (select s, min(doc_id) least from w group by s having least < max(doc_id)),
+x as (select rid, p, lag(p) over (partition by rid order by p) before from w join f using (s) where doc_id > least),
+g as (select rid, p, sum(case when p <= before + 50 then 0 else 1 end) over (partition by rid order by p) k from x),
+r as (select rid, min(p) a, max(p) + 50 z from g group by rid, k),
+t as (select rid, a, z, coalesce(lag(z) over (partition by rid order by a), 0) after from r),
+k as (select rid, count(*) n_spans, sum(z - a) n_removed, string_agg(substr(h, 2 * after + 1, 2 * (a - after)), '' order by a) || substr(any_value(h), 2 * max(z) + 1) kept from t join d using (rid) group by rid)
+select doc_id, (length(h) // 2)::bigint n_bytes, coalesce(n_removed, 0)::bigint n_removed, coalesce(n_spans, 0)::bigint n_spans, sha256(unhex(coalesce(kept, h))) kept_sha256 from d left join k using (rid)"""
+
 OP3 = r"""
 with c as (
   select conv_id::bigint conv_id, turn::bigint turn, coalesce(role, '') role, coalesce(text, '') text from conversations
@@ -94,4 +106,4 @@ r as (select a, b from u union select r.a, u.b from r join u on r.b = u.a),
 m as (select a, min(b) b from r group by a)
 select w.doc_id, coalesce(c.n, 0) n_shingles, least(w.doc_id, coalesce(m.b, w.doc_id)) component_id from w left join c using (rid) left join m on m.a = w.doc_id"""
 
-ORACLES = {"op6_url_filters": OP6, "op7_jaccard_join": OP7, "op2_quality_rules": OP2, "op3_chat_formatting": OP3}
+ORACLES = {"op1_suffix_dedup": OP1, "op6_url_filters": OP6, "op7_jaccard_join": OP7, "op2_quality_rules": OP2, "op3_chat_formatting": OP3}

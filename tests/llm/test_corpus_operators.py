@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from meshlake.llm import decontaminate, jaccard_join, signature_tree, suffix_dedup, textnum, url_filter
+from meshlake.llm import decontaminate, jaccard_join, queries, signature_tree, suffix_dedup, textnum, url_filter
 from meshlake.llm.common import Scratch, components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, tokens string, rep int, spans int"
@@ -440,3 +440,22 @@ def test_pipeline(spark):
     for r in got.collect():
         assert not secret_scan.scan_text(r.text) and r.n_chars == len(r.text)
     assert {r.doc_id for r in corpus_pipeline.run(spark, sf).collect()} == left
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_against_its_sql(spark, name):
+    import glob
+    import os
+
+    import duckdb
+
+    folder = "/root/testdata/sf0.001"
+    with duckdb.connect() as con:
+        for p in glob.glob(f"{folder}/*.parquet"):
+            con.sql(f"create view {os.path.basename(p)[:-8]} as select * from '{p}'")
+        cursor = con.execute(queries.oracle_sql()[name])
+        names = [d[0] for d in cursor.description]
+        want = sorted(cursor.fetchall(), key=repr)
+    got = queries.queries()[name](spark, folder)
+    assert sorted(got.columns) == sorted(names)
+    assert sorted((tuple(r[c] for c in names) for r in got.collect()), key=repr) == want
