@@ -227,9 +227,28 @@ def w11_around_pole(spark, sf):
     return paths.around_pole(d, ["feature_id"]).select("feature_id", "seq", "part", "lat", "lon")
 
 
-@query()
+# a stack per line: first vertices that repeat the last and spurs, then midpoints of straight lines
+_DIRECTION = "(select [(y.lat - x.lat) / s, (y.lon - x.lon) / s] from (select case when x.lat = y.lat and x.lon = y.lon then 1e0 else greatest(abs(y.lat - x.lat), abs(y.lon - x.lon)) end s))"
+
+
+def _turn(x: str, y: str, z: str) -> str:
+    a, b = (_DIRECTION.replace("x.", f"({p}).").replace("y.", f"({q}).") for p, q in ((x, y), (y, z)))
+    return f"({a} = {b} or {a} = list_transform({b}, lambda c: -c))"
+
+
+@query(f"""with recursive l as (select o_custkey feature_id, list({{'seq': o_orderkey, 'lat': (o_orderkey % 3)::double, 'lon': (o_orderkey // 3 % 4)::double}} order by o_orderkey) v from orders group by o_custkey),
+s as (select feature_id, 1 k, v[1:0] t from l union all
+  select feature_id, k + 1, case when t[-1].lat = v[k].lat and t[-1].lon = v[k].lon then t when t[-2].lat = v[k].lat and t[-2].lon = v[k].lon then t[:-2] else list_append(t, v[k]) end from s join l using (feature_id) where k <= len(v)),
+m as (select feature_id, t v from s join l using (feature_id) where k = len(l.v) + 1),
+q as (select feature_id, 1 k, v[1:0] t from m union all
+  select feature_id, case when straight then k else k + 1 end, case when straight then t[:-2] else list_append(t, v[k]) end
+  from (select feature_id, k, t, v, len(t) > 1 and {_turn("t[-2]", "t[-1]", "v[k]")} straight from q join m using (feature_id) where k <= len(v)))
+select feature_id, p.seq seq, p.lat lat, p.lon lon from (select feature_id, unnest(t) p from q join m using (feature_id) where k = len(v) + 1)""")
 def w09_simplify_path(spark, sf):
-    return paths.per_line(polylines(spark, sf), ["feature_id"], ("lat", "lon"), paths.simplified)
+    """Lines over few places, so that vertices repeat, turn back and go straight on."""
+    k = F.col("o_orderkey")
+    d = table(spark, sf, "orders").select(F.col("o_custkey").alias("feature_id"), k.alias("seq"), (k % 3).cast("double").alias("lat"), (F.floor(k / 3) % 4).cast("double").alias("lon"))
+    return paths.per_line(d, ["feature_id"], ("lat", "lon"), paths.simplified)
 
 
 @query()
