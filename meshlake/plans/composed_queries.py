@@ -12,15 +12,34 @@ from ..streaming import projection
 from . import build_mesh as plan
 from .line_queries import region_sql, sections, sections_sql
 from .linear_queries import _FEATURES, _shapes
-from .mesh_queries import COLUMNS, ROWS, bilinear_sql, planar_sql
+from .mesh_queries import COLUMNS, ROWS, bilinear_sql, planar_sql, r
 from .registry import query
 
 R = geo.rounded
 
 
-@query()
+def _guessed_sql() -> str:
+    """The constant terms ``gx, gy`` of surfaces near each missing node: normal equations, whose unknowns are
+    eliminated one by one, the constant last."""
+    terms, pulled = ["u", "w", "u * u", "u * w", "w * w", "1e0"], (2, 3, 4)
+    pairs = [(a, b) for a in range(6) for b in range(a, 6)]
+    sums = [f"sum(({terms[a]}) * ({terms[b]})) + {int(a == b and a in pulled)} m{a}{b}" for a, b in pairs]
+    sums += [f"sum(({t}) * {z}) {z}{a}" for a, t in enumerate(terms) for z in "xy"]
+    steps = [f"e0 as (select h, i, j, {', '.join(sums)} from near group by h, i, j having count(*) >= 5)"]
+    for k in range(5):
+        def less(value: str, a: int, other: str, k: int = k) -> str:
+            return f"{value} - case when abs(m{k}{k}) < 1e-9 then 0 else m{k}{a} / m{k}{k} * {other} end {value}"
+
+        kept = [less(f"m{a}{b}", a, f"m{k}{b}") for a, b in pairs if a > k] + [less(f"{z}{a}", a, f"{z}{k}") for a in range(k + 1, 6) for z in "xy"]
+        steps.append(f"e{k + 1} as (select h, i, j, {', '.join(kept)} from e{k})")
+    return f"""near as (select a.h, a.i, a.j, (b.i - a.i)::double u, (b.j - a.j)::double w, b.x, b.y from {MESH} a join {MESH} b on a.h = b.h and abs(a.i - b.i) + abs(a.j - b.j) <= 3 where a.x is null and b.x is not null),
+{", ".join(steps)}, guessed as (select h, i, j, x5 / m55 gx, y5 / m55 gy from e5)"""
+
+
+@query(f"with {_guessed_sql()} select h, i, j, lat, lon, {r('coalesce(x, gx)')} x, {r('coalesce(y, gy)')} y from {MESH} left join guessed using (h, i, j)")
 def w14_dilate_mesh(spark, sf):
-    return plan.dilate_mesh(mesh(spark))
+    d = plan.dilate_mesh(mesh(spark))
+    return d.withColumns({c: R(F.col(c)) for c in "xy"})
 
 
 _INNER = f"(select * replace (lat * 0.97e0 as lat, lon * 0.97e0 as lon) from {_FEATURES})"
