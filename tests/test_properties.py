@@ -451,3 +451,25 @@ def test_elevation_from_files(spark, tmp_path):
             k = int(np.floor(north - (i + 0.5) / 2 + 90.5)), int(np.floor(west + (j + 0.5) / 2 + 180.5)) % 360
             want[k] = min(want.get(k, np.inf), max(0.0, float(z)))
     assert got == want
+
+
+def test_skeletons_restore_planes(spark):
+    """What is linear along rows and columns comes back from its key nodes; keys are themselves; the transpose fits."""
+    from meshlake.plans import fit
+
+    rows, columns = 19, 37
+    grid = spark.range(rows * columns).select(F.lit(0).alias("h"), F.floor(F.col("id") / columns).cast("int").alias("i"), (F.col("id") % columns).cast("int").alias("j"))
+    hole = (F.col("i").between(8, 10) & F.col("j").between(5, 9)) | ((F.col("i") > 14) & (F.col("j") == 20))
+    d = grid.where(~hole).toPandas().sort_values(["i", "j"], ignore_index=True)
+    d["node_id"] = d.index
+    ids = spark.createDataFrame(d).join(grid, ["h", "i", "j"], "right").select(*[F.col(c).cast("int").alias(c) for c in ("h", "i", "j", "node_id")])
+    rng = np.random.default_rng(10)
+    for factor in (1, 2, 3):
+        got = fit.collect_skeleton(ids, factor, rows, columns)
+        assert len(got.keys) < len(d) and np.allclose(got.weights.sum(axis=1), 1) and (got.weights >= 0).all()
+        i, j = d["i"].to_numpy(float), d["j"].to_numpy(float)
+        plane = np.stack([3 * i - 2 * j + 1, i + 5 * j], axis=1)
+        assert np.allclose(got.restore(plane[got.keys]), plane)
+        own, v = rng.normal(size=(len(got.keys), 2)), rng.normal(size=(len(d), 2))
+        assert np.allclose(got.restore(own)[got.keys], own)
+        assert np.isclose((got.restore(own) * v).sum(), (own * got.spread(v)).sum())
