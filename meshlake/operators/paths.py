@@ -80,7 +80,10 @@ def _divided(lines: DataFrame, keys: list[str], pieces: Column, keep_jump: bool)
 
 
 def _length() -> Column:
-    return F.hypot(F.col("lat") - F.col("plat"), F.col("lon") - F.col("plon"))
+    """As the root of a sum of squares, which the SQL takes too: hypot may differ in the last bit, which is a piece more
+    or less where a length is a multiple of the resolution."""
+    a, b = F.col("lat") - F.col("plat"), F.col("lon") - F.col("plon")
+    return F.sqrt(a * a + b * b)
 
 
 def resolve(lines: DataFrame, keys: list[str], resolution: float) -> DataFrame:

@@ -473,3 +473,16 @@ def test_skeletons_restore_planes(spark):
         own, v = rng.normal(size=(len(got.keys), 2)), rng.normal(size=(len(d), 2))
         assert np.allclose(got.restore(own)[got.keys], own)
         assert np.isclose((got.restore(own) * v).sum(), (own * got.spread(v)).sum())
+
+
+def line_of(spark, keys):
+    """A line through the places of some keys."""
+    d = spark.createDataFrame([(1, k) for k in keys], "f int, seq long")
+    return d.select("f", "seq", fixtures.lat_of(F.col("seq")).alias("lat"), fixtures.lon_of(F.col("seq")).alias("lon"))
+
+
+def test_pieces_of_lengths_at_the_resolution(spark):
+    """A length just above 150 degrees by the root of a sum of squares."""
+    (lat0, lon0), (lat1, lon1) = ((k * 7919 % 1799 / 10 - 89.953, k * 104729 % 3599 / 10 - 179.953) for k in (100665, 107579))
+    n = math.ceil(math.sqrt((lat1 - lat0) ** 2 + (lon1 - lon0) ** 2) / 10)
+    assert paths.resolve(line_of(spark, (100665, 107579)), ["f"], 10.0).where("seq = 107579").count() == n
