@@ -486,3 +486,10 @@ def test_pieces_of_lengths_at_the_resolution(spark):
     (lat0, lon0), (lat1, lon1) = ((k * 7919 % 1799 / 10 - 89.953, k * 104729 % 3599 / 10 - 179.953) for k in (100665, 107579))
     n = math.ceil(math.sqrt((lat1 - lat0) ** 2 + (lon1 - lon0) ** 2) / 10)
     assert paths.resolve(line_of(spark, (100665, 107579)), ["f"], 10.0).where("seq = 107579").count() == n
+
+
+def test_halvings_of_lengths_at_the_resolution(spark):
+    """A length of 160 degrees, up to the last bit."""
+    (lat0, lon0), (lat1, lon1) = ((k * 7919 % 1799 / 10 - 89.953, k * 104729 % 3599 / 10 - 179.953) for k in (40039342, 40074713))
+    assert math.sqrt((lat1 - lat0) ** 2 + (lon1 - lon0) ** 2) == 160
+    assert paths.refine(line_of(spark, (40039342, 40074713)), ["f"], 10.0).where("seq = 40074713").count() == 16
