@@ -138,9 +138,11 @@ def decimated(path: np.ndarray, resolution: float, wrap: bool = False) -> np.nda
         a, z = stack.pop()
         if z - a < 2:
             continue
-        d, rest = path[z] - path[a], path[a + 1 : z] - path[a]
-        along = rest @ d / (np.hypot(*d) or 1.0)
-        far = np.sqrt(np.maximum(0, (rest**2).sum(axis=1) - along**2))
+        # each product by itself, as a matrix product may fuse them, and squares by the library's power, as in the SQL: the
+        # last bit decides ties and what is just far enough
+        (dx, dy), (u, v) = path[z] - path[a], (path[a + 1 : z] - path[a]).T
+        along = (u * dx + v * dy) / (np.sqrt(np.float_power(dx, 2) + np.float_power(dy, 2)) or 1.0)
+        far = np.sqrt(np.maximum(0, np.float_power(u, 2) + np.float_power(v, 2) - np.float_power(along, 2)))
         k = int(np.argmax(far))
         if far[k] >= resolution:
             keep.add(a + 1 + k)

@@ -493,3 +493,10 @@ def test_halvings_of_lengths_at_the_resolution(spark):
     (lat0, lon0), (lat1, lon1) = ((k * 7919 % 1799 / 10 - 89.953, k * 104729 % 3599 / 10 - 179.953) for k in (40039342, 40074713))
     assert math.sqrt((lat1 - lat0) ** 2 + (lon1 - lon0) ** 2) == 160
     assert paths.refine(line_of(spark, (40039342, 40074713)), ["f"], 10.0).where("seq = 40074713").count() == 16
+
+
+def test_decimation_on_ties():
+    """Distances that are equal but for the last bit are parted as by the SQL, a product at a time."""
+    keys = [1679433, 1680887, 1680898, 1724143, 1745127, 1745248, 1752204, 1759039, 1762553, 1763820, 1765723, 1774790, 1787281]
+    path = np.array([(k * 7919 % 1799 / 10 - 89.953, k * 104729 % 3599 / 10 - 179.953) for k in keys])
+    assert keys.index(1745248) in paths.decimated(path, 20.0, wrap=True)
