@@ -4,7 +4,8 @@ Polygons are rows ``h, seq, lat, lon``. Containment has two plans: with few edge
 section that stays in code generation and moves no row; with many, edges are dealt to one-degree bands
 (of longitude on the globe, of latitude in the plane) and points look up their band by an equi-join. Only hits move; sections
 without a hit have a default, which a point takes from an array of sections. Edge sets and that array are
-broadcast only below ``EDGE_LIMIT`` rows, which is checked."""
+broadcast only below ``EDGE_LIMIT`` rows, which is checked. Of many sections small ones are dealt to cells of latitude and
+longitude instead, a row with all edges each, and meet the points near them only: farther ones have the default."""
 
 from __future__ import annotations
 
@@ -16,6 +17,8 @@ from ..sources import resources
 
 #: Edges up to which a polygon set becomes literals; rows up to which edges are broadcast.
 LITERAL_EDGES, EDGE_LIMIT = 120, 1_000_000
+#: Sections of at most so many edges and degrees either way go to cells of so many degrees, a margin around them included.
+CELL_EDGES, CELL_EXTENT, CELL, MARGIN = 64, 16.0, 2.0, 1e-6
 
 
 def edges(polygons: DataFrame) -> DataFrame:
@@ -75,20 +78,68 @@ def _side(live: DataFrame) -> DataFrame:
     return F.broadcast(live) if live.limit(EDGE_LIMIT + 1).count() <= EDGE_LIMIT else live
 
 
+def _is_small(rings: DataFrame) -> Column:
+    box = (F.col("north") - F.col("south") <= CELL_EXTENT) & (F.col("east") - F.col("west") <= CELL_EXTENT)
+    return F.coalesce((F.size("es") <= CELL_EDGES) & box, F.lit(False))
+
+
+def _near(points: DataFrame, rings: DataFrame, keys: list[str]) -> DataFrame:
+    """Points ``keys, _lat, _lon`` with the rings ``south, north, west, east, ...`` they are in the box of."""
+
+    def cells(low: str, high: str) -> Column:
+        return F.explode(F.sequence(F.floor((F.col(low) - MARGIN) / CELL), F.floor((F.col(high) + MARGIN) / CELL)))
+
+    dealt = rings.withColumn("_row", cells("south", "north")).withColumn("_column", cells("west", "east"))
+    p = points.select(*keys, F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.floor(F.col("lat") / CELL).alias("_row"), F.floor(F.col("lon") / CELL).alias("_column"))
+    lat, lon = F.col("_lat"), F.col("_lon")
+    return p.join(dealt, ["_row", "_column"]).where(lat.between(F.col("south") - MARGIN, F.col("north") + MARGIN) & lon.between(F.col("west") - MARGIN, F.col("east") + MARGIN))
+
+
+def _closed(es: Column) -> Column:
+    """Whether points above and below all edges are outside: between neighbouring longitudes of vertices, edges that
+    may be the uppermost lead west and those that may be the lowest east."""
+
+    def slab(u: Column, v: Column) -> Column:
+        def at(e, x):
+            return (x - e["lon0"]) / (e["lon1"] - e["lon0"]) * (e["lat1"] - e["lat0"]) + e["lat0"]
+
+        over = F.filter(es, lambda e: (F.least(e["lon0"], e["lon1"]) <= u) & (F.greatest(e["lon0"], e["lon1"]) >= v))
+        ys = F.transform(over, lambda e: F.struct(F.least(at(e, u), at(e, v)).alias("lo"), F.greatest(at(e, u), at(e, v)).alias("hi"), (e["lon1"] > e["lon0"]).alias("east")))
+        top, bottom = F.array_max(F.transform(ys, lambda y: y["lo"])), F.array_min(F.transform(ys, lambda y: y["hi"]))
+        return F.forall(ys, lambda y: ((y["hi"] < top - MARGIN) | ~y["east"]) & ((y["lo"] > bottom + MARGIN) | y["east"]))
+
+    xs = F.array_sort(F.array_distinct(F.concat(F.transform(es, lambda e: e["lon0"]), F.transform(es, lambda e: e["lon1"]))))
+    return F.forall(F.arrays_zip(F.slice(xs, 1, F.size(xs) - 1).alias("u"), F.slice(xs, 2, F.size(xs) - 1).alias("v")), lambda x: slab(x["u"], x["v"]))
+
+
 def _region_hits(points: DataFrame, polygons: DataFrame, keys: list[str], period: float = 360.0) -> tuple[DataFrame, DataFrame]:
     """``keys, h, inside`` where an edge lies above or below the point, and ``h, default`` for all sections."""
     e = edges(polygons)
     step = F.col("lon1") - F.col("lon0")
     middle = (F.col("lat0") + F.col("lat1")) / 2
-    default = e.groupBy("h").agg(F.max_by(F.when(F.abs(step) == period, -step).otherwise(step) > 0, F.struct(middle, -F.col("k"))).alias("default"))
-    live = e.where((step != 0) & (F.abs(step) <= period / 2))
+    default = F.max_by(F.when(F.abs(step) == period, -step).otherwise(step) > 0, F.struct(middle, -F.col("k"))).alias("default")
+    steep = (step != 0) & (F.abs(step) <= period / 2)
+    box = {"south": F.min(F.when(steep, F.least("lat0", "lat1"))), "north": F.max(F.when(steep, F.greatest("lat0", "lat1"))), "west": F.min(F.when(steep, F.least("lon0", "lon1"))), "east": F.max(F.when(steep, F.greatest("lon0", "lon1")))}
+    rings = e.groupBy("h").agg(default, F.collect_list(F.when(steep, F.struct("k", "lat0", "lon0", "lat1", "lon1"))).alias("es"), *[v.alias(k) for k, v in box.items()])
+    default = rings.select("h", "default")
+    # a size first, so that long rings are not searched for slabs
+    small = F.when(_is_small(rings) & ~F.col("default"), _closed(F.col("es"))).otherwise(False)
+    rings = rings.withColumn("small", F.coalesce(small, F.lit(False)))
+
+    def met(x):
+        cross = (F.col("_lon") - x["lon0"]) / (x["lon1"] - x["lon0"]) * (x["lat1"] - x["lat0"]) + x["lat0"]
+        return F.struct(F.abs(cross - F.col("_lat")).alias("gap"), (-x["k"]).alias("k"), ((x["lon1"] > x["lon0"]) != (cross > F.col("_lat"))).alias("inside"))
+
+    over = F.filter("es", lambda x: (x["lon0"] <= F.col("_lon")) != (x["lon1"] <= F.col("_lon")))
+    near = _near(points, rings.where("small").drop("small", "default"), keys).select(*keys, "h", F.array_min(F.transform(over, met))["inside"].alias("inside")).where("inside is not null")
+    live = e.where(steep).join(rings.where("not small").select("h"), "h", "left_semi")
     side = _side(live.withColumn("band", F.explode(F.sequence(F.floor(F.least("lon0", "lon1")), F.floor(F.greatest("lon0", "lon1"))))))
     p = points.select(*keys, F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.floor("lon").alias("band"))
     hit = p.join(side, "band").where((F.col("lon0") <= F.col("_lon")) != (F.col("lon1") <= F.col("_lon")))
     cross = (F.col("_lon") - F.col("lon0")) / step * (F.col("lat1") - F.col("lat0")) + F.col("lat0")
     flag = (step > 0) != (cross > F.col("_lat"))
     found = hit.groupBy(*keys, "h").agg(F.min(F.struct(F.abs(cross - F.col("_lat")).alias("gap"), (-F.col("k")).alias("k"), flag.alias("inside"))).alias("m"))
-    return found.select(*keys, "h", "m.inside"), default
+    return near.unionByName(found.select(*keys, "h", "m.inside")), default
 
 
 def _planar_hits(points: DataFrame, polygons: DataFrame, keys: list[str], tolerance: float = 1e-9) -> tuple[DataFrame, DataFrame]:
@@ -97,14 +148,23 @@ def _planar_hits(points: DataFrame, polygons: DataFrame, keys: list[str], tolera
     here = F.struct(F.col("lat").alias("y"), F.col("lon").alias("x"))
     e = polygons.select("h", here.alias("b"), F.coalesce(F.lag(here).over(w), F.last(here).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("a")).where("a <> b")
     e = e.select("h", F.col("a.y").alias("y0"), F.col("a.x").alias("x0"), F.col("b.y").alias("y1"), F.col("b.x").alias("x1"))
-    turn = e.groupBy("h").agg((F.sum(F.col("x0") * F.col("y1") - F.col("y0") * F.col("x1")) > 0).alias("ccw"))
-    side = _side(e.withColumn("band", F.explode(F.sequence(F.floor(F.least("y0", "y1") - tolerance), F.floor(F.greatest("y0", "y1") + tolerance)))))
+    box = {"south": F.min(F.least("y0", "y1")), "north": F.max(F.greatest("y0", "y1")), "west": F.min(F.least("x0", "x1")), "east": F.max(F.greatest("x0", "x1"))}
+    turn = e.groupBy("h").agg((F.sum(F.col("x0") * F.col("y1") - F.col("y0") * F.col("x1")) > 0).alias("ccw"), F.collect_list(F.struct("y0", "x0", "y1", "x1")).alias("es"), *[v.alias(k) for k, v in box.items()])
+    # a ray from outside a ring's box meets none of its edges or an even number
+    small = _is_small(turn) & F.lit(tolerance <= MARGIN)
+    odd = F.size(F.filter("es", lambda x: _crosses(F.col("_lat"), F.col("_lon"), x))) % 2 == 1
+    inside = F.exists("es", lambda x: _beside(F.col("_lat"), F.col("_lon"), x, tolerance)) | (odd == F.col("ccw"))
+    near = _near(points, turn.where(small), keys).select(*keys, "h", inside.alias("inside"))
+    large = e.join(turn.where(~small).select("h"), "h", "left_semi")
+    turn = turn.select("h", "ccw")
+    side = _side(large.withColumn("band", F.explode(F.sequence(F.floor(F.least("y0", "y1") - tolerance), F.floor(F.greatest("y0", "y1") + tolerance)))))
     p = points.select(*keys, F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.floor("lat").alias("band"))
     edge = {k: F.col(k) for k in ("y0", "x0", "y1", "x1")}
     beside, crosses = _beside(F.col("_lat"), F.col("_lon"), edge, tolerance), _crosses(F.col("_lat"), F.col("_lon"), edge)
     hit = p.join(side, "band").select(*keys, "h", beside.alias("beside"), crosses.alias("crosses")).where("beside or crosses")
     found = hit.groupBy(*keys, "h").agg(F.max("beside").alias("beside"), (F.sum(F.col("crosses").cast("int")) % 2 == 1).alias("odd")).join(turn, "h")
-    return found.select(*keys, "h", (F.col("beside") | (F.col("odd") == F.col("ccw"))).alias("inside")), turn.select("h", (~F.col("ccw")).alias("default"))
+    found = found.select(*keys, "h", (F.col("beside") | (F.col("odd") == F.col("ccw"))).alias("inside"))
+    return near.unionByName(found), turn.select("h", (~F.col("ccw")).alias("default"))
 
 
 def _sections(default: DataFrame, entry: Column) -> DataFrame:
@@ -133,8 +193,10 @@ def _containing(points: DataFrame, found: DataFrame, default: DataFrame, keys: l
 
 def containing(points: DataFrame, polygons: DataFrame, keys: list[str], planar: bool = False) -> DataFrame:
     """``keys, h`` of the sections that contain each point, on the globe or in the plane."""
-    hits = _planar_hits if planar else _region_hits
-    return _containing(points.select(*keys), *hits(points, polygons, keys), keys).select(*keys, F.explode("_hs").alias("h"))
+    found, default = (_planar_hits if planar else _region_hits)(points, polygons, keys)
+    if default.where("default").isEmpty():
+        return found.where("inside").select(*keys, "h")
+    return _containing(points.select(*keys), found, default, keys).select(*keys, F.explode("_hs").alias("h"))
 
 
 def first_section(points: DataFrame, polygons: DataFrame, keys: list[str]) -> DataFrame:
@@ -143,7 +205,10 @@ def first_section(points: DataFrame, polygons: DataFrame, keys: list[str]) -> Da
     if rings is not None:
         section = F.coalesce(*[F.when(inside_ring(F.col("lat"), F.col("lon"), ring), h) for h, ring in sorted(rings.items())]).cast(polygons.schema["h"].dataType)
         return points.select("*", section.alias("section"))
-    d = _containing(points, *_region_hits(points, polygons, keys), keys)
+    found, default = _region_hits(points, polygons, keys)
+    if default.where("default").isEmpty():
+        return points.join(found.where("inside").groupBy(*keys).agg(F.min("h").alias("section")), keys, "left").select(*points.columns, "section")
+    d = _containing(points, found, default, keys)
     return d.withColumn("section", F.array_min("_hs")).drop("_hs")
 
 

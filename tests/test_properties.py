@@ -500,3 +500,32 @@ def test_decimation_on_ties():
     keys = [1679433, 1680887, 1680898, 1724143, 1745127, 1745248, 1752204, 1759039, 1762553, 1763820, 1765723, 1774790, 1787281]
     path = np.array([(k * 7919 % 1799 / 10 - 89.953, k * 104729 % 3599 / 10 - 179.953) for k in keys])
     assert keys.index(1745248) in paths.decimated(path, 20.0, wrap=True)
+
+
+def many_rings(spark, rng, n=60):
+    """Small rings of three to six vertices in either direction, some not convex, and one that is large."""
+    rows = []
+    for h in range(n):
+        c, m = rng.uniform(-60, 60, 2), int(rng.integers(3, 7))
+        turns = np.sort(rng.uniform(0, 2 * np.pi, m))[:: 1 if h % 3 else -1]
+        ring = np.round(c + (rng.uniform(1, 7, (m, 1)) if h else 50.0) * np.stack([np.sin(turns), np.cos(turns)], 1), int(h % 2))
+        rows += [(h, k, *map(float, ring[k % m])) for k in range(m + 1)]
+    return spark.createDataFrame(rows, "h int, seq int, lat double, lon double").coalesce(1)
+
+
+def test_small_sections_go_to_cells(spark, monkeypatch):
+    """The same from cells and from bands alone, on points at random and at vertices."""
+    rng = np.random.default_rng(5)
+    d = many_rings(spark, rng).cache()
+    at = [(float(a), float(b)) for a, b in rng.uniform(-70, 70, (150, 2))] + [(r.lat, r.lon) for r in d.limit(60).collect()]
+    p = spark.createDataFrame([(k, *v) for k, v in enumerate(at)], "id int, lat double, lon double").coalesce(1)
+
+    def all_of():
+        whole = [polygon.inside_region(p, d, ["id"]), polygon.contains(p, d, ["id"])]
+        some = [polygon.containing(p, d, ["id"]), polygon.containing(p, d, ["id"], planar=True), polygon.first_section(p, d, ["id"]).select("id", "section")]
+        return [sorted(map(tuple, x.collect()), key=repr) for x in whole + some]
+
+    monkeypatch.setattr(polygon, "section_literals", lambda *_: None)
+    cells_ = all_of()
+    monkeypatch.setattr(polygon, "CELL_EXTENT", -1.0)
+    assert cells_ == all_of()
