@@ -529,3 +529,13 @@ def test_small_sections_go_to_cells(spark, monkeypatch):
     cells_ = all_of()
     monkeypatch.setattr(polygon, "CELL_EXTENT", -1.0)
     assert cells_ == all_of()
+
+
+def test_points_meet_only_near_sections(spark):
+    """Squares all over the globe: a point meets those around it, not all of its longitude or latitude."""
+    d = spark.range(400).selectExpr("int(id) h", "explode(sequence(0, 4)) seq", "id % 20 * 8 - 80 y", "id div 20 * 17 - 165 x")
+    d = d.selectExpr("h", "seq", "double(y + array(0, 0, 5, 5, 0)[seq]) lat", "double(x + array(0, 5, 5, 0, 0)[seq]) lon")
+    p = spark.range(400).selectExpr("id", "id % 20 * 8 - 79d lat", "id div 20 * 17 - 163d lon")
+    for hits in (polygon._region_hits, polygon._planar_hits):
+        found = hits(p, d, ["id"])[0].collect()
+        assert sorted((r.id, r.h) for r in found) == [(k, k) for k in range(400)] and all(r.inside for r in found)
