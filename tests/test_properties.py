@@ -539,3 +539,12 @@ def test_points_meet_only_near_sections(spark):
     for hits in (polygon._region_hits, polygon._planar_hits):
         found = hits(p, d, ["id"])[0].collect()
         assert sorted((r.id, r.h) for r in found) == [(k, k) for k in range(400)] and all(r.inside for r in found)
+
+
+def test_first_of_near_sections(spark, monkeypatch):
+    """Sections that contain no far point are not looked up for it: no array of all sections."""
+    d = spark.createDataFrame([(h, k, 10.0 * h + a, b) for h in (1, 2) for k, (a, b) in enumerate(((0.0, 0.0), (0.0, 5.0), (5.0, 5.0), (5.0, 0.0), (0.0, 0.0)))], "h int, seq int, lat double, lon double")
+    p = spark.createDataFrame([(1, 11.0, 1.0), (2, 22.0, 2.0), (3, 1.0, 1.0), (4, None, 1.0)], "id int, lat double, lon double")
+    monkeypatch.setattr(polygon, "section_literals", lambda *_: None)
+    monkeypatch.setattr(polygon, "_sections", None)
+    assert {r.id: r.section for r in polygon.first_section(p, d, ["id"]).collect()} == {1: 1, 2: 2, 3: None, 4: None}
