@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -67,9 +68,9 @@ def check_wrapping(lines: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _divided(lines: DataFrame, keys: list[str], pieces: Column, keep_jump: bool) -> DataFrame:
-    """``keys, seq, part, lat, lon``: each segment in as many equal pieces, named by its end."""
+    """``keys, seq, part, lat, lon``: each segment in as many equal pieces, by its ``length``, named by its end."""
     w = _line(keys)
-    d = lines.select(*keys, "seq", "lat", "lon", F.lag("lat").over(w).alias("plat"), F.lag("lon").over(w).alias("plon"))
+    d = lines.select(*keys, "seq", "lat", "lon", F.lag("lat").over(w).alias("plat"), F.lag("lon").over(w).alias("plon")).withColumn("length", _length())
     first = F.col("plat").isNull()
     n = F.when(first, 1).otherwise(pieces)
     d = d.select("*", n.alias("n")).where("n > 0") if not keep_jump else d.select("*", F.greatest(n, F.lit(1)).alias("n"))
@@ -80,24 +81,27 @@ def _divided(lines: DataFrame, keys: list[str], pieces: Column, keep_jump: bool)
 
 
 def _length() -> Column:
-    """As the root of a sum of squares, which the SQL takes too: hypot may differ in the last bit, which is a piece more
-    or less where a length is a multiple of the resolution."""
-    a, b = F.col("lat") - F.col("plat"), F.col("lon") - F.col("plon")
-    return F.sqrt(a * a + b * b)
+    """As the root of a sum of squares by the library's power, which the SQL takes too: hypot, products and Java's power may
+    differ in the last bit, which is a piece more or less where a length is a multiple of the resolution. So numpy does it."""
+
+    def root(a: pd.Series, b: pd.Series) -> pd.Series:
+        return np.sqrt(np.float_power(a, 2) + np.float_power(b, 2))
+
+    return F.pandas_udf(root, "double")(F.col("lat") - F.col("plat"), F.col("lon") - F.col("plon"))
 
 
 def resolve(lines: DataFrame, keys: list[str], resolution: float) -> DataFrame:
     """Segments in the least number of equal pieces that are no longer than the resolution; those that jump by
     more than 180 degrees, or have no length, are left out with their end."""
     jump = F.abs(F.col("lon") - F.col("plon")) > 180
-    return _divided(lines, keys, F.when(jump, 0).otherwise(F.ceil(_length() / resolution)), keep_jump=False)
+    return _divided(lines, keys, F.when(jump, 0).otherwise(F.ceil(F.col("length") / resolution)), keep_jump=False)
 
 
 def refine(lines: DataFrame, keys: list[str], resolution: float, period: float = 360.0) -> DataFrame:
     """Segments halved until none is longer than the resolution; those that jump by more than half a period stay."""
     halvings = F.array(*[F.lit(2**k) for k in range(0, 31)])
     # 2^30 pieces are more than a row's array can hold, so a finer resolution is an error there
-    n = F.element_at(F.filter(halvings, lambda p: _length() / p <= resolution), 1)
+    n = F.element_at(F.filter(halvings, lambda p: F.col("length") / p <= resolution), 1)
     jump = F.abs(F.col("lon") - F.col("plon")) > period / 2
     return _divided(lines, keys, F.when(jump, 1).otherwise(n), keep_jump=True)
 

@@ -495,6 +495,21 @@ def test_halvings_of_lengths_at_the_resolution(spark):
     assert paths.refine(line_of(spark, (40039342, 40074713)), ["f"], 10.0).where("seq = 40074713").count() == 16
 
 
+@pytest.mark.parametrize("name", ["w07_resolve_path", "w08_refine_path"])
+def test_squares_are_those_of_the_sql(spark, tmp_path, name):
+    """A length of 160 degrees by the library's power, and just above by products."""
+    import duckdb
+
+    from meshlake import catalog
+
+    spark.createDataFrame([(1, 956), (1, 1476630)], "o_custkey long, o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view orders as select * from '{tmp_path}/orders.parquet/*.parquet'")
+    want = con.execute(f"select feature_id, seq, part, lat, lon from ({catalog.oracle_sql()[name]})").fetchall()
+    got = catalog.queries()[name](spark, str(tmp_path)).select("feature_id", "seq", "part", "lat", "lon").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_decimation_on_ties():
     """Distances that are equal but for the last bit are parted as by the SQL, a product at a time."""
     keys = [1679433, 1680887, 1680898, 1724143, 1745127, 1745248, 1752204, 1759039, 1762553, 1763820, 1765723, 1774790, 1787281]
