@@ -5,20 +5,25 @@ section that stays in code generation and moves no row; with many, edges are dea
 (of longitude on the globe, of latitude in the plane) and points look up their band by an equi-join. Only hits move; sections
 without a hit have a default, which a point takes from an array of sections. Edge sets and that array are
 broadcast only below ``EDGE_LIMIT`` rows, which is checked. Of many sections small ones are dealt to cells of latitude and
-longitude instead, a row with all edges each, and meet the points near them only: farther ones have the default."""
+longitude instead, and meet the points near them only: farther ones have the default. A cell that no edge is near has one
+answer for all its points; only in the others a point meets the edges."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..sources import resources
 
-#: Edges up to which a polygon set becomes literals; rows up to which edges are broadcast.
-LITERAL_EDGES, EDGE_LIMIT = 120, 1_000_000
+#: Edges up to which a polygon set becomes literals; edges, and cells of sections, up to which they are broadcast.
+LITERAL_EDGES, EDGE_LIMIT, CELL_LIMIT = 120, 1_000_000, 4_000_000
+#: Edges of a section that are written out in an expression, which is compiled; of more, functions go through the array.
+FEW_EDGES = 6
 #: Sections of at most so many edges and degrees either way go to cells of so many degrees, a margin around them included.
-CELL_EDGES, CELL_EXTENT, CELL, MARGIN = 64, 16.0, 2.0, 1e-6
+CELL_EDGES, CELL_EXTENT, CELL, MARGIN = 64, 16.0, 1.0, 1e-6
 
 
 def edges(polygons: DataFrame) -> DataFrame:
@@ -73,9 +78,27 @@ def inside_region(points: DataFrame, polygons: DataFrame, keys: list[str], perio
     return _filled(points, *_region_hits(points, polygons, keys, period), keys)
 
 
-def _side(live: DataFrame) -> DataFrame:
-    """Edges by band, broadcast if they are few; else the join on bands shuffles."""
-    return F.broadcast(live) if live.limit(EDGE_LIMIT + 1).count() <= EDGE_LIMIT else live
+def _side(live: DataFrame, band: Column) -> DataFrame | None:
+    """Edges by band, broadcast if they are few; else the join on bands shuffles. None without edges."""
+    banded = live.withColumn("band", F.explode(band))
+    n = banded.limit(EDGE_LIMIT + 1).count()
+    return None if n == 0 else F.broadcast(banded) if n <= EDGE_LIMIT else banded
+
+
+def _dealt(points: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, _lat, _lon`` dealt to all tasks: a small file is read by one, and a point may meet many sections."""
+    return points.select(*keys, F.col("lat").alias("_lat"), F.col("lon").alias("_lon")).repartition(*keys, "_lat", "_lon")
+
+
+def _each(f, kind: str) -> Column:
+    """Whether ``f`` holds for all edges ``es``, for any, or for an odd number of them. Null counts as false."""
+    whole = {"all": lambda: F.forall("es", f), "any": lambda: F.exists("es", f), "odd": lambda: F.size(F.filter("es", f)) % 2 == 1}[kind]()
+    held = [F.coalesce(f(F.get("es", F.lit(k))), F.lit(False)) for k in range(FEW_EDGES)]
+    if kind == "odd":
+        few = reduce(lambda a, b: a != b, held)
+    else:
+        few = reduce(lambda a, b: a | b, held) if kind == "any" else reduce(lambda a, b: a & b, [(F.size("es") <= k) | v for k, v in enumerate(held)])
+    return F.when(F.size("es") <= FEW_EDGES, few).otherwise(F.coalesce(whole, F.lit(False)))
 
 
 def _is_small(rings: DataFrame) -> Column:
@@ -83,16 +106,29 @@ def _is_small(rings: DataFrame) -> Column:
     return F.coalesce((F.size("es") <= CELL_EDGES) & box, F.lit(False))
 
 
-def _near(points: DataFrame, rings: DataFrame, keys: list[str]) -> DataFrame:
-    """Points ``keys, _lat, _lon`` with the rings ``south, north, west, east, ...`` they are in the box of."""
+def _near(points: DataFrame, rings: DataFrame, keys: list[str], constant, test: Column) -> DataFrame:
+    """``keys, h, inside`` of points ``keys, _lat, _lon`` by rings ``h, es, other, south, north, west, east``. In a cell without
+    an edge nearby all points are ``other``, the opposite of the default, or have the default: ``constant`` of the cell's
+    south, north, west and east, margin included, is true or false. Where it is null, points in the box meet ``test``."""
 
     def cells(low: str, high: str) -> Column:
-        return F.explode(F.sequence(F.floor((F.col(low) - MARGIN) / CELL), F.floor((F.col(high) + MARGIN) / CELL)))
-
-    dealt = rings.withColumn("_row", cells("south", "north")).withColumn("_column", cells("west", "east"))
-    p = points.select(*keys, F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.floor(F.col("lat") / CELL).alias("_row"), F.floor(F.col("lon") / CELL).alias("_column"))
+        return F.sequence(F.floor((F.col(low) - MARGIN) / CELL), F.floor((F.col(high) + MARGIN) / CELL))
+
+    rows, columns = cells("south", "north"), cells("west", "east")
+    size = rings.agg(F.sum(F.size("es")).alias("edges"), F.sum(F.size(rows) * F.size(columns)).alias("cells")).first()
+    dealt = rings.withColumn("_row", F.explode(rows)).withColumn("_column", F.explode(columns))
+    bounds = [F.col(c) * CELL + v for c in ("_row", "_column") for v in (-MARGIN, CELL + MARGIN)]
+    dealt = dealt.select("h", "other", "_row", "_column", constant(*bounds).alias("_odd"))
+    entry = F.when(F.coalesce("_odd", F.lit(True)), F.struct("h", F.when(F.col("_odd"), F.col("other")).alias("inside")))
+    per = dealt.groupBy("_row", "_column").agg(F.collect_list(entry).alias("_cell"))
     lat, lon = F.col("_lat"), F.col("_lon")
-    return p.join(dealt, ["_row", "_column"]).where(lat.between(F.col("south") - MARGIN, F.col("north") + MARGIN) & lon.between(F.col("west") - MARGIN, F.col("east") + MARGIN))
+    p = points.where(~F.isnan(lat) & ~F.isnan(lon)).withColumn("_row", F.floor(lat / CELL)).withColumn("_column", F.floor(lon / CELL))
+    # by number, as sizes are estimated before cells and pairs are made, and the pairs might be broadcast
+    per, whole = (d.hint("broadcast" if (n or 0) <= most else "merge") for d, n, most in ((per, size.cells, CELL_LIMIT), (rings, size.edges, EDGE_LIMIT)))
+    met = p.join(per, ["_row", "_column"]).select(*keys, "_lat", "_lon", F.explode("_cell").alias("s")).select(*keys, "_lat", "_lon", "s.h", "s.inside")
+    box = lat.between(F.col("south") - MARGIN, F.col("north") + MARGIN) & lon.between(F.col("west") - MARGIN, F.col("east") + MARGIN)
+    edge = met.where("inside is null").drop("inside").join(whole, "h").where(box).select(*keys, "h", test.alias("inside"))
+    return met.where("inside is not null").select(*keys, "h", "inside").unionByName(edge)
 
 
 def _closed(es: Column) -> Column:
@@ -113,7 +149,8 @@ def _closed(es: Column) -> Column:
 
 
 def _region_hits(points: DataFrame, polygons: DataFrame, keys: list[str], period: float = 360.0) -> tuple[DataFrame, DataFrame]:
-    """``keys, h, inside`` where an edge lies above or below the point, and ``h, default`` for all sections."""
+    """``keys, h, inside`` where an edge lies above or below the point, or with a null by a small section that has none, and
+    ``h, default`` for all sections."""
     e = edges(polygons)
     step = F.col("lon1") - F.col("lon0")
     middle = (F.col("lat0") + F.col("lat1")) / 2
@@ -130,12 +167,31 @@ def _region_hits(points: DataFrame, polygons: DataFrame, keys: list[str], period
         cross = (F.col("_lon") - x["lon0"]) / (x["lon1"] - x["lon0"]) * (x["lat1"] - x["lat0"]) + x["lat0"]
         return F.struct(F.abs(cross - F.col("_lat")).alias("gap"), (-x["k"]).alias("k"), ((x["lon1"] > x["lon0"]) != (cross > F.col("_lat"))).alias("inside"))
 
-    over = F.filter("es", lambda x: (x["lon0"] <= F.col("_lon")) != (x["lon1"] <= F.col("_lon")))
-    near = _near(points, rings.where("small").drop("small", "default"), keys).select(*keys, "h", F.array_min(F.transform(over, met))["inside"].alias("inside")).where("inside is not null")
+    def straddles(x):
+        return (x["lon0"] <= F.col("_lon")) != (x["lon1"] <= F.col("_lon"))
+
+    few = F.array(*[F.when(straddles(x), met(x)) for x in (F.get("es", F.lit(k)) for k in range(FEW_EDGES))])
+    nearest = F.array_min(F.when(F.size("es") <= FEW_EDGES, few).otherwise(F.transform(F.filter("es", straddles), met)))
+    points = _dealt(points, keys)
+
+    def constant(south, north, west, east):
+        def apart(x):
+            return (F.greatest(x["lon0"], x["lon1"]) < west) | (F.least(x["lon0"], x["lon1"]) > east)
+
+        def says(x, inside: bool):
+            above, below = F.least(x["lat0"], x["lat1"]) > north, F.greatest(x["lat0"], x["lat1"]) < south
+            across = (F.least(x["lon0"], x["lon1"]) < west) & (F.greatest(x["lon0"], x["lon1"]) > east)
+            return across & F.when(x["lon1"] > x["lon0"], below if inside else above).otherwise(above if inside else below)
+
+        yes, no = _each(lambda x: apart(x) | says(x, True), "all"), _each(lambda x: apart(x) | says(x, False), "all")
+        return F.when(no, False).when(yes, True)
+
+    near = _near(points, rings.where("small").withColumn("other", ~F.col("default")), keys, constant, nearest["inside"])
     live = e.where(steep).join(rings.where("not small").select("h"), "h", "left_semi")
-    side = _side(live.withColumn("band", F.explode(F.sequence(F.floor(F.least("lon0", "lon1")), F.floor(F.greatest("lon0", "lon1"))))))
-    p = points.select(*keys, F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.floor("lon").alias("band"))
-    hit = p.join(side, "band").where((F.col("lon0") <= F.col("_lon")) != (F.col("lon1") <= F.col("_lon")))
+    side = _side(live, F.sequence(F.floor(F.least("lon0", "lon1")), F.floor(F.greatest("lon0", "lon1"))))
+    if side is None:
+        return near, default
+    hit = points.withColumn("band", F.floor("_lon")).join(side, "band").where((F.col("lon0") <= F.col("_lon")) != (F.col("lon1") <= F.col("_lon")))
     cross = (F.col("_lon") - F.col("lon0")) / step * (F.col("lat1") - F.col("lat0")) + F.col("lat0")
     flag = (step > 0) != (cross > F.col("_lat"))
     found = hit.groupBy(*keys, "h").agg(F.min(F.struct(F.abs(cross - F.col("_lat")).alias("gap"), (-F.col("k")).alias("k"), flag.alias("inside"))).alias("m"))
@@ -152,19 +208,30 @@ def _planar_hits(points: DataFrame, polygons: DataFrame, keys: list[str], tolera
     turn = e.groupBy("h").agg((F.sum(F.col("x0") * F.col("y1") - F.col("y0") * F.col("x1")) > 0).alias("ccw"), F.collect_list(F.struct("y0", "x0", "y1", "x1")).alias("es"), *[v.alias(k) for k, v in box.items()])
     # a ray from outside a ring's box meets none of its edges or an even number
     small = _is_small(turn) & F.lit(tolerance <= MARGIN)
-    odd = F.size(F.filter("es", lambda x: _crosses(F.col("_lat"), F.col("_lon"), x))) % 2 == 1
-    inside = F.exists("es", lambda x: _beside(F.col("_lat"), F.col("_lon"), x, tolerance)) | (odd == F.col("ccw"))
-    near = _near(points, turn.where(small), keys).select(*keys, "h", inside.alias("inside"))
+    odd = _each(lambda x: _crosses(F.col("_lat"), F.col("_lon"), x), "odd")
+    inside = _each(lambda x: _beside(F.col("_lat"), F.col("_lon"), x, tolerance), "any") | (odd == F.col("ccw"))
+    points = _dealt(points, keys)
+
+    def constant(south, north, west, east):
+        def apart(x):
+            beside = (F.greatest(x["x0"], x["x1"]) < west) | (F.least(x["x0"], x["x1"]) > east)
+            return beside | (F.greatest(x["y0"], x["y1"]) < south) | (F.least(x["y0"], x["y1"]) > north)
+
+        return F.when(_each(apart, "all"), _each(lambda x: _crosses((south + north) / 2, (west + east) / 2, x), "odd"))
+
+    near = _near(points, turn.where(small).withColumn("other", F.col("ccw")), keys, constant, inside)
     large = e.join(turn.where(~small).select("h"), "h", "left_semi")
+    side = _side(large, F.sequence(F.floor(F.least("y0", "y1") - tolerance), F.floor(F.greatest("y0", "y1") + tolerance)))
     turn = turn.select("h", "ccw")
-    side = _side(large.withColumn("band", F.explode(F.sequence(F.floor(F.least("y0", "y1") - tolerance), F.floor(F.greatest("y0", "y1") + tolerance)))))
-    p = points.select(*keys, F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.floor("lat").alias("band"))
+    default = turn.select("h", (~F.col("ccw")).alias("default"))
+    if side is None:
+        return near, default
     edge = {k: F.col(k) for k in ("y0", "x0", "y1", "x1")}
     beside, crosses = _beside(F.col("_lat"), F.col("_lon"), edge, tolerance), _crosses(F.col("_lat"), F.col("_lon"), edge)
-    hit = p.join(side, "band").select(*keys, "h", beside.alias("beside"), crosses.alias("crosses")).where("beside or crosses")
+    hit = points.withColumn("band", F.floor("_lat")).join(side, "band").select(*keys, "h", beside.alias("beside"), crosses.alias("crosses")).where("beside or crosses")
     found = hit.groupBy(*keys, "h").agg(F.max("beside").alias("beside"), (F.sum(F.col("crosses").cast("int")) % 2 == 1).alias("odd")).join(turn, "h")
     found = found.select(*keys, "h", (F.col("beside") | (F.col("odd") == F.col("ccw"))).alias("inside"))
-    return near.unionByName(found), turn.select("h", (~F.col("ccw")).alias("default"))
+    return near.unionByName(found), default
 
 
 def _sections(default: DataFrame, entry: Column) -> DataFrame:
@@ -176,7 +243,7 @@ def _sections(default: DataFrame, entry: Column) -> DataFrame:
 
 def _filled(points: DataFrame, found: DataFrame, default: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, h, inside`` for each point and section; what isn't found has the section's default."""
-    per = found.groupBy(*keys).agg(F.collect_list("h").alias("_met"), *[F.collect_list(F.when(F.col("inside") == v, F.col("h"))).alias(f"_met{v}") for v in (True, False)])
+    per = found.where("inside is not null").groupBy(*keys).agg(F.collect_list("h").alias("_met"), *[F.collect_list(F.when(F.col("inside") == v, F.col("h"))).alias(f"_met{v}") for v in (True, False)])
     d = points.select(*keys).join(per, keys, "left").crossJoin(_sections(default.where("default"), F.col("h")).withColumnRenamed("_every", "_True")).crossJoin(_sections(default.where("not default"), F.col("h")).withColumnRenamed("_every", "_False"))
     # whole arrays of sections, as a look-up for each pair takes far longer
 
@@ -191,7 +258,7 @@ def _filled(points: DataFrame, found: DataFrame, default: DataFrame, keys: list[
 def _containing(points: DataFrame, found: DataFrame, default: DataFrame, keys: list[str]) -> DataFrame:
     """Points with ``_hs``: the sections that contain them. A point meets its hits and the sections that contain
     what no edge is near, not all sections."""
-    per = found.groupBy(*keys).agg(F.collect_list(F.when(F.col("inside"), F.col("h"))).alias("_in"), F.collect_list("h").alias("_met"))
+    per = found.where("inside is not null").groupBy(*keys).agg(F.collect_list(F.when(F.col("inside"), F.col("h"))).alias("_in"), F.collect_list("h").alias("_met"))
     d = points.join(per, keys, "left").crossJoin(_sections(default.where("default"), F.col("h")))
     hs = F.when(F.col("_met").isNull(), F.col("_every")).otherwise(F.concat("_in", F.array_except("_every", "_met")))
     return d.withColumn("_hs", hs).drop("_in", "_met", "_every")
@@ -222,7 +289,7 @@ def _beside(lat: Column, lon: Column, e, tolerance: float) -> Column:
     dx, dy = e["x1"] - e["x0"], e["y1"] - e["y0"]
     off = F.abs((lon - e["x0"]) * dy - (lat - e["y0"]) * dx) <= tolerance * F.hypot(dx, dy)
     across = lon.between(F.least(e["x0"], e["x1"]) - tolerance, F.greatest(e["x0"], e["x1"]) + tolerance)
-    return off & across & lat.between(F.least(e["y0"], e["y1"]) - tolerance, F.greatest(e["y0"], e["y1"]) + tolerance)
+    return lat.between(F.least(e["y0"], e["y1"]) - tolerance, F.greatest(e["y0"], e["y1"]) + tolerance) & across & off
 
 
 def _crosses(lat: Column, lon: Column, e) -> Column:

@@ -563,3 +563,39 @@ def test_first_of_near_sections(spark, monkeypatch):
     monkeypatch.setattr(polygon, "section_literals", lambda *_: None)
     monkeypatch.setattr(polygon, "_sections", None)
     assert {r.id: r.section for r in polygon.first_section(p, d, ["id"]).collect()} == {1: 1, 2: 2, 3: None, 4: None}
+
+
+def test_inner_cells_meet_no_edge_in_the_plane(spark, monkeypatch):
+    """Points in cells that no edge is near are answered by the cell: the test by edges, here an error, isn't asked."""
+    near = polygon._near
+    monkeypatch.setattr(polygon, "section_literals", lambda *_: None)
+    monkeypatch.setattr(polygon, "_near", lambda p, rings, keys, constant, test: near(p, rings, keys, constant, F.raise_error(F.concat(F.col("_lat").cast("string"), F.size("es").cast("string"))).cast("boolean")))
+    d = spark.createDataFrame([(h, k, *(v if h == 1 else v[::-1])) for h in (1, 2) for k, v in enumerate(((0.5, 0.5), (0.5, 9.5), (9.5, 9.5), (9.5, 0.5), (0.5, 0.5)))], "h int, seq int, lat double, lon double")
+    p = spark.createDataFrame([(1, 5.0, 5.0), (2, 1.0, 8.9), (3, 11.5, 5.0), (4, float("nan"), float("nan")), (5, None, 5.0)], "id int, lat double, lon double")
+    got = {(r.id, r.h): r.inside for r in polygon.contains(p, d, ["id"]).collect()}
+    assert got == {(k, h): (k < 3) == (h == 1) for k in range(1, 6) for h in (1, 2)}
+
+
+def test_sections_of_several_edges_by_cells(spark, monkeypatch):
+    """The same from cells, dealt or broadcast, and from bands alone, for rings written out and for longer ones of either
+    direction, with points in them."""
+    rng = np.random.default_rng(8)
+    rows, at = [], []
+    for h in range(24):
+        c, m = rng.uniform(-50, 50, 2), int(rng.integers(4, 13))
+        turns = np.linspace(0, 2 * np.pi, m, endpoint=False)[:: 1 if h % 3 else -1]
+        ring = c + (rng.uniform(3, 7, (m, 1)) if h % 2 else 6.0) * np.stack([np.sin(turns), np.cos(turns)], 1)
+        rows += [(h, k, *map(float, ring[k % m])) for k in range(m + 1)]
+        at += [tuple(map(float, v)) for v in c + rng.uniform(-7, 7, (20, 2))]
+    d = spark.createDataFrame(rows, "h int, seq int, lat double, lon double").coalesce(1).cache()
+    p = spark.createDataFrame([(k, *v) for k, v in enumerate(at)], "id int, lat double, lon double").coalesce(1)
+
+    def all_of():
+        each = [polygon.containing(p, d, ["id"]), polygon.contains(p, d, ["id"]), polygon.first_section(p, d, ["id"]).select("id", "section")]
+        return [sorted(map(tuple, x.collect()), key=repr) for x in each]
+
+    monkeypatch.setattr(polygon, "section_literals", lambda *_: None)
+    got = all_of()
+    for name in ("CELL_LIMIT", "CELL_EXTENT"):
+        monkeypatch.setattr(polygon, name, -1)
+        assert got == all_of()
