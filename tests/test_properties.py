@@ -599,3 +599,14 @@ def test_sections_of_several_edges_by_cells(spark, monkeypatch):
     for name in ("CELL_LIMIT", "CELL_EXTENT"):
         monkeypatch.setattr(polygon, name, -1)
         assert got == all_of()
+
+
+def test_first_section_in_inner_cells(spark, monkeypatch):
+    """On the globe a cell that no edge is near has one answer too, and overlapping sections give the first."""
+    near = polygon._near
+    monkeypatch.setattr(polygon, "section_literals", lambda *_: None)
+    monkeypatch.setattr(polygon, "_near", lambda p, rings, keys, constant, test: near(p, rings, keys, constant, F.raise_error(F.concat(F.col("_lat").cast("string"), F.size("es").cast("string"))).cast("boolean")))
+    ring = ((0.5, 0.5), (0.5, 9.5), (9.5, 9.5), (9.5, 0.5), (0.5, 0.5))
+    d = spark.createDataFrame([(h, k, a + 4 * h, b) for h in (1, 2) for k, (a, b) in enumerate(ring)], "h int, seq int, lat double, lon double")
+    p = spark.createDataFrame([(1, 5.7, 5.0), (2, 10.0, 1.0), (3, 15.5, 5.0), (4, 40.0, 5.0), (5, 5.7, None)], "id int, lat double, lon double")
+    assert {r.id: r.section for r in polygon.first_section(p, d, ["id"]).collect()} == {1: 1, 2: 1, 3: 2, 4: None, 5: None}
