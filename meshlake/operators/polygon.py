@@ -33,6 +33,11 @@ def edges(polygons: DataFrame) -> DataFrame:
     return e.where("lat0 is not null")
 
 
+def _edges_by_task(polygons: DataFrame) -> DataFrame:
+    """Edges by section, dealt to as many tasks as a shuffle has: the work on a section is more than its bytes tell."""
+    return edges(polygons.repartition(int(polygons.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h"))
+
+
 def section_literals(polygons: DataFrame, limit: int = LITERAL_EDGES) -> dict[int, list[tuple[float, float]]] | None:
     """Vertices by section, if there are no more than ``limit``; at most limit + 1 rows reach the driver."""
     rows = polygons.select("h", "seq", "lat", "lon").limit(limit + 1).collect()
@@ -90,14 +95,18 @@ def _dealt(points: DataFrame, keys: list[str]) -> DataFrame:
     return points.select(*keys, F.col("lat").alias("_lat"), F.col("lon").alias("_lon")).repartition(*keys, "_lat", "_lon")
 
 
-def _each(f, kind: str) -> Column:
-    """Whether ``f`` holds for all edges ``es``, for any, or for an odd number of them. Null counts as false."""
-    whole = {"all": lambda: F.forall("es", f), "any": lambda: F.exists("es", f), "odd": lambda: F.size(F.filter("es", f)) % 2 == 1}[kind]()
-    held = [F.coalesce(f(F.get("es", F.lit(k))), F.lit(False)) for k in range(FEW_EDGES)]
+def _each(f, kind: str, spread: list[dict[str, Column]] | None = None) -> Column:
+    """Whether ``f`` holds for all edges ``es``, for any, or for an odd number of them. Null counts as false. ``spread``: the edges as
+    columns of their own, for rows in great number; there are no more, and ``_size`` tells how many."""
+    size = F.size("es") if spread is None else F.col("_size")
+    held = [F.coalesce(f(x), F.lit(False)) for x in (spread if spread is not None else [F.get("es", F.lit(k)) for k in range(FEW_EDGES)])]
     if kind == "odd":
-        few = reduce(lambda a, b: a != b, held)
+        few = reduce(lambda a, b: a != b, held, F.lit(False))
     else:
-        few = reduce(lambda a, b: a | b, held) if kind == "any" else reduce(lambda a, b: a & b, [(F.size("es") <= k) | v for k, v in enumerate(held)])
+        few = reduce(lambda a, b: a | b, held, F.lit(False)) if kind == "any" else reduce(lambda a, b: a & b, [(size <= k) | v for k, v in enumerate(held)], F.lit(True))
+    if spread is not None:
+        return few
+    whole = {"all": lambda: F.forall("es", f), "any": lambda: F.exists("es", f), "odd": lambda: F.size(F.filter("es", f)) % 2 == 1}[kind]()
     return F.when(F.size("es") <= FEW_EDGES, few).otherwise(F.coalesce(whole, F.lit(False)))
 
 
@@ -106,52 +115,105 @@ def _is_small(rings: DataFrame) -> Column:
     return F.coalesce((F.size("es") <= CELL_EDGES) & box, F.lit(False))
 
 
-def _near(points: DataFrame, rings: DataFrame, keys: list[str], constant, test: Column) -> DataFrame:
-    """``keys, h, inside`` of points ``keys, _lat, _lon`` by rings ``h, es, other, south, north, west, east``. In a cell without
-    an edge nearby all points are ``other``, the opposite of the default, or have the default: ``constant`` of the cell's
-    south, north, west and east, margin included, is true or false. Where it is null, points in the box meet ``test``."""
+def _cells(points: DataFrame, rings: DataFrame, constant) -> tuple[DataFrame, DataFrame, DataFrame, str, int]:
+    """Points by cell; the small ones of ``rings`` by cell, with ``constant`` of it as ``_odd``; these rings as a whole; a hint for
+    tables of cells; the number of other rings."""
 
     def cells(low: str, high: str) -> Column:
         return F.sequence(F.floor((F.col(low) - MARGIN) / CELL), F.floor((F.col(high) + MARGIN) / CELL))
 
     rows, columns = cells("south", "north"), cells("west", "east")
-    size = rings.agg(F.sum(F.size("es")).alias("edges"), F.sum(F.size(rows) * F.size(columns)).alias("cells")).first()
-    dealt = rings.withColumn("_row", F.explode(rows)).withColumn("_column", F.explode(columns))
+    numbers = {"edges": F.sum(F.size("es")), "most": F.max(F.size("es")), "cells": F.sum(F.size(rows) * F.size(columns)), "rings": F.count("*")}
+    size = {r["small_ring"]: r for r in rings.groupBy(F.col("small").alias("small_ring")).agg(*[v.alias(k) for k, v in numbers.items()]).collect()}
+    own, large = size.get(True), size[False]["rings"] if False in size else 0
+    rings, spread, flat = rings.where("small"), None, rings.where("small")
+    if own is None or own["most"] <= FEW_EDGES:  # else functions go through the array, which keeps the plan from being compiled
+        names, most = rings.schema["es"].dataType.elementType.names, 0 if own is None else own["most"]
+        spread = [{n: F.col(f"_{n}_{k}") for n in names} for k in range(most)]
+        ends = ("h", "other", "south", "north", "west", "east")
+        flat = rings.select(*ends, F.size("es").alias("_size"), *[F.get("es", F.lit(k))[n].alias(f"_{n}_{k}") for k in range(most) for n in names])
+    dealt = flat.withColumn("_row", F.explode(rows)).withColumn("_column", F.explode(columns))
     bounds = [F.col(c) * CELL + v for c in ("_row", "_column") for v in (-MARGIN, CELL + MARGIN)]
-    dealt = dealt.select("h", "other", "_row", "_column", constant(*bounds).alias("_odd"))
-    entry = F.when(F.coalesce("_odd", F.lit(True)), F.struct("h", F.when(F.col("_odd"), F.col("other")).alias("inside")))
-    per = dealt.groupBy("_row", "_column").agg(F.collect_list(entry).alias("_cell"))
+    dealt = dealt.select("h", "other", "_row", "_column", constant(*bounds, spread).alias("_odd"))
     lat, lon = F.col("_lat"), F.col("_lon")
     p = points.where(~F.isnan(lat) & ~F.isnan(lon)).withColumn("_row", F.floor(lat / CELL)).withColumn("_column", F.floor(lon / CELL))
     # by number, as sizes are estimated before cells and pairs are made, and the pairs might be broadcast
-    per, whole = (d.hint("broadcast" if (n or 0) <= most else "merge") for d, n, most in ((per, size.cells, CELL_LIMIT), (rings, size.edges, EDGE_LIMIT)))
+    per, whole = ("broadcast" if own is None or own[k] <= most else "merge" for k, most in (("cells", CELL_LIMIT), ("edges", EDGE_LIMIT)))
+    return p, dealt, rings.hint(whole), per, large
+
+
+def _asked(met: DataFrame, whole: DataFrame, keys: list[str], test: Column) -> DataFrame:
+    """``keys, h, inside`` of points ``keys, _lat, _lon, h``, by the section's edges where the point is in its box."""
+    box = F.col("_lat").between(F.col("south") - MARGIN, F.col("north") + MARGIN) & F.col("_lon").between(F.col("west") - MARGIN, F.col("east") + MARGIN)
+    return met.join(whole, "h").where(box).select(*keys, "h", test.alias("inside"))
+
+
+def _near(points: DataFrame, rings: DataFrame, keys: list[str], constant, test: Column) -> tuple[DataFrame, int]:
+    """``keys, h, inside`` of points ``keys, _lat, _lon`` by the small ones of rings ``h, es, other, south, north, west, east, small``,
+    and the number of the rest. In a cell without an edge nearby all points are ``other``, the opposite of the default, or have
+    the default: ``constant`` of the cell's south, north, west and east, margin included, is true or false. Where it is null,
+    points in the box meet ``test``."""
+    p, dealt, whole, hint, large = _cells(points, rings, constant)
+    entry = F.when(F.coalesce("_odd", F.lit(True)), F.struct("h", F.when(F.col("_odd"), F.col("other")).alias("inside")))
+    per = dealt.groupBy("_row", "_column").agg(F.collect_list(entry).alias("_cell")).hint(hint)
     met = p.join(per, ["_row", "_column"]).select(*keys, "_lat", "_lon", F.explode("_cell").alias("s")).select(*keys, "_lat", "_lon", "s.h", "s.inside")
-    box = lat.between(F.col("south") - MARGIN, F.col("north") + MARGIN) & lon.between(F.col("west") - MARGIN, F.col("east") + MARGIN)
-    edge = met.where("inside is null").drop("inside").join(whole, "h").where(box).select(*keys, "h", test.alias("inside"))
-    return met.where("inside is not null").select(*keys, "h", "inside").unionByName(edge)
+    edge = _asked(met.where("inside is null").drop("inside"), whole, keys, test)
+    return met.where("inside is not null").select(*keys, "h", "inside").unionByName(edge), large
+
+
+def _near_first(points: DataFrame, rings: DataFrame, keys: list[str], constant, test: Column) -> tuple[DataFrame, int]:
+    """Of these no more than the first section with a point needs, where sections are outside by default: a cell has the first
+    of those that contain all its points, and of those with an edge nearby the ones before it."""
+    p, dealt, whole, hint, large = _cells(points, rings, constant)
+    cell = ["_row", "_column"]
+    sure = dealt.groupBy(*cell).agg(F.min(F.when(F.col("_odd"), F.col("h"))).alias("_sure")).where("_sure is not null").hint(hint)
+    before = dealt.where("_odd is null").join(sure, cell, "left").where("_sure is null or h < _sure").select(*cell, "h").hint(hint)
+    whole_cells = p.join(sure, cell).select(*keys, F.col("_sure").alias("h"), F.lit(True).alias("inside"))
+    return whole_cells.unionByName(_asked(p.join(before, cell).select(*keys, "_lat", "_lon", "h"), whole, keys, test)), large
+
+
+def _let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def _closed(es: Column) -> Column:
     """Whether points above and below all edges are outside: between neighbouring longitudes of vertices, edges that
     may be the uppermost lead west and those that may be the lowest east."""
 
-    def slab(u: Column, v: Column) -> Column:
-        def at(e, x):
-            return (x - e["lon0"]) / (e["lon1"] - e["lon0"]) * (e["lat1"] - e["lat0"]) + e["lat0"]
+    def at(e, x):
+        return (x - e["lon0"]) / (e["lon1"] - e["lon0"]) * (e["lat1"] - e["lat0"]) + e["lat0"]
+
+    def sides(ys, top, bottom):
+        return F.forall(ys, lambda y: ((y["hi"] < top - MARGIN) | ~y["east"]) & ((y["lo"] > bottom + MARGIN) | y["east"]))
 
+    def slab(u: Column, v: Column) -> Column:
         over = F.filter(es, lambda e: (F.least(e["lon0"], e["lon1"]) <= u) & (F.greatest(e["lon0"], e["lon1"]) >= v))
         ys = F.transform(over, lambda e: F.struct(F.least(at(e, u), at(e, v)).alias("lo"), F.greatest(at(e, u), at(e, v)).alias("hi"), (e["lon1"] > e["lon0"]).alias("east")))
-        top, bottom = F.array_max(F.transform(ys, lambda y: y["lo"])), F.array_min(F.transform(ys, lambda y: y["hi"]))
-        return F.forall(ys, lambda y: ((y["hi"] < top - MARGIN) | ~y["east"]) & ((y["lo"] > bottom + MARGIN) | y["east"]))
+        ends = lambda ys: F.struct(F.array_max(F.transform(ys, lambda y: y["lo"])).alias("top"), F.array_min(F.transform(ys, lambda y: y["hi"])).alias("bottom"))
+        return _let(ys, lambda ys: _let(ends(ys), lambda m: sides(ys, m["top"], m["bottom"])))
 
+    def slabs(xs):
+        return F.forall(F.arrays_zip(F.slice(xs, 1, F.size(xs) - 1).alias("u"), F.slice(xs, 2, F.size(xs) - 1).alias("v")), lambda x: slab(x["u"], x["v"]))
+
+    def pair(e, f):
+        """Two edges one above the other: a single slab."""
+        lo, hi = ([m(x["lat0"], x["lat1"]) for x in (e, f)] for m in (F.least, F.greatest))
+        top, bottom = F.greatest(*lo), F.least(*hi)
+        return reduce(lambda a, b: a & b, [((h < top - MARGIN) | (x["lon1"] <= x["lon0"])) & ((l > bottom + MARGIN) | (x["lon1"] > x["lon0"])) for x, l, h in zip((e, f), lo, hi)])
+
+    e, f = F.get(es, F.lit(0)), F.get(es, F.lit(1))
+    whole = reduce(lambda a, b: a & b, [x[k].isNotNull() & ~F.isnan(x[k]) for x in (e, f) for k in ("lat0", "lon0", "lat1", "lon1")])
+    same = (F.least(e["lon0"], e["lon1"]) == F.least(f["lon0"], f["lon1"])) & (F.greatest(e["lon0"], e["lon1"]) == F.greatest(f["lon0"], f["lon1"]))
     xs = F.array_sort(F.array_distinct(F.concat(F.transform(es, lambda e: e["lon0"]), F.transform(es, lambda e: e["lon1"]))))
-    return F.forall(F.arrays_zip(F.slice(xs, 1, F.size(xs) - 1).alias("u"), F.slice(xs, 2, F.size(xs) - 1).alias("v")), lambda x: slab(x["u"], x["v"]))
+    return F.when((F.size(es) == 2) & whole & same, pair(e, f)).otherwise(_let(xs, slabs))
 
 
-def _region_hits(points: DataFrame, polygons: DataFrame, keys: list[str], period: float = 360.0) -> tuple[DataFrame, DataFrame]:
+def _region_hits(points: DataFrame, polygons: DataFrame, keys: list[str], period: float = 360.0, first: bool = False) -> tuple[DataFrame, DataFrame | None]:
     """``keys, h, inside`` where an edge lies above or below the point, or with a null by a small section that has none, and
-    ``h, default`` for all sections."""
-    e = edges(polygons)
+    ``h, default`` for all sections. With ``first`` only what the first section
+    with a point needs, and null for the defaults if all are known to be outside."""
+    e = _edges_by_task(polygons)
     step = F.col("lon1") - F.col("lon0")
     middle = (F.col("lat0") + F.col("lat1")) / 2
     default = F.max_by(F.when(F.abs(step) == period, -step).otherwise(step) > 0, F.struct(middle, -F.col("k"))).alias("default")
@@ -174,7 +236,7 @@ def _region_hits(points: DataFrame, polygons: DataFrame, keys: list[str], period
     nearest = F.array_min(F.when(F.size("es") <= FEW_EDGES, few).otherwise(F.transform(F.filter("es", straddles), met)))
     points = _dealt(points, keys)
 
-    def constant(south, north, west, east):
+    def constant(south, north, west, east, spread):
         def apart(x):
             return (F.greatest(x["lon0"], x["lon1"]) < west) | (F.least(x["lon0"], x["lon1"]) > east)
 
@@ -183,10 +245,12 @@ def _region_hits(points: DataFrame, polygons: DataFrame, keys: list[str], period
             across = (F.least(x["lon0"], x["lon1"]) < west) & (F.greatest(x["lon0"], x["lon1"]) > east)
             return across & F.when(x["lon1"] > x["lon0"], below if inside else above).otherwise(above if inside else below)
 
-        yes, no = _each(lambda x: apart(x) | says(x, True), "all"), _each(lambda x: apart(x) | says(x, False), "all")
+        yes, no = _each(lambda x: apart(x) | says(x, True), "all", spread), _each(lambda x: apart(x) | says(x, False), "all", spread)
         return F.when(no, False).when(yes, True)
 
-    near = _near(points, rings.where("small").withColumn("other", ~F.col("default")), keys, constant, nearest["inside"])
+    near, large = (_near_first if first else _near)(points, rings.withColumn("other", ~F.col("default")), keys, constant, nearest["inside"])
+    if not large:  # small ones are outside by default
+        return near, None if first else default
     live = e.where(steep).join(rings.where("not small").select("h"), "h", "left_semi")
     side = _side(live, F.sequence(F.floor(F.least("lon0", "lon1")), F.floor(F.greatest("lon0", "lon1"))))
     if side is None:
@@ -212,18 +276,21 @@ def _planar_hits(points: DataFrame, polygons: DataFrame, keys: list[str], tolera
     inside = _each(lambda x: _beside(F.col("_lat"), F.col("_lon"), x, tolerance), "any") | (odd == F.col("ccw"))
     points = _dealt(points, keys)
 
-    def constant(south, north, west, east):
+    def constant(south, north, west, east, spread):
         def apart(x):
             beside = (F.greatest(x["x0"], x["x1"]) < west) | (F.least(x["x0"], x["x1"]) > east)
             return beside | (F.greatest(x["y0"], x["y1"]) < south) | (F.least(x["y0"], x["y1"]) > north)
 
-        return F.when(_each(apart, "all"), _each(lambda x: _crosses((south + north) / 2, (west + east) / 2, x), "odd"))
+        return F.when(_each(apart, "all", spread), _each(lambda x: _crosses((south + north) / 2, (west + east) / 2, x), "odd", spread))
 
-    near = _near(points, turn.where(small).withColumn("other", F.col("ccw")), keys, constant, inside)
-    large = e.join(turn.where(~small).select("h"), "h", "left_semi")
-    side = _side(large, F.sequence(F.floor(F.least("y0", "y1") - tolerance), F.floor(F.greatest("y0", "y1") + tolerance)))
-    turn = turn.select("h", "ccw")
+    turn = turn.withColumn("small", small)
+    near, large = _near(points, turn.withColumn("other", F.col("ccw")), keys, constant, inside)
     default = turn.select("h", (~F.col("ccw")).alias("default"))
+    if not large:
+        return near, default
+    e = e.join(turn.where("not small").select("h"), "h", "left_semi")
+    side = _side(e, F.sequence(F.floor(F.least("y0", "y1") - tolerance), F.floor(F.greatest("y0", "y1") + tolerance)))
+    turn = turn.select("h", "ccw")
     if side is None:
         return near, default
     edge = {k: F.col(k) for k in ("y0", "x0", "y1", "x1")}
@@ -278,8 +345,8 @@ def first_section(points: DataFrame, polygons: DataFrame, keys: list[str]) -> Da
     if rings is not None:
         section = F.coalesce(*[F.when(inside_ring(F.col("lat"), F.col("lon"), ring), h) for h, ring in sorted(rings.items())]).cast(polygons.schema["h"].dataType)
         return points.select("*", section.alias("section"))
-    found, default = _region_hits(points, polygons, keys)
-    if default.where("default").isEmpty():
+    found, default = _region_hits(points, polygons, keys, first=True)
+    if default is None or default.where("default").isEmpty():
         return points.join(found.where("inside").groupBy(*keys).agg(F.min("h").alias("section")), keys, "left").select(*points.columns, "section")
     d = _containing(points, found, default, keys)
     return d.withColumn("section", F.array_min("_hs")).drop("_hs")

@@ -610,3 +610,35 @@ def test_first_section_in_inner_cells(spark, monkeypatch):
     d = spark.createDataFrame([(h, k, a + 4 * h, b) for h in (1, 2) for k, (a, b) in enumerate(ring)], "h int, seq int, lat double, lon double")
     p = spark.createDataFrame([(1, 5.7, 5.0), (2, 10.0, 1.0), (3, 15.5, 5.0), (4, 40.0, 5.0), (5, 5.7, None)], "id int, lat double, lon double")
     assert {r.id: r.section for r in polygon.first_section(p, d, ["id"]).collect()} == {1: 1, 2: 1, 3: 2, 4: None, 5: None}
+
+
+def test_first_section_asks_none_behind_a_sure_one(spark):
+    """Where a whole cell is in a section, later ones, which have edges in the cell, are not met; earlier ones are."""
+    ring = ((0.5, 0.5), (0.5, 9.5), (9.5, 9.5), (9.5, 0.5), (0.5, 0.5))
+    tops = {1: (20.0, 20.0), 2: (0.0, 0.0), 3: (4.0, 0.0), 4: (0.0, 4.0)}
+    d = spark.createDataFrame([(h, k, a + tops[h][0], b + tops[h][1]) for h in tops for k, (a, b) in enumerate(ring)], "h int, seq int, lat double, lon double")
+    p = spark.createDataFrame([(1, 4.7, 4.7), (2, 0.7, 5.0), (3, 10.0, 5.0), (4, 25.0, 25.0), (5, -5.0, 5.0)], "id int, lat double, lon double")
+    found, default = polygon._region_hits(p, d, ["id"], first=True)
+    assert sorted((r.id, r.h) for r in found.where("inside").collect()) == [(1, 2), (2, 2), (2, 4), (3, 3), (4, 1)] and default is None
+    assert found.where("id = 1").count() == 1
+
+
+def test_first_section_of_general_rings(spark, monkeypatch):
+    """Rings that overlap, of up to six edges and of more: the first section from cells is that from bands alone."""
+    rng = np.random.default_rng(21)
+    at = rng.uniform(-25, 25, (400, 2)).tolist()
+    p = spark.createDataFrame([(k, *v) for k, v in enumerate(at)], "id int, lat double, lon double").coalesce(1)
+    monkeypatch.setattr(polygon, "section_literals", lambda *_: None)
+    for most in (4, 9):
+        rows = []
+        for h in range(40):
+            c, m = rng.uniform(-20, 20, 2), int(rng.integers(3, most + 1))
+            turns = np.linspace(0, 2 * np.pi, m, endpoint=False) + (np.pi / 4 if h % 2 else 0.3)
+            ring = c + 7 * np.stack([np.sin(turns), np.cos(turns)], 1) * (1 if h % 5 else -1)
+            ring = ring if h % 7 else np.array([c, c + (0, 6), c + (6, 6), c + (6, 0)])
+            rows += [(h, k, *map(float, ring[k % len(ring)])) for k in range(len(ring) + 1)]
+        d = spark.createDataFrame(rows, "h int, seq int, lat double, lon double").coalesce(1)
+        got = {r.id: r.section for r in polygon.first_section(p, d, ["id"]).collect()}
+        with monkeypatch.context() as only_bands:
+            only_bands.setattr(polygon, "CELL_EXTENT", -1.0)
+            assert got == {r.id: r.section for r in polygon.first_section(p, d, ["id"]).collect()}
