@@ -383,61 +383,111 @@ def _run_windows(raw: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.concatenate(keys).view(np.int64), np.concatenate(places)
 
 
-def asked_windows(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """``key, doc_id, tag, at``: windows of the asked runs, of each task's batch only the smallest document's
-    for each key; ``key`` is null where a window of the batch has a smaller doc_id already."""
+#: Windows on their way: those of a bucket of hashes, of each batch and hash the ``first`` and then the others; or, with
+#: ``lengths``, spans of bytes that are decided.
+_WINDOWS = "bucket int, others boolean, n int, hashes binary, docs binary, tags binary, starts binary, lengths binary"
+_WINDOW_TYPES = (pa.int32(), pa.bool_(), pa.int32(), *[pa.binary()] * 5)
+
+
+def _least(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The order of the keys, and in it each window's smallest document; the different keys, and theirs."""
+    order = np.argsort(key)
+    first = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+    least = np.minimum.reduceat(doc[order], first)
+    return order, np.repeat(least, np.diff(np.append(first, len(key)))), key[order][first], least
+
+
+def _window_spans(doc: np.ndarray, tag: np.ndarray, at: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+    order = np.lexsort((tag, doc))
+    doc, tag, value = doc[order], tag[order], (at << 32 | size)[order]
+    first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])])) if len(doc) else np.zeros(0, np.int64)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(doc)), pa.int32()), pa.array(value, pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array(doc[first], pa.int64()), pa.array(tag[first].astype(np.int32), pa.int32()), lists], names=["doc_id", "tag", "spans"])
+
+
+def asked_windows(docs: DataFrame, asked: DataFrame, buckets: int) -> DataFrame:
+    """Windows of the asked runs, packed by bucket: of each task's batch only the smallest document's for each hash; the others
+    are decided, as a window of the batch has a smaller doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
 
+        def row(bucket: int, others: bool, key, doc, tag, at, length) -> tuple:
+            return (bucket, others, len(doc), key.tobytes(), pack_planes(doc, 8), pack_planes(tag, 2), pack_planes(at, 5), pack_planes(length, 5))
+
         def flush():
             nonlocal held, size
             key, doc, tag, at = (np.concatenate(c) for c in zip(*held))
             held, size = [], 0
-            order = np.lexsort((doc, key))
+            order, least, _, _ = _least(key, doc)
             key, doc, tag, at = key[order], doc[order], tag[order], at[order]
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            least = np.repeat(doc[first], np.diff(np.append(first, len(key))))
-            return pa.RecordBatch.from_arrays([pa.array(key, pa.int64(), mask=doc > least), pa.array(doc), pa.array(tag), pa.array(at)], names=["key", "doc_id", "tag", "at"])
+            own, rows, none = doc == least, [], np.zeros(0, np.int64)
+            if not own.all():
+                d = Runs(docs=doc[~own], tags=tag[~own], starts=at[~own], lengths=np.ones(len(own) - own.sum(), np.int64))
+                d = _joined_spans(d)
+                rows.append(row(int(d.docs[0] % buckets), False, key[:0], d.docs, d.tags, d.starts, d.lengths))
+            key, doc, tag, at = key[own], doc[own], tag[own], at[own]
+            again = np.concatenate([[False], key[1:] == key[:-1]])
+            for others in (False, True):
+                which = again == others
+                k, *rest = key[which], doc[which], tag[which], at[which]
+                edge = np.searchsorted((k >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
+                rows += [row(bucket, others, k[a:z], *[x[a:z] for x in rest], none) for bucket, (a, z) in enumerate(zip(edge, edge[1:])) if z > a]
+            release()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _WINDOW_TYPES)], names=[x.split()[0] for x in _WINDOWS.split(", ")])
 
         for b in batches:
             for k in range(b.num_rows):
                 raw = np.frombuffer(b.column(2)[k].as_py().encode(), np.uint8)
                 key, at = _run_windows(raw, b.column(3)[k].values.to_numpy(zero_copy_only=False))
-                held.append((key, np.full(len(at), b.column(0)[k].as_py()), np.full(len(at), b.column(1)[k].as_py(), np.int32), at))
+                held.append((key.view(np.uint64), np.full(len(at), b.column(0)[k].as_py()), np.full(len(at), b.column(1)[k].as_py(), np.int64), at))
                 size += len(at)
                 if size >= WINDOWS:
                     yield flush()
         if held:
             yield flush()
 
-    return docs.select("doc_id", "tag", "text").join(_gathered(asked), ["doc_id", "tag"]).mapInArrow(run, "key long, doc_id long, tag int, at long")
+    return docs.select("doc_id", "tag", "text").join(_gathered(asked), ["doc_id", "tag"]).mapInArrow(run, _WINDOWS)
 
 
-def earlier_windows(rows: DataFrame, n_parts: int) -> DataFrame:
-    """``doc_id, tag, spans`` of windows that a document with a smaller doc_id has too. A key's rows are a
-    stream in order of doc_id: however many, only the first's doc_id is held."""
+def earlier_windows(rows: DataFrame, buckets: int) -> DataFrame:
+    """``doc_id, tag, spans`` of windows that a document with a smaller doc_id has too. Of a bucket the first window of each batch
+    and hash is held; the others of a batch, which a text with repeats may have in any number, pass as a stream."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, least = None, None
+        now, held, known = None, [], None
+
+        def spans(at: np.ndarray, *rest: np.ndarray) -> pa.RecordBatch:
+            return _window_spans(*rest, at, np.full(len(at), LEAST))
+
+        def settle():
+            nonlocal held, known
+            key, doc, tag, at = (np.concatenate(c) for c in zip(*held))
+            held = []
+            order, least, *known = _least(key, doc)
+            cut = order[doc[order] > least]
+            return spans(at[cut], doc[cut], tag[cut])
+
         for b in batches:
-            if not b.num_rows:
-                continue
-            doc, tag, at = (b.column(i).to_numpy() for i in (1, 2, 3))
-            key = b.column(0).to_numpy()
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            head = doc[first]
-            if last == key[0]:
-                head[0] = least
-            last, least = key[-1], head[-1]
-            cut = doc > np.repeat(head, np.diff(np.append(first, len(key))))
-            yield pa.RecordBatch.from_arrays([pa.array(doc[cut]), pa.array(tag[cut]), pa.array(at[cut])], names=["doc_id", "tag", "at"])
-
-    schema = "doc_id long, tag int, at long"
-    met = rows.where("key is not null").repartition(n_parts, "key").sortWithinPartitions("key", "doc_id").mapInArrow(run, schema)
-    cut = met.unionByName(rows.where("key is null").select("doc_id", "tag", "at"))
-    return cut.groupBy("doc_id", "tag").agg(F.collect_list(F.shiftleft("at", 32).bitwiseOR(F.lit(LEAST).cast("long"))).alias("spans"))
+            for bucket, others, n, key, *data in zip(*[c.to_pylist() for c in b.columns]):
+                doc, tag, at = (unpack_planes(d, n, w).view(np.int64) for d, w in zip(data, (8, 2, 5)))
+                if not key:
+                    yield _window_spans(doc, tag, at, unpack_planes(data[3], n, 5).view(np.int64))
+                    continue
+                if held and (bucket != now or others):
+                    yield settle()
+                now, key = bucket, np.frombuffer(key, np.uint64)
+                if others:
+                    cut = doc > known[1][np.searchsorted(known[0], key)]
+                    yield spans(at[cut], doc[cut], tag[cut])
+                else:
+                    held.append((key, doc, tag, at))
+        if held:
+            yield settle()
+        release()
+
+    return rows.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "others").mapInArrow(run, "doc_id long, tag int, spans array<long>")
 
 
 def _tagged(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -481,9 +531,7 @@ def dedup(spark: SparkSession, docs: DataFrame, batches: int = BATCHES, index_pa
     index.close()
     if earlier is not None:
         known = known.unionByName(_tagged(spark, earlier).where("doc_id is not null"))
-    windows = scratch.write(asked_windows(known, index.spans(ASK)), "windows")
-    met = scratch.write(earlier_windows(windows, parts(spark)), "met")
-    scratch.drop("windows")
+    met = scratch.write(earlier_windows(asked_windows(known, index.spans(ASK), index.buckets), index.buckets), "met")
     spans = scratch.write(_gathered(index.spans(CUT).unionByName(met)), "spans")
     scratch.keep("spans")
 

@@ -459,3 +459,10 @@ def test_query_against_its_sql(spark, name):
     got = queries.queries()[name](spark, folder)
     assert sorted(got.columns) == sorted(names)
     assert sorted((tuple(r[c] for c in names) for r in got.collect()), key=repr) == want
+
+
+def test_least_document_of_a_window():
+    key, doc = np.array([7, 3, 7, 3, 2**63 + 1], np.uint64), np.array([5, 9, 2, 8, 1])
+    order, least, keys, first = suffix_dedup._least(key, doc)
+    assert dict(zip(order.tolist(), least.tolist())) == {0: 2, 2: 2, 1: 8, 3: 8, 4: 1}
+    assert keys.tolist() == [3, 7, 2**63 + 1] and first.tolist() == [8, 2, 1]
