@@ -556,6 +556,25 @@ def test_points_meet_only_near_sections(spark):
         assert sorted((r.id, r.h) for r in found) == [(k, k) for k in range(400)] and all(r.inside for r in found)
 
 
+def test_all_pairs_of_points_and_sections(spark, monkeypatch):
+    """The same rows as from literals, where sections come in chunks; a point's hits are joined without a broadcast, and pairs are
+    dealt to tasks by their number, at the session's own threshold and few partitions."""
+    d = spark.range(20).selectExpr("int(id) h", "explode(sequence(0, 4)) seq", "id % 5 * 8 - 20 y", "id div 5 * 17 - 30 x")
+    d = d.selectExpr("h", "if(h % 3 = 0, 4 - seq, seq) seq", "double(y + array(0, 0, 9, 9, 0)[seq]) lat", "double(x + array(0, 19, 19, 0, 0)[seq]) lon")
+    p = spark.range(400).selectExpr("id", "if(id = 7, null, id % 20 * 3 - 29.5d) lat", "id div 20 * 5 - 41.5d lon")
+    few = {f: sorted(map(tuple, f(p, d, ["id"]).collect())) for f in (polygon.contains, polygon.inside_region)}
+    monkeypatch.setattr(polygon, "section_literals", lambda *_: None)
+    for f, want in few.items():
+        plan = f(p, d, ["id"])._jdf.queryExecution().executedPlan().toString()
+        assert not [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "LeftOuter" in line]
+    monkeypatch.setattr(polygon, "CHUNK", 7)
+    monkeypatch.setattr(polygon, "PAIRS", 1_000)
+    for f, want in few.items():
+        got = f(p, d, ["id"]).withColumn("task", F.spark_partition_id()).collect()
+        assert sorted((r.id, r.h, r.inside) for r in got if r.id != 7) == [r for r in want if r[0] != 7]
+        assert [r.h for r in sorted(got) if r.id == 7] == list(range(20)) and len({r.task for r in got}) > 4
+
+
 def test_first_of_near_sections(spark, monkeypatch):
     """Sections that contain no far point are not looked up for it: no array of all sections."""
     d = spark.createDataFrame([(h, k, 10.0 * h + a, b) for h in (1, 2) for k, (a, b) in enumerate(((0.0, 0.0), (0.0, 5.0), (5.0, 5.0), (5.0, 0.0), (0.0, 0.0)))], "h int, seq int, lat double, lon double")
